@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe_codec, media_columns, online_packing, packed_matrices, token_counts
+from logloom.llm import bpe_codec, media_columns, near_duplicates, online_packing, packed_matrices, token_counts
 from logloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,10 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(read(spark, sf_dir, "documents"))
 
 
+def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
+
+
 def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_media_digests(read(spark, sf_dir, "documents"))
 
