@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe_codec, media_columns, near_duplicates, online_packing, packed_matrices, token_counts
+from logloom.llm import bpe_codec, media_columns, near_duplicates, online_packing, packed_matrices, token_counts, toxicity
 from logloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -28,6 +28,11 @@ def op4_bpe_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_codec.round_trip_digests(read(spark, sf_dir, "documents"))
 
 
+def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return toxicity.score(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
