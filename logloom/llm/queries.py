@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from logloom.llm import bpe_codec, media_columns, near_duplicates, online_packing, packed_matrices, token_counts, toxicity
+from logloom.llm import bpe_codec, media_columns, near_duplicates, online_packing, packed_matrices, token_counts, toxicity, weak_quality
 from logloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -41,6 +41,11 @@ def op9_jpeg_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.text_media_digests(read(spark, sf_dir, "documents"))
 
 
+def op10_weak_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents")
+    return weak_quality.score(docs, weak_quality.trained(docs))
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and callable(f)}
 
