@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from logloom.llm import bpe_codec, media_columns, near_duplicates, online_packing, packed_matrices, token_counts, toxicity, weak_quality
+from logloom.llm import bpe_codec, license_scans, media_columns, multi_index, near_duplicates, online_packing, packed_matrices, token_counts, toxicity, weak_quality
 from logloom.llm.common import read
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -33,6 +34,14 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.trained(docs, read(spark, sf_dir, "labels")))
 
 
+def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scans.license_scans(read(spark, sf_dir, "documents"))
+
+
+def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return multi_index.nearest_neighbours(read(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
 def op8_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates.near_duplicate_classes(read(spark, sf_dir, "documents")).select("doc_id", "class_id")
 
