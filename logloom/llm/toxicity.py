@@ -19,17 +19,33 @@ GRAMS = (3, 4, 5)
 
 
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Buckets of the character n-grams of each word between brackets, and of the whole; the word of each."""
-    batch = Batch.of([f"<{w}>" for w in words])
-    first, size = batch.starts[:-1], np.diff(batch.starts)
-    starts, ends, owner = [first], [first + size], [np.arange(len(words))]
-    for n in GRAMS:
-        item, part = ragged(np.maximum(size - n + 1, 0) * (size > n))
-        starts.append(first[item] + part)
-        ends.append(starts[-1] + n)
-        owner.append(item)
-    hashes = batch.span_hashes(np.concatenate(starts), np.concatenate(ends))
-    return (hashes >> np.uint64(64 - 17)).astype(np.int64), np.concatenate(owner)
+    """Buckets of the character n-grams of each word between brackets, and of the whole, word by word; how many each has."""
+    buckets, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
+    for a in range(0, len(words), 20_000):
+        batch = Batch.of([f"<{w}>" for w in words[a : a + 20_000]])
+        first, size = batch.starts[:-1], np.diff(batch.starts)
+        starts, ends, owner = [first], [first + size], [np.arange(len(size))]
+        for n in GRAMS:
+            item, part = ragged(np.maximum(size - n + 1, 0) * (size > n))
+            starts.append(first[item] + part)
+            ends.append(starts[-1] + n)
+            owner.append(item)
+        owner = np.concatenate(owner)
+        hashes = batch.span_hashes(np.concatenate(starts), np.concatenate(ends))
+        buckets.append((hashes >> np.uint64(64 - 17)).astype(np.int32)[np.argsort(owner, kind="stable")])
+        counts.append(np.bincount(owner, minlength=len(size)).astype(np.int32))
+    return np.concatenate(buckets), np.concatenate(counts)
+
+
+def word_means(gain: np.ndarray, bucket: np.ndarray, n_sub: np.ndarray) -> np.ndarray:
+    """The mean gain of each word's subwords."""
+    out = np.zeros(len(n_sub))
+    first = np.cumsum(n_sub, dtype=np.int64) - n_sub
+    for a in range(0, len(n_sub), 50_000):
+        n = n_sub[a : a + 50_000]
+        part = gain[bucket[first[a] : first[a] + int(n.sum())]]
+        out[a : a + len(n)] = np.add.reduceat(part, first[a : a + len(n)] - first[a]) / n
+    return out
 
 
 @dataclass
@@ -43,12 +59,18 @@ class Words:
 
     @classmethod
     def of(cls, texts: list[str]) -> Words:
-        batch = Batch.of([t.lower() for t in texts])
-        start, end, doc = batch.words()
-        _, first, at = np.unique(batch.span_hashes(start, end), return_index=True, return_inverse=True)
-        chars = batch.chars
-        words = [chars[a:b].tobytes().decode("utf-32-le", "surrogatepass") for a, b in zip(start[first].tolist(), end[first].tolist(), strict=True)]
-        return cls(words, at, doc, len(texts))
+        hashes, docs, firsts, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
+        for a, b in slices(texts):
+            batch = Batch.of([t.lower() for t in texts[a:b]])
+            start, end, doc = batch.words()
+            hashes.append(batch.span_hashes(start, end))
+            docs.append(doc + a)
+            new, first = np.unique(hashes[-1], return_index=True)
+            firsts.append(new)
+            chars = batch.chars
+            words += [chars[i:j].tobytes().decode("utf-32-le", "surrogatepass") for i, j in zip(start[first].tolist(), end[first].tolist(), strict=True)]
+        different, at = np.unique(np.concatenate(firsts), return_index=True)
+        return cls([words[i] for i in at.tolist()], np.searchsorted(different, np.concatenate(hashes)), np.concatenate(docs), len(texts))
 
     def windows(self, value: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(document, first word, end, mean of value) of overlapping windows over each text; short texts have one, empty ones none."""
@@ -61,6 +83,13 @@ class Words:
         total = np.append(0.0, np.cumsum(value[self.at]))
         return doc, begin, end, (total[end] - total[begin]) / np.maximum(end - begin, 1)
 
+    def largest(self, value: np.ndarray) -> np.ndarray:
+        """The largest window mean of each text, 0 for an empty one."""
+        doc, _, _, mean = self.windows(value)
+        out = np.full(self.n_docs, -np.inf)
+        np.maximum.at(out, doc, mean)
+        return np.where(np.isfinite(out), out, 0.0)
+
 
 @dataclass
 class Model:
@@ -71,13 +100,7 @@ class Model:
     shift: float
 
     def largest(self, words: Words) -> np.ndarray:
-        bucket, owner = subwords(words.words)
-        n = np.maximum(np.bincount(owner, minlength=len(words.words)), 1)
-        value = np.bincount(owner, self.gain[bucket], len(words.words)) / n
-        doc, _, _, mean = words.windows(value)
-        out = np.full(words.n_docs, -np.inf)
-        np.maximum.at(out, doc, mean)
-        return np.where(np.isfinite(out), out, 0.0)
+        return words.largest(word_means(self.gain, *subwords(words.words)))
 
     def scores(self, texts: list[str]) -> np.ndarray:
         out = [np.zeros(0)]
@@ -90,19 +113,18 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -40, 40)))
 
 
-def telling(bucket: np.ndarray, owner: np.ndarray, words: Words, y: np.ndarray, use: np.ndarray) -> np.ndarray:
+def telling(bucket: np.ndarray, n_sub: np.ndarray, words: Words, y: np.ndarray, use: np.ndarray) -> np.ndarray:
     """For each bucket, by how many standard errors the share of texts with it is larger for label 1; at least 0."""
-    n_sub = np.bincount(owner, minlength=len(words.words))
-    first = np.cumsum(n_sub) - n_sub
-    pairs = np.unique(words.doc[use[words.doc]].astype(np.int64) * len(words.words) + words.at[use[words.doc]])
-    doc, word = pairs // max(len(words.words), 1), pairs % max(len(words.words), 1)
-    item, part = ragged(n_sub[word])
-    seen = np.unique(doc[item] * BUCKETS + bucket[first[word][item] + part])
-    doc, at = seen // BUCKETS, seen % BUCKETS
+    first = np.cumsum(n_sub, dtype=np.int64) - n_sub
+    ends = np.append(0, np.cumsum(np.bincount(words.doc, minlength=len(y))))
+    seen = np.zeros((2, BUCKETS))
+    for d in np.flatnonzero(use).tolist():
+        own = np.unique(words.at[ends[d] : ends[d + 1]])
+        item, part = ragged(n_sub[own].astype(np.int64))
+        seen[y[d], np.unique(bucket[first[own][item] + part])] += 1
     n1, n0 = max(int(y[use].sum()), 1), max(int((1 - y[use]).sum()), 1)
-    one, zero = np.bincount(at, y[doc], BUCKETS), np.bincount(at, 1 - y[doc], BUCKETS)
-    share = (one + zero + 1) / (n1 + n0 + 2)
-    return np.maximum((one / n1 - zero / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)), 0)
+    share = (seen.sum(0) + 1) / (n1 + n0 + 2)
+    return np.maximum((seen[1] / n1 - seen[0] / n0) / np.sqrt(share * (1 - share) * (1 / n1 + 1 / n0)), 0)
 
 
 def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 1.0, decay: float = 1e-3, seed: int = 5, share_of_1: float | None = None) -> Model:
@@ -118,11 +140,8 @@ def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 1.0
         return Model(np.zeros(BUCKETS), 0.0, float(np.clip(np.log((share + 1e-6) / (1 - share + 1e-6)), -30, 30)))
     random = np.random.default_rng(seed)
     words = Words.of(texts)
-    bucket, owner = subwords(words.words)
-    order = np.argsort(owner, kind="stable")
-    bucket, owner = bucket[order], owner[order]
-    n_sub = np.bincount(owner, minlength=len(words.words))
-    first = np.cumsum(n_sub) - n_sub
+    bucket, n_sub = subwords(words.words)
+    first = np.cumsum(n_sub, dtype=np.int64) - n_sub
     apart = np.zeros(len(y), bool)
     for k in (0, 1):
         own = random.permutation(np.flatnonzero(y == k))
@@ -133,7 +152,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 1.0
         nonlocal soft, bias
         span, part = ragged(end - begin)
         used, at = np.unique(words.at[begin[span] + part], return_inverse=True)
-        item, sub = ragged(n_sub[used])
+        item, sub = ragged(n_sub[used].astype(np.int64))
         where = bucket[first[used][item] + sub]
         vector = np.add.reduceat(embed[where], np.cumsum(n_sub[used]) - n_sub[used]) / n_sub[used][:, None]
         size = (end - begin)[:, None]
@@ -151,10 +170,9 @@ def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 1.0
         soft = soft - rate * (hidden.T @ p / len(label))
         bias = bias - rate * p.mean(0)
 
-    gain = telling(bucket, owner, words, y, ~apart)
+    gain = telling(bucket, n_sub, words, y, ~apart)
     for r in range(rounds):
-        value = np.bincount(owner, gain[bucket], len(words.words)) / np.maximum(n_sub, 1)
-        doc, begin, end, mean = words.windows(value)
+        doc, begin, end, mean = words.windows(word_means(gain, bucket, n_sub))
         ranked = np.lexsort((-mean, doc))
         top = ranked[np.append(True, doc[ranked][1:] != doc[ranked][:-1])] if len(doc) else ranked
         other = random.permutation(np.flatnonzero(y[doc] == 0))[: len(top)]
@@ -167,7 +185,7 @@ def fit(texts: list[str], labels: list[int], rounds: int = 12, rate: float = 1.0
             step(begin[part], end[part], y[doc[part]], weight[a : a + 128], rate * (1 - r / rounds))
         gain = embed @ (soft[:, 1] - soft[:, 0])
     model = Model(gain.astype(np.float32), 1.0, float(bias[1] - bias[0]))
-    x = model.largest(words)
+    x = words.largest(word_means(model.gain, bucket, n_sub))
     held = apart if len(set(y[apart].tolist())) == 2 else ~apart
     now = y[held].mean()
     there = now if share_of_1 is None else share_of_1
