@@ -110,6 +110,12 @@ def throttle_input(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).where("rule = 'purchases of a user'").agg(F.count("*").alias("n_hits"), F.countDistinct("auth_user").alias("n_keys"))
 
 
+@query(f"WITH RECURSIVE {EVENTS_SQL}, {HITS_SQL}, sk AS (SELECT auth_user AS key, ts_us, seq, row_number() OVER (PARTITION BY auth_user ORDER BY ts_us, seq) AS rn FROM hits WHERE rule = 'purchases of a user'), sw AS (SELECT key, rn, seq, ts_us AS last, true AS kept FROM sk WHERE rn = 1 UNION ALL SELECT k.key, k.rn, k.seq, CASE WHEN k.ts_us - w.last >= 172800000000 THEN k.ts_us ELSE w.last END, k.ts_us - w.last >= 172800000000 FROM sw w JOIN sk k ON k.key = w.key AND k.rn = w.rn + 1) SELECT key, seq FROM sw WHERE kept")
+def throttled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits = matches(adapters.events(spark, sf_dir), [r for r in RULES if r.name == "purchases of a user"])
+    return suppress.throttle(hits.select("rule", F.col("auth_user").alias("key"), "ts_us", "seq", F.lit(172_800_000_000).alias("window_us"))).select("key", "seq")
+
+
 @query(_KEPT + "SELECT rule, seq, CAST(match_count AS BIGINT) AS match_count FROM kept")
 def threshold_then_throttle(spark: SparkSession, sf_dir: str) -> DataFrame:
     return alert_ops.held_back(_hits(spark, sf_dir), active(RULES)).select("rule", "seq", "match_count")

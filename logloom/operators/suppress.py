@@ -53,33 +53,42 @@ def in_parts(hits: DataFrame, window: str = "window_us") -> DataFrame:
     return hits.join(parts, ["rule", "key", "slot"]).drop("slot")
 
 
-def walk(hits: DataFrame, extra: list[str], start: Callable[[], object], step: Callable[[object, dict[str, np.ndarray]], Iterator[tuple]], schema: str, arrow: pa.Schema) -> DataFrame:
-    """step over the sorted rows of each (rule, key, part); it may be called again with the rows that follow, and its state."""
-    columns = ["rule", "key", "part", "ts_us", "seq", *extra]
+def walk(hits: DataFrame, extra: list[str], start: Callable[[], object], step: Callable[[object, dict[str, np.ndarray]], Iterator[tuple]], made: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+    """step over the sorted rows of each (rule, key, part); it may be called again with the rows that follow, and its state.
+
+    What it yields is the number of a row, which goes on with all its columns, and values of the columns that are made.
+    """
+    carried = [f for f in hits.schema if f.name not in [n for n, _, _ in made]]
+    columns = list(dict.fromkeys(["rule", "key", "part", "ts_us", "seq", *extra, *[f.name for f in carried]]))
     sorted_rows = in_parts(hits).select(*columns).repartition("rule", "key", "part").sortWithinPartitions("rule", "key", "part", "ts_us", "seq")
+    walked = ["ts_us", "seq", *extra]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + [f"{n} {t}" for n, t, _ in made])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, start()
         for batch in batches:
             if not batch.num_rows:
                 continue
-            frame = batch.to_pandas()
-            names = list(zip(frame.rule, frame.key, frame.part, strict=True))
+            names = list(zip(*[batch.column(c).to_pylist() for c in ("rule", "key", "part")], strict=True))
             cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
-            values = {c: frame[c].to_numpy() for c in columns[3:]}
-            out = []
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in walked}
+            rows, out = [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
                 if names[a] != now:
                     now, state = names[a], start()
-                out += [(names[a][0], names[a][1], *x) for x in step(state, {c: v[a:b] for c, v in values.items()})]
-            if out:
-                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*out, strict=True), arrow, strict=True)], schema=arrow)
+                for i, *x in step(state, {c: v[a:b] for c, v in values.items()}):
+                    rows.append(a + i)
+                    out.append(x)
+            if rows:
+                kept = batch.take(pa.array(rows))
+                new = [pa.array([x[k] for x in out], t) for k, (_, _, t) in enumerate(made)]
+                yield pa.RecordBatch.from_arrays([kept.column(f.name) for f in carried] + new, names=[f.name for f in carried] + [n for n, _, _ in made])
 
     return sorted_rows.mapInArrow(run, schema)
 
 
 def threshold(hits: DataFrame) -> DataFrame:
-    """Firings of hits (rule, key, ts_us, seq, count, window_us): (rule, key, ts_us, seq, match_count, members).
+    """The hits (rule, key, ts_us, seq, count, window_us, and any others) that make a threshold fire, with match_count and members.
 
     seq breaks ties of ts_us and names the event; members are the seqs of the last 25 hits that made it fire.
     """
@@ -88,20 +97,19 @@ def threshold(hits: DataFrame) -> DataFrame:
         t, s = np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def step(state: State, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
-        count = int(rows["count"][0])
+        count, before = int(rows["count"][0]), len(state.t)
         t, s = np.concatenate([state.t, rows["ts_us"]]), np.concatenate([state.s, rows["seq"]])
         places, rest = firings(t, count, int(rows["window_us"][0]))
-        for i in places:
-            yield int(t[i]), int(s[i]), count, s[max(i - count + 1, i - SHOWN + 1) : i + 1].tolist()
+        for i in places:  # what was kept has not fired, so each is a new row
+            yield i - before, count, s[max(i - count + 1, i - SHOWN + 1) : i + 1].tolist()
         rest = max(rest, len(t) - count + 1)
         state.t, state.s = t[rest:], s[rest:]
 
-    arrow = pa.schema([("rule", pa.string()), ("key", pa.string()), ("ts_us", pa.int64()), ("seq", pa.int64()), ("match_count", pa.int64()), ("members", pa.list_(pa.int64()))])
-    return walk(hits, ["count", "window_us"], State, step, "rule string, key string, ts_us long, seq long, match_count long, members array<long>", arrow)
+    return walk(hits, ["count", "window_us"], State, step, [("match_count", "long", pa.int64()), ("members", "array<long>", pa.list_(pa.int64()))])
 
 
 def throttle(hits: DataFrame) -> DataFrame:
-    """What a throttle lets through of hits (rule, key, ts_us, seq, window_us): (rule, key, ts_us, seq)."""
+    """The hits (rule, key, ts_us, seq, window_us, and any others) that a throttle lets through."""
 
     class State:
         last = None
@@ -110,7 +118,6 @@ def throttle(hits: DataFrame) -> DataFrame:
         t = rows["ts_us"]
         for i in emissions(t, int(rows["window_us"][0]), state.last):
             state.last = int(t[i])
-            yield int(t[i]), int(rows["seq"][i])
+            yield (i,)
 
-    arrow = pa.schema([("rule", pa.string()), ("key", pa.string()), ("ts_us", pa.int64()), ("seq", pa.int64())])
-    return walk(hits, ["window_us"], State, step, "rule string, key string, ts_us long, seq long", arrow)
+    return walk(hits, ["window_us"], State, step, [])

@@ -1,4 +1,5 @@
 import json
+import os
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -22,6 +23,8 @@ def hits_files(folder, seed=1, n=300):
         (folder / f"{part}.json").write_text("\n".join(map(json.dumps, mixed)))
     later = [{"rule": "end", "key": f"k{k}", "ts_us": 5 * DAY + k, "seq": 10_000 + k} for k in range(4)]
     (folder / "7.json").write_text("\n".join(map(json.dumps, later)))
+    for k, f in enumerate(sorted(folder.iterdir())):
+        os.utime(f, (k + 1, k + 1))
     return "rule string, key string, ts_us long, seq long"
 
 
@@ -47,6 +50,7 @@ def test_events_are_assembled_from_a_stream(spark, tmp_path):
     line = lambda kind, sec, serial, body: f"node=h1 type={kind} msg=audit({sec}.500:{serial}): {body}"
     (source / "a.txt").write_text("\n".join([line("SYSCALL", 100, 1, 'syscall=59 success=yes exe="/bin/ls"'), line("SYSCALL", 100, 2, "syscall=42 success=no"), line("EXECVE", 100, 1, 'argc=2 a0="ls" a1="-l"'), line("EOE", 100, 1, "")]))
     (source / "b.txt").write_text(line("SYSCALL", 900, 3, "syscall=59") + "\n" + line("EOE", 900, 3, ""))
+    os.utime(source / "a.txt", (1, 1))  # files are read in the order of their times
     lines = spark.readStream.option("maxFilesPerTrigger", 1).text(str(source)).select("value", F.lit(0).alias("pos"), F.lit("f").alias("path"))
     q = write_alerts(event_stream(lines).select("serial", "action", "cmdline", "success"), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination()
