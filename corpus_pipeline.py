@@ -9,9 +9,9 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+from logloom.functions.checkpoints import shared_folder
 from logloom.llm import near_duplicates, online_packing, toxicity, weak_quality
 from logloom.llm.common import read
-from logloom.llm.components import shared_folder
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
