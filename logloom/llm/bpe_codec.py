@@ -35,7 +35,9 @@ def decode(encoded: DataFrame, vocabulary: str | None = None) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = OffsetTable(Vocabulary.load(path or default_vocabulary()))
         for batch in batches:
-            texts = [table.decode(np.array(x or [], np.int64)).decode("utf-8", "replace") for x in batch.column("ids").to_pylist()]
+            lists = batch.column("ids")
+            ids, ends = lists.flatten().to_numpy(zero_copy_only=False), np.append(0, np.cumsum(pa.compute.fill_null(lists.value_lengths(), 0).to_numpy(zero_copy_only=False)))
+            texts = [table.decode(ids[a:b].astype(np.int64)).decode("utf-8", "replace") for a, b in zip(ends[:-1], ends[1:], strict=True)]
             yield rows(schema, batch.column("doc_id"), texts)
 
     return encoded.select("doc_id", "ids").mapInArrow(run, "doc_id long, text string")

@@ -22,23 +22,37 @@ def whole_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     return docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
-def text_slices(batches: Iterable[pa.RecordBatch], most_chars: int = 2_000_000) -> Texts:
-    """Ids and texts in lists of about most_chars, so that a task never holds many long texts as Python strings."""
+def row_slices(batch: pa.RecordBatch, text_col: str, most_chars: int) -> Iterator[pa.RecordBatch]:
+    """The batch in parts of about most_chars of text, so that a task never holds many long texts as Python strings."""
+    sizes = pa.compute.binary_length(batch.column(text_col)).to_pylist()
+    at = total = 0
+    for i, n in enumerate(sizes):
+        if i > at and total + (n or 0) > most_chars:
+            yield batch.slice(at, i - at)
+            at, total = i, 0
+        total += n or 0
+    if at < batch.num_rows:
+        yield batch.slice(at)
+
+
+def text_slices(batches: Iterable[pa.RecordBatch], most_chars: int = 1_000_000) -> Texts:
+    """Ids and texts in lists of about most_chars."""
     for batch in batches:
-        sizes = pa.compute.binary_length(batch.column("text")).to_pylist() if batch.num_rows else []
-        at = total = 0
-        for i, n in enumerate(sizes):
-            if i > at and total + n > most_chars:
-                yield _lists(batch, at, i)
-                at, total = i, 0
-            total += n
-        if at < batch.num_rows:
-            yield _lists(batch, at, batch.num_rows)
-
-
-def _lists(batch: pa.RecordBatch, a: int, b: int) -> tuple[list, list[str]]:
-    part = batch.slice(a, b - a)
-    return part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+        for part in row_slices(batch, "text", most_chars):
+            yield part.column("doc_id").to_pylist(), part.column("text").to_pylist()
+
+
+def kept_rows(docs: DataFrame, text_col: str, keep: Callable[[list[str]], object]) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text keep takes, null counting as empty."""
+    schema = docs.schema
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at = [f.name for f in schema].index(text_col)
+        for batch in batches:
+            for part in row_slices(batch, batch.schema.names[at], 1_000_000):
+                yield part.filter(pa.array(keep([t or "" for t in part.column(at).to_pylist()])))
+
+    return docs.mapInArrow(run, schema)
 
 
 def over_texts(docs: DataFrame, function: Callable[[Texts], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:

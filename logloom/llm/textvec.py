@@ -125,7 +125,7 @@ def shingles_of(word: np.ndarray, doc: np.ndarray, n_docs: int, size: int) -> tu
     return out, item, part
 
 
-def slices(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple[int, int]]:
+def slices(texts: list[str], most_chars: int = 300_000) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts of about most_chars characters; one long text is alone."""
     at = total = 0
     for i, t in enumerate(texts):

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Texts, over_texts, rows, whole_texts
+from logloom.llm.common import Texts, kept_rows, over_texts, rows, whole_texts
 from logloom.llm.samples import sampled
 from logloom.llm.textvec import Batch, ragged, slices
 
@@ -21,8 +21,8 @@ GRAMS = (3, 4, 5)
 def subwords(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Buckets of the character n-grams of each word between brackets, and of the whole, word by word; how many each has."""
     buckets, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int32)]
-    for a in range(0, len(words), 20_000):
-        batch = Batch.of([f"<{w}>" for w in words[a : a + 20_000]])
+    for a in range(0, len(words), 5_000):
+        batch = Batch.of([f"<{w}>" for w in words[a : a + 5_000]])
         first, size = batch.starts[:-1], np.diff(batch.starts)
         starts, ends, owner = [first], [first + size], [np.arange(len(size))]
         for n in GRAMS:
@@ -41,8 +41,8 @@ def word_means(gain: np.ndarray, bucket: np.ndarray, n_sub: np.ndarray) -> np.nd
     """The mean gain of each word's subwords."""
     out = np.zeros(len(n_sub))
     first = np.cumsum(n_sub, dtype=np.int64) - n_sub
-    for a in range(0, len(n_sub), 50_000):
-        n = n_sub[a : a + 50_000]
+    for a in range(0, len(n_sub), 10_000):
+        n = n_sub[a : a + 10_000]
         part = gain[bucket[first[a] : first[a] + int(n.sum())]]
         out[a : a + len(n)] = np.add.reduceat(part, first[a : a + len(n)] - first[a]) / n
     return out
@@ -60,7 +60,7 @@ class Words:
     @classmethod
     def of(cls, texts: list[str]) -> Words:
         hashes, docs, firsts, words = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)], [np.zeros(0, np.uint64)], []
-        for a, b in slices(texts):
+        for a, b in slices(texts, 250_000):
             batch = Batch.of([t.lower() for t in texts[a:b]])
             start, end, doc = batch.words()
             hashes.append(batch.span_hashes(start, end))
@@ -240,12 +240,4 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def drop_toxic(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text the model does not predict toxic."""
-    schema = docs.schema
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [f.name for f in schema].index(text_col)
-        for batch in batches:
-            s = model.scores([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(s < 0.5))
-
-    return docs.mapInArrow(run, schema)
+    return kept_rows(docs, text_col, lambda texts: model.scores(texts) < 0.5)

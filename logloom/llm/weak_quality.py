@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.llm.common import Texts, over_texts, rows, text_slices, whole_texts
+from logloom.llm.common import Texts, kept_rows, over_texts, rows, text_slices, whole_texts
 from logloom.llm.samples import sampled
 from logloom.llm.textvec import LETTER, OTHER, SPACE, Batch, mix, shingles_of, slices
 from logloom.llm.toxicity import sigmoid
@@ -172,10 +172,13 @@ def fit_scorer(texts: list[str], good: np.ndarray, rounds: int = 300, rate: floa
     """Logistic regression on the posterior labels, by AdaGrad over all texts at once."""
     if not len(texts):
         return Scorer(np.zeros(1 << BITS), 3.0)
-    parts = [(a, *features(Batch.of(texts[a:b]), b - a)) for a, b in slices(texts)]
-    of, bucket, share = (np.concatenate(x) for x in zip(*((a + o, k, s) for a, o, k, s in parts), strict=True))
-    pair, at = np.unique(of * (1 << BITS) + bucket, return_inverse=True)
-    value = np.bincount(at, share)
+    pairs, values = [], []
+    for a, b in slices(texts, 250_000):
+        of, bucket, share = features(Batch.of(texts[a:b]), b - a)
+        pair, at = np.unique((of + a) << BITS | bucket, return_inverse=True)
+        pairs.append(pair)
+        values.append(np.bincount(at, share))
+    pair, value = np.concatenate(pairs), np.concatenate(values)
     of, bucket = pair >> BITS, pair & (1 << BITS) - 1
     weight, bias, seen, seen_bias = np.zeros(1 << BITS), 0.0, np.full(1 << BITS, 1e-8), 1e-8
     balance = np.where(good >= 0.5, 0.5 / max((good >= 0.5).mean(), 1e-2), 0.5 / max((good < 0.5).mean(), 1e-2))
@@ -213,7 +216,7 @@ def trained(docs: DataFrame, most: int = 4000, most_chars: int = 20_000, text_co
     posterior = expectation_maximisation(pattern, count)
     texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= most_chars)
     some = sorted(r["text"] for r in sampled(texts, "text", int(count.sum()), most, 13).collect())
-    measured = [measures(Batch.of(some[a:b]), b - a) for a, b in slices(some)]
+    measured = [measures(Batch.of(some[a:b]), b - a) for a, b in slices(some, 250_000)]
     good = posterior(patterns(np.concatenate(measured))) if measured else np.zeros(0)
     return posterior, fit_scorer(some, good)
 
@@ -234,12 +237,5 @@ def score(docs: DataFrame, model: tuple[Posterior, Scorer], id_col: str = "doc_i
 
 def drop_bad(docs: DataFrame, model: tuple[Posterior, Scorer], text_col: str = "text") -> DataFrame:
     """The rows of docs, all columns as they are, whose text the scorer takes as good."""
-    schema, (_, scorer) = docs.schema, model
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        at = [f.name for f in schema].index(text_col)
-        for batch in batches:
-            s = scorer.scores([t or "" for t in batch.column(at).to_pylist()])
-            yield batch.filter(pa.array(s >= 0.5))
-
-    return docs.mapInArrow(run, schema)
+    _, scorer = model
+    return kept_rows(docs, text_col, lambda texts: scorer.scores(texts) >= 0.5)
