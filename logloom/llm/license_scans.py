@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from logloom.llm.common import Texts, over_texts, rows, whole_texts
-from logloom.llm.textvec import mix, ragged, shingle_hashes, slices
+from logloom.llm.textvec import Batch, mix, ragged, shingles_of, slices
 
 #: Statements by which public licences are declared.
 STATEMENTS: dict[str, str] = {
@@ -27,6 +27,8 @@ STATEMENTS: dict[str, str] = {
     "mit-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software',
     "mpl-2.0": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0.",
 }
+#: Statements of fewer than five words. They are apart so that license_scans() without statements finds what it always has.
+NOTICES: dict[str, str] = {"all-rights-reserved": "All rights reserved."}
 
 
 def _bands(places: np.ndarray, per_band: int) -> np.ndarray:
@@ -42,6 +44,8 @@ def _bands(places: np.ndarray, per_band: int) -> np.ndarray:
 class Templates:
     """Templates by length class, with their MinHash bands.
 
+    Shingles are runs of so many words; a template of fewer words is one shingle of all its words, and is sought among shingles of its own word count.
+
     Windows of a class have at least as many shingles as its longest template plus a stride, of a quarter of its shortest. So a window holds every
     occurrence whole. Of a template of n shingles, present to the least containment c, and a window of w shingles the similarity is
     at least c * n / (w + (1 - c) * n); n_bands is set for each class so that they meet in a band with a probability of at least sure.
@@ -52,19 +56,28 @@ class Templates:
     least: float
     per_band: int
     sure: float
-    words: int
+    sizes: list[int]
 
     @classmethod
     def of(cls, texts: dict[str, str], least: float = 0.8, per_band: int = 2, sure: float = 0.99999, words: int = 5) -> Templates:
         names = sorted(texts)
-        shingle, owner, _ = shingle_hashes([texts[n] for n in names], words)
-        return cls(names, [np.unique(shingle[owner == i]) for i in range(len(names))], least, per_band, sure, words)
-
-    def classes(self) -> Iterator[tuple[int, int, int, list[int]]]:
-        """(shingles of a window, stride, bands, templates) for templates of up to 1, 2, 4, ... shingles."""
+        word, doc = cls._words([texts[n] for n in names])
+        shingle, owner, _ = shingles_of(word, doc, len(names), words)
+        sizes = np.minimum(np.bincount(doc, minlength=len(names)), words).tolist()
+        return cls(names, [np.unique(shingle[owner == i]) for i in range(len(names))], least, per_band, sure, sizes)
+
+    @staticmethod
+    def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Hashes of the lower-case words, and the text of each."""
+        batch = Batch.of([t.lower() for t in texts])
+        start, end, doc = batch.words()
+        return batch.span_hashes(start, end), doc
+
+    def classes(self, size: int) -> Iterator[tuple[int, int, int, list[int]]]:
+        """(shingles of a window, stride, bands, templates) for templates of up to 1, 2, 4, ... shingles of size words."""
         by: dict[int, list[int]] = {}
         for i, s in enumerate(self.shingles):
-            if len(s):
+            if len(s) and self.sizes[i] == size:
                 by.setdefault((len(s) - 1).bit_length(), []).append(i)
         for members in by.values():
             sizes = [len(self.shingles[i]) for i in members]
@@ -75,39 +88,44 @@ class Templates:
 
     def scan(self, texts: list[str]) -> list[tuple[int, str, float, int, int]]:
         """(text, template, largest containment, first word, number of separate places) of those that reach the least containment."""
-        shingle, doc, first = shingle_hashes(texts, self.words)
-        known = np.unique(np.concatenate([*self.shingles, np.zeros(0, np.uint64)]))
-        found = known[np.minimum(np.searchsorted(known, shingle), len(known) - 1)] == shingle if len(known) else np.zeros(len(shingle), bool)
+        word, owner = self._words(texts)
+        return self._places([x for size in sorted({*self.sizes} - {0}) for x in self._windows(word, owner, len(texts), size)])
+
+    def _windows(self, word: np.ndarray, of: np.ndarray, n_texts: int, size: int) -> list[tuple[int, int, float, int]]:
+        """(text, template, containment, first word) of the windows that reach the least containment of a template with shingles of size words."""
+        shingle, doc, _ = shingles_of(word, of, n_texts, size)
+        known = np.unique(np.concatenate([s for s, n in zip(self.shingles, self.sizes, strict=True) if n == size]))
+        found = known[np.minimum(np.searchsorted(known, shingle), len(known) - 1)] == shingle
         if not found.any():
             return []
-        per = np.bincount(doc, minlength=len(texts))
+        per = np.bincount(doc, minlength=n_texts)
         base = np.cumsum(per) - per
         hits = np.flatnonzero(found)
         out = []
-        for window, stride, n_bands, members in self.classes():
+        for window, stride, n_bands, members in self.classes(size):
             # Only windows with a shingle of a template can meet one.
             place = hits - base[doc[hits]]
             low, high = np.maximum(-(-(place - window + 1) // stride), 0), place // stride
             item, k = ragged(high - low + 1)
             key = np.unique(doc[hits][item].astype(np.int64) << 32 | (low[item] + k))
             owner, begin = key >> 32, (key & 0xFFFFFFFF) * stride
-            size = np.minimum(window, per[owner] - begin)
+            length = np.minimum(window, per[owner] - begin)
             at = base[owner] + begin
-            span, part = ragged(size)
+            span, part = ragged(length)
             content = shingle[at[span] + part]
-            edge = np.cumsum(size) - size
+            edge = np.cumsum(length) - length
             bands = _bands(np.stack([np.minimum.reduceat(mix(content ^ mix(np.full(1, s + 1, np.uint64))), edge) for s in range(n_bands * self.per_band)], 1), self.per_band)
             for t in members:
                 own = self.shingles[t]
                 mine = _bands(np.array([[mix(own ^ mix(np.full(1, s + 1, np.uint64))).min() for s in range(n_bands * self.per_band)]]), self.per_band)
                 for w in np.flatnonzero((bands == mine).any(1)).tolist():
-                    inside = content[edge[w] : edge[w] + size[w]]
+                    inside = content[edge[w] : edge[w] + length[w]]
                     hit = np.isin(inside, own)
                     share = len(np.unique(inside[hit])) / len(own)
                     if share >= self.least:
                         where = int(begin[w] + np.flatnonzero(hit)[0])
                         out.append((int(owner[w]), t, share, where))
-        return self._places(out)
+        return out
 
     def _places(self, out: list[tuple[int, int, float, int]]) -> list[tuple[int, str, float, int, int]]:
         """One row for each text and template; windows whose first matching words lie closer than the template is long are one place."""
@@ -129,7 +147,8 @@ def license_scans(docs: DataFrame, statements: dict[str, str] | None = None, lea
     """(doc_id, license, containment, first_word, places): which statements a text has, to at least this share of their runs of five lower-case words.
 
     first_word is where the first of the best windows has its first match. Texts without a match, empty and null ones have no rows. A statement of
-    fewer than five words is found only where it is a whole text. The statements are a parameter of the driver's and go to every task.
+    fewer than five words is found wherever its words stand in a row. The statements are STATEMENTS if none are given; the registered query adds NOTICES. They
+    are a parameter of the driver's and go to every task.
     """
     templates = Templates.of(STATEMENTS if statements is None else statements, least, words=words)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("places", pa.int64())])

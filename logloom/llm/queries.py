@@ -35,7 +35,7 @@ def op5_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return license_scans.license_scans(read(spark, sf_dir, "documents"))
+    return license_scans.license_scans(read(spark, sf_dir, "documents"), license_scans.STATEMENTS | license_scans.NOTICES)
 
 
 def op7_multi_index(spark: SparkSession, sf_dir: str) -> DataFrame:

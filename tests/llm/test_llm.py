@@ -11,7 +11,7 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm import bagminhash, bpe, bpe_codec, components, jpeg, license_scans, media_columns, multi_index, near_duplicates, online_packing, packed_matrices, textvec, token_counts, toxicity, weak_quality
+from logloom.llm import bagminhash, bpe, bpe_codec, components, jpeg, license_scans, media_columns, multi_index, near_duplicates, online_packing, packed_matrices, queries, textvec, token_counts, toxicity, weak_quality
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -256,6 +256,22 @@ def test_statements_are_found_to_the_least_containment(spark, docs, odd, empty):
     assert license_scans.license_scans(empty).count() == license_scans.license_scans(odd).count() == license_scans.license_scans(docs, {}).count() == 0
 
 
+def test_short_statements_are_found_inside_long_texts(spark):
+    statements = {"tag": "SPDX-License-Identifier: MIT", "notice": "All rights reserved.", "four": "no rights are reserved", "one": "proprietary"}
+    cases = ["filler " * 400 + "\n// spdx-license-identifier: mit\n" + "filler " * 90 + "All Rights Reserved. x ALL rights\nreserved.", "all rights are reserved. rights reserved.", "No rights are reserved", "x proprietary", "all rights", "all rights reserved. " * 2, "", None]
+    df = spark.createDataFrame(list(enumerate(cases)), "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.containment, r.first_word, r.places) for r in license_scans.license_scans(df, statements).collect()}
+    assert got == {(0, "tag"): (1.0, 401, 1), (0, "notice"): (1.0, 493, 2), (2, "four"): (1.0, 0, 1), (3, "one"): (1.0, 1, 1), (5, "notice"): (1.0, 0, 2)}
+
+
+def test_every_licence_line_of_the_tables_is_found(spark):
+    lines = {"all-rights-reserved": "all rights reserved.", "apache-2.0": "apache license, version 2.0", "cc-by-nc-4.0": "cc by-nc 4.0", "gpl-3.0": "gnu general public license, version 3", "mit": "the mit license"}
+    sf = SF.replace("0.001", "0.01")
+    got = {(r.doc_id, r.license) for r in queries.op6_license_scans(spark, sf).collect()}
+    want = {(i, n) for i, t in texts(spark.read.parquet(f"{sf}/documents.parquet")) for n, s in lines.items() if s in t.lower()}
+    assert got == want and {n for _, n in want} == set(lines)
+
+
 # 7
 
 
