@@ -14,7 +14,7 @@ from logloom.functions.checkpoints import saved
 from logloom.llm.bagminhash import bags, overlap, signatures
 from logloom.llm.common import rows, text_slices
 from logloom.llm.components import components
-from logloom.llm.textvec import mix, shingle_hashes
+from logloom.llm.textvec import mix, ragged, shingle_hashes, slices
 
 BANDS, ROWS = 32, 6
 NO_ID = -(1 << 63)
@@ -89,7 +89,88 @@ def similarities(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
     return saved(both.mapInArrow(run, "a long, b long, sim double").unionAll(unlike))
 
 
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, per_band: int = ROWS, most_pivots: int = 32, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def shared_values(row: np.ndarray, value: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
+    """How many values each of the rows left has in common with each of the rows right, of n rows whose values differ."""
+    _, column, often = np.unique(value, return_inverse=True, return_counts=True)
+    several = often > 1
+    row, column = row[several[column]], (np.cumsum(several) - 1)[column[several[column]]]
+    order = np.argsort(column, kind="stable")
+    row, column = row[order], column[order]
+    out = np.zeros((len(left), len(right)))
+    for c in range(0, int(several.sum()), width):
+        a, b = np.searchsorted(column, (c, c + width))
+        dense = np.zeros((n, width), np.float32)
+        dense[row[a:b], column[a:b] - c] = 1
+        out += dense[left] @ dense[right].T
+    return out
+
+
+def tile_links(tile: pa.Table, h: int, left: np.ndarray, right: np.ndarray, threshold: float, words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The pairs of a row of left and a later or other one of right that are linked and have no large bucket below h in common, as two arrays of nodes."""
+    node, label, total, d = (tile.column(c).to_numpy() for c in ("node", "label", "total", "d"))
+    try_ = (label[left][:, None] != label[right]) & (np.minimum(total[left][:, None], total[right]) >= threshold * np.maximum(total[left][:, None], total[right]))
+    try_ &= ~(np.abs(d[left][:, None] - d[right]) > 1 - threshold + 1e-9)  # an unknown distance rules nothing out
+    if left is right:
+        try_ &= np.triu(np.ones(try_.shape, bool), 1)
+    lists = tile.column("large").combine_chunks()
+    bucket, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
+    try_ &= shared_values(row[bucket < h], bucket[bucket < h], len(node), left, right) == 0
+    left, right, try_ = left[try_.any(1)], right[try_.any(0)], try_[np.ix_(try_.any(1), try_.any(0))]
+    if not len(left):
+        return node[:0], node[:0]
+    used = np.union1d(left, right)
+    texts = tile.column("text").take(pa.array(used)).to_pylist()
+    elements, owners = [], []
+    for a, b in slices(texts):
+        shingle, doc, _ = shingle_hashes(texts[a:b], words)
+        element, owner, count = bags(shingle, doc)
+        item, copy = ragged(count)  # each copy of a shingle is an element of its own
+        elements.append(mix(element[item] + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
+        owners.append(owner[item] + a)
+    common = shared_values(np.concatenate(owners), np.concatenate(elements), len(used), np.searchsorted(used, left), np.searchsorted(used, right))
+    union = total[left][:, None] + total[right] - common
+    i, j = np.nonzero(try_ & (np.where(union > 0, common / np.maximum(union, 1), 1.0) >= threshold))
+    return np.maximum(node[left[i]], node[right[j]]), np.minimum(node[left[i]], node[right[j]])
+
+
+def links_in_tiles(members: DataFrame, texts: DataFrame, threshold: float, words: int, tile_nodes: int, tile_shingles: int) -> DataFrame:
+    """(a, b) of all linked pairs with different labels in one bucket of members (h, node, label, total, d).
+
+    The members of a bucket are dealt into blocks, and each two blocks are a tile of one task: it compares each pair whose totals and distances to the
+    pivot allow a link, in the first bucket that both are members of, and gives out links only.
+    """
+    blocks = members.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / tile_nodes, F.sum("total") / tile_shingles, F.lit(1.0))).alias("blocks"))
+    large = members.groupBy("node").agg(F.collect_set("h").alias("large"))
+    dealt = members.join(blocks, "h").join(large, "node").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "total", F.coalesce("d", F.lit(float("nan"))).alias("d"), "large", "text")
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compared(held: list[pa.RecordBatch], key: tuple[int, int, int]) -> pa.RecordBatch:
+        tile = pa.Table.from_batches(held)
+        left, right = (np.flatnonzero(tile.column("block").to_numpy() == k) for k in key[1:])
+        return rows(schema, *tile_links(tile, key[0], left, left if key[1] == key[2] else right, threshold, words))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
+            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
+            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
+                if keys[a] != now:
+                    if held:
+                        yield compared(held, now)
+                    now, held = keys[a], []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield compared(held, now)
+
+    # A fixed number of partitions, as a tile's work is not in proportion to its bytes.
+    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return saved(dealt.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").distinct())
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, per_band: int = ROWS, most_pivots: int = 32, tile_nodes: int = 512, tile_shingles: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, class_id, keeper): the class of each row; keeper marks the rows of the text that stands for it.
 
     Texts are linked if the multisets of their runs of five lower-case words have a weighted Jaccard similarity of at least
@@ -99,9 +180,9 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
     Two texts of similarity s meet in a band with probability 1 - (1 - s**6)**32: all but 6 in 100 000 at 0.8, 3 in ten million at 0.85. In each bucket
     all members are compared with one, the pivot, so work grows with the members and not their pairs. Members then in different components
     may still be linked to each other: as 1 minus similarity is a metric, only if their distances to the pivot differ by 1 - threshold at most.
-    Where such are left, they become pivots, in rounds until none is left. A bucket with many such groups (texts that share a long passage, and
-    are otherwise unlike) is first split by its members' other such buckets: linked texts share another band as surely as the first, and where its bucket is smaller they
-    meet there.
+    Where such are left, they become pivots, in rounds until none is left. Buckets with many such groups (texts that share a long passage, and
+    are otherwise unlike) come last: what is still apart in them after the others is compared in tiles of so many members or shingles a side, so
+    a link is found there too if it shares no other bucket. Their work grows with the pairs that the numbers of shingles and the distances leave open.
     """
     far = 1 - threshold
     nodes = nodes_of(docs, words, bands, per_band, id_col, text_col)
@@ -117,19 +198,25 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
     compared = sims.select("a", "b")
     # What is left to compare: members of buckets of three or more, without the pivot, with their distance to it where known.
     rest = shared.where("n > 2 and node <> pivot").join(sims.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("sim")).alias("d")), ["node", "pivot"], "left")
-    rest = saved(rest.select("h", "node", "total", "d", F.lit(False).alias("split")))
-    while True:
+    rest = saved(rest.select("h", "node", "total", "d"))
+    aside = rest.limit(0)
+
+    def open_groups(rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """rest with labels, and the groups (h, label, b) of a bucket and a label that may still be linked to another of their bucket."""
         here = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = here.groupBy("h", "label").agg(F.min(F.coalesce("d", F.lit(far))).alias("low"), F.max(F.coalesce("d", F.lit(1.0))).alias("high"), F.min("node").alias("b"), F.max("split").alias("split"))
+        groups = here.groupBy("h", "label").agg(F.min(F.coalesce("d", F.lit(far))).alias("low"), F.max(F.coalesce("d", F.lit(1.0))).alias("high"), F.min("node").alias("b"))
         order = W.partitionBy("h").orderBy("low", "label")
         before, upto = (F.max("high").over(order.rowsBetween(W.unboundedPreceding, k)) for k in (-1, 0))
         spans = groups.withColumns({"before": before, "upto": upto, "after": F.lead("low").over(order)})
-        left = spans.where((F.col("low") <= F.col("before") + far + 1e-9) | (F.col("after") <= F.col("upto") + far + 1e-9)).select("h", "label", "b", "split")
+        return here, spans.where((F.col("low") <= F.col("before") + far + 1e-9) | (F.col("after") <= F.col("upto") + far + 1e-9)).select("h", "label", "b")
+
+    while True:
+        here, left = open_groups(rest, labels)
         left = saved(left.withColumns({"n": F.count("*").over(W.partitionBy("h")), "k": F.row_number().over(W.partitionBy("h").orderBy("label"))}))
         if not left.take(1):
             break
-        large = left.where(~F.col("split") & (F.col("n") > most_pivots) & (F.col("k") == 1)).select("h")
-        chosen = left.where((F.col("split") | (F.col("n") <= most_pivots)) & (F.col("k") <= most_pivots)).select("h", "label", "b")
+        large = left.where((F.col("n") > most_pivots) & (F.col("k") == 1)).select("h")
+        chosen = left.where(F.col("n") <= most_pivots).select("h", "label", "b")
         pivots = here.select("h", F.col("node").alias("b"), F.col("total").alias("b_total"), F.col("d").alias("b_d")).join(chosen.withColumnRenamed("label", "b_label"), ["h", "b"])
         apart = (F.col("label") != F.col("b_label")) & F.coalesce(F.abs(F.col("d") - F.col("b_d")) <= far + 1e-9, F.lit(True))
         more = here.join(pivots, "h").where(apart).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), near("total", "b_total")).distinct()
@@ -141,12 +228,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
                 labels = saved(components(linked(new).unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
         done = rest.join(chosen.select("h", F.col("b").alias("node")), ["h", "node"], "left_anti").join(chosen.select("h").distinct(), "h", "left_semi")
         if large.take(1):
-            # Texts that also share a bucket that is not large meet there; so only pairs of large ones are buckets anew.
-            own = rest.join(large, "h", "left_semi")
-            again = own.join(own.select("node", F.col("h").alias("other")), "node").where("other > h").withColumn("h", F.xxhash64("h", "other"))
-            again = again.join(again.groupBy("h").count().where("count > 1").select("h"), "h", "left_semi").select("h", "node", "total", "d", F.lit(True).alias("split"))
-            done = done.select("h", "node", "total", "d", "split").unionAll(again)
-        rest = saved(done.select("h", "node", "total", "d", "split"))
+            aside = saved(aside.unionAll(rest.join(large, "h", "left_semi").select("h", "node", "total", "d")))
+        rest = saved(done.select("h", "node", "total", "d"))
+    if aside.take(1):
+        here, left = open_groups(aside, labels)
+        members = saved(here.join(left.select("h", "label"), ["h", "label"], "left_semi").select("h", "node", "label", "total", "d"))
+        new = links_in_tiles(members, texts, threshold, words, tile_nodes, tile_shingles)
+        if new.take(1):
+            labels = saved(components(new.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
 
     labelled = nodes.select("node", "key", "rid").join(labels, "node", "left").select("key", "rid", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min(F.struct("rid", "key")).alias("least"))

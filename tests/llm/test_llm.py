@@ -395,6 +395,23 @@ def test_buckets_of_many_groups_are_split_and_resolved(spark):
     assert collections.Counter((x.doc_id, x.class_id) for x in got) == brute_classes(list(enumerate(made)))[0]
 
 
+@pytest.mark.parametrize("tile", [{}, {"tile_nodes": 5}, {"tile_shingles": 700}])
+def test_a_link_in_one_large_bucket_only_is_found(spark, tile):
+    """With a single band no pair shares a second bucket: every link inside the large one must come from the bucket itself."""
+    r = random.Random(12)
+    words = [f"w{i}" for i in range(3000)]
+    shared = r.choices(words, k=60)
+    made = []
+    for _ in range(30):
+        own = r.choices(words, k=40)
+        made += [" ".join(shared + own), " ".join(shared + own[:-1] + ["x"])]
+    made = [t for t in made for h in [near_duplicates.band_hashes([" ".join(shared), t], 5, 1, 1)[0]] if h[0] == h[1]]
+    assert len(made) > 20 and len(brute_classes(list(enumerate(made)))[1]) > 10
+    df = spark.createDataFrame(list(enumerate(made)), "doc_id long, text string")
+    got = near_duplicates.near_duplicate_classes(df, bands=1, per_band=1, most_pivots=4, **tile).collect()
+    assert collections.Counter((x.doc_id, x.class_id) for x in got) == brute_classes(list(enumerate(made)))[0]
+
+
 def test_components(spark):
     r = random.Random(11)
     links = [(r.randrange(300), r.randrange(300)) for _ in range(200)] + [(1000 + i, 1001 + i) for i in range(40)] + [(5, 5)]
