@@ -230,80 +230,123 @@ def piece_starts(batch: Batch, special: dict[str, int], texts: list[str]) -> tup
 
 
 class PieceTable:
-    """Open addressing over numpy arrays: hashes of pieces to the place of their ids in one buffer."""
+    """Open addressing over numpy arrays: pieces by hash, each with its characters and its ids.
+
+    Entry 0 is kept free. A piece whose hash is that of another one is in ``other``, by its text.
+    """
 
     def __init__(self, bits: int = 21):
         self.mask = np.uint64((1 << bits) - 1)
         self.keys = np.zeros(1 << bits, np.uint64)
-        self.first = np.zeros(1 << bits, np.int64)
-        self.size = np.zeros(1 << bits, np.int32)
-        self.ids = np.zeros(1 << 16, np.uint32)
-        self.used = self.count = 0
+        self.entry = np.zeros(1 << bits, np.int64)
+        self.first, self.size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int32)
+        self.char_first, self.char_size = np.zeros(1 << 12, np.int64), np.zeros(1 << 12, np.int64)
+        self.ids, self.chars = np.zeros(1 << 16, np.uint32), np.zeros(1 << 16, np.uint32)
+        self.used = self.used_chars = 0
+        self.count = 1
+        self.other: dict[bytes, int] = {}
 
     def find(self, hashes: np.ndarray) -> np.ndarray:
-        """The slot of each hash, -1 where it is not kept."""
+        """The entry of each hash, 0 where it is not kept."""
         slot = (hashes & self.mask).astype(np.int64)
         at = self.keys[slot]
-        out = np.where(at == hashes, slot, -1)
+        out = np.where(at == hashes, self.entry[slot], 0)
         todo = np.flatnonzero((at != hashes) & (at != 0))
         while len(todo):
             slot[todo] = (slot[todo] + 1) & int(self.mask)
             at = self.keys[slot[todo]]
             hit = at == hashes[todo]
-            out[todo[hit]] = slot[todo[hit]]
+            out[todo[hit]] = self.entry[slot[todo[hit]]]
             todo = todo[~hit & (at != 0)]
         return out
 
-    def add(self, hashes: np.ndarray, ids: list[list[int]]) -> None:
-        size = np.fromiter(map(len, ids), np.int64, len(ids))
-        total = int(size.sum())
-        if self.used + total > len(self.ids):
-            self.ids = np.concatenate([self.ids, np.zeros(max(total, len(self.ids)), np.uint32)])
-        self.ids[self.used : self.used + total] = np.fromiter((i for x in ids for i in x), np.uint32, total)
-        first = self.used + np.cumsum(size) - size
-        slot, todo = (hashes & self.mask).astype(np.int64), np.arange(len(ids))
+    def same(self, entry: np.ndarray, chars: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        """Whether each entry holds just the characters of its piece."""
+        out = self.char_size[entry] == end - start
+        fits = np.flatnonzero(out)
+        item, part = ragged((end - start)[fits])
+        differs = self.chars[self.char_first[entry[fits]][item] + part] != chars[start[fits][item] + part]
+        out[fits[item[differs]]] = False
+        return out
+
+    def keep(self, texts: list[np.ndarray], ids: list[list[int]]) -> np.ndarray:
+        """New entries for pieces of so many characters and ids."""
+        size, char_size = np.fromiter(map(len, ids), np.int64, len(ids)), np.fromiter(map(len, texts), np.int64, len(texts))
+        entries = np.arange(self.count, self.count + len(ids))
+        self.ids = _grown(self.ids, self.used + int(size.sum()))
+        self.chars = _grown(self.chars, self.used_chars + int(char_size.sum()))
+        self.ids[self.used : self.used + int(size.sum())] = np.fromiter((i for x in ids for i in x), np.uint32, int(size.sum()))
+        self.chars[self.used_chars : self.used_chars + int(char_size.sum())] = np.concatenate([np.zeros(0, np.uint32), *texts])
+        for name, values in (("first", self.used + np.cumsum(size) - size), ("size", size), ("char_first", self.used_chars + np.cumsum(char_size) - char_size), ("char_size", char_size)):
+            column = _grown(getattr(self, name), self.count + len(ids))
+            column[entries] = values
+            setattr(self, name, column)
+        self.used, self.used_chars, self.count = self.used + int(size.sum()), self.used_chars + int(char_size.sum()), self.count + len(ids)
+        return entries
+
+    def add(self, hashes: np.ndarray, entries: np.ndarray) -> None:
+        slot, todo = (hashes & self.mask).astype(np.int64), np.arange(len(hashes))
         while len(todo):
             free = todo[self.keys[slot[todo]] == 0]
             self.keys[slot[free]] = hashes[free]
             won = free[self.keys[slot[free]] == hashes[free]]
-            self.first[slot[won]], self.size[slot[won]] = first[won], size[won]
+            self.entry[slot[won]] = entries[won]
             todo = np.setdiff1d(todo, won, assume_unique=True)
             slot[todo] = (slot[todo] + 1) & int(self.mask)
-        self.used, self.count = self.used + total, self.count + len(ids)
+
+
+def _grown(column: np.ndarray, least: int) -> np.ndarray:
+    return column if least <= len(column) else np.concatenate([column, np.zeros(max(least - len(column), len(column)), column.dtype)])
 
 
 class BatchEncoder:
-    """Ids of whole texts; encode is called once for each different piece while it is kept."""
+    """Ids of whole texts; encode is called once for each different piece while it is kept.
+
+    Pieces are found by hash and then compared by their characters, so equal hashes of different pieces do no harm.
+    """
 
     def __init__(self, vocabulary: Vocabulary, encode: Callable[[bytes], list[int]]):
         self.vocabulary, self.encode = vocabulary, encode
-        self.table = PieceTable()
+        self.table, self.special = PieceTable(), {}
+
+    def _ids_of(self, piece: np.ndarray) -> list[int]:
+        return self.encode(piece.tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace"))
 
     def found(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """The starts of the pieces, their slots in the table, and the number of pieces of each text."""
+        """The starts of the pieces, their entries in the table, and the number of pieces of each text."""
         batch = Batch.of(texts)
         if not len(batch.chars):
             return np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(len(texts), np.int64)
         start, fixed = piece_starts(batch, self.vocabulary.special, texts)
         end = np.append(start[1:], len(batch.chars))
-        hashes = batch.span_hashes(start, end)
-        hashes[hashes == 0] = 1
-        if fixed:
-            hashes[np.searchsorted(start, np.fromiter(fixed, np.int64))] = np.fromiter(fixed.values(), np.uint64) + np.uint64(2)
+        hashes = self.hashes(batch, start, end)
         if self.table.count > MOST_KEPT:
-            self.table = PieceTable()
-        table = self.table
-        slot = table.find(hashes)
-        missed = np.flatnonzero(slot < 0)
+            self.table, self.special = PieceTable(), {}
+        table, chars = self.table, batch.chars
+        entry = table.find(hashes)
+        missed = np.flatnonzero(entry == 0)
         if len(missed):
             new, at = np.unique(hashes[missed], return_index=True)
-            at = missed[at]
-            chars, encode = batch.chars, self.encode
-            ids = [[fixed[a]] if a in fixed else encode(chars[a:b].tobytes().decode("utf-32-le", "surrogatepass").encode("utf-8", "replace")) for a, b in zip(start[at].tolist(), end[at].tolist(), strict=True)]
-            table.add(new, ids)
-            slot[missed] = table.find(hashes[missed])
+            pieces = [chars[a:b] for a, b in zip(start[missed[at]].tolist(), end[missed[at]].tolist(), strict=True)]
+            table.add(new, table.keep(pieces, [self._ids_of(p) for p in pieces]))
+            entry[missed] = table.find(hashes[missed])
+        for i in np.flatnonzero(~table.same(entry, chars, start, end)).tolist():
+            piece = chars[start[i] : end[i]]
+            if (name := piece.tobytes()) not in table.other:
+                table.other[name] = int(table.keep([piece], [self._ids_of(piece)])[0])
+            entry[i] = table.other[name]
+        for a, i in fixed.items():
+            if i not in self.special:
+                self.special[i] = int(table.keep([np.zeros(0, np.uint32)], [[i]])[0])
+            entry[np.searchsorted(start, a)] = self.special[i]
         of_text = np.searchsorted(batch.starts[1:], start, "right")
-        return start, slot, np.bincount(of_text, minlength=len(texts))
+        return start, entry, np.bincount(of_text, minlength=len(texts))
+
+    @staticmethod
+    def hashes(batch: Batch, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+        out = batch.span_hashes(start, end)
+        out[out == 0] = 1
+        return out
 
     def offsets(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         """Where the pieces of a text start, and the number of tokens of each."""

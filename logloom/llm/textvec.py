@@ -13,11 +13,14 @@ from dataclasses import dataclass
 
 import numpy as np
 import regex
+import xxhash
 
 OTHER, LETTER, NUMBER, SPACE = 0, 1, 2, 3
 _MULT = np.uint64(0x9E3779B97F4A7C15)
 _A = np.uint64(0xBF58476D1CE4E5B9)
 _B = np.uint64(0x94D049BB133111EB)
+#: Longer spans are hashed one by one: polynomials modulo a power of two are equal for pairs of regular texts from some hundred characters on.
+SHORT = 32
 
 
 @functools.cache
@@ -79,7 +82,10 @@ class Batch:
         up, down = _powers(1 << max(16, int(n).bit_length()))
         total = np.zeros(n + 1, np.uint64)
         np.cumsum(_char_codes()[self.chars] * up[:n], out=total[1:])
-        return mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        out = mix((total[end] - total[start]) * down[start] + (end - start).astype(np.uint64))
+        for i in np.flatnonzero(end - start > SHORT).tolist():
+            out[i] = xxhash.xxh3_64_intdigest(self.chars[start[i] : end[i]].tobytes())
+        return out
 
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of the runs without white space, and the number of the text of each."""
