@@ -77,12 +77,3 @@ def _follow(part: np.ndarray, block: int, size: int, owner: np.ndarray, low: np.
         made[part] += np.uint64(block)
         part = part[times[:, -1] <= until[owner[part]]]
 
-
-def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> float:
-    """Weighted Jaccard similarity of two bags, each sorted shingles and their counts; 1 if both are empty."""
-    total = int(a[1].sum() + b[1].sum())
-    if not total:
-        return 1.0
-    _, i, j = np.intersect1d(a[0], b[0], assume_unique=True, return_indices=True)
-    common = int(np.minimum(a[1][i], b[1][j]).sum())
-    return common / (total - common)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute
 from pyspark import TaskContext
@@ -64,6 +65,34 @@ def over_texts(docs: DataFrame, function: Callable[[Texts], Iterator[pa.RecordBa
     return docs.mapInArrow(run, schema)
 
 
+def whole_runs(batches: Iterable[pa.RecordBatch], n_keys: int) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """Tables of sorted rows that end where a run of equal values in the first n_keys integer columns ends, and where each run starts."""
+
+    def starts_of(table: pa.Table) -> np.ndarray:
+        new = np.zeros(table.num_rows, bool)
+        new[:1] = True
+        for k in range(n_keys):
+            values = table.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    held: list[pa.RecordBatch] = []
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        same = held and all(held[-1].column(k)[-1] == batch.column(k)[0] for k in range(n_keys))
+        edge = int(starts_of(pa.Table.from_batches([batch]))[-1])
+        if not same or edge:
+            if held or edge:
+                table = pa.Table.from_batches([*held, batch.slice(0, edge)]).combine_chunks()
+                yield table, starts_of(table)
+            held = []
+        held.append(batch.slice(edge))
+    if held:
+        table = pa.Table.from_batches(held).combine_chunks()
+        yield table, starts_of(table)
+
+
 def rows(schema: pa.Schema, *columns: object) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, f.type) for c, f in zip(columns, schema, strict=True)], schema=schema)
 

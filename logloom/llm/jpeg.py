@@ -142,24 +142,31 @@ class Component:
 
 @dataclass
 class Image:
-    """What the markers of one image say, and where its scan lies."""
+    """What the markers of one image say, and where the scan of its first component lies; components are those of that scan, frame all."""
 
     width: int = 0
     height: int = 0
     restart: int = 0
+    frame: list[Component] = field(default_factory=list)
     components: list[Component] = field(default_factory=list)
     scan: bytes = b""
 
+    def sampling(self) -> tuple[int, int]:
+        return max(c.across for c in self.frame), max(c.down for c in self.frame)
+
+    def size_of(self, c: Component) -> tuple[int, int]:
+        """Samples of a component across and down."""
+        a, d = self.sampling()
+        return -(-self.width * c.across // a), -(-self.height * c.down // d)
+
     def grid(self) -> tuple[int, int]:
         """MCUs across and down. A scan of one component has a block for each."""
+        if len(self.components) == 1:
+            wide, high = self.size_of(self.components[0])
+            return -(-wide // 8), -(-high // 8)
         a, d = self.sampling()
         return -(-self.width // (8 * a)), -(-self.height // (8 * d))
 
-    def sampling(self) -> tuple[int, int]:
-        if len(self.components) == 1:
-            return 1, 1
-        return max(c.across for c in self.components), max(c.down for c in self.components)
-
     def pattern(self) -> list[int]:
         """The component of each block of an MCU."""
         if len(self.components) == 1:
@@ -168,7 +175,7 @@ class Image:
 
 
 def parse(stream: bytes) -> Iterator[Image]:
-    """The images of a stream, one after the other. Raises ValueError for what is no baseline JPEG."""
+    """The images of a stream, one after the other; what follows an image and does not begin another ends it. Raises ValueError for what is no baseline JPEG."""
     at, image, quants, huffman, numbers = 0, Image(), {}, {}, {}
     while at < len(stream):
         if stream[at] != 0xFF or at + 1 >= len(stream):
@@ -182,6 +189,8 @@ def parse(stream: bytes) -> Iterator[Image]:
             if not image.scan:
                 raise ValueError("an image without a scan")
             yield image
+            if stream[at : at + 2] != bytes([0xFF, SOI]):
+                return
             continue
         if marker == 0xFF:
             at -= 1
@@ -206,18 +215,17 @@ def parse(stream: bytes) -> Iterator[Image]:
             for k in range(n):
                 number, sampling, q = body[6 + 3 * k : 9 + 3 * k]
                 numbers[number] = Component(sampling >> 4, sampling & 15, quants[q])
+            image.frame = list(numbers.values())
         elif 0xC1 <= marker <= 0xCF and marker != 0xC8:
             raise ValueError("not a baseline frame")
         elif marker == DRI:
             (image.restart,) = struct.unpack(">H", body)
         elif marker == SOS:
-            if image.scan or body[0] != len(numbers):
-                raise ValueError("a scan of some components only")
+            here = []
             for k in range(body[0]):
                 number, tables = body[1 + 2 * k : 3 + 2 * k]
-                c = numbers[number]
-                c.dc, c.ac = huffman[0, tables >> 4], huffman[1, tables & 15]
-                image.components.append(c)
+                here.append(numbers[number])
+                here[-1].dc, here[-1].ac = huffman[0, tables >> 4], huffman[1, tables & 15]
             end = at
             while True:
                 end = stream.find(b"\xff", end)
@@ -226,7 +234,9 @@ def parse(stream: bytes) -> Iterator[Image]:
                 if stream[end + 1] and not RST0 <= stream[end + 1] < RST0 + 8:
                     break
                 end += 2
-            image.scan, at = stream[at:end], end
+            if here and here[0] is image.frame[0]:
+                image.components, image.scan = here, stream[at:end]
+            at = end
 
 
 def _scan_stretches(images: list[Image]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -322,9 +332,8 @@ def thumbnail(image: Image, blocks: np.ndarray) -> np.ndarray:
     per = len(image.pattern())
     dc = blocks.reshape(down, across, per, 64)[:, :, : a * d, 0].reshape(down, across, d, a)
     grey = np.clip(np.rint(dc * int(first.quant[0]) / 8) + 128, 0, 255).astype(np.uint8)
-    high, wide = -(-image.height // 8), -(-image.width // 8)
-    full = grey.transpose(0, 2, 1, 3).reshape(down * d, across * a)
-    return full[:high, :wide] if (a, d) == image.sampling() else full
+    wide, high = image.size_of(first)
+    return grey.transpose(0, 2, 1, 3).reshape(down * d, across * a)[: -(-high // 8), : -(-wide // 8)]
 
 
 def average_hash(grey: np.ndarray) -> str:

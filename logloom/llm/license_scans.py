@@ -57,6 +57,7 @@ class Templates:
     per_band: int
     sure: float
     sizes: list[int]
+    prepared: dict[int, list[tuple[int, int, int, list[tuple[int, np.ndarray]]]]]
 
     @classmethod
     def of(cls, texts: dict[str, str], least: float = 0.8, per_band: int = 2, sure: float = 0.99999, words: int = 5) -> Templates:
@@ -64,13 +65,20 @@ class Templates:
         word, doc = cls._words([texts[n] for n in names])
         shingle, owner, _ = shingles_of(word, doc, len(names), words)
         sizes = np.minimum(np.bincount(doc, minlength=len(names)), words).tolist()
-        return cls(names, [np.unique(shingle[owner == i]) for i in range(len(names))], least, per_band, sure, sizes)
+        out = cls(names, [np.unique(shingle[owner == i]) for i in range(len(names))], least, per_band, sure, sizes, {})
+        for size in sorted({*sizes} - {0}):
+            out.prepared[size] = [(window, stride, n, [(t, out.bands_of(t, n)) for t in members]) for window, stride, n, members in out.classes(size)]
+        return out
+
+    def bands_of(self, t: int, n_bands: int) -> np.ndarray:
+        own = self.shingles[t]
+        return _bands(np.array([[mix(own ^ mix(np.full(1, s + 1, np.uint64))).min() for s in range(n_bands * self.per_band)]]), self.per_band)
 
     @staticmethod
     def _words(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Hashes of the lower-case words, and the text of each."""
+        """Hashes of the lower-case words, which are runs of letters and numbers, and the text of each. So marks of comments and punctuation do not count."""
         batch = Batch.of([t.lower() for t in texts])
-        start, end, doc = batch.words()
+        start, end, doc = batch.words(bare=True)
         return batch.span_hashes(start, end), doc
 
     def classes(self, size: int) -> Iterator[tuple[int, int, int, list[int]]]:
@@ -89,7 +97,7 @@ class Templates:
     def scan(self, texts: list[str]) -> list[tuple[int, str, float, int, int]]:
         """(text, template, largest containment, first word, number of separate places) of those that reach the least containment."""
         word, owner = self._words(texts)
-        return self._places([x for size in sorted({*self.sizes} - {0}) for x in self._windows(word, owner, len(texts), size)])
+        return self._places([x for size in self.prepared for x in self._windows(word, owner, len(texts), size)])
 
     def _windows(self, word: np.ndarray, of: np.ndarray, n_texts: int, size: int) -> list[tuple[int, int, float, int]]:
         """(text, template, containment, first word) of the windows that reach the least containment of a template with shingles of size words."""
@@ -102,7 +110,7 @@ class Templates:
         base = np.cumsum(per) - per
         hits = np.flatnonzero(found)
         out = []
-        for window, stride, n_bands, members in self.classes(size):
+        for window, stride, n_bands, members in self.prepared[size]:
             # Only windows with a shingle of a template can meet one.
             place = hits - base[doc[hits]]
             low, high = np.maximum(-(-(place - window + 1) // stride), 0), place // stride
@@ -115,9 +123,8 @@ class Templates:
             content = shingle[at[span] + part]
             edge = np.cumsum(length) - length
             bands = _bands(np.stack([np.minimum.reduceat(mix(content ^ mix(np.full(1, s + 1, np.uint64))), edge) for s in range(n_bands * self.per_band)], 1), self.per_band)
-            for t in members:
+            for t, mine in members:
                 own = self.shingles[t]
-                mine = _bands(np.array([[mix(own ^ mix(np.full(1, s + 1, np.uint64))).min() for s in range(n_bands * self.per_band)]]), self.per_band)
                 for w in np.flatnonzero((bands == mine).any(1)).tolist():
                     inside = content[edge[w] : edge[w] + length[w]]
                     hit = np.isin(inside, own)
@@ -143,13 +150,17 @@ class Templates:
         return done
 
 
-def license_scans(docs: DataFrame, statements: dict[str, str] | None = None, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, license, containment, first_word, places): which statements a text has, to at least this share of their runs of five lower-case words.
+def license_scans(docs: DataFrame, statements: dict[str, str] | DataFrame | None = None, most_statements: int = 10_000, least: float = 0.8, words: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, license, containment, first_word, places): which statements a text has, to at least this share of their runs of five lower-case words of letters and numbers.
 
     first_word is where the first of the best windows has its first match. Texts without a match, empty and null ones have no rows. A statement of
-    fewer than five words is found wherever its words stand in a row. The statements are STATEMENTS if none are given; the registered query adds NOTICES. They
-    are a parameter of the driver's and go to every task.
+    fewer than five words is found wherever its words stand in a row. The statements are STATEMENTS if none are given; the registered query adds NOTICES. A table (name, text)
+    of whole notices may be given as well; all go to every task, so more than most_statements are refused.
     """
+    if isinstance(statements, DataFrame):
+        statements = {r["name"]: r["text"] or "" for r in statements.select("name", "text").limit(most_statements + 1).collect()}
+        if len(statements) > most_statements:
+            raise ValueError(f"more than {most_statements} statements")
     templates = Templates.of(STATEMENTS if statements is None else statements, least, words=words)
     schema = pa.schema([("doc_id", pa.int64()), ("license", pa.string()), ("containment", pa.float64()), ("first_word", pa.int64()), ("places", pa.int64())])
 

@@ -15,7 +15,6 @@ from logloom.llm import jpeg
 from logloom.llm.common import Texts, over_texts, rows, whole_texts
 
 
-
 def decoded(streams: list[bytes]) -> list[tuple[list[jpeg.Image], list[np.ndarray]]]:
     """Images and coefficients of each stream, decoded side by side."""
     images = [list(jpeg.parse(s)) for s in streams]
@@ -42,9 +41,9 @@ def stored_texts(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
 
 
 def media_columns(media: DataFrame, id_col: str = "doc_id", media_col: str = "media") -> DataFrame:
-    """(doc_id, width, height, thumbnail, thumbnail_hash, problem) of any baseline JPEG.
+    """(doc_id, width, height, thumbnail, thumbnail_hash, problem) of any baseline JPEG, its first image if there are several.
 
-    The thumbnail is a row-major grey byte for each block, of ceil(width / 8) columns. A null stream, and one that is no
+    The thumbnail is a row-major grey byte for each block of the first component, which is read from its own scan or from one with others. A null stream, and one that is no
     baseline JPEG, has nulls and says why in problem.
     """
     schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail", pa.binary()), ("thumbnail_hash", pa.string()), ("problem", pa.string())])
@@ -53,13 +52,13 @@ def media_columns(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
         if stream is None:
             return None, None, None, None, "null"
         try:
-            ((images, blocks),) = decoded([stream])
-            if len(images) != 1:
-                return None, None, None, None, f"{len(images)} images"
-            grey = jpeg.thumbnail(images[0], blocks[0])
+            image = next(jpeg.parse(stream), None)
+            if image is None:
+                return None, None, None, None, "no image"
+            grey = jpeg.thumbnail(image, jpeg.coefficients([image])[0])
         except (ValueError, KeyError, IndexError, jpeg.struct.error) as e:
             return None, None, None, None, str(e)
-        return images[0].width, images[0].height, grey.tobytes(), jpeg.average_hash(grey), None
+        return image.width, image.height, grey.tobytes(), jpeg.average_hash(grey), None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -11,13 +11,16 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from logloom.functions.checkpoints import saved
-from logloom.llm.bagminhash import bags, overlap, signatures
-from logloom.llm.common import rows, text_slices
+from logloom.llm.bagminhash import bags, signatures
+from logloom.llm.common import rows, text_slices, whole_runs
 from logloom.llm.components import components
 from logloom.llm.textvec import mix, ragged, shingle_hashes, slices
 
 BANDS, ROWS = 32, 6
 NO_ID = -(1 << 63)
+_STEP = np.uint64(0x9E3779B97F4A7C15)
+_PAIR = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+Pairs = tuple[np.ndarray, np.ndarray]
 
 
 def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tuple[F.Column, F.Column]:
@@ -26,21 +29,21 @@ def keyed(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> tu
     return F.coalesce(docs[id_col].cast("long"), F.lit(NO_ID)), F.unhex(F.md5(text))
 
 
-def band_hashes(texts: list[str], words: int, bands: int, per_band: int) -> tuple[np.ndarray, np.ndarray]:
-    """The bands of each text, and the number of its shingles."""
+def band_hashes(texts: list[str], words: int, bands: int, per_band: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The bands of each text, a byte of each of its places, and the number of its shingles."""
     shingle, doc, _ = shingle_hashes(texts, words)
     element, owner, count = bags(shingle, doc)
     places = signatures(element, owner, count, len(texts), bands * per_band).reshape(-1, bands, per_band)
     out = np.broadcast_to(np.arange(1, bands + 1, dtype=np.uint64), places.shape[:2]).copy()
     for k in range(per_band):
-        out = mix(out * np.uint64(0x9E3779B97F4A7C15) + places[:, :, k])
-    return out.view(np.int64), np.bincount(doc, minlength=len(texts))
+        out = mix(out * _STEP + places[:, :, k])
+    return out.view(np.int64), (mix(places) >> np.uint64(56)).astype(np.uint8).reshape(len(texts), -1), np.bincount(doc, minlength=len(texts))
 
 
 def nodes_of(docs: DataFrame, words: int, bands: int, per_band: int, id_col: str, text_col: str) -> DataFrame:
-    """(node, key, rid, total, bands): a row for each different text, rid being its least id."""
+    """(node, key, rid, total, sign): a row for each different text, rid being its least id; sign holds its bands and then its places."""
     rid, key = keyed(docs, id_col, text_col)
-    schema = pa.schema([("key", pa.binary()), ("rid", pa.int64()), ("total", pa.int64()), ("bands", pa.list_(pa.int64()))])
+    schema = pa.schema([("key", pa.binary()), ("rid", pa.int64()), ("total", pa.int64()), ("sign", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for ids, texts in text_slices(batches, 400_000):
@@ -48,13 +51,12 @@ def nodes_of(docs: DataFrame, words: int, bands: int, per_band: int, id_col: str
             for i, x in enumerate(ids):  # copies in a slice are signed once
                 k = bytes(x["key"])
                 first[k] = min(first.get(k, (x["rid"], i)), (x["rid"], i))
-            hashes, total = band_hashes([texts[i] for _, i in first.values()], words, bands, per_band)
-            flat = pa.ListArray.from_arrays(np.arange(0, hashes.size + 1, bands, dtype=np.int32), pa.array(hashes.ravel()))
-            yield rows(schema, list(first), [r for r, _ in first.values()], total, flat)
+            hashes, places, total = band_hashes([texts[i] for _, i in first.values()], words, bands, per_band)
+            yield rows(schema, list(first), [r for r, _ in first.values()], total, [h.tobytes() + p.tobytes() for h, p in zip(hashes, places, strict=True)])
 
     texts = docs.select(F.struct(rid.alias("rid"), key.alias("key")).alias("doc_id"), F.coalesce(docs[text_col].cast("string"), F.lit("")).alias("text"))
-    signed = texts.mapInArrow(run, "key binary, rid long, total long, bands array<long>")
-    one = signed.groupBy("key").agg(F.min("rid").alias("rid"), F.max("total").alias("total"), F.max("bands").alias("bands"))
+    signed = texts.mapInArrow(run, "key binary, rid long, total long, sign binary")
+    one = signed.groupBy("key").agg(F.min("rid").alias("rid"), F.max("total").alias("total"), F.max("sign").alias("sign"))
     return saved(one.withColumn("node", F.monotonically_increasing_id()))
 
 
@@ -66,27 +68,90 @@ def texts_of(wanted: DataFrame, nodes: DataFrame, docs: DataFrame, id_col: str,
     return saved(texts.join(named.hint("shuffle_hash"), ["key", "rid"]).select("node", "text"))
 
 
-def similarities(pairs: DataFrame, texts: DataFrame, words: int) -> DataFrame:
-    """(a, b, sim) of pairs (a, b, near) with the weighted Jaccard similarity of their whole texts; null where not near: the numbers of shingles alone keep it low."""
-    both = pairs.where("near").join(texts.select(F.col("node").alias("b"), F.col("text").alias("other")), "b").join(texts.select(F.col("node").alias("a"), "text"), "a").select("a", "b", "text", "other")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("sim", pa.float64())])
+def connected(node: np.ndarray, i: np.ndarray, j: np.ndarray) -> Pairs:
+    """For links between the rows i and j: each node that has one to a lesser, with the least that it is connected to. So many pairs stand for any number of links."""
+    names, at = np.unique(node, return_inverse=True)
+    i, j, label = at[i], at[j], np.arange(len(names))
+    while True:
+        least, new = np.minimum(label[i], label[j]), label.copy()
+        np.minimum.at(new, i, least)
+        np.minimum.at(new, j, least)
+        new = new[new]
+        if (new == label).all():
+            return names[label < np.arange(len(names))], names[label[label < np.arange(len(names))]]
+        label = new
+
 
-    def bag(text: str) -> tuple[np.ndarray, np.ndarray]:
-        shingle, _, _ = shingle_hashes([text], words)
-        return np.unique(shingle, return_counts=True)
+def in_tiles(tiles: DataFrame, keys: list[str], compare: Callable[[pa.Table, np.ndarray], Pairs]) -> DataFrame:
+    """(a, b) of what compare finds in tables of whole tiles, given where each starts. Tiles are rows of equal keys."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        text, own = "", bag("")
-        for batch in batches:
-            sims = []
-            for i in range(batch.num_rows):  # rows come sorted by a
-                now = batch.column(2)[i].as_py()
-                text, own = (text, own) if now == text else (now, bag(now))
-                sims.append(overlap(own, bag(batch.column(3)[i].as_py())))
-            yield rows(schema, batch.column(0), batch.column(1), sims)
+        for table, starts in whole_runs(batches, len(keys)):
+            yield rows(_PAIR, *compare(table, starts))
+
+    # A fixed number of partitions, as a tile's work is not in proportion to its bytes.
+    n = int(tiles.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return tiles.repartition(n, *keys).sortWithinPartitions(*keys).mapInArrow(run, "a long, b long").distinct()
+
+
+def alike_pairs(places: np.ndarray, total: np.ndarray, left: np.ndarray, right: np.ndarray, least: float, threshold: float) -> Pairs:
+    """Of the pairs of a row of left and one of right, those that agree in at least least places and whose numbers of shingles allow the threshold."""
+    found = [(np.zeros(0, np.int64),) * 2]
+    for a in range(0, len(left), 32):
+        part = left[a : a + 32]
+        agree = (places[part][:, None] == places[right]).sum(2)
+        i, j = np.nonzero((agree >= least) & (part[:, None] != right) & near(total[part][:, None], total[right], threshold))
+        found.append((part[i], right[j]))
+    return np.concatenate([x for x, _ in found]), np.concatenate([x for _, x in found])
+
 
-    unlike = pairs.where("not near").select("a", "b", F.lit(None).cast("double").alias("sim"))
-    return saved(both.mapInArrow(run, "a long, b long, sim double").unionAll(unlike))
+def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
+    return np.minimum(x, y) >= threshold * np.maximum(x, y)
+
+
+def candidates(nodes: DataFrame, threshold: float, bands: int, per_band: int, tile_nodes: int) -> DataFrame:
+    """(a, b): links that connect any two nodes which share a band, agree in about enough places and have about as many shingles.
+
+    Members of a bucket are dealt into blocks of about tile_nodes, and each two blocks are a tile of one task.
+    The places agree in the binomial way, so six standard deviations below the threshold lose a pair in a billion.
+    """
+    size = bands * per_band
+    least = size * threshold - 6 * (size * threshold * (1 - threshold)) ** 0.5
+    banded_schema = pa.schema([("node", pa.int64()), ("h", pa.int64())])
+
+    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            h = np.frombuffer(b"".join(s[: 8 * bands] for s in batch.column("sign").to_pylist()), np.int64)
+            yield rows(banded_schema, np.repeat(batch.column("node").to_numpy(), bands), h)
+
+    banded = nodes.select("node", "sign").mapInArrow(spread, "node long, h long")
+    buckets = banded.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
+    shared = banded.join(buckets, "h").withColumn("blocks", F.ceil(F.col("n") / tile_nodes))
+    members = shared.join(nodes.select("node", "total", F.substring("sign", 8 * bands + 1, size).alias("places")), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
+    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    tiles = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "total", "places")
+
+    def compare(table: pa.Table, starts: np.ndarray) -> Pairs:
+        i, j, block, node, total = (table.column(c).to_numpy() for c in ("i", "j", "block", "node", "total"))
+        places = np.frombuffer(b"".join(table.column("places").to_pylist()), np.uint8).reshape(len(node), size)
+        sizes = np.diff(np.append(starts, len(node)))
+        found = []
+        for s in np.unique(sizes[(sizes <= 32) & (i[starts] == j[starts])]).tolist():  # small buckets of one size side by side
+            first = starts[(sizes == s) & (i[starts] == j[starts])]
+            x, y = np.triu_indices(s, 1)
+            a, b = (first[:, None] + x).ravel(), (first[:, None] + y).ravel()
+            for c in range(0, len(a), 1 << 16):
+                p, q = a[c : c + (1 << 16)], b[c : c + (1 << 16)]
+                ok = ((places[p] == places[q]).sum(1) >= least) & near(total[p], total[q], threshold)
+                found.append((node[p[ok]], node[q[ok]]))
+        for k in np.flatnonzero((sizes > 32) | (i[starts] != j[starts])).tolist():
+            own = np.arange(starts[k], starts[k] + sizes[k])
+            x, y = alike_pairs(places, total, own[block[own] == i[own]], own[block[own] == j[own]], least, threshold)
+            found.append(connected(node, x, y))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
+        return connected(np.concatenate([a, b]), np.arange(len(a)), len(a) + np.arange(len(b)))
+
+    return in_tiles(tiles, ["h", "i", "j"], compare)
 
 
 def shared_values(row: np.ndarray, value: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -105,137 +170,96 @@ def shared_values(row: np.ndarray, value: np.ndarray, n: int, left: np.ndarray,
     return out
 
 
-def tile_links(tile: pa.Table, h: int, left: np.ndarray, right: np.ndarray, threshold: float, words: int) -> tuple[np.ndarray, np.ndarray]:
-    """The pairs of a row of left and a later or other one of right that are linked and have no large bucket below h in common, as two arrays of nodes."""
-    node, label, total, d = (tile.column(c).to_numpy() for c in ("node", "label", "total", "d"))
-    try_ = (label[left][:, None] != label[right]) & (np.minimum(total[left][:, None], total[right]) >= threshold * np.maximum(total[left][:, None], total[right]))
-    try_ &= ~(np.abs(d[left][:, None] - d[right]) > 1 - threshold + 1e-9)  # an unknown distance rules nothing out
-    if left is right:
-        try_ &= np.triu(np.ones(try_.shape, bool), 1)
-    lists = tile.column("large").combine_chunks()
-    bucket, row = lists.flatten().to_numpy(), np.repeat(np.arange(len(node)), lists.value_lengths().to_numpy())
-    try_ &= shared_values(row[bucket < h], bucket[bucket < h], len(node), left, right) == 0
-    left, right, try_ = left[try_.any(1)], right[try_.any(0)], try_[np.ix_(try_.any(1), try_.any(0))]
-    if not len(left):
-        return node[:0], node[:0]
-    used = np.union1d(left, right)
-    texts = tile.column("text").take(pa.array(used)).to_pylist()
-    elements, owners = [], []
+def elements_of(texts: list[str], words: int) -> tuple[np.ndarray, np.ndarray]:
+    """The shingles of each text, each copy of one being an element of its own, and how many each text has."""
+    found, counts = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
     for a, b in slices(texts):
         shingle, doc, _ = shingle_hashes(texts[a:b], words)
         element, owner, count = bags(shingle, doc)
-        item, copy = ragged(count)  # each copy of a shingle is an element of its own
-        elements.append(mix(element[item] + copy.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)))
-        owners.append(owner[item] + a)
-    common = shared_values(np.concatenate(owners), np.concatenate(elements), len(used), np.searchsorted(used, left), np.searchsorted(used, right))
+        item, copy = ragged(count)
+        found.append(mix(element[item] + copy.astype(np.uint64) * _STEP))
+        counts.append(np.bincount(owner[item], minlength=b - a))
+    return np.concatenate(found), np.concatenate(counts)
+
+
+def linked(element: np.ndarray, owner: np.ndarray, total: np.ndarray, label: np.ndarray, left: np.ndarray, right: np.ndarray, threshold: float) -> Pairs:
+    """The pairs of a row of left and one of right with different labels whose multisets overlap by the threshold, exactly. Two without shingles are alike."""
+    if len(total) == 2:  # most clusters are pairs
+        common = np.array([[len(np.intersect1d(element[owner == 0], element[owner == 1], assume_unique=True))]])
+        left, right = np.array([0]), np.array([1])
+    else:
+        common = shared_values(owner, element, len(total), left, right)
     union = total[left][:, None] + total[right] - common
-    i, j = np.nonzero(try_ & (np.where(union > 0, common / np.maximum(union, 1), 1.0) >= threshold))
-    return np.maximum(node[left[i]], node[right[j]]), np.minimum(node[left[i]], node[right[j]])
-
-
-def links_in_tiles(members: DataFrame, texts: DataFrame, threshold: float, words: int, tile_nodes: int, tile_shingles: int) -> DataFrame:
-    """(a, b) of all linked pairs with different labels in one bucket of members (h, node, label, total, d).
-
-    The members of a bucket are dealt into blocks, and each two blocks are a tile of one task: it compares each pair whose totals and distances to the
-    pivot allow a link, in the first bucket that both are members of, and gives out links only.
-    """
-    blocks = members.groupBy("h").agg(F.ceil(F.greatest(F.count("*") / tile_nodes, F.sum("total") / tile_shingles, F.lit(1.0))).alias("blocks"))
-    large = members.groupBy("node").agg(F.collect_set("h").alias("large"))
-    dealt = members.join(blocks, "h").join(large, "node").join(texts, "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "total", F.coalesce("d", F.lit(float("nan"))).alias("d"), "large", "text")
-    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
-
-    def compared(held: list[pa.RecordBatch], key: tuple[int, int, int]) -> pa.RecordBatch:
-        tile = pa.Table.from_batches(held)
-        left, right = (np.flatnonzero(tile.column("block").to_numpy() == k) for k in key[1:])
-        return rows(schema, *tile_links(tile, key[0], left, left if key[1] == key[2] else right, threshold, words))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, held = None, []
-        for batch in batches:
-            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3)), strict=True))
-            starts = [k for k in range(len(keys)) if not k or keys[k] != keys[k - 1]]
-            for a, b in zip(starts, [*starts[1:], len(keys)], strict=True):
-                if keys[a] != now:
-                    if held:
-                        yield compared(held, now)
-                    now, held = keys[a], []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield compared(held, now)
-
-    # A fixed number of partitions, as a tile's work is not in proportion to its bytes.
-    n = int(members.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return saved(dealt.repartition(n, "h", "i", "j").sortWithinPartitions("h", "i", "j").mapInArrow(run, "a long, b long").distinct())
-
-
-def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, per_band: int = ROWS, most_pivots: int = 32, tile_nodes: int = 512, tile_shingles: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    i, j = np.nonzero((label[left][:, None] != label[right]) & (np.where(union > 0, common / np.maximum(union, 1), 1.0) >= threshold))
+    return left[i], right[j]
+
+
+def verified(tiles: DataFrame, threshold: float, words: int) -> DataFrame:
+    """(a, b): links that connect what is linked within tiles (cluster, i, j, block, node, label, total, text) of blocks i and j."""
+
+    def compare(table: pa.Table, starts: np.ndarray) -> Pairs:
+        i, j, block, node, label, total = (table.column(c).to_numpy() for c in ("i", "j", "block", "node", "label", "total"))
+        ends = np.append(starts[1:], len(node))
+        found, at = [(np.zeros(0, np.int64),) * 2], 0
+        while at < len(starts):  # as many tiles at once as have half a million shingles
+            upto = at + 1
+            while upto < len(starts) and total[starts[at] : ends[upto]].sum() <= 500_000:
+                upto += 1
+            base = starts[at]
+            element, count = elements_of(table.column("text").slice(base, ends[upto - 1] - base).to_pylist(), words)
+            edge = np.append(0, np.cumsum(count))
+            for k in range(at, upto):
+                own = np.arange(starts[k], ends[k])
+                if len(own) > 1:
+                    x, y = (np.flatnonzero(block[own] == b[own]) for b in (i, j))
+                    part = element[edge[starts[k] - base] : edge[ends[k] - base]]
+                    found.append(connected(node[own], *linked(part, np.repeat(np.arange(len(own)), count[own - base]), count[own - base], label[own], x, y, threshold)))
+            at = upto
+        return np.concatenate([a for a, _ in found]), np.concatenate([b for _, b in found])
+
+    return in_tiles(tiles, ["cluster", "i", "j"], compare)
+
+
+def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int = 5, bands: int = BANDS, per_band: int = ROWS, tile_nodes: int = 512, tile_shingles: int = 500_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, key, class_id, keeper): the class of each row; keeper marks the rows of the text that stands for it.
 
     Texts are linked if the multisets of their runs of five lower-case words have a weighted Jaccard similarity of at least
     threshold, and classes are what links connect; class_id is the least doc_id in the class. A text of fewer words is one run, texts without
     words are alike, a null text counts as empty, a null id as less than any other (class_id is then null). Rows that repeat are in one class.
 
-    Two texts of similarity s meet in a band with probability 1 - (1 - s**6)**32: all but 6 in 100 000 at 0.8, 3 in ten million at 0.85. In each bucket
-    all members are compared with one, the pivot, so work grows with the members and not their pairs. Members then in different components
-    may still be linked to each other: as 1 minus similarity is a metric, only if their distances to the pivot differ by 1 - threshold at most.
-    Where such are left, they become pivots, in rounds until none is left. Buckets with many such groups (texts that share a long passage, and
-    are otherwise unlike) come last: what is still apart in them after the others is compared in tiles of so many members or shingles a side, so
-    a link is found there too if it shares no other bucket. Their work grows with the pairs that the numbers of shingles and the distances leave open.
+    Two texts of similarity s meet in a band with probability 1 - (1 - s**6)**32: all but 6 in 100 000 at 0.8, 3 in ten million at 0.85. Those that meet
+    and whose signatures agree enough are in one cluster, and within a cluster every pair is compared by its whole multisets, so a cluster may find links that no band has shown.
+
+    Clusters of more members or shingles than fill a tile are dealt into blocks. All blocks are compared with the first one; then only members
+    outside the largest group that this makes are compared with all others, so work grows with the members and not with their pairs where a group has
+    a common likeness. Where it has not (many texts that are alike, but not enough) every pair is compared, in tiles of bounded memory, none is left out, and a tile gives out no more links than it has members.
     """
-    far = 1 - threshold
     nodes = nodes_of(docs, words, bands, per_band, id_col, text_col)
-    banded = nodes.select("node", "total", F.explode("bands").alias("h"))
-    buckets = banded.groupBy("h").agg(F.min("node").alias("pivot"), F.min_by("total", "node").alias("pivot_total"), F.count("*").alias("n")).where("n > 1")
-    shared = saved(banded.join(buckets, "h"))
-    texts = texts_of(shared.select("node").distinct(), nodes, docs, id_col, text_col)
-    near = lambda x, y: (F.least(x, y) >= F.lit(threshold) * F.greatest(x, y)).alias("near")
-    pairs = saved(shared.where("node <> pivot").select(F.col("node").alias("a"), F.col("pivot").alias("b"), near("total", "pivot_total")).distinct())
-    sims = similarities(pairs, texts, words)
-    linked = lambda s: s.where(F.col("sim") >= threshold).select("a", "b")
-    labels = saved(components(linked(sims)))
-    compared = sims.select("a", "b")
-    # What is left to compare: members of buckets of three or more, without the pivot, with their distance to it where known.
-    rest = shared.where("n > 2 and node <> pivot").join(sims.select(F.col("a").alias("node"), F.col("b").alias("pivot"), (1 - F.col("sim")).alias("d")), ["node", "pivot"], "left")
-    rest = saved(rest.select("h", "node", "total", "d"))
-    aside = rest.limit(0)
-
-    def open_groups(rest: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
-        """rest with labels, and the groups (h, label, b) of a bucket and a label that may still be linked to another of their bucket."""
-        here = rest.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        groups = here.groupBy("h", "label").agg(F.min(F.coalesce("d", F.lit(far))).alias("low"), F.max(F.coalesce("d", F.lit(1.0))).alias("high"), F.min("node").alias("b"))
-        order = W.partitionBy("h").orderBy("low", "label")
-        before, upto = (F.max("high").over(order.rowsBetween(W.unboundedPreceding, k)) for k in (-1, 0))
-        spans = groups.withColumns({"before": before, "upto": upto, "after": F.lead("low").over(order)})
-        return here, spans.where((F.col("low") <= F.col("before") + far + 1e-9) | (F.col("after") <= F.col("upto") + far + 1e-9)).select("h", "label", "b")
-
-    while True:
-        here, left = open_groups(rest, labels)
-        left = saved(left.withColumns({"n": F.count("*").over(W.partitionBy("h")), "k": F.row_number().over(W.partitionBy("h").orderBy("label"))}))
-        if not left.take(1):
-            break
-        large = left.where((F.col("n") > most_pivots) & (F.col("k") == 1)).select("h")
-        chosen = left.where(F.col("n") <= most_pivots).select("h", "label", "b")
-        pivots = here.select("h", F.col("node").alias("b"), F.col("total").alias("b_total"), F.col("d").alias("b_d")).join(chosen.withColumnRenamed("label", "b_label"), ["h", "b"])
-        apart = (F.col("label") != F.col("b_label")) & F.coalesce(F.abs(F.col("d") - F.col("b_d")) <= far + 1e-9, F.lit(True))
-        more = here.join(pivots, "h").where(apart).select(F.greatest("node", "b").alias("a"), F.least("node", "b").alias("b"), near("total", "b_total")).distinct()
-        more = saved(more.join(compared, ["a", "b"], "left_anti"))
-        if more.take(1):
-            new = similarities(more, texts, words)
-            compared = compared.unionAll(new.select("a", "b"))
-            if linked(new).take(1):
-                labels = saved(components(linked(new).unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
-        done = rest.join(chosen.select("h", F.col("b").alias("node")), ["h", "node"], "left_anti").join(chosen.select("h").distinct(), "h", "left_semi")
-        if large.take(1):
-            aside = saved(aside.unionAll(rest.join(large, "h", "left_semi").select("h", "node", "total", "d")))
-        rest = saved(done.select("h", "node", "total", "d"))
-    if aside.take(1):
-        here, left = open_groups(aside, labels)
-        members = saved(here.join(left.select("h", "label"), ["h", "label"], "left_semi").select("h", "node", "label", "total", "d"))
-        new = links_in_tiles(members, texts, threshold, words, tile_nodes, tile_shingles)
-        if new.take(1):
-            labels = saved(components(new.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
+    clusters = saved(components(candidates(nodes, threshold, bands, per_band, tile_nodes)).withColumnRenamed("label", "cluster"))
+    texts = texts_of(clusters.select("node"), nodes, docs, id_col, text_col)
+    members = clusters.join(nodes.select("node", "total"), "node")
+    blocks = lambda n, shingles: F.ceil(F.greatest(F.col(n) / tile_nodes, F.col(shingles) / tile_shingles, F.lit(1.0)))
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("total").alias("shingles")).select("cluster", blocks("n", "shingles").alias("blocks"))
+    members = saved(members.join(sizes, "cluster"))
+    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    hashed = lambda n: F.pmod(F.xxhash64("node"), n)
+
+    dealt = members.withColumn("block", hashed(F.col("blocks"))).withColumn("j", F.explode(F.when(F.col("block") == 0, upto(F.col("blocks"))).otherwise(F.array("block"))))
+    first = dealt.join(texts, "node").select("cluster", F.lit(0).cast("long").alias("i"), "j", "block", "node", F.col("node").alias("label"), "total", "text")
+    labels = saved(components(verified(first, threshold, words)))
+
+    large = members.where("blocks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = large.groupBy("cluster", "label").agg(F.count("*").alias("n"), F.sum("total").alias("shingles"))
+    each = groups.groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("most"), F.max(F.struct("n", "label", "shingles")).alias("m"), F.sum("n").alias("n"), F.sum("shingles").alias("shingles")).where("n > m.n")
+    each = each.select("cluster", "most", (F.col("n") - F.col("m.n")).alias("n_rest"), (F.col("shingles") - F.col("m.shingles")).alias("s_rest"), F.col("m.n").alias("n_most"), F.col("m.shingles").alias("s_most"))
+    apart = saved(large.drop("blocks").join(each.select("cluster", "most", blocks("n_rest", "s_rest").alias("rest"), blocks("n_most", "s_most").alias("others")), "cluster"))
+    if apart.take(1):
+        is_rest = F.col("label") != F.col("most")
+        placed = apart.withColumn("block", F.when(is_rest, hashed(F.col("rest"))).otherwise(F.col("rest") + hashed(F.col("others"))))
+        placed = placed.withColumn("other", F.explode(upto(F.when(is_rest, F.col("rest") + F.col("others")).otherwise(F.col("rest")))))
+        second = placed.join(texts, "node").select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "total", "text")
+        more = saved(verified(second, threshold, words))
+        labels = saved(components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
 
     labelled = nodes.select("node", "key", "rid").join(labels, "node", "left").select("key", "rid", F.coalesce("label", "node").alias("label"))
     least = labelled.groupBy("label").agg(F.min(F.struct("rid", "key")).alias("least"))
@@ -246,10 +270,13 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: object) -> DataFrame:
-    """The rows of docs, all columns as they are, without those that repeat another of their class: the row of the least id stays."""
+    """The rows of docs, all columns as they are, without those that repeat another of their class: the row of the least id stays.
+
+    Of rows with the same id and text the one stays whose other columns, as JSON, have the least digest.
+    """
     rid, key = keyed(docs, id_col, text_col)
     kept = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **settings).where("keeper").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_rid"), F.col("key").alias("_key")).distinct()
-    marked = docs.select("*", rid.alias("_rid"), key.alias("_key"))
-    return marked.join(kept, ["_rid", "_key"], "left_semi").dropDuplicates(["_rid", "_key"]).drop("_rid", "_key")
-
-
+    others = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
+    marked = docs.select("*", rid.alias("_rid"), key.alias("_key"), F.md5(F.to_json(F.struct(*others)) if others else F.lit("")).alias("_other"))
+    order = W.partitionBy("_rid", "_key").orderBy("_other")
+    return marked.join(kept, ["_rid", "_key"], "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])

@@ -12,17 +12,17 @@ from pyspark.sql import DataFrame
 from logloom.llm.bpe import default_vocabulary, library_encoder
 from logloom.llm.common import Texts, first_id, over_texts, rows, whole_texts
 
-Piece = tuple[int, int, np.ndarray, int]  # document, start, ids, tokens of the document
+Piece = tuple[int, int, np.ndarray, int, bool]  # document, start, ids, tokens of the document, whether it was moved at the end
 
 
 class SumOfSquares:
     """The level array and its open windows.
 
     levels[h] counts the open windows filled to h. A piece goes to the level where the sum of squares of all
-    counts ends least; a full window leaves the array. With over most_open windows they are emptied (see ``rest``).
+    counts ends least; a full window leaves the array. Over most_open windows, which are what a task holds in memory, half of them are settled.
     """
 
-    def __init__(self, capacity: int, most_open: int = 4096):
+    def __init__(self, capacity: int, most_open: int = 16_384):
         self.capacity, self.most_open = capacity, most_open
         self.levels = np.zeros(capacity + 1, np.int64)
         self.windows: list[list[list[Piece]]] = [[] for _ in range(capacity + 1)]
@@ -51,34 +51,58 @@ class SumOfSquares:
             return [window]
         n[level + size] += 1
         self.windows[level + size].append(window)
-        return self.rest() if self.open > self.most_open else []
-
-    def rest(self) -> list[list[Piece]]:
-        """Empties the open windows: what they hold is cut into full ones, and the tail at powers of two, which need no padding."""
-        pieces = [p for level in self.windows for w in level for p in w]
-        self.__init__(self.capacity, self.most_open)
-        left = sum(len(p[2]) for p in pieces)
-        sizes = [self.capacity] * (left // self.capacity)
-        sizes += [1 << b for b in range(self.capacity.bit_length(), -1, -1) if left % self.capacity >> b & 1]
-        out, window, room = [], [], iter(sizes)
-        free = next(room, 0)
-        for doc, start, ids, tokens in pieces:
-            while len(ids):
-                take = ids[:free]
-                window.append((doc, start, take, tokens))
-                start, ids, free = start + len(take), ids[len(take) :], free - len(take)
-                if not free:
-                    out.append(window)
-                    window, free = [], next(room, 0)
+        return self.settle(self.most_open // 2) if self.open > self.most_open else []
+
+    def _take(self, level: int) -> list[Piece]:
+        self.levels[level] -= 1
+        self.open -= 1
+        return self.windows[level].pop()
+
+    def settle(self, keep: int = 0) -> list[list[Piece]]:
+        """Closes windows until keep are open: the fullest are filled up by ids of the emptiest, whose pieces are cut for it.
+
+        If none is kept, what is left in the end is cut at powers of two, which need no padding.
+        """
+        out, donor = [], []
+        while self.open > keep:
+            level = int(np.flatnonzero(self.levels)[-1])
+            window, gap = self._take(level), self.capacity - level
+            while gap and (donor or self.open):
+                donor = donor or self._take(int(np.flatnonzero(self.levels)[0]))
+                doc, start, ids, tokens, _ = donor.pop()
+                window.append((doc, start, ids[:gap], tokens, True))
+                if len(ids) > gap:
+                    donor.append((doc, start + gap, ids[gap:], tokens, True))
+                gap -= min(gap, len(ids))
+            if gap:
+                donor = window
+            else:
+                out.append(window)
+        if donor and keep:
+            level = sum(len(p[2]) for p in donor)
+            self.levels[level] += 1
+            self.open += 1
+            self.windows[level].append(donor)
+            donor = []
+        left = sum(len(p[2]) for p in donor)
+        for size in [1 << b for b in range(self.capacity.bit_length(), -1, -1) if left >> b & 1]:
+            window = []
+            while size:
+                doc, start, ids, tokens, _ = donor.pop()
+                window.append((doc, start, ids[:size], tokens, True))
+                if len(ids) > size:
+                    donor.append((doc, start + size, ids[size:], tokens, True))
+                size -= min(size, len(ids))
+            out.append(window)
         return out
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each piece: (doc_id, start, length, ids, doc_tokens, sequence_id, offset).
+    """One row for each piece: (doc_id, start, length, ids, doc_tokens, sequence_id, offset, settled).
 
     A document's ids are those of its text (null: none) and then end_id. Its full windows are sequences of their own; the
     rest is placed online by sums of squares, one level array for each task. Nothing is shuffled, and a task
-    holds only its open windows. Rows that repeat are packed each.
+    holds only its open windows; settled marks the pieces by which it fills what is open at its end. Rows that repeat are packed each.
     """
     return _packed(docs, vocabulary, capacity, end_id, id_col, text_col, False)
 
@@ -90,7 +114,7 @@ def pack_digests(docs: DataFrame, vocabulary: str | None = None, capacity: int =
 
 def _packed(docs: DataFrame, path: str | None, capacity: int, end_id: int, id_col: str, text_col: str, digest: bool) -> DataFrame:
     ids_field = ("ids_crc32", pa.int64()) if digest else ("ids", pa.list_(pa.int32()))
-    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ids_field, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64())])
+    schema = pa.schema([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ids_field, ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("settled", pa.bool_())])
 
     def run(texts: Texts) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path or default_vocabulary())
@@ -100,9 +124,9 @@ def _packed(docs: DataFrame, path: str | None, capacity: int, end_id: int, id_co
             nonlocal next_id
             for window in windows:
                 at = 0
-                for doc, start, ids, tokens in window:
+                for doc, start, ids, tokens, settled in window:
                     shown = zlib.crc32(ids.astype("<u4", copy=False).tobytes()) if digest else ids.astype(np.int32)
-                    found.append((doc, start, len(ids), shown, tokens, next_id, at))
+                    found.append((doc, start, len(ids), shown, tokens, next_id, at, settled))
                     at += len(ids)
                 next_id += 1
 
@@ -110,13 +134,13 @@ def _packed(docs: DataFrame, path: str | None, capacity: int, end_id: int, id_co
             for doc, ids in zip(doc_ids, encoder(part), strict=True):
                 ids = np.append(ids, np.uint32(end_id))
                 for start in range(0, len(ids), capacity):
-                    emit(packer.place((doc, start, ids[start : start + capacity], len(ids))))
+                    emit(packer.place((doc, start, ids[start : start + capacity], len(ids), False)))
             if found:
                 yield rows(schema, *zip(*found, strict=True))
                 found = []
-        emit(packer.rest())
+        emit(packer.settle())
         if found:
             yield rows(schema, *zip(*found, strict=True))
 
     kind = "ids_crc32 long" if digest else "ids array<int>"
-    return over_texts(whole_texts(docs, id_col, text_col), run, f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long")
+    return over_texts(whole_texts(docs, id_col, text_col), run, f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long, settled boolean")

@@ -2,16 +2,33 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from logloom.functions.checkpoints import saved
 
-def sampled(df: DataFrame, key: str, n: int, most: int, seed: int) -> DataFrame:
-    """At most most of the n rows of df: those whose key's hash is low enough, the same whatever the partitions.
 
-    The share leaves a margin, so that the limit, which holds in any case, hardly ever takes a row.
+def sampled(df: DataFrame, key: str | list[str], n: int, most: int, seed: int) -> DataFrame:
+    """At most most of the n rows of df: those whose key's hash is least, the same whatever the partitions.
+
+    Where only some are taken, a bound on the hash leaves few rows to sort. Rows of one key are alike to it, so the key should tell rows apart.
+    """
+    keys = [key] if isinstance(key, str) else key
+    hashed = F.xxhash64(*keys, F.lit(seed)).bitwiseAND((1 << 62) - 1)
+    if n > most:
+        df = df.where(hashed < int((1 << 62) * min(1.0, (most + 6 * most**0.5) / n)))
+    return df.orderBy(hashed, *keys).limit(most)
+
+
+def collected(rows: DataFrame, most_chars: int) -> pd.DataFrame:
+    """Rows (text and others) on the driver, those first that come first in the order of their hash, until their texts have so many characters; at least one.
+
+    Texts of any length are among them. The lengths are looked at first, so that no more than that is ever sent.
     """
-    if n <= most:
-        return df.limit(most)
-    hashed = F.xxhash64(F.col(key), F.lit(seed)).bitwiseAND((1 << 62) - 1)
-    return df.where(hashed < int((1 << 62) * 0.95 * most / n)).limit(most)
+    kept = saved(rows.withColumn("_place", F.xxhash64(*rows.columns)))
+    sizes = kept.select("_place", F.length("text").alias("n")).toPandas().sort_values(["_place", "n"])
+    last = sizes[sizes.n.cumsum() <= most_chars]._place.max() if len(sizes) else None
+    if last is None or last != last:
+        return kept.orderBy("_place").limit(1).toPandas().drop(columns="_place")
+    return kept.where(F.col("_place") <= int(last)).toPandas().sort_values("_place").drop(columns="_place")

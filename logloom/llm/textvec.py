@@ -87,9 +87,10 @@ class Batch:
             out[i] = xxhash.xxh3_64_intdigest(self.chars[start[i] : end[i]].tobytes())
         return out
 
-    def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Starts and ends of the runs without white space, and the number of the text of each."""
-        solid = self.classes() != SPACE
+    def words(self, bare: bool = False) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Starts and ends of the runs without white space, or of letters and numbers only, and the number of the text of each."""
+        kind = self.classes()
+        solid = (kind == LETTER) | (kind == NUMBER) if bare else kind != SPACE
         first = solid.copy()
         first[1:] &= ~solid[:-1]
         last = solid.copy()

@@ -45,26 +45,62 @@ def spliced_count(text: str, encoder: BatchEncoder, chunk: int, overlap: int) ->
     return total + int(counts[begin + cuts >= true_from].sum())
 
 
-def count_tokens(docs: DataFrame, vocabulary: str | None = None, chunk: int = 32_768, overlap: int = 256, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, n_bytes, n_tokens, over_limit) of each whole text.
+def windows_of(size: int, chunk: int, overlap: int) -> list[tuple[int, int]]:
+    """Begin and end of chunks that cover so many characters, neighbours overlapping."""
+    out = [(0, min(size, chunk))]
+    while out[-1][1] < size:
+        begin = out[-1][1] - overlap
+        out.append((begin, min(size, begin + chunk)))
+    return out
 
-    Texts of over two chunks are counted by chunks, others whole and many at a time; both give the same count.
-    A null or empty text has no tokens. Rows that repeat give rows that repeat.
+
+def joined(ends: list[int], cuts: list[np.ndarray], counts: list[np.ndarray], margin: int) -> int | None:
+    """Tokens of a text from its chunks' cuts (places in the text) and the tokens that begin at each, spliced as ``spliced_count`` does; None if two neighbours have no place in common."""
+    total, at = 0, 0  # at: the cut of the chunk from which on its cuts are true
+    for k in range(len(cuts)):
+        if k + 1 == len(cuts):
+            return total + int(counts[k][at:].sum())
+        first = max(at + 1, int(np.searchsorted(cuts[k], cuts[k + 1][0])))
+        there = cuts[k][first : np.searchsorted(cuts[k], ends[k] - margin, "right")]
+        common = np.flatnonzero(np.isin(there, cuts[k + 1], assume_unique=True))
+        if not len(common):
+            return None
+        splice = first + int(common[-1])
+        total += int(counts[k][at:splice].sum())
+        at = int(np.searchsorted(cuts[k + 1], cuts[k][splice]))
+
+
+def count_tokens(docs: DataFrame, vocabulary: str | None = None, chunk: int = 2048, overlap: int = 256, limit: int = 512, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(doc_id, n_bytes, n_tokens, over_limit, n_chunks) of each whole text.
+
+    Texts of over a chunk's characters are encoded as overlapping chunks, those of many texts at a time, and spliced; where an overlap holds no
+    common cut, that text is done again with overlaps that widen. A null or empty text has no tokens. Rows that repeat give rows that repeat.
     """
+    if not 0 < overlap < chunk:
+        raise ValueError("an overlap must be shorter than its chunk")
     path = vocabulary
-    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_())])
+    schema = pa.schema([("doc_id", pa.int64()), ("n_bytes", pa.int64()), ("n_tokens", pa.int64()), ("over_limit", pa.bool_()), ("n_chunks", pa.int64())])
 
     def run(texts: Texts) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path or default_vocabulary())
+        margin = 2 + max(map(len, encoder.vocabulary.special), default=0)
         for doc_ids, part in texts:
-            counts = np.zeros(len(part), np.int64)
-            huge = np.array([len(t) > 2 * chunk for t in part], bool)
-            small = np.flatnonzero(~huge).tolist()
-            whole = [part[i] for i in small]
-            for a, b in slices(whole):
-                counts[small[a:b]] = encoder.counts(whole[a:b])
-            for i in np.flatnonzero(huge).tolist():
-                counts[i] = spliced_count(part[i], encoder, chunk, overlap)
-            yield rows(schema, doc_ids, [len(t.encode("utf-8", "surrogatepass")) for t in part], counts, counts > limit)
-
-    return over_texts(whole_texts(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
+            windows = [windows_of(len(t), chunk, overlap) for t in part]
+            pieces = [t[a:b] for t, w in zip(part, windows, strict=True) for a, b in w]
+            cuts: list[np.ndarray] = []
+            counts: list[np.ndarray] = []
+            for a, b in slices(pieces):
+                start, entry, per = encoder.found(pieces[a:b])
+                edge = np.cumsum(per)[:-1]
+                begin = np.cumsum([0, *map(len, pieces[a : b - 1])])
+                cuts += [x - o for x, o in zip(np.split(start, edge), begin.tolist(), strict=True)]
+                counts += np.split(encoder.table.size[entry].astype(np.int64), edge)
+            at, totals = 0, []
+            for t, w in zip(part, windows, strict=True):
+                found = joined([b for _, b in w], [c + a for c, (a, _) in zip(cuts[at : at + len(w)], w, strict=True)], counts[at : at + len(w)], margin)
+                totals.append(spliced_count(t, encoder, chunk, 2 * overlap) if found is None else found)
+                at += len(w)
+            totals = np.array(totals, np.int64)
+            yield rows(schema, doc_ids, [len(t.encode("utf-8", "surrogatepass")) for t in part], totals, totals > limit, list(map(len, windows)))
+
+    return over_texts(whole_texts(docs, id_col, text_col), run, "doc_id long, n_bytes long, n_tokens long, over_limit boolean, n_chunks long")

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import Texts, kept_rows, over_texts, rows, whole_texts
-from logloom.llm.samples import sampled
+from logloom.llm.samples import collected, sampled
 from logloom.llm.textvec import Batch, ragged, slices
 
 BUCKETS, DIM, WINDOW, STRIDE = 1 << 17, 8, 8, 4
@@ -212,16 +212,17 @@ def held_out(doc_id: F.Column) -> F.Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 5 == 0
 
 
-def trained(docs: DataFrame, labels: DataFrame, most_each: int = 2000, most_chars: int = 20_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most most_each labelled texts of either label and of at most most_chars characters, none of them held out.
+def trained(docs: DataFrame, labels: DataFrame, most_each: int = 2000, most_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+    """A model from at most most_each labelled texts of either label, of most_chars characters in all, none of them held out.
 
-    Rows without a label or id are not used.
+    Rows without a label or id are not used, nor are ids whose labels contradict each other. Of several texts with one id the first in the order of code points counts.
     """
-    chosen = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    own = labels.where(F.col(label_col).isin(0, 1) & ~held_out(F.col(id_col))).select(F.col(id_col).cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label"))
+    chosen = own.groupBy("doc_id").agg(F.min("label").alias("label"), F.max("label").alias("other")).where("label = other").drop("other")
     n = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     one, zero = (sampled(chosen.where(F.col("label") == k), "doc_id", n.get(k, 0), most_each, 11 + k) for k in (1, 0))
     some = one.unionAll(zero)
-    found = whole_texts(docs, id_col, text_col).where(F.length("text") <= most_chars).join(F.broadcast(some), "doc_id").dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
+    found = collected(whole_texts(docs, id_col, text_col).join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), most_chars).sort_values("doc_id")
     return fit(found.text.tolist(), found.label.tolist(), share_of_1=n.get(1, 0) / max(sum(n.values()), 1))
 
 

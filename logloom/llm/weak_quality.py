@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm.common import Texts, kept_rows, over_texts, rows, text_slices, whole_texts
-from logloom.llm.samples import sampled
+from logloom.llm.samples import collected, sampled
 from logloom.llm.textvec import LETTER, OTHER, SPACE, Batch, mix, shingles_of, slices
 from logloom.llm.toxicity import sigmoid
 
@@ -210,12 +210,14 @@ def pattern_counts(docs: DataFrame, text_col: str = "text") -> tuple[np.ndarray,
     return counted.pattern.to_numpy(np.int64), counted.n.to_numpy(np.float64)
 
 
-def trained(docs: DataFrame, most: int = 4000, most_chars: int = 20_000, text_col: str = "text") -> tuple[Posterior, Scorer]:
-    """The labellers' accuracies from the votes on all texts, and a scorer fitted to their posterior labels of at most most texts of at most most_chars characters."""
+def trained(docs: DataFrame, most: int = 4000, most_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text") -> tuple[Posterior, Scorer]:
+    """The labellers' accuracies from the votes on all texts, and a scorer fitted to their posterior labels of at most most rows, of most_chars characters in all.
+
+    Rows are sampled by id and text, so copies of a text count as often as they are.
+    """
     pattern, count = pattern_counts(docs, text_col)
     posterior = expectation_maximisation(pattern, count)
-    texts = docs.select(F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).where(F.length("text") <= most_chars)
-    some = sorted(r["text"] for r in sampled(texts, "text", int(count.sum()), most, 13).collect())
+    some = sorted(collected(sampled(whole_texts(docs, id_col, text_col), ["doc_id", "text"], int(count.sum()), most, 13), most_chars).text)
     measured = [measures(Batch.of(some[a:b]), b - a) for a, b in slices(some, 250_000)]
     good = posterior(patterns(np.concatenate(measured))) if measured else np.zeros(0)
     return posterior, fit_scorer(some, good)
