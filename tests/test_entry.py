@@ -1,6 +1,10 @@
 """Every registered query gives what its SQL gives in DuckDB, and needs the library only."""
 
 import os
+import shutil
+import subprocess
+import sys
+from pathlib import Path
 
 import duckdb
 import pytest
@@ -39,3 +43,12 @@ def test_registry(spark):
     assert set(queries.QUERIES) <= set(entry.queries())
     assert set(entry.oracle_sql()) <= set(entry.queries())
     assert entry.entry(spark).columns == ["severity", "n"]
+
+
+@pytest.mark.parametrize("gone", [("logloom/llm", "tests/llm"), ("logloom/llm", "tests/llm", "corpus_pipeline.py")])
+def test_entry_without_the_other_subpackage(tmp_path, gone):
+    """A copy of the tree without those folders still has all other queries."""
+    root = Path(entry.__file__).parent
+    shutil.copytree(root, tmp_path / "copy", ignore=lambda d, names: [n for n in names if n in (".git", "__pycache__") or str((Path(d) / n).relative_to(root)) in gone])
+    code = "import __spark_entry__ as e; q = e.queries(); assert 'audit_events' in q and not [n for n in q if n.startswith('op') and n[2].isdigit()] and 'pipeline' not in q; assert set(e.oracle_sql()) <= set(q)"
+    assert subprocess.run([sys.executable, "-c", code], cwd=tmp_path / "copy", env={**os.environ, "PYTHONPATH": ""}, capture_output=True, text=True, check=False).stderr == ""
