@@ -20,11 +20,16 @@ def read_alerts(spark: SparkSession, folder: str, schema: T.StructType) -> DataF
 
 
 def append_journal(records: DataFrame, folder: str) -> None:
-    """Adds lines of verdicts; those that are there never change."""
-    records.select(F.to_json(F.struct("*")).alias("value")).write.mode("append").text(folder)
+    """Adds lines of verdicts in a folder of the next number; those that are there never change. One writer appends at a time."""
+    spark = records.sparkSession
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    files = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    there = [s.getPath().getName() for s in files.listStatus(path)] if files.exists(path) else []
+    number = 1 + max((int(n.removeprefix("append=")) for n in there if n.startswith("append=")), default=0)
+    records.select(F.to_json(F.struct("*")).alias("value")).write.text(f"{folder}/append={number:012d}")
 
 
 def load_journal(spark: SparkSession, folder: str) -> DataFrame:
-    """All lines of verdicts with pos, the order in which they came: by file time, then by line."""
-    lines = spark.read.text(folder).select("value", F.struct(F.col("_metadata.file_modification_time"), F.monotonically_increasing_id()).alias("pos"))
-    return read_journal(lines)
+    """All lines of verdicts with pos, the order in which they came: by the number of their append, then by file and line. A copied folder keeps it."""
+    lines = spark.read.schema("value string, append long").text(folder)
+    return read_journal(lines.select("value", F.struct("append", F.col("_metadata.file_name"), F.col("_metadata.file_block_start"), F.monotonically_increasing_id()).alias("pos")))

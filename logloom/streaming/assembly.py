@@ -18,15 +18,16 @@ _RECORDS = "array<struct<type:string,fields:map<string,string>,raw:string>>"
 def assemble_stream(lines: DataFrame, quiet_ms: int = 1000, delay: str = "5 seconds") -> DataFrame:
     """(host, epoch, serial, records) of a stream of lines (value, pos, path), as ``audit.assemble`` gives them.
 
-    Time is that of the records. Records that come after their event is out, but before the watermark, make a second event.
+    pos, a number or a text that sorts as the lines came, gives the order of an event's records, as in a batch. Time is that of the records. Records that come after their event is out, but before the watermark, make a second event.
     """
     parsed = audit.records(lines).withColumn("ts", F.timestamp_millis(F.col("sec") * 1000 + F.col("msec")))
-    rows = parsed.select("ts", F.coalesce("node", "path").alias("source"), F.col("node").alias("host"), "sec", "msec", "serial", "pos", "type", F.to_json("fields").alias("fields"), "raw").withWatermark("ts", delay)
+    place = F.col("pos") if dict(parsed.dtypes)["pos"] == "string" else F.lpad(F.col("pos").cast("string"), 20, "0")
+    rows = parsed.select("ts", F.coalesce("node", "path").alias("source"), F.col("node").alias("host"), "sec", "msec", "serial", place.alias("pos"), "type", F.to_json("fields").alias("fields"), "raw").withWatermark("ts", delay)
 
     def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         held = json.loads(state.get[0]) if state.exists else []
         for f in frames:
-            held += [[int(p), h, t, v, r] for p, h, t, v, r in zip(f.pos, f.host, f.type, f.fields, f.raw, strict=True)]
+            held += [[p, h, t, v, r] for p, h, t, v, r in zip(f.pos, f.host, f.type, f.fields, f.raw, strict=True)]
         ended = any(h[2] == "EOE" for h in held)
         if not (ended or state.hasTimedOut):
             state.update((json.dumps(held),))
@@ -34,7 +35,7 @@ def assemble_stream(lines: DataFrame, quiet_ms: int = 1000, delay: str = "5 seco
             return
         if state.exists:
             state.remove()
-        own = sorted(h for h in held if h[2] != "EOE")
+        own = sorted((h for h in held if h[2] != "EOE"), key=lambda h: h[0])
         if own:
             records = [{"type": t, "fields": json.loads(v), "raw": r} for _, _, t, v, r in own]
             host = next((h[1] for h in own if h[1] is not None), None)

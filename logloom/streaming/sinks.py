@@ -8,13 +8,28 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from logloom.operators import verdicts
+from logloom.operators import alerts as alert_ops
+from logloom.operators import reports, verdicts
+from logloom.operators.detect import Rule
 
 
 def line_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
-    """(value, path, pos) of files as they come, oldest first; where to start is the checkpoint's."""
-    lines = spark.readStream.option("latestFirst", "false").option("maxFilesPerTrigger", per_trigger).text(path)
-    return lines.select("value", F.col("_metadata.file_path").alias("path"), F.unix_micros("_metadata.file_modification_time").alias("pos"))
+    """(value, path, pos) of files as they come, oldest first; where to start is the checkpoint's.
+
+    pos is a text that sorts as the lines came: by the file's time, its path, and the number of the line. A file is read whole to count its lines, so
+    files should be as small as logs are when they are rotated.
+    """
+    files = spark.readStream.option("latestFirst", "false").option("maxFilesPerTrigger", per_trigger).option("wholetext", "true").text(path)
+    time = F.unix_micros("_metadata.file_modification_time")
+    lines = files.select(F.col("_metadata.file_path").alias("path"), time.alias("time"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
+    return lines.where("value <> ''").select("value", "path", F.format_string("%020d %s %010d", "time", "path", "n").alias("pos"))
+
+
+def _each_batch(rows: DataFrame, make: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, trigger: dict[str, object]) -> StreamingQuery:
+    def write(batch: DataFrame, number: int) -> None:
+        make(batch).write.mode("overwrite").parquet(f"{folder}/batch={number}")
+
+    return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
 def write_alerts(alerts: DataFrame, folder: str, checkpoint: str, journal: Callable[[], DataFrame] | None = None, **trigger: object) -> StreamingQuery:
@@ -22,9 +37,29 @@ def write_alerts(alerts: DataFrame, folder: str, checkpoint: str, journal: Calla
 
     journal, if given, is read anew for each batch, so that verdicts of meanwhile annotate its alerts.
     """
+    return _each_batch(alerts, lambda batch: verdicts.annotate(batch, verdicts.latest(journal())) if journal else batch, folder, checkpoint, trigger)
 
-    def write(batch: DataFrame, number: int) -> None:
-        known = verdicts.annotate(batch, verdicts.latest(journal())) if journal else batch
-        known.write.mode("overwrite").parquet(f"{folder}/batch={number}")
 
-    return alerts.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+def detect_stream(events: DataFrame, rules: Callable[[], list[Rule]], folder: str, checkpoint: str, min_severity: str | None = None, **trigger: object) -> StreamingQuery:
+    """Alerts of a stream of events (canonical columns with ts and seq) under rules that are read anew for each micro-batch.
+
+    Only for rules without a threshold or throttle, as those need what earlier batches had; they go through ``suppress_stream``.
+    """
+
+    def make(batch: DataFrame) -> DataFrame:
+        now = rules()
+        if held := [r.name for r in now if r.enabled and (r.threshold or r.throttle_s)]:
+            raise ValueError(f"rules with a threshold or throttle need state: {held}")
+        return alert_ops.build(batch, now, min_severity)
+
+    return _each_batch(events, make, folder, checkpoint, trigger)
+
+
+def live_queue(alerts: DataFrame, journal: Callable[[], DataFrame], least: str, folder: str, checkpoint: str, **trigger: object) -> StreamingQuery:
+    """The alerts of a stream that are not closed, by the verdicts of the time of their micro-batch, and of at least a severity."""
+
+    def make(batch: DataFrame) -> DataFrame:
+        known = verdicts.effective(batch, verdicts.latest(journal()))
+        return reports.with_status(known, "open").where(reports.at_least(F.col("severity"), least))
+
+    return _each_batch(alerts, make, folder, checkpoint, trigger)

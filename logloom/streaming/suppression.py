@@ -1,70 +1,96 @@
 """Thresholds and throttles on streams: the batch functions, fed in the order of event time.
 
 Rows of a micro-batch come in any order, so each key holds back what the watermark has not passed. What is kept of a key
-is no more than the hits of one window and what waits; a timer of event time clears it.
+is no more than the hits of one window and what waits, in lists to which a micro-batch only adds; timers of event time take from them and clear them.
 """
 
 from __future__ import annotations
 
-import json
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.operators.suppress import SHOWN, emissions, firings
 
 OUT = "rule string, key string, ts_us long, seq long, match_count long, members array<long>"
+NOTHING = np.zeros((0, 2), np.int64)
 
 
-def threshold_step(kept: list, t: np.ndarray, s: np.ndarray, count: int, window: int) -> tuple[list, list]:
-    """(what is kept, firings) after sorted hits, from what was kept before."""
-    t = np.concatenate([np.array([k[0] for k in kept], np.int64), t])
-    s = np.concatenate([np.array([k[1] for k in kept], np.int64), s])
-    places, rest = firings(t, count, window)
-    out = [(int(t[i]), int(s[i]), count, s[max(i - count + 1, i - SHOWN + 1) : i + 1].tolist()) for i in places]
-    rest = max(rest, len(t) - count + 1)
-    return np.stack([t[rest:], s[rest:]], 1).tolist(), out
+def threshold_step(kept: np.ndarray, rows: np.ndarray, count: int, window: int) -> tuple[np.ndarray, list]:
+    """(what is kept, firings) after sorted hits (time, seq), from what was kept before."""
+    both = np.concatenate([kept, rows])
+    places, rest = firings(both[:, 0], count, window)
+    out = [(int(both[i, 0]), int(both[i, 1]), count, both[max(i - count + 1, i - SHOWN + 1) : i + 1, 1].tolist()) for i in places]
+    return both[max(rest, len(both) - count + 1) :], out
 
 
-def throttle_step(kept: list, t: np.ndarray, s: np.ndarray, count: int, window: int) -> tuple[list, list]:
-    last = kept[0][0] if kept else None
-    places = emissions(t, window, last)
-    out = [(int(t[i]), int(s[i]), 1, []) for i in places]
-    return ([[out[-1][0], out[-1][1]]] if out else kept), out
+def throttle_step(kept: np.ndarray, rows: np.ndarray, count: int, window: int) -> tuple[np.ndarray, list]:
+    places = emissions(rows[:, 0], window, int(kept[0, 0]) if len(kept) else None)
+    out = [(int(rows[i, 0]), int(rows[i, 1]), 1, []) for i in places]
+    return (rows[places[-1:]] if places else kept), out
 
 
-def suppress_stream(hits: DataFrame, kind: str, delay: str = "10 minutes") -> DataFrame:
-    """What a threshold fires, or a throttle lets through, of a stream of hits (rule, key, ts, seq, count, window_us).
+STEPS = {"threshold": threshold_step, "throttle": throttle_step}
 
-    Rows that come after the watermark, delay behind the latest time seen, are dropped. The result is that of the batch functions on all others.
-    """
-    step = {"threshold": threshold_step, "throttle": throttle_step}[kind]
 
-    def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        kept, waiting, count, window = json.loads(state.get[0]) if state.exists else ([], [], 0, 0)
-        for f in frames:
+class Suppressor(StatefulProcessor):
+    """State of a key: hits that wait for the watermark, those that may still count, and the rule's limits."""
+
+    def __init__(self, kind: str):
+        self.kind = kind
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", "t long, s long")
+        self.kept = handle.getListState("kept", "t long, s long")
+        self.limits = handle.getValueState("limits", "n int, us long")
+
+    def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
+        last = None
+        for f in rows:
             if len(f):
-                waiting += np.stack([f.ts_us.to_numpy(np.int64), f.seq.to_numpy(np.int64)], 1).tolist()
-                count, window = int(f["count"].iloc[0]), int(f.window_us.iloc[0])
-        mark = state.getCurrentWatermarkMs() * 1000
-        waiting.sort()
-        ready = [w for w in waiting if w[0] <= mark]
-        waiting = waiting[len(ready) :]
+                t, s = f.ts_us.to_numpy(np.int64).tolist(), f.seq.to_numpy(np.int64).tolist()
+                self.waiting.appendList(list(zip(t, s, strict=True)))
+                last = max(t + ([last] if last is not None else []))
+                self.limits.update((int(f["count"].iloc[0]), int(f.window_us.iloc[0])))
+        if last is not None:
+            self.handle.registerTimer(max(last // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
+        return iter(())
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        if (limits := self.limits.get()) is None:  # an earlier timer has cleared all
+            return
+        mark = timerValues.getCurrentWatermarkInMs() * 1000
+        rows, kept = (np.array(sorted(map(tuple, state.get())), np.int64).reshape(-1, 2) for state in (self.waiting, self.kept))
+        count, window = (int(x) for x in limits)
+        ready = rows[rows[:, 0] <= mark]
         out: list = []
-        if ready:
-            kept, out = step(kept, np.array([w[0] for w in ready], np.int64), np.array([w[1] for w in ready], np.int64), count, window)
-        if waiting or kept and kept[-1][0] + window >= mark:
-            state.update((json.dumps([kept, waiting, count, window]),))
-            due = waiting[0][0] if waiting else kept[-1][0] + window
-            state.setTimeoutTimestamp(max(due // 1000, state.getCurrentWatermarkMs()) + 1)
-        elif state.exists:
-            state.remove()
+        if len(ready):
+            kept, out = STEPS[self.kind](kept, ready, count, window)
+        if len(kept) and kept[-1, 0] + window < mark:
+            kept = NOTHING
+        for state, left in ((self.waiting, rows[len(ready) :]), (self.kept, kept)):
+            state.put([tuple(map(int, x)) for x in left]) if len(left) else state.clear()
+        if len(kept):
+            self.handle.registerTimer(int(kept[-1, 0] + window) // 1000 + 2)
+        elif len(ready) == len(rows):
+            self.limits.clear()
         if out:
-            yield pd.DataFrame([(*name, *o) for o in out], columns=["rule", "key", "ts_us", "seq", "match_count", "members"])
+            yield pd.DataFrame([(*key, *o) for o in out], columns=["rule", "key", "ts_us", "seq", "match_count", "members"])
 
+    def close(self) -> None:
+        pass
+
+
+def suppress_stream(hits: DataFrame, kind: str, delay: str = "10 minutes") -> DataFrame:
+    """What a threshold fires, or a throttle lets through, of a stream of hits (rule, key, ts, seq, count, window_us).
+
+    Rows that come after the watermark, delay behind the latest time seen, are dropped. The result is that of the batch functions on all others.
+    The session's state store has to be that of RocksDB.
+    """
     rows = hits.withWatermark("ts", delay).select("rule", "key", "ts", F.unix_micros("ts").alias("ts_us"), "seq", "count", "window_us")
-    return rows.groupBy("rule", "key").applyInPandasWithState(update, OUT, "kept string", "append", GroupStateTimeout.EventTimeTimeout)
+    return rows.groupBy("rule", "key").transformWithStateInPandas(Suppressor(kind), OUT, "Append", "EventTime")

@@ -1,4 +1,5 @@
 import json
+import time
 
 from pyspark.sql import functions as F
 
@@ -93,3 +94,58 @@ def test_feeds(spark):
     assert r[0].ts.isoformat() == "2023-02-05T10:00:00"
     parsed = spark.createDataFrame([("2024-02-05T10:00:00Z",), ("2024-02-05 10:00:00",), ("1707127200.5",), ("05/Feb/2024:12:00:00 +0200",), ("x",)], "t string")
     assert [x[0] for x in parsed.select(feeds.parse_time(F.col("t"), F.lit(2024))).collect()] == [1707127200.0, 1707127200.0, 1707127200.5, 1707127200.0, None]
+
+
+def test_long_commands_cost_in_proportion(spark):
+    """Five thousand pieces of one argument, then five thousand arguments: what follows a gap does not count."""
+    pieces = " ".join(f"a1[{i}]=6162" for i in range(5000))
+    many = " ".join(f'a{i}="x{i}"' for i in range(5000))
+    start = time.perf_counter()
+    e = events(
+        spark,
+        f'type=EXECVE {HEAD}argc=3 a0="ls" a1_len=20000 {pieces} a2="z" a4="after a gap"',
+        f"type=EXECVE msg=audit(1.0:42): argc=5000 {many}",
+        "type=EXECVE msg=audit(1.0:43): a0=6C73 a1[0]=6162 a1[2]=6364 a1=whole a2[1]=6162",
+        "type=EXECVE msg=audit(1.0:44): a1=00",
+        "type=EXECVE msg=audit(1.0:45): a0=6162 a0=6364 a0=6566 a1[0]=6768 a1[0]=696A",
+    )
+    took = time.perf_counter() - start
+    assert e["41"].argv == ["ls", "ab" * 5000, "z"] and e["42"].argv == [f"x{i}" for i in range(5000)]
+    assert e["43"].argv == ["ls", "whole"] and e["44"].argv is None and e["45"].argv == ["ef", "ij"]
+    assert took < 60
+
+
+def test_heads_of_lines(spark):
+    good = ["type=X msg=audit(1.5:2): a=1", "node=h type=X1_Y   msg=audit(1:2):a=1", "node=h\ttype=X msg=audit(10.179:3): "]
+    bad = ["type=x msg=audit(1.5:2): a=1", "node= type=X msg=audit(1.5:2): a", "n type=X msg=audit(1.5:2): a", "type=X msg=audit(1.5): a", "type=X msg=audit(a:2): a", " type=X msg=audit(1:2): a", "type=X node=h msg=audit(1:2): a", "audit(1:2):", "", None]
+    df = spark.createDataFrame([(v, i, "f") for i, v in enumerate(good + bad)], "value string, pos long, path string")
+    got = [(r.node, r.type, r.sec, r.msec, r.serial, r.fields) for r in audit.records(df).orderBy("pos").collect()]
+    assert got == [(None, "X", 1, 5, "2", {"a": "1"}), ("h", "X1_Y", 1, 0, "2", {"a": "1"}), ("h", "X", 10, 179, "3", {})]
+
+
+def test_very_long_values_and_many_equal_names(spark):
+    long = "x" * 200_000 + '\\"' * 50_000
+    df = spark.createDataFrame([(f'type=CWD {HEAD}cwd="{long}" ' + "k=1 " * 20_000 + "no-name" * 30_000 + ' k="2"" j=3"\'x', 0, "f")], "value string, pos long, path string")
+    f = audit.records(df).first().fields
+    assert f["k"] == "2" and f["j"] == "3\"'x" and f["cwd"] == "x" * 200_000 + '"' * 50_000
+
+
+def test_what_programs_say_of_logins(spark):
+    said = {
+        ("sshd", "Accepted publickey for ann from 2001:db8::1 port 50022 ssh2: RSA x"): ("success", "ann", "publickey", "2001:db8::1", 50022),
+        ("sshd", "Failed password for invalid user bob from 1.2.3.4 port 22 ssh2"): ("invalid_user", "bob", "password", "1.2.3.4", 22),
+        ("sshd", "error: Failed none for root from 1.2.3.4 port 9"): ("failure", "root", "none", "1.2.3.4", 9),
+        ("sshd", "Failed password for from from 1.2.3.4 port 22"): ("failure", "from", "password", "1.2.3.4", 22),
+        ("sshd", "Invalid user  from 1.2.3.4"): (None, None, None, None, None),
+        ("sshd", "Failed password for x from nowhere port 22"): (None, None, None, None, None),
+        ("sudo", "  ann : TTY=pts/0 ; PWD=/srv ; USER=root ; COMMAND=/bin/sh -c a;b ; COMMAND=x"): ("success", "ann", None, None, None),
+        ("sudo", "ann : TTY=unknown ; PWD=/a b ; USER=root ; COMMAND=/bin/ls"): (None, None, None, None, None),
+        ("sudo", "bob : user NOT in sudoers ; x"): ("failure", "bob", None, None, None),
+        ("sudo", "bob : 1 incorrect password attempt"): ("failure", "bob", None, None, None),
+        ("sudo", "pam_unix(sudo:auth): authentication failure"): (None, None, None, None, None),
+        ("app", "Accepted password for ann from 1.2.3.4 port 22"): (None, None, None, None, None),
+    }
+    lines = [(json.dumps({"_COMM": c, "MESSAGE": m}), i) for i, (c, m) in enumerate(said)]
+    got = journal.read_events(spark.createDataFrame(lines, "value string, pos long")).orderBy("pos").collect()
+    assert [(r.auth_result, r.auth_user, r.auth_method, r.remote_ip, r.remote_port) for r in got] == list(said.values())
+    assert got[6].sudo_command == "/bin/sh -c a;b ; COMMAND=x" and got[6].cwd == "/srv" and got[6].tty == "pts/0"

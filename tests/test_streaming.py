@@ -2,12 +2,14 @@ import json
 import os
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import suppress
-from logloom.sources import audit
+from logloom.operators.detect import Rule, Threshold
+from logloom.sources import audit, feeds
 from logloom.streaming.assembly import event_stream
-from logloom.streaming.sinks import write_alerts
+from logloom.streaming.sinks import detect_stream, line_stream, live_queue, write_alerts
 from logloom.streaming.suppression import suppress_stream
 
 DAY = 86_400_000_000
@@ -60,3 +62,56 @@ def test_events_are_assembled_from_a_stream(spark, tmp_path):
     assert "3" in got
     whole = audit.read_events(spark.read.text(str(source)).select("value", F.lit(0).alias("pos"), F.lit("f").alias("path")))
     assert {r.serial for r in whole.collect()} == set(got)
+
+
+def test_lines_of_a_stream_keep_their_order(spark, tmp_path):
+    """Records in no order of the alphabet, of which the first of a type counts: as in a batch."""
+    source = tmp_path / "in"
+    source.mkdir()
+    line = lambda kind, serial, body: f"type={kind} msg=audit(100.500:{serial}): {body}"
+    lines = [
+        line("SYSCALL", 1, "syscall=257 success=yes"), line("PATH", 1, 'item=10 name="/z" nametype=NORMAL'), line("SYSCALL", 2, "syscall=257 success=no"), line("PATH", 1, 'item=2 name="/a" nametype=NORMAL'), line("CWD", 2, 'cwd="/srv"'),
+        line("USER_END", 3, "res=failed"), line("USER_ACCT", 3, "res=success acct=x"), line("USER_ACCT", 3, "res=success acct=a"), line("PATH", 2, 'name="q" nametype=PARENT'), line("PATH", 2, 'name="p" nametype=CREATE'), line("PATH", 2, 'name="b" nametype=CREATE'),
+    ]
+    (source / "a.log").write_text("\n".join(lines) + "\n")
+    (source / "b.log").write_text(line("EOE", 1, "") + "\n" + "type=SYSCALL msg=audit(900.000:9): syscall=59\n")
+    for k, f in enumerate(("a.log", "b.log")):
+        os.utime(source / f, (k + 1, k + 1))
+    shown = ("serial", "action", "path", "paths", "auth_user", "auth_result", "success", "raw")
+    q = write_alerts(event_stream(line_stream(spark, str(source), per_trigger=1)).select(*shown), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    streamed = {r.serial: r for r in spark.read.parquet(str(tmp_path / "out")).select(*shown).collect() if r.serial != "9"}
+    batch = {r.serial: r for r in audit.read_events(feeds.text_lines(spark, [str(source)])).select(*shown).collect() if r.serial != "9"}
+    assert streamed == batch and len(batch) == 3
+    assert batch["1"].path == "/z" and batch["2"].path == "/srv/p" and (batch["3"].action, batch["3"].auth_user, batch["3"].auth_result) == ("user_end", "x", "failure")
+
+
+def test_rules_and_verdicts_are_read_anew(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    for k in range(3):
+        (source / f"{k}.json").write_text(json.dumps({"host": f"h{k}", "seq": k, "s": k}))
+        os.utime(source / f"{k}.json", (k + 1, k + 1))
+    stream = lambda: spark.readStream.schema("host string, seq long, s long").option("maxFilesPerTrigger", 1).json(str(source)).withColumn("ts", F.timestamp_seconds("s"))
+    asked = []
+
+    def rules():
+        asked.append(1)
+        return [Rule("first" if len(asked) == 1 else "later", "high", lambda f: [f.present("host")])]
+
+    detect_stream(stream(), rules, str(tmp_path / "alerts"), str(tmp_path / "a")).awaitTermination()
+    made = spark.read.parquet(str(tmp_path / "alerts"))
+    assert sorted((r.host, r.rule["name"]) for r in made.collect()) == [("h0", "first"), ("h1", "later"), ("h2", "later")]
+    with pytest.raises(Exception, match="need state"):
+        detect_stream(stream(), lambda: [Rule("x", "high", lambda f: [], threshold=Threshold(2, 5))], str(tmp_path / "x"), str(tmp_path / "xs")).awaitTermination()
+
+    read = []
+
+    def journal():
+        read.append(1)
+        closed = [("A0", "open", 0), ("A1", "false_positive", 1)] if len(read) > 1 else []
+        return spark.createDataFrame([(a, v, "", "", "r", "", "2024", p) for a, v, p in closed], "alert_id string, verdict string, note string, analyst string, rule string, signature string, updated_at string, pos long")
+
+    alerts = stream().select(F.concat(F.lit("A"), "seq").alias("alert_id"), F.lit("r").alias("rule"), F.lit("s").alias("signature"), F.when(F.col("seq") < 2, "high").otherwise("low").alias("severity"))
+    live_queue(alerts, journal, "medium", str(tmp_path / "queue"), str(tmp_path / "q")).awaitTermination()
+    assert [r.alert_id for r in spark.read.parquet(str(tmp_path / "queue")).collect()] == ["A0"]
