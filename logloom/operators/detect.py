@@ -74,6 +74,22 @@ def matches(events: DataFrame, rules: list[Rule], min_severity: str | None = Non
     return events.withColumn("_hits", hit).where(F.size("_hits") > 0).withColumn("rule", F.explode("_hits")).drop("_hits")
 
 
+def with_listed(events: DataFrame, flag: str, field: str, listed: DataFrame, value: str) -> DataFrame:
+    """events with flag: whether field is among the values of a table, for rules to test. Null is in no list.
+
+    The list may be of any size: Spark broadcasts it if its size allows, else both sides are shuffled by the value.
+    """
+    names = listed.select(F.col(value).cast("string").alias("_listed")).where("_listed is not null").distinct().withColumn(flag, F.lit(True))
+    joined = events.drop(flag).join(names, F.col(field).cast("string") == F.col("_listed"), "left").drop("_listed")
+    return joined.withColumn(flag, F.coalesce(flag, F.lit(False)))
+
+
+def listed_only(events: DataFrame, field: str, listed: DataFrame, value: str, negated: bool = False) -> DataFrame:
+    """The events whose field is among the values of a table, or, negated, is not; null is in no list."""
+    names = listed.select(F.col(value).cast("string").alias("_listed"))
+    return events.join(names, F.col(field).cast("string") == F.col("_listed"), "left_anti" if negated else "left_semi")
+
+
 def key_of(df: DataFrame, names: tuple[str, ...]) -> Column:
     """Values joined by bars, with - for null; * if no field is named, so that all rows share the key."""
     if not names:

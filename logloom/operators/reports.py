@@ -33,6 +33,16 @@ def rule_contains(alerts: DataFrame, text: str) -> DataFrame:
     return alerts.where(F.lower("rule").contains(text.lower()))
 
 
+def with_tag(alerts: DataFrame, tag: str) -> DataFrame:
+    """alerts whose rule has a tag, exactly so; tags are a column or a field of rule."""
+    tags = F.col("tags") if "tags" in alerts.columns else F.col("rule.tags")
+    return alerts.where(F.coalesce(F.array_contains(tags, tag), F.lit(False)))
+
+
+def of_host(alerts: DataFrame, host: str) -> DataFrame:
+    return alerts.where(F.col("host") == host)
+
+
 def newest(alerts: DataFrame, n: int) -> DataFrame:
     """The last n, newest first; only n rows of each partition are moved."""
     return alerts.orderBy(F.desc("alert_id")).limit(n)

@@ -1,7 +1,7 @@
 """Thresholds and throttles: what is kept depends on the row kept last, so each key is walked in the order of time.
 
-Keys are cut at quiet times first: after a gap longer than the window nothing that came before matters, so the parts of a
-busy key between such gaps are walked in different tasks. A part is read from sorted rows batch by batch, with no more
+Keys are cut at quiet times first: after a gap longer than the window nothing that came before matters, nor do hits that are too few
+to fill a threshold's window with those that follow, so the parts of a busy key between such times are walked in different tasks. A part is read from sorted rows batch by batch, with no more
 than the hits of one window in memory.
 """
 
@@ -42,25 +42,30 @@ def emissions(t: np.ndarray, window: int, last: int | None) -> list[int]:
     return out
 
 
-def in_parts(hits: DataFrame, window: str = "window_us") -> DataFrame:
-    """hits (rule, key, ts_us, window_us, ...) with part: the first of the stretches of a window's length that follow each other without an empty one."""
-    slot = F.floor(F.col("ts_us") / F.greatest(F.col(window), F.lit(1))).cast("long")
+def in_parts(hits: DataFrame, needed: str | None = None) -> DataFrame:
+    """hits (rule, key, ts_us, window_us, ...) with part: the first of the stretches of a window's length that are walked together.
+
+    A part begins after an empty stretch; and where hits have to be as many as the column needed says, also where two stretches that follow each other have fewer hits than it needs, as no window that
+    lies in both can then be full. So of a busy key only those times stay together at which the threshold is near to firing.
+    """
+    slot = F.floor(F.col("ts_us") / F.greatest("window_us", F.lit(1))).cast("long")
     hits = hits.withColumn("slot", slot)
-    used = hits.select("rule", "key", "slot").distinct()
+    used = hits.groupBy("rule", "key", "slot").agg(F.count("*").alias("n"), F.max(needed if needed else F.lit(0)).alias("needed"))
     order = W.partitionBy("rule", "key").orderBy("slot")
-    begins = used.withColumn("begin", F.when(F.coalesce(F.col("slot") - F.lag("slot").over(order) > 1, F.lit(True)), F.col("slot")))
+    apart = (F.col("slot") - F.lag("slot").over(order) > 1) | (F.col("n") + F.lag("n").over(order) < F.col("needed"))
+    begins = used.withColumn("begin", F.when(F.coalesce(apart, F.lit(True)), F.col("slot")))
     parts = begins.withColumn("part", F.last("begin", ignorenulls=True).over(order)).select("rule", "key", "slot", "part")
     return hits.join(parts, ["rule", "key", "slot"]).drop("slot")
 
 
-def walk(hits: DataFrame, extra: list[str], start: Callable[[], object], step: Callable[[object, dict[str, np.ndarray]], Iterator[tuple]], made: list[tuple[str, str, pa.DataType]]) -> DataFrame:
+def walk(hits: DataFrame, extra: list[str], start: Callable[[], object], step: Callable[[object, dict[str, np.ndarray]], Iterator[tuple]], made: list[tuple[str, str, pa.DataType]], needed: str | None = None) -> DataFrame:
     """step over the sorted rows of each (rule, key, part); it may be called again with the rows that follow, and its state.
 
     What it yields is the number of a row, which goes on with all its columns, and values of the columns that are made.
     """
     carried = [f for f in hits.schema if f.name not in [n for n, _, _ in made]]
     columns = list(dict.fromkeys(["rule", "key", "part", "ts_us", "seq", *extra, *[f.name for f in carried]]))
-    sorted_rows = in_parts(hits).select(*columns).repartition("rule", "key", "part").sortWithinPartitions("rule", "key", "part", "ts_us", "seq")
+    sorted_rows = in_parts(hits, needed).select(*columns).repartition("rule", "key", "part").sortWithinPartitions("rule", "key", "part", "ts_us", "seq")
     walked = ["ts_us", "seq", *extra]
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + [f"{n} {t}" for n, t, _ in made])
 
@@ -69,13 +74,18 @@ def walk(hits: DataFrame, extra: list[str], start: Callable[[], object], step: C
         for batch in batches:
             if not batch.num_rows:
                 continue
-            names = list(zip(*[batch.column(c).to_pylist() for c in ("rule", "key", "part")], strict=True))
-            cuts = [0, *[i for i in range(1, len(names)) if names[i] != names[i - 1]], len(names)]
+            changed = np.zeros(batch.num_rows - 1, bool)
+            for c in ("rule", "key", "part"):
+                own = batch.column(c)
+                codes = (own.dictionary_encode().indices if pa.types.is_string(own.type) else own).to_numpy(zero_copy_only=False)
+                changed |= codes[1:] != codes[:-1]
+            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
             values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in walked}
             rows, out = [], []
             for a, b in zip(cuts, cuts[1:], strict=False):
-                if names[a] != now:
-                    now, state = names[a], start()
+                name = tuple(batch.column(c)[a].as_py() for c in ("rule", "key", "part"))
+                if name != now:
+                    now, state = name, start()
                 for i, *x in step(state, {c: v[a:b] for c, v in values.items()}):
                     rows.append(a + i)
                     out.append(x)
@@ -105,7 +115,7 @@ def threshold(hits: DataFrame) -> DataFrame:
         rest = max(rest, len(t) - count + 1)
         state.t, state.s = t[rest:], s[rest:]
 
-    return walk(hits, ["count", "window_us"], State, step, [("match_count", "long", pa.int64()), ("members", "array<long>", pa.list_(pa.int64()))])
+    return walk(hits, ["count", "window_us"], State, step, [("match_count", "long", pa.int64()), ("members", "array<long>", pa.list_(pa.int64()))], needed="count")
 
 
 def throttle(hits: DataFrame) -> DataFrame:

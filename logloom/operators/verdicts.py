@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from logloom.operators.alerts import signed
 from logloom.sources.schema import lookup
 
 VERDICTS = ("open", "in_progress", "true_positive", "benign_positive", "false_positive", "duplicate")
@@ -53,17 +54,27 @@ def signature_index(newest: DataFrame) -> DataFrame:
     return last.select("signature", "r.verdict", "r.alert_id").where(F.col("verdict").isin(*CLOSED))
 
 
+def known_signatures(newest: DataFrame, chosen: tuple[str, ...] = CLOSED) -> DataFrame:
+    """(signature, verdict, alert_id) of the signatures that have one of the chosen verdicts."""
+    return signature_index(newest).where(F.col("verdict").isin(*chosen))
+
+
+def newest_first(newest: DataFrame) -> DataFrame:
+    """The last record of every alert, the newest time first; of one time by alert."""
+    return newest.orderBy(F.desc("updated_at"), "alert_id")
+
+
 def effective(alerts: DataFrame, newest: DataFrame) -> DataFrame:
     """alerts with effective_verdict and inherited: the alert's own record, even an open one, else that of its signature, else open."""
     own = newest.select("alert_id", F.col("verdict").alias("_own"))
     index = signature_index(newest).select("signature", F.col("verdict").alias("_known"))
-    joined = alerts.join(own, "alert_id", "left").join(index, "signature", "left")
+    joined = signed(alerts).join(own, "alert_id", "left").join(index, "signature", "left")
     return joined.withColumns({"effective_verdict": F.coalesce("_own", "_known", F.lit("open")), "inherited": F.col("_own").isNull() & F.col("_known").isNotNull()}).drop("_own", "_known")
 
 
 def annotate(alerts: DataFrame, newest: DataFrame, drop_false_positives: bool = False) -> DataFrame:
     """alerts with prior_verdict, that of their signature; repeats of false positives are dropped on request."""
-    out = alerts.join(signature_index(newest).select("signature", F.col("verdict").alias("prior_verdict")), "signature", "left")
+    out = signed(alerts).join(signature_index(newest).select("signature", F.col("verdict").alias("prior_verdict")), "signature", "left")
     return out.where(F.coalesce(F.col("prior_verdict") != "false_positive", F.lit(True))) if drop_false_positives else out
 
 
@@ -77,6 +88,7 @@ def records(new: DataFrame, newest: DataFrame, updated_at: Column) -> DataFrame:
 
 def in_scope(alerts: DataFrame, newest: DataFrame, chosen: DataFrame, scope: str) -> DataFrame:
     """alerts that a verdict on the chosen (alert_id) covers: themselves, and those of the same scope (signature or rule) whose own verdict is not closed."""
+    alerts = signed(alerts)
     keys = alerts.join(chosen, "alert_id", "left_semi").where(F.coalesce(F.col(scope), F.lit("")) != "").select(scope).distinct()
     closed = newest.where(F.col("verdict").isin(*CLOSED)).select("alert_id")
     themselves = alerts.join(chosen, "alert_id", "left_semi")

@@ -1,10 +1,11 @@
+import random
 import re
 
 import pytest
 from pyspark.sql import functions as F
 
 from logloom.operators import alerts, reports, verdicts
-from logloom.operators.detect import Rule, Threshold
+from logloom.operators.detect import Rule, Threshold, listed_only, with_listed
 from logloom.operators.enrich import with_parents
 
 
@@ -76,3 +77,53 @@ def test_journal_order_and_inheritance(spark):
     assert [(r.verdict, r.rule, r.signature) for r in verdicts.records(new, latest, F.lit("now")).collect()] == [("false_positive", "r1", "s1")]
     lines = spark.createDataFrame([('{"alert_id": "q", "verdict": "open"}', 0), ("{bad", 1), ('{"alert_id": ""}', 2)], "value string, pos long")
     assert [r.alert_id for r in verdicts.read_journal(lines).collect()] == ["q"]
+
+
+def test_events_are_read_once_and_stay_where_they_are(spark, tmp_path):
+    """Alerts are made of what was written with the hits: their plan has no scan of events, and so no exchange of them."""
+    rows = [("a", "x", t, t) for t in range(30)]
+    df = spark.createDataFrame(rows, "host string, action string, s long, seq long").select("host", "action", F.timestamp_seconds("s").alias("ts"), "seq", F.lit("auditd").alias("source"))
+    df.write.parquet(str(tmp_path / "events"))
+    made = alerts.build(spark.read.parquet(str(tmp_path / "events")), RULES)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "parquet" not in plan.lower() and made.count() == 1
+
+
+def test_parents_by_brute_force(spark):
+    r = random.Random(5)
+    rows = []
+    for i in range(600):
+        host, pid, ppid, s = r.choice(["a", "b", None]), r.choice([1, 2, 3, None]), r.choice([1, 2, 3, None]), r.choice([None, *range(40)])
+        rows.append((host, pid, ppid, s, r.choice(["execve", "other", None]), f"/p{i}", r.choice([f"c{i}", None]), r.choice([None, None, "had"]), i))
+    df = spark.createDataFrame(rows, "host string, pid long, ppid long, s long, action string, exe string, comm string, parent_name string, seq long").withColumn("ts", F.timestamp_seconds("s"))
+    got = {x.seq: (x.parent_exe, x.parent_name) for x in with_parents(df, slot_s=7).collect()}
+    order = lambda x: (x[3] is not None, x[3] or 0, x[8])
+    for x in rows:
+        want = (None, x[7])
+        if x[7] is None and x[2] is not None:
+            before = [y for y in rows if y[0] == x[0] and y[1] == x[2] and y[4] == "execve" and order(y) < order(x)]
+            if before:
+                last = max(before, key=order)
+                want = (last[5], last[6])
+        assert got[x[8]] == want, x
+    assert len(got) == len(rows)
+
+
+def test_signatures_are_made_where_they_are_missing(spark):
+    df = spark.createDataFrame([("a", "r", "h", "kept"), ("b", "r", "h", ""), ("c", "r", "h", None), ("d", None, None, None)], "alert_id string, rule string, host string, signature string")
+    got = {x.alert_id: x.signature for x in alerts.signed(df).collect()}
+    assert got["a"] == "kept" and got["b"] == got["c"] != got["d"] and re.fullmatch("[0-9a-f]{16}", got["b"])
+    nested = df.select("alert_id", F.struct(F.col("rule").alias("name")).alias("rule"), F.struct("host").alias("event"))
+    assert {x.alert_id: x.signature for x in alerts.signed(nested).collect()}["b"] == got["b"]
+    newest = spark.createDataFrame([("x", "false_positive", "", "", "r", got["b"], "2024", 0, 0)], "alert_id string, verdict string, note string, analyst string, rule string, signature string, updated_at string, pos long, first_pos long")
+    assert {x.alert_id: x.inherited for x in verdicts.effective(df, newest).collect()} == {"a": False, "b": True, "c": True, "d": False}
+    counts = {x.metric: x.n for x in alerts.run_counts(df, verdicts.annotate(df, newest).withColumn("severity", F.lit("low")), drop_false_positives=True).collect()}
+    assert counts == {"matches": 4, "alerts": 2, "suppressed": 0, "sev_low": 2, "known": 2, "known_false_positive": 2, "known_dropped": 2}
+
+
+def test_lists_that_are_tables(spark):
+    e = spark.createDataFrame([("a",), ("b",), (None,)], "who string")
+    listed = spark.createDataFrame([("a",), ("a",), (None,)], "name string")
+    assert {x.who: x.seen for x in with_listed(e, "seen", "who", listed, "name").collect()} == {"a": True, "b": False, None: False}
+    assert [x.who for x in listed_only(e, "who", listed, "name").collect()] == ["a"]
+    assert {x.who for x in listed_only(e, "who", listed, "name", negated=True).collect()} == {"b", None}

@@ -65,3 +65,13 @@ def test_parts_and_batches_do_not_matter(spark, parts, rows_per_batch):
 def test_empty(spark):
     df = spark.createDataFrame([], "rule string, key string, ts_us long, seq long, count int, window_us long")
     assert suppress.threshold(df).count() == suppress.throttle(df).count() == 0
+
+
+def test_sparse_times_of_a_busy_key_are_parts_of_their_own(spark):
+    """Two hits in each stretch never fill a threshold of five; only the burst stays together."""
+    rows = [("r", "*", 10 * i + 5 * j, 2 * i + j, 5, 10) for i in range(200) for j in range(2)] + [("r", "*", 500 + j, 1000 + j, 5, 10) for j in range(7)]
+    df = spark.createDataFrame(rows, "rule string, key string, ts_us long, seq long, count int, window_us long")
+    parts = suppress.in_parts(df, "count").groupBy("part").count().collect()
+    assert len(parts) > 190 and max(p["count"] for p in parts) < 20
+    own = sorted((x[2], x[3]) for x in rows)
+    assert {x.seq for x in suppress.threshold(df).collect()} == {own[i][1] for i in sequential_threshold([t for t, _ in own], 5, 10)}
