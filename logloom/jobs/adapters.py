@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from logloom.functions.checkpoints import saved, shared_folder
 
 #: The same columns as ``events`` below, in SQL.
 EVENTS_SQL = """ev AS (
@@ -20,6 +25,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def new_folder(spark: SparkSession, name: str) -> str:
+    """A name in the shared folder that nothing else has."""
+    return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def with_place(rows: DataFrame) -> DataFrame:
+    """rows with place, from 1, as they stand in the whole: the size of each partition is counted, and none is moved."""
+    numbered = rows.select("*", F.spark_partition_id().alias("_part"), F.monotonically_increasing_id().alias("_id"))
+    numbered = saved(numbered)
+    sizes = numbered.groupBy("_part").agg(F.count("*").alias("n"), F.min("_id").alias("_first"))
+    before = sizes.withColumn("before", F.coalesce(F.sum("n").over(W.orderBy("_part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))).select("_part", "_first", "before")
+    return numbered.join(F.broadcast(before), "_part").withColumn("place", F.col("before") + F.col("_id") - F.col("_first") + 1).drop("_part", "_id", "_first", "before")
+
+
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical columns that the events' own ones give."""
     e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
@@ -37,31 +56,53 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def audit_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as the audit records of a program start, a file access or a connection, in (value, pos, path)."""
+    """Each event as the audit records of a program start, a file access, a connection or a login, in (value, pos, path).
+
+    Programs are scripts, or have an argument in pieces, or one in hexadecimal digits; files may come with their folder; connections are of either family.
+    """
     e = events(spark, sf_dir)
-    head = lambda kind: F.concat(F.lit("node="), "host", F.lit(f" type={kind} msg=audit("), F.floor(F.col("ts_us") / 1_000_000).cast("string"), F.lit("."), F.lpad((F.floor(F.col("ts_us") / 1000) % 1000).cast("string"), 3, "0"), F.lit(":"), F.col("seq").cast("string"), F.lit("): "))
-    call = F.when(F.col("category") == "process", "59").when(F.col("category") == "network", "42").otherwise("257")
+    k, of = F.col("k"), F.col("category")
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    stamp = text("msg=audit(", F.floor(F.col("ts_us") / 1_000_000), ".", F.lpad((F.floor(F.col("ts_us") / 1000) % 1000).cast("string"), 3, "0"), ":", F.col("seq"), "): ")
+    head = lambda kind: text("node=", F.col("host"), f" type={kind} ", stamp)
+    call = F.when(of == "process", "59").when(of == "network", "42").otherwise("257")
     hexed = lambda c: F.hex(F.encode(c, "utf-8"))
     two = lambda c: F.lpad(F.hex(c), 2, "0")
-    sys = F.concat(head("SYSCALL"), F.lit("arch=c000003e syscall="), call, F.lit(" success="), F.when(F.col("success"), "yes").otherwise("no"), F.lit(" exit=0 a0=3 a1=7f a2="), F.when(F.col("k") % 2 == 0, "41").otherwise("0"), F.lit(" ppid=1 pid="), F.col("k").cast("string"), F.lit(" auid="), F.when(F.col("is_root"), "4294967295").otherwise(F.col("uid").cast("string")), F.lit(" uid="), F.col("uid").cast("string"), F.lit(" euid=0 tty="), F.when(F.col("interactive"), "pts0").otherwise("(none)"), F.lit(' ses=3 comm="tool" exe="'), "exe", F.lit('" key="k1"\x1dUID="'), "auth_user", F.lit('"'))
-    run = F.concat(head("EXECVE"), F.lit('argc=3 a0="tool" a1='), hexed(F.concat(F.lit("--id "), F.col("seq").cast("string"))), F.lit(' a2="x\\"y"'))
-    cwd = F.concat(head("CWD"), F.lit('cwd="/srv/"'))
-    path = F.concat(head("PATH"), F.lit('item=0 name="'), F.regexp_replace("path", "^/data/", ""), F.lit('" nametype='), F.when(F.col("k") % 5 == 0, "CREATE").otherwise("NORMAL"), F.lit(" mode=010"), F.when(F.col("k") % 7 == 0, "4755").otherwise("0644"), F.lit(" ouid=0 ogid=0"))
-    sent = F.concat(head("SOCKADDR"), F.lit("saddr=0200"), F.lpad(F.hex("remote_port"), 4, "0"), two(F.lit(10)), two(F.lit(0)), two(F.col("user_id") % 4), two(F.col("k")), F.lit("0000000000000000"))
-    own = F.when(F.col("category") == "process", F.array(sys, run, cwd)).when(F.col("category") == "network", F.array(sys, sent)).otherwise(F.array(sys, cwd, path))
-    return e.select("seq", F.posexplode(F.concat(own, F.array(F.concat(head("EOE"), F.lit(""))))).alias("n", "value")).select("value", (F.col("seq") * 8 + F.col("n")).alias("pos"), F.lit("events").alias("path"))
+    is_script = (of == "process") & (k % 4 == 0)
+    exe = F.when(is_script, "/usr/bin/python3.11").otherwise(F.col("exe"))
+    sys = text(head("SYSCALL"), "arch=c000003e syscall=", call, " success=", F.when(F.col("success"), "yes").otherwise("no"), " exit=0 a0=3 a1=7f a2=", F.when(k % 2 == 0, "41").otherwise("0"), " ppid=1 pid=", k, " auid=", F.when(F.col("is_root"), "4294967295").otherwise(F.col("uid").cast("string")), " uid=", F.col("uid"), " euid=0 tty=", F.when(F.col("interactive"), "pts0").otherwise("(none)"), ' ses=3 comm="tool" exe="', exe, '" key="k1"\x1dUID="', F.col("auth_user"), '"')
+    script = text(head("EXECVE"), 'argc=2 a0="python3.11" a1="/opt/run-', k, '.py"')
+    pieces = text(head("EXECVE"), 'argc=3 a0="tool" a1_len=20 a1[0]="pa" a1[1]=', hexed(text("rt-", F.col("seq"))), ' a2="x\\"y"')
+    plain = text(head("EXECVE"), 'argc=3 a0="tool" a1=', hexed(text("--id ", F.col("seq"))), ' a2="x\\"y"')
+    cwd = text(head("CWD"), 'cwd="/srv/"')
+    folder = text(head("PATH"), 'item=0 name="/srv" nametype=PARENT mode=040755 ouid=0 ogid=0')
+    path = text(head("PATH"), 'item=1 name="', F.regexp_replace("path", "^/data/", ""), '" nametype=', F.when(k % 5 == 0, "CREATE").otherwise("NORMAL"), " mode=010", F.when(k % 7 == 0, "4755").otherwise("0644"), " ouid=0 ogid=0")
+    four = text("0200", F.lpad(F.hex("remote_port"), 4, "0"), two(F.lit(10)), two(F.lit(0)), two(F.col("user_id") % 4), two(k), "0000000000000000")
+    six = text("0A00", F.lpad(F.hex("remote_port"), 4, "0"), "00000000", "FD00", "0" * 26, two(k + 1), "00000000")
+    sent = text(head("SOCKADDR"), "saddr=", F.when(k % 6 == 0, six).otherwise(four))
+    login = text(head("USER_LOGIN"), "pid=", k, " uid=0 auid=", F.col("uid"), ' acct="', F.col("auth_user"), '" exe="/usr/sbin/sshd" hostname=? addr=', F.col("remote_ip"), " terminal=ssh res=", F.when(k % 3 == 0, "failed").otherwise("success"))
+    run = F.when(k % 4 == 0, script).when(k % 4 == 1, pieces).otherwise(plain)
+    own = F.when(of == "process", F.array(sys, run, cwd)).when(of == "network", F.array(sys, sent)).when(of == "auth", F.array(login)).when(k % 5 == 0, F.array(sys, cwd, folder, path)).otherwise(F.array(sys, cwd, path))
+    return e.select("seq", F.posexplode(F.concat(own, F.array(head("EOE")))).alias("n", "value")).select("value", (F.col("seq") * 8 + F.col("n")).alias("pos"), F.lit("events").alias("path"))
 
 
 def journal_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Each event as a journald entry of a login, a sudo call or a service, in (value, pos)."""
+    """Each event as a journald entry of a login, a sudo call or a service, in (value, pos); some messages come as arrays of bytes."""
     e = events(spark, sf_dir)
-    login = F.concat(F.when(F.col("success"), "Accepted").otherwise("Failed"), F.lit(" password for "), F.when(F.col("k") % 9 == 0, "invalid user ").otherwise(""), "auth_user", F.lit(" from "), "remote_ip", F.lit(" port "), F.col("remote_port").cast("string"), F.lit(" ssh2"))
-    sudo = F.concat("auth_user", F.lit(" : TTY=pts/0 ; PWD=/srv ; USER=root ; COMMAND=/bin/ls "), "path")
-    kind = F.col("seq") % 3
-    message = F.when(kind == 0, login).when(kind == 1, sudo).otherwise(F.concat(F.lit("started "), "action"))
-    program = F.when(kind == 0, "sshd").when(kind == 1, "sudo").otherwise("app")
-    entry = F.struct(F.col("ts_us").cast("string").alias("__REALTIME_TIMESTAMP"), F.col("host").alias("_HOSTNAME"), message.alias("MESSAGE"), program.alias("_COMM"), F.when(kind == 2, "app.service").alias("_SYSTEMD_UNIT"), F.col("priority").cast("string").alias("PRIORITY"), F.col("uid").cast("string").alias("_UID"))
-    return e.select(F.to_json(entry).alias("value"), F.col("seq").alias("pos"))
+    k, kind = F.col("k"), F.col("seq") % 3
+    text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
+    login = text(F.when(F.col("success"), "Accepted").otherwise("Failed"), " password for ", F.when(k % 9 == 0, "invalid user ").otherwise(""), F.col("auth_user"), " from ", F.col("remote_ip"), " port ", F.col("remote_port"), " ssh2")
+    unknown = text("Invalid user ", F.col("auth_user"), " from ", F.col("remote_ip"), " port ", F.col("remote_port"))
+    sudo = text(F.col("auth_user"), " : TTY=pts/0 ; PWD=/srv ; USER=root ; COMMAND=/bin/ls ", F.col("path"))
+    refused = text(F.col("auth_user"), " : 3 incorrect password attempts")
+    message = F.when((kind == 0) & (k % 9 == 1), unknown).when(kind == 0, login).when((kind == 1) & (k % 9 == 2), refused).when(kind == 1, sudo).otherwise(text("started ", F.col("action")))
+    program = F.when(kind == 0, "sshd").when(kind == 1, "sudo")
+    entry = F.struct(
+        F.col("ts_us").cast("string").alias("__REALTIME_TIMESTAMP"), F.col("host").alias("_HOSTNAME"), program.alias("_COMM"), F.when(kind == 2, "app").alias("SYSLOG_IDENTIFIER"), F.when(kind == 2, "app.service").alias("_SYSTEMD_UNIT"), F.when(kind == 0, "/usr/sbin/sshd").alias("_EXE"),
+        F.when(kind == 2, text("app --seq ", F.col("seq"))).alias("_CMDLINE"), F.col("priority").cast("string").alias("PRIORITY"), F.col("uid").cast("string").alias("_UID"),
+    )
+    said = F.when(k % 10 == 3, F.to_json(F.transform(F.split(message, ""), lambda c: F.ascii(c)))).otherwise(text('"', message, '"'))
+    return e.select(text('{"MESSAGE":', said, ",", F.substring(F.to_json(entry), 2, 1 << 20)).alias("value"), F.col("seq").alias("pos"))
 
 
 def web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,7 +114,7 @@ def web_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ALERTS_SQL = """al AS (
   SELECT 'A' || lpad(CAST(doc_id AS VARCHAR), 12, '0') AS alert_id, 'rule_' || source AS rule, CASE n_chars % 5 WHEN 0 THEN 'info' WHEN 1 THEN 'low' WHEN 2 THEN 'medium' WHEN 3 THEN 'high' ELSE 'critical' END AS severity,
-    substr(sha256('s' || (doc_id % 97)), 1, 16) AS signature, 'h' || (doc_id % 8) AS host, '/usr/bin/' || lang AS exe, CASE WHEN doc_id % 2 = 1 THEN '/data/' || (doc_id % 13) END AS path, doc_id AS seq FROM documents)"""
+    substr(sha256('s' || (doc_id % 97)), 1, 16) AS signature, 'h' || (doc_id % 8) AS host, '/usr/bin/' || lang AS exe, CASE WHEN doc_id % 2 = 1 THEN '/data/' || (doc_id % 13) END AS path, ['lang_' || lang, source] AS tags, doc_id AS seq FROM documents)"""
 JOURNAL_SQL = """jr AS (
   SELECT a.alert_id, CASE n WHEN 0 THEN 'in_progress' WHEN 2 THEN 'open' ELSE CASE WHEN toxic = 1 THEN 'true_positive' WHEN quality = 0 THEN 'duplicate' WHEN doc_id % 3 = 0 THEN 'false_positive' ELSE 'benign_positive' END END AS verdict,
     'n' || n AS note, 'a' || (doc_id % 4) AS analyst, a.rule, a.signature, strftime(TIMESTAMP '2024-01-01' + to_seconds(CAST((doc_id * 7919) % 100003 * 3 + n AS BIGINT)), '%Y-%m-%dT%H:%M:%S') AS updated_at, doc_id * 3 + n AS pos
@@ -89,7 +130,7 @@ def alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select(
         F.concat(F.lit("A"), F.lpad(F.col("doc_id").cast("string"), 12, "0")).alias("alert_id"), F.concat(F.lit("rule_"), "source").alias("rule"), F.get(names, (F.col("n_chars") % 5).cast("int")).alias("severity"),
         F.substring(F.sha2(F.concat(F.lit("s"), (F.col("doc_id") % 97).cast("string")), 256), 1, 16).alias("signature"), F.concat(F.lit("h"), (F.col("doc_id") % 8).cast("string")).alias("host"),
-        F.concat(F.lit("/usr/bin/"), "lang").alias("exe"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("/data/"), (F.col("doc_id") % 13).cast("string"))).alias("path"), F.col("doc_id").alias("seq"),
+        F.concat(F.lit("/usr/bin/"), "lang").alias("exe"), F.when(F.col("doc_id") % 2 == 1, F.concat(F.lit("/data/"), (F.col("doc_id") % 13).cast("string"))).alias("path"), F.array(F.concat(F.lit("lang_"), "lang"), F.col("source")).alias("tags"), F.col("doc_id").alias("seq"),
     )
 
 

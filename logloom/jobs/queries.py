@@ -13,8 +13,9 @@ from logloom.jobs.adapters import ALERTS_SQL, EVENTS_SQL, JOURNAL_SQL
 from logloom.jobs.rules import HITS_SQL, RULES, THRESHOLD_SQL, THROTTLE_SQL
 from logloom.operators import alerts as alert_ops
 from logloom.operators import enrich, reports, suppress, verdicts
-from logloom.operators.detect import active, by_rule, key_of, matches
-from logloom.sources import audit, feeds, journal
+from logloom.operators.detect import Rule, active, by_rule, key_of, listed_only, matches, with_listed
+from logloom.sources import audit, feeds, journal, store
+from logloom.sources.schema import with_aliases
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -105,11 +106,6 @@ def threshold_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suppress.threshold(own).select("rule", "key", "seq", "match_count")
 
 
-@query(_HITS + ", sk AS (SELECT rule, auth_user AS key, ts_us, seq, row_number() OVER (PARTITION BY auth_user ORDER BY ts_us, seq) AS rn FROM hits WHERE rule = 'purchases of a user') SELECT count(*) AS n_hits, count(DISTINCT key) AS n_keys FROM sk")
-def throttle_input(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _hits(spark, sf_dir).where("rule = 'purchases of a user'").agg(F.count("*").alias("n_hits"), F.countDistinct("auth_user").alias("n_keys"))
-
-
 @query(f"WITH RECURSIVE {EVENTS_SQL}, {HITS_SQL}, sk AS (SELECT auth_user AS key, ts_us, seq, row_number() OVER (PARTITION BY auth_user ORDER BY ts_us, seq) AS rn FROM hits WHERE rule = 'purchases of a user'), sw AS (SELECT key, rn, seq, ts_us AS last, true AS kept FROM sk WHERE rn = 1 UNION ALL SELECT k.key, k.rn, k.seq, CASE WHEN k.ts_us - w.last >= 172800000000 THEN k.ts_us ELSE w.last END, k.ts_us - w.last >= 172800000000 FROM sw w JOIN sk k ON k.key = w.key AND k.rn = w.rn + 1) SELECT key, seq FROM sw WHERE kept")
 def throttled_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits = matches(adapters.events(spark, sf_dir), [r for r in RULES if r.name == "purchases of a user"])
@@ -141,7 +137,11 @@ _FOLD = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_r
  '(/tmp/|/var/tmp/|/dev/shm/)[A-Za-z0-9._-]*tmp[A-Za-z0-9._-]*', '\1<tmp>', 'g'), '([A-Za-z_-])\d{{3,}}', '\1<n>', 'g'), '(^|[^\d.])\d{{6,}}($|[^\d.])', '\1<n>\2', 'g')"""
 
 
-@query(_EV + "SELECT seq, substr(sha256(concat_ws(chr(31), 'rule=r', 'host=' || host, 'category=' || category, 'action=' || action, 'exe=' || " + _FOLD.format("exe") + ", 'cmdline=' || " + _FOLD.format("cmdline") + ", 'parent_name=' || parent_name, 'path=' || " + _FOLD.format("path") + ", 'uid=' || uid, 'remote_ip=' || remote_ip, 'remote_port=' || remote_port, 'auth_user=' || auth_user)), 1, 16) AS signature FROM ev")
+def _signed_sql(rule: str) -> str:
+    return f"substr(sha256(concat_ws(chr(31), 'rule=' || {rule}, 'host=' || host, 'category=' || category, 'action=' || action, 'exe=' || " + _FOLD.format("exe") + ", 'cmdline=' || " + _FOLD.format("cmdline") + ", 'parent_name=' || parent_name, 'path=' || " + _FOLD.format("path") + ", 'uid=' || uid, 'remote_ip=' || remote_ip, 'remote_port=' || remote_port, 'auth_user=' || auth_user)), 1, 16)"
+
+
+@query(_EV + f"SELECT seq, {_signed_sql("'r'")} AS signature FROM ev")
 def alert_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = adapters.events(spark, sf_dir)
     return e.select("seq", alert_ops.signature(F.lit("r"), {c: F.col(c) for c in e.columns}).alias("signature"))
@@ -156,10 +156,70 @@ def alert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _hits(spark, sf_dir).select("rule", "seq", alert_ops.alert_id(F.floor(F.col("ts_us") / 1000), F.concat_ws("|", "rule", "host", F.col("seq").cast("string"))).alias("alert_id"))
 
 
-@query(_EV + "SELECT seq, CASE WHEN category = 'file' THEN 'access ' || path || ' by ' || cmdline || ' (uid=' || uid || ')' WHEN category = 'network' THEN cmdline || ' -> ' || remote_ip || ':' || remote_port || ' (uid=' || uid || ')' ELSE cmdline || ' (uid=' || uid || ')' END AS summary FROM ev WHERE source = 'auditd'")
+_AUDIT_SENTENCE = "CASE WHEN category = 'file' THEN 'access ' || path || ' by ' || cmdline || ' (uid=' || uid || ')' WHEN category = 'network' THEN cmdline || ' -> ' || remote_ip || ':' || remote_port || ' (uid=' || uid || ')' ELSE cmdline || ' (uid=' || uid || ')' END"
+
+
+@query(_EV + f"""SELECT 'auditd' AS source, seq, {_AUDIT_SENTENCE} AS summary FROM ev WHERE source = 'auditd'
+  UNION ALL SELECT 'journald', seq, CASE seq % 3 WHEN 0 THEN 'ssh ' || CASE WHEN k % 9 < 2 THEN 'invalid_user' WHEN success THEN 'success' ELSE 'failure' END || ' for ' || chr(39) || auth_user || chr(39) || ' from ' || remote_ip
+    WHEN 1 THEN 'sudo ' || auth_user || ' -> root: ' || CASE WHEN k % 9 = 2 THEN '?' ELSE '/bin/ls ' || path END ELSE 'started ' || action END FROM ev""")
 def alert_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = adapters.events(spark, sf_dir).where("source = 'auditd'")
-    return e.select("seq", alert_ops.sentence(e, F.lit("")).alias("summary"))
+    """What alerts would say of all audit events, and of all events as journald entries."""
+    own = adapters.events(spark, sf_dir).where("source = 'auditd'")
+    journald = journal.read_events(adapters.journal_lines(spark, sf_dir))
+    return own.select("source", "seq", alert_ops.sentence(own, F.lit("")).alias("summary")).unionAll(journald.select("source", "pos", alert_ops.sentence(journald, F.lit("")).alias("summary")))
+
+
+def _of_rule(rule: str, value: Callable[[Rule], str]) -> str:
+    return f"CASE {rule} " + " ".join(f"WHEN '{r.name}' THEN '{value(r)}'" for r in RULES) + " END"
+
+
+@query(_KEPT + f"""SELECT {_ID_SQL} AS alert_id, rule AS name, severity_of AS severity, tags, mitre, event_us, source, host, CASE WHEN source = 'journald' THEN described ELSE {_AUDIT_SENTENCE} END AS summary, exe, uid, n_shown, {_signed_sql("rule")} AS signature, match_count FROM (
+  SELECT k.rule, ev.*, ev.ts_us AS event_us, {_of_rule("k.rule", lambda r: r.severity)} AS severity_of, {_of_rule("k.rule", lambda r: ",".join(r.tags))} AS tags, {_of_rule("k.rule", lambda r: ",".join(r.mitre))} AS mitre, {_of_rule("k.rule", lambda r: r.description)} AS described,
+    12 + (parent_name IS NOT NULL)::BIGINT + (interactive IS NOT NULL)::BIGINT AS n_shown, CAST(k.match_count AS BIGINT) AS match_count FROM kept k JOIN ev ON ev.seq = k.seq)""")
+def alert_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole alerts: the rule's fields, the sentence, the event as shown (nulls left out of its JSON) and the signature."""
+    a = alert_ops.build(adapters.events(spark, sf_dir), RULES)
+    shown = F.size(F.json_object_keys(F.to_json("event"))).cast("long")
+    return a.select("alert_id", "rule.name", "severity", F.array_join("rule.tags", ",").alias("tags"), F.array_join("rule.mitre", ",").alias("mitre"), F.unix_micros("event_time").alias("event_us"), "source", "host", "summary", "event.exe", "event.uid", shown.alias("n_shown"), "signature", "match_count")
+
+
+@query(_KEPT + """SELECT f.rule, f.seq, x.rn - f.rn + f.cnt - 1 AS at, e.ts_us, e.auth_user FROM (SELECT t.* FROM tw t JOIN kept k ON k.rule = t.rule AND k.seq = t.seq WHERE t.fired) f
+  JOIN tk x ON x.rule = f.rule AND x.key = f.key AND x.rn BETWEEN f.rn - f.cnt + 1 AND f.rn JOIN ev e ON e.seq = x.seq""")
+def correlated_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The hits that made each threshold fire, as its alert lists them."""
+    a = alert_ops.build(adapters.events(spark, sf_dir), RULES).where("correlated_events is not null")
+    listed = a.select(F.col("rule.name").alias("rule"), "seq", F.posexplode("correlated_events").alias("at", "e"))
+    return listed.select("rule", "seq", F.col("at").cast("long").alias("at"), F.unix_micros("e.ts").alias("ts_us"), "e.auth_user")
+
+
+@query(_KEPT + f"SELECT {_ID_SQL} AS alert_id, rule AS name, {_severity_sql('rule')} AS severity, CAST(match_count AS BIGINT) AS match_count, auth_user FROM (SELECT k.*, ev.host, ev.auth_user FROM kept k JOIN ev ON ev.seq = k.seq)")
+def stored_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts written as JSON lines to the shared folder, and read back."""
+    folder, made = adapters.new_folder(spark, "alerts"), alert_ops.build(adapters.events(spark, sf_dir), RULES)
+    store.write_alerts(made, folder)
+    return store.read_alerts(spark, folder, made.schema).select("alert_id", "rule.name", "severity", "match_count", "event.auth_user")
+
+
+@query(_EV + "SELECT category, listed, count(*) AS n FROM (SELECT category, auth_user IN (SELECT 'u' || c_custkey FROM customer WHERE c_acctbal < 0) AS listed FROM ev) GROUP BY ALL")
+def watchlist_flags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of users on a list that is a table, as a rule tests it."""
+    watched = adapters.table(spark, sf_dir, "customer").where("c_acctbal < 0").select(F.concat(F.lit("u"), F.col("c_custkey").cast("string")).alias("name"))
+    e = with_listed(adapters.events(spark, sf_dir), "listed", "auth_user", watched, "name")
+    return e.groupBy("category", Fields(e.schema).truthy("listed").alias("listed")).agg(F.count("*").alias("n"))
+
+
+@query(_EV + ", w AS (SELECT 'sh' || c_nationkey AS name FROM customer WHERE c_nationkey < 1) SELECT seq, true AS listed FROM ev WHERE parent_name IN (SELECT name FROM w) UNION ALL SELECT seq, false FROM ev WHERE coalesce(parent_name NOT IN (SELECT name FROM w), true)")
+def watchlist_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events whose parent is on a list, and those whose parent is not, or is not known."""
+    e, watched = adapters.events(spark, sf_dir), adapters.table(spark, sf_dir, "customer").where("c_nationkey < 1").select(F.concat(F.lit("sh"), F.col("c_nationkey").cast("string")).alias("name"))
+    part = lambda negated: listed_only(e, "parent_name", watched, "name", negated).select("seq", F.lit(not negated).alias("listed"))
+    return part(False).unionAll(part(True))
+
+
+@query(_EV + "SELECT seq, exe AS process_path, path AS filepath, cmdline AS command_line, parent_name AS parent_process_name, priority AS log_priority FROM ev")
+def aliased_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events under the short names of their columns."""
+    return with_aliases(adapters.events(spark, sf_dir)).select("seq", "process_path", "filepath", "command_line", "parent_process_name", "log_priority")
 
 
 @query(_EV + "SELECT e.seq, p.exe AS parent_exe, p.cmdline AS parent_name FROM ev e ASOF LEFT JOIN (SELECT user_id, ts, exe, cmdline FROM ev WHERE category = 'process') p ON e.user_id = p.user_id AND e.ts > p.ts WHERE e.category <> 'process'")
@@ -173,22 +233,62 @@ def parent_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
 # Sources
 
 
-@query(_EV + """SELECT CAST(seq AS VARCHAR) AS serial, host, CASE category WHEN 'process' THEN 'execve' WHEN 'network' THEN 'connect' ELSE 'openat' END AS action, CASE category WHEN 'process' THEN 'process' WHEN 'network' THEN 'network' ELSE 'file' END AS category,
-  success, uid, true AS is_root, uid <> 0 AS priv_escalated, NOT is_root AS auid_set, coalesce(interactive, false) AS interactive, auth_user AS user, 'k1' AS key,
-  CASE WHEN category = 'process' THEN 'tool --id ' || seq || ' x"y' ELSE exe END AS cmdline, CASE WHEN category = 'process' THEN 3 END AS argc, CASE WHEN category NOT IN ('process', 'network') THEN CASE WHEN path LIKE '/tmp/%' THEN path ELSE '/srv/' || substr(path, 7) END END AS path,
-  CASE WHEN category NOT IN ('process', 'network') THEN k % 7 = 0 END AS is_setuid, CASE WHEN category NOT IN ('process', 'network') THEN k % 2 = 0 ELSE false END AS is_write, CASE WHEN category = 'network' THEN remote_ip END AS remote_ip, CASE WHEN category = 'network' THEN remote_port END AS remote_port FROM ev""")
+_AUDIT_SQL = """au AS (
+  SELECT *, CASE WHEN is_file THEN path_of END AS apath FROM (SELECT CAST(seq AS VARCHAR) AS serial, *, category = 'process' AS is_run, category = 'network' AS is_net, category = 'auth' AS is_login, category IN ('file', 'kernel') AS is_file,
+    CASE WHEN path LIKE '/tmp/%' THEN path ELSE '/srv/' || substr(path, 7) END AS path_of, CASE WHEN category = 'process' AND k % 4 = 0 THEN '/usr/bin/python3.11' ELSE exe END AS aexe FROM ev))"""
+_AUDIT_ROWS = """SELECT serial, host, CASE WHEN is_run THEN 'execve' WHEN is_net THEN 'connect' WHEN is_login THEN 'user_login' ELSE 'openat' END AS action, CASE WHEN is_run THEN 'process' WHEN is_net THEN 'network' WHEN is_login THEN 'auth' ELSE 'file' END AS category,
+  CASE WHEN is_login THEN k % 3 <> 0 ELSE success END AS success, CASE WHEN NOT is_login THEN uid END AS uid, CASE WHEN NOT is_login THEN true END AS is_root, CASE WHEN NOT is_login THEN uid <> 0 END AS priv_escalated, CASE WHEN NOT is_login THEN NOT is_root END AS auid_set,
+  CASE WHEN NOT is_login THEN coalesce(interactive, false) END AS interactive, CASE WHEN NOT is_login THEN auth_user END AS user, CASE WHEN NOT is_login THEN 'k1' END AS key,
+  CASE WHEN is_run THEN CASE k % 4 WHEN 0 THEN 'python3.11 /opt/run-' || k || '.py' WHEN 1 THEN 'tool part-' || seq || ' x"y' ELSE 'tool --id ' || seq || ' x"y' END WHEN NOT is_login THEN exe END AS cmdline, CASE WHEN is_run THEN CASE WHEN k % 4 = 0 THEN 2 ELSE 3 END END AS argc,
+  CASE WHEN NOT is_login THEN split_part(aexe, '/', -1) END AS exe_name, CASE WHEN NOT is_login THEN regexp_replace(aexe, '/[^/]*$', '') END AS exe_dir, CASE WHEN is_run AND k % 4 = 0 THEN 'python3.11' END AS interpreter, CASE WHEN is_run AND k % 4 = 0 THEN true END AS is_script,
+  apath AS path, CASE WHEN is_file THEN 1 + (k % 5 = 0)::INT END AS n_paths, CASE WHEN is_file THEN CASE WHEN k % 5 = 0 THEN 'CREATE' ELSE 'NORMAL' END END AS nametype, split_part(apath, '/', -1) AS file_name, regexp_replace(apath, '/[^/]*$', '') AS file_dir, CASE WHEN apath LIKE '%.sh' THEN 'sh' END AS file_ext,
+  CASE WHEN is_file THEN k % 7 = 0 END AS is_setuid, CASE WHEN is_file THEN k % 2 = 0 WHEN NOT is_login THEN false END AS is_write, CASE WHEN is_net AND k % 6 = 0 THEN 'fd00::' || format('{:x}', k + 1) WHEN is_net OR is_login THEN remote_ip END AS remote_ip,
+  CASE WHEN is_net THEN remote_port END AS remote_port, CASE WHEN is_net THEN CASE WHEN k % 6 = 0 THEN 'inet6' ELSE 'inet' END END AS addr_family, CASE WHEN is_login THEN auth_user END AS auth_user, CASE WHEN is_login THEN CASE WHEN k % 3 = 0 THEN 'failure' ELSE 'success' END END AS auth_result,
+  CASE WHEN is_login THEN 'ssh' WHEN interactive THEN 'pts0' ELSE '(none)' END AS tty FROM au"""
+_AUDIT_COLUMNS = ("serial", "host", "action", "category", "success", "uid", "is_root", "priv_escalated", "auid_set", "interactive", "user", "key", "cmdline", "argc", "exe_name", "exe_dir", "interpreter", "is_script", "path", "nametype", "file_name", "file_dir", "file_ext", "is_setuid", "is_write", "remote_ip", "remote_port", "addr_family", "auth_user", "auth_result", "tty")
+
+
+@query(f"WITH {EVENTS_SQL}, {_AUDIT_SQL} {_AUDIT_ROWS}")
 def audit_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit text of all events, read back: records, events and canonical columns. The SQL knows only the events."""
     found = audit.read_events(adapters.audit_lines(spark, sf_dir))
-    return found.select("serial", "host", "action", "category", "success", "uid", "is_root", "priv_escalated", "auid_set", "interactive", "user", "key", "cmdline", "argc", "path", "is_setuid", "is_write", "remote_ip", "remote_port")
+    return found.select(*_AUDIT_COLUMNS, F.size("paths").alias("n_paths"))
 
 
-@query(_EV + """SELECT seq AS pos, host, ts_us, CASE seq % 3 WHEN 2 THEN 'service' ELSE 'auth' END AS category, CASE seq % 3 WHEN 0 THEN 'ssh_login' WHEN 1 THEN 'sudo' ELSE 'log' END AS action, CASE WHEN seq % 3 < 2 THEN auth_user END AS auth_user,
-  CASE seq % 3 WHEN 0 THEN CASE WHEN k % 9 = 0 THEN 'invalid_user' WHEN success THEN 'success' ELSE 'failure' END WHEN 1 THEN 'success' END AS auth_result, CASE WHEN seq % 3 = 0 THEN remote_ip END AS remote_ip, CASE WHEN seq % 3 = 0 THEN remote_port END AS remote_port,
-  CASE WHEN seq % 3 = 1 THEN '/bin/ls ' || path END AS sudo_command, CASE WHEN seq % 3 = 2 THEN 'app' END AS service, priority, ['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'info', 'debug'][priority + 1] AS priority_label, priority <= 3 AS is_error, uid FROM ev""")
+_JOURNAL_ROWS = """SELECT seq AS pos, host, ts_us, CASE seq % 3 WHEN 2 THEN 'service' ELSE 'auth' END AS category, CASE seq % 3 WHEN 0 THEN 'ssh_login' WHEN 1 THEN 'sudo' ELSE 'log' END AS action, CASE WHEN seq % 3 < 2 THEN auth_user END AS auth_user,
+  CASE seq % 3 WHEN 0 THEN CASE WHEN k % 9 < 2 THEN 'invalid_user' WHEN success THEN 'success' ELSE 'failure' END WHEN 1 THEN CASE WHEN k % 9 = 2 THEN 'failure' ELSE 'success' END END AS auth_result,
+  CASE seq % 3 WHEN 0 THEN CASE WHEN k % 9 = 1 THEN false ELSE success END WHEN 1 THEN k % 9 <> 2 END AS success, CASE WHEN seq % 3 = 0 AND k % 9 <> 1 THEN 'password' END AS auth_method, CASE WHEN seq % 3 = 0 THEN remote_ip END AS remote_ip, CASE WHEN seq % 3 = 0 AND k % 9 <> 1 THEN remote_port END AS remote_port,
+  CASE WHEN seq % 3 = 1 AND k % 9 <> 2 THEN '/bin/ls ' || path END AS sudo_command, CASE WHEN seq % 3 = 1 AND k % 9 <> 2 THEN 'root' END AS sudo_target_user, CASE WHEN seq % 3 = 2 THEN 'app' END AS service, priority, ['emergency', 'alert', 'critical', 'error', 'warning', 'notice', 'info', 'debug'][priority + 1] AS priority_label, priority <= 3 AS is_error, uid,
+  CASE seq % 3 WHEN 0 THEN 'sshd' WHEN 1 THEN 'sudo' ELSE 'app' END AS comm, CASE seq % 3 WHEN 0 THEN 'sshd' WHEN 1 THEN 'sudo' ELSE 'app' END AS exe_name, CASE WHEN seq % 3 = 2 THEN 'app --seq ' || seq WHEN seq % 3 = 1 AND k % 9 <> 2 THEN '/bin/ls ' || path END AS cmdline,
+  CASE WHEN seq % 3 = 2 THEN 'started ' || action WHEN seq % 3 = 1 THEN CASE WHEN k % 9 = 2 THEN auth_user || ' : 3 incorrect password attempts' ELSE auth_user || ' : TTY=pts/0 ; PWD=/srv ; USER=root ; COMMAND=/bin/ls ' || path END
+    WHEN k % 9 = 1 THEN 'Invalid user ' || auth_user || ' from ' || remote_ip || ' port ' || remote_port ELSE CASE WHEN success THEN 'Accepted' ELSE 'Failed' END || ' password for ' || CASE WHEN k % 9 = 0 THEN 'invalid user ' ELSE '' END || auth_user || ' from ' || remote_ip || ' port ' || remote_port || ' ssh2' END AS message FROM ev"""
+
+
+@query(_EV + _JOURNAL_ROWS)
 def journal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = journal.read_events(adapters.journal_lines(spark, sf_dir))
-    return found.select("pos", "host", F.unix_micros("ts").alias("ts_us"), "category", "action", "auth_user", "auth_result", "remote_ip", "remote_port", "sudo_command", "service", "priority", "priority_label", "is_error", "uid")
+    return found.select(
+        "pos", "host", F.unix_micros("ts").alias("ts_us"), "category", "action", "auth_user", "auth_result", "success", "auth_method", "remote_ip", "remote_port", "sudo_command", "sudo_target_user", "service", "priority", "priority_label", "is_error", "uid", "comm", "exe_name", "cmdline", "message"
+    )
+
+
+def _stored_lines(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
+    """Globs of files of audit lines and of journald lines that were written to the shared folder."""
+    folder = adapters.new_folder(spark, "lines")
+    adapters.audit_lines(spark, sf_dir).select("value").write.text(f"{folder}/audit/a")
+    adapters.journal_lines(spark, sf_dir).select("value").write.text(f"{folder}/journal/a")
+    return f"{folder}/audit/*/part-*", f"{folder}/journal/*/part-*"
+
+
+@query(f"WITH {EVENTS_SQL}, {_AUDIT_SQL} SELECT 'auditd' AS source, host, action, category, success, cmdline, path, remote_ip FROM ({_AUDIT_ROWS}) UNION ALL SELECT 'journald', host, action, category, success, cmdline, NULL, remote_ip FROM ({_JOURNAL_ROWS})")
+def stored_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two registered feeds read from text files, in one schema; a third without paths is left out."""
+    lines, entries = _stored_lines(spark, sf_dir)
+    known = feeds.Feeds()
+    known.register("auditd", lambda s, paths: audit.read_events(feeds.text_lines(s, paths)))
+    known.register("journald", lambda s, paths: journal.read_events(feeds.text_lines(s, paths)))
+    known.register("web", lambda s, paths: feeds.read_events(feeds.text_lines(s, paths), WEB, now=0.0))
+    return known.read(spark, {"auditd": [lines], "journald": [entries], "web": []}).select("source", "host", "action", "category", "success", "cmdline", "path", "remote_ip")
 
 
 WEB = feeds.FeedSpec(
@@ -203,21 +303,30 @@ def web_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("pos", "remote_ip", "http_path", "http_query", "http_status", "bytes_sent", "epoch", "message")
 
 
-ORDERS = feeds.FeedSpec(name="orders", format="json", json_fields=("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate"), field_map={"o_orderstatus": "outcome", "o_orderkey": "event_id"}, types={"o_totalprice": "int"}, timestamp_field="o_orderdate", static={"host": "shop"})
+ORDERS = feeds.FeedSpec(
+    name="orders", format="json", json_fields=("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_urgent", "o_note"), field_map={"o_orderstatus": "outcome", "o_orderkey": "event_id", "o_totalprice": "request_time", "o_urgent": "is_warning", "o_note": ""},
+    types={"request_time": "float", "o_urgent": "bool", "event_id": "str"}, timestamp_field="o_orderdate", static={"host": "shop", "outcome": "none"},
+)
+_ORDER_LINE = """'{"o_orderkey":' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',"o_orderstatus":"' || o_orderstatus || '"' END || ',"o_totalprice":"' || CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_urgent":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END || '","o_note":"x"}'"""
 
 
-@query("SELECT CAST(o_orderkey AS VARCHAR) AS event_id, o_orderstatus AS outcome, 'shop' AS host, 'log' AS category, CAST(epoch(o_orderdate) AS DOUBLE) AS epoch FROM orders")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE o_orderstatus END AS outcome, 'shop' AS host, 'log' AS category, CAST(epoch(o_orderdate) AS DOUBLE) AS epoch, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) AS request_time, o_orderkey % 2 = 0 AS is_warning, {_ORDER_LINE} AS message, substr({_ORDER_LINE}, 1, 200) AS message_snippet FROM orders")
 def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as JSON lines: renamed, typed, dropped and constant fields; without a message field the line is the message."""
     o = adapters.table(spark, sf_dir, "orders")
-    lines = o.select(F.to_json(F.struct("o_orderkey", "o_orderstatus", "o_totalprice", F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"))).alias("value"), F.col("o_orderkey").alias("pos"))
-    return feeds.read_events(lines, ORDERS, now=0.0).select("event_id", "outcome", "host", "category", "epoch")
+    entry = F.struct(
+        "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"), F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("no").alias("o_urgent"), F.lit("x").alias("o_note"),
+    )
+    lines = o.select(F.to_json(entry).alias("value"), F.col("o_orderkey").alias("pos"))
+    return feeds.read_events(lines, ORDERS, now=0.0).select("event_id", "outcome", "host", "category", "epoch", "request_time", "is_warning", "message", "message_snippet")
 
 
-@query(_EV + "SELECT source, count(*) AS n FROM (SELECT 'auditd' AS source FROM ev UNION ALL SELECT 'journald' FROM ev UNION ALL SELECT 'web' FROM pages) GROUP BY source")
+@query(_EV + "SELECT source, category, count(*) AS n FROM (SELECT 'auditd' AS source, CASE WHEN category IN ('process', 'network', 'auth') THEN category ELSE 'file' END AS category FROM ev UNION ALL SELECT 'journald', CASE seq % 3 WHEN 2 THEN 'service' ELSE 'auth' END FROM ev UNION ALL SELECT 'web', 'web' FROM pages) GROUP BY ALL")
 def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Three feeds in one schema; only the columns that are asked for are made."""
     every = feeds.union_feeds([audit.read_events(adapters.audit_lines(spark, sf_dir)), journal.read_events(adapters.journal_lines(spark, sf_dir)), feeds.read_events(adapters.web_lines(spark, sf_dir), WEB, now=0.0)])
-    return every.groupBy("source").agg(F.count("*").alias("n"))
+    return every.groupBy("source", "category").agg(F.count("*").alias("n"))
 
 
 # Verdicts
@@ -256,7 +365,7 @@ def rule_tallies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.rule_tallies(_latest(spark, sf_dir))
 
 
-_PRECISION = ", t AS (SELECT rule, count_if(verdict = 'true_positive') AS true_positive, count_if(verdict = 'benign_positive') AS benign_positive, count_if(verdict = 'false_positive') AS false_positive FROM lt GROUP BY rule) SELECT t.rule, f.fired, true_positive, benign_positive, false_positive, (true_positive + benign_positive) / (true_positive + benign_positive + false_positive) AS precision FROM t JOIN (SELECT rule, count(*) AS fired FROM al GROUP BY rule) f USING (rule) WHERE true_positive + benign_positive + false_positive > 0 ORDER BY precision, rule LIMIT 12"
+_PRECISION = ", t AS (SELECT rule, count_if(verdict = 'true_positive') AS true_positive, count_if(verdict = 'benign_positive') AS benign_positive, count_if(verdict = 'false_positive') AS false_positive FROM lt GROUP BY rule) SELECT t.rule, coalesce(f.fired, 0) AS fired, true_positive, benign_positive, false_positive, (true_positive + benign_positive) / (true_positive + benign_positive + false_positive) AS precision FROM t LEFT JOIN (SELECT rule, count(*) AS fired FROM al GROUP BY rule) f USING (rule) WHERE true_positive + benign_positive + false_positive > 0 ORDER BY precision, rule LIMIT 12"
 
 
 @query(_JR + _PRECISION)
@@ -274,10 +383,59 @@ def known_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verdicts.annotate(adapters.alerts(spark, sf_dir), _latest(spark, sf_dir), drop_false_positives=True).select("alert_id", "prior_verdict")
 
 
-@query(_JR + f"SELECT DISTINCT al.alert_id, al.{{0}} FROM al LEFT JOIN lt USING (alert_id) WHERE al.severity = 'critical' AND al.seq % 1000 = 4 OR al.{{0}} IN (SELECT {{0}} FROM al WHERE severity = 'critical' AND seq % 1000 = 4) AND coalesce(lt.verdict NOT IN {_CLOSED}, true)".format("signature"))
+def _scope_sql(scope: str, chosen: str) -> str:
+    return _JR + f"SELECT DISTINCT al.alert_id, al.{scope} FROM al LEFT JOIN lt USING (alert_id) WHERE {chosen} OR al.{scope} IN (SELECT {scope} FROM al WHERE {chosen}) AND coalesce(lt.verdict NOT IN {_CLOSED}, true)"
+
+
+@query(_scope_sql("signature", "al.severity = 'critical' AND al.rule = 'rule_src1'"))
 def bulk_verdict_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a verdict on all critical alerts of a rule covers by their signatures."""
+    a = adapters.alerts(spark, sf_dir)
+    return verdicts.in_scope(a, _latest(spark, sf_dir), a.where("severity = 'critical' and rule = 'rule_src1'").select("alert_id"), "signature").select("alert_id", "signature")
+
+
+@query(_scope_sql("rule", "al.severity = 'critical' AND al.rule IN ('rule_src1', 'rule_src2')"))
+def rule_verdict_scope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a verdict on the critical alerts of two rules covers by their rules."""
+    a = adapters.alerts(spark, sf_dir)
+    return verdicts.in_scope(a, _latest(spark, sf_dir), a.where("severity = 'critical' and rule in ('rule_src1', 'rule_src2')").select("alert_id"), "rule").select("alert_id", "rule")
+
+
+@query(_JR + "SELECT signature, verdict, alert_id FROM ix WHERE verdict IN ('true_positive', 'benign_positive')")
+def chosen_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.known_signatures(_latest(spark, sf_dir), ("true_positive", "benign_positive"))
+
+
+@query(_JR + "SELECT alert_id, verdict, updated_at, row_number() OVER (ORDER BY updated_at DESC, alert_id) AS place FROM lt")
+def newest_records(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All records, the newest first; place is where a record is in that order."""
+    listed = verdicts.newest_first(_latest(spark, sf_dir)).select("alert_id", "verdict", "updated_at")
+    return adapters.with_place(listed)
+
+
+@query(_AL + "SELECT alert_id, CASE WHEN seq % 5 = 0 THEN substr(sha256(concat_ws(chr(31), 'rule=' || rule, 'host=' || host, 'exe=' || exe, 'path=' || path)), 1, 16) ELSE signature END AS signature FROM al")
+def recomputed_signatures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Alerts of which a fifth has no signature, or an empty one: those get it anew."""
+    old = F.when(F.col("seq") % 10 == 0, "").when(F.col("seq") % 5 != 0, F.col("signature"))
+    return alert_ops.signed(adapters.alerts(spark, sf_dir).withColumn("signature", old)).select("alert_id", "signature")
+
+
+@query(_JR + "SELECT alert_id, verdict, note, analyst, updated_at FROM lt")
+def stored_journal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The journal's lines appended to files in three steps, and read back: the last line of each alert."""
+    folder, lines = adapters.new_folder(spark, "journal"), adapters.journal(spark, sf_dir)
+    for step in range(3):
+        store.append_journal(lines.where(F.col("note") == f"n{step}").drop("pos"), folder)
+    return verdicts.latest(store.load_journal(spark, folder)).select("alert_id", "verdict", "note", "analyst", "updated_at")
+
+
+@query(_EFF + "SELECT 'alerts' AS metric, count_if(p IS DISTINCT FROM 'false_positive') AS n FROM (SELECT al.*, ix.verdict AS p FROM al LEFT JOIN ix ON ix.signature = al.signature) UNION ALL SELECT 'matches', count(*) FROM al UNION ALL SELECT 'suppressed', 0"
+       " UNION ALL SELECT 'known', count(*) FROM al JOIN ix ON ix.signature = al.signature UNION ALL SELECT 'known_dropped', count(*) FROM al JOIN ix ON ix.signature = al.signature WHERE ix.verdict = 'false_positive' UNION ALL SELECT 'known_' || ix.verdict, count(*) FROM al JOIN ix ON ix.signature = al.signature GROUP BY 1"
+       " UNION ALL SELECT 'sev_' || al.severity, count(*) FROM al LEFT JOIN ix ON ix.signature = al.signature WHERE ix.verdict IS DISTINCT FROM 'false_positive' GROUP BY 1")
+def known_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The counters of a run that drops repeats of false positives."""
     a = adapters.alerts(spark, sf_dir)
-    return verdicts.in_scope(a, _latest(spark, sf_dir), a.where("severity = 'critical' and seq % 1000 = 4").select("alert_id"), "signature").select("alert_id", "signature")
+    return alert_ops.run_counts(a, verdicts.annotate(a, _latest(spark, sf_dir)), drop_false_positives=True)
 
 
 @query(_JR + "SELECT al.alert_id, 'duplicate' AS verdict, coalesce(lt.rule, '') AS rule, coalesce(lt.signature, '') AS signature, '2024-06-01T00:00:00' AS updated_at FROM al LEFT JOIN lt USING (alert_id) WHERE al.severity = 'high'")
@@ -324,6 +482,16 @@ def inherited_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.with_status(_effective(spark, sf_dir), "inherited").select("alert_id")
 
 
+@query(_AL + "SELECT alert_id FROM al WHERE list_contains(tags, 'src1')")
+def alerts_with_tag(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.with_tag(adapters.alerts(spark, sf_dir), "src1").select("alert_id")
+
+
+@query(_AL + "SELECT alert_id FROM al WHERE host = 'h3'")
+def alerts_of_host(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return reports.of_host(adapters.alerts(spark, sf_dir), "h3").select("alert_id")
+
+
 @query(_AL + "SELECT alert_id FROM al WHERE path LIKE '/data/7%' AND contains(rule, 'src1')")
 def grep_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.grep(reports.rule_contains(adapters.alerts(spark, sf_dir), "SRC1"), '"/DATA/7').select("alert_id")
