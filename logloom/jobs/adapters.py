@@ -25,6 +25,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """rows dealt out to all cores where their files have fewer splits than that, as small tables of one row group do; others stay as they are."""
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+
+
 def new_folder(spark: SparkSession, name: str) -> str:
     """A name in the shared folder that nothing else has."""
     return f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
@@ -41,7 +47,7 @@ def with_place(rows: DataFrame) -> DataFrame:
 
 def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Canonical columns that the events' own ones give."""
-    e = table(spark, sf_dir, "events").withColumn("k", F.get_json_object("props", "$.k").cast("long"))
+    e = spread(table(spark, sf_dir, "events")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
     e = e.withColumn("ts_us", F.expr("timestampdiff(MICROSECOND, TIMESTAMP_NTZ'1970-01-01 00:00:00', cast(ts AS TIMESTAMP_NTZ))")).withColumn("ts", F.timestamp_micros("ts_us"))
     text = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p.cast("string") for p in parts])
     c = F.col
