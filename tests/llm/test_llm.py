@@ -13,7 +13,8 @@ import regex
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.llm import bagminhash, bpe, bpe_codec, common, components, jpeg, license_scans, media_columns, multi_index, near_duplicates, online_packing, packed_matrices, queries, textvec, token_counts, toxicity, weak_quality
+import brute
+from logloom.llm import bagminhash, bpe, bpe_codec, common, components, jpeg, license_scans, media_columns, multi_index, near_duplicates, online_packing, packed_matrices, queries, samples, textvec, token_counts, toxicity, weak_quality
 
 tokenizers = pytest.importorskip("tokenizers")
 P = pytest.importorskip("public_tokenizers")
@@ -283,6 +284,58 @@ def test_quality_keeps_good_texts(spark, odd, empty):
     assert kept.schema == odd.schema and kept.count() == sum(r.predicted for r in rows)
     assert weak_quality.score(empty, weak_quality.trained(empty)).count() == 0
 
+def test_toxicity_by_plain_loops(spark, docs, odd):
+    """The registered query, of all rows and whole texts, is what loops over words and their n-grams give under the same model."""
+    model = toxicity.trained(docs, spark.read.parquet(f"{SF}/labels.parquet"))
+    text = dict(texts(docs))
+    got = queries.queries()["op5_toxicity"](spark, SF).collect()
+    assert {r.doc_id for r in got} == set(text) and len(got) == len(text)
+    for r in got:
+        want = brute.toxic_score(model, text[r.doc_id])
+        assert abs(r.score - want) < 1e-5 and r.predicted == (r.score >= 0.5) and r.held_out == (zlib.crc32(str(r.doc_id).encode()) % 5 == 0)
+    assert np.allclose(model.scores([t or "" for t in ODD]), [brute.toxic_score(model, t or "") for t in ODD], atol=1e-5)
+
+
+def test_what_toxicity_is_fitted_to(spark, docs, monkeypatch):
+    """Labels of rows that are not held out, without ids that have both labels, and of texts of any length."""
+    seen = []
+    monkeypatch.setattr(toxicity, "fit", lambda x, y, **more: seen.append((sorted(zip(x, y, strict=True)), more["share_of_1"])))
+    rows = [(i, f"text {i}" + " long" * (20_000 if i == 7 else 0)) for i in range(60)] + [(7, "a text of the same id"), (None, "none"), (3, None)]
+    marks = [(i, i % 2) for i in range(0, 60, 3)] + [(7, 1), (9, 0), (7, 1), (12, None), (None, 1), (15, 5), (999, 1)]
+    toxicity.trained(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(marks, "doc_id long, toxic int"))
+    own = collections.defaultdict(set)
+    for i, y in marks:
+        if i is not None and y in (0, 1) and zlib.crc32(str(i).encode()) % 5:
+            own[i].add(y)
+    own = {i: y.pop() for i, y in own.items() if len(y) == 1}
+    text = {i: min(t or "" for j, t in rows if j == i) for i in own if i < 60}
+    assert seen == [(sorted((t, own[i]) for i, t in text.items()), sum(own.values()) / len(own))] and 7 in text and 9 not in own
+
+
+def test_quality_by_plain_loops(spark, docs):
+    """The registered query is what loops over characters and words give: votes, accuracies over all texts, and the scorer's sums."""
+    _, scorer = weak_quality.trained(docs)
+    text = dict(texts(docs))
+    given = {i: brute.votes(t, weak_quality.LABELLERS) for i, t in text.items()}
+    chance = brute.posterior(given.values())
+    got = queries.queries()["op10_weak_quality"](spark, SF).collect()
+    assert {r.doc_id for r in got} == set(text) and len(got) == len(text)
+    for r in got:
+        assert abs(r.posterior - chance(given[r.doc_id])) < 1e-4 and abs(r.score - brute.quality_score(scorer, text[r.doc_id])) < 1e-6 and r.predicted == (r.score >= 0.5)
+    odd_votes = weak_quality.votes_of(weak_quality.patterns(weak_quality.measures(textvec.Batch.of([t or "" for t in ODD]), len(ODD))))
+    assert odd_votes.tolist() == [list(brute.votes(t or "", weak_quality.LABELLERS)) for t in ODD]
+
+
+def test_a_hot_text_fills_no_sample_and_layout_does_not_matter(spark):
+    """Half of the rows are one text: of the bounded sample it has its share, and the same rows are drawn however the table is cut."""
+    rows = [(i, "the same text again" if i % 2 else f"text of number {i}") for i in range(3000)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    drawn = [sorted((r.doc_id, r.text) for r in samples.sampled(df.repartition(n), ["doc_id", "text"], 3000, 400, 13).collect()) for n in (1, 7)]
+    assert drawn[0] == drawn[1] and len(drawn[0]) == 400
+    assert 140 < sum(t == "the same text again" for _, t in drawn[0]) < 260
+    models = [weak_quality.trained(df.repartition(n), most=400) for n in (1, 7)]
+    assert np.array_equal(models[0][1].weight, models[1][1].weight)
+
 
 def test_expectation_maximisation_finds_the_accuracies():
     r = np.random.default_rng(5)
