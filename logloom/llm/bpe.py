@@ -35,6 +35,19 @@ def byte_letters() -> dict[str, int]:
     return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def unsupported(spec: dict) -> list[str]:
+    """What a tokenizer's file asks for besides byte-level BPE with its usual pattern, plain merges and special strings that are taken as they stand."""
+    model, before = spec["model"], spec.get("pre_tokenizer") or {}
+    asked = {
+        "a normalizer": spec.get("normalizer"),
+        "another pre-tokenizer": before.get("type") != "ByteLevel" or before.get("add_prefix_space", True) or not before.get("use_regex", True),
+        "another model": model.get("type", "BPE") != "BPE",
+        **{k: model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")},
+        "flags of added tokens": any(a.get(k) for a in spec["added_tokens"] for k in ("single_word", "lstrip", "rstrip", "normalized")),
+    }
+    return [k for k, v in asked.items() if v]
+
+
 @dataclass(frozen=True)
 class Vocabulary:
     """Bytes of each id, ranks of merges and strings that are one id each."""
@@ -48,6 +61,9 @@ class Vocabulary:
     def load(cls, path: str) -> Vocabulary:
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        unlike = unsupported(spec)
+        if unlike:
+            raise ValueError(f"{path} needs what this encoder does not do: {', '.join(unlike)}")
         letters = byte_letters()
         raw = lambda t: bytes(letters[c] for c in t)
         special = {a["content"]: a["id"] for a in spec["added_tokens"]}

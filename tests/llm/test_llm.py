@@ -88,6 +88,11 @@ def test_pair_table_and_backtracking_follow_the_merges():
     assert b"".join(v.tokens[i] for i in b.encode(long)) == long
 
 
+def test_other_vocabularies_are_refused():
+    with pytest.raises(ValueError, match="a normalizer, another pre-tokenizer, end_of_word_suffix"):
+        bpe.Vocabulary.load(P.path("word_bpe_49k.json"))
+
+
 def test_counts_by_chunks_are_counts_of_the_whole(odd, docs, empty, library):
     for df in (odd, docs):
         want = collections.Counter((i, len(t.encode()), len(want_ids(library, t))) for i, t in texts(df))
