@@ -16,6 +16,7 @@ from logloom.operators import enrich, reports, suppress, verdicts
 from logloom.operators.detect import Rule, active, by_rule, key_of, listed_only, matches, with_listed
 from logloom.sources import audit, feeds, journal, store
 from logloom.sources.schema import with_aliases
+from logloom.streaming import assembly, sinks, suppression
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -329,6 +330,36 @@ def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return every.groupBy("source", "category").agg(F.count("*").alias("n"))
 
 
+# Streams
+
+
+@query(f"WITH {EVENTS_SQL}, {_AUDIT_SQL} SELECT serial, host, action, category, success, cmdline, path, n_paths, nametype, auth_user FROM ({_AUDIT_ROWS})")
+def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit lines in files, read and assembled as a stream to its end; what it wrote."""
+    folder, (lines, _) = adapters.new_folder(spark, "stream"), _stored_lines(spark, sf_dir)
+    found = assembly.event_stream(sinks.line_stream(spark, lines)).select("serial", "host", "action", "category", "success", "cmdline", "path", F.size("paths").alias("n_paths"), "nametype", "auth_user")
+    sinks.write_alerts(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").drop("batch")
+
+
+@query(_FIRED + "SELECT rule, key, seq, match_count FROM fired")
+def streamed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds over a stream of hits that stops and goes on from its checkpoint; a hit of a later year makes the last ones ready."""
+    folder = adapters.new_folder(spark, "stream")
+    hits, rules = _hits(spark, sf_dir), [r for r in active(RULES) if r.threshold]
+    own = hits.where(F.col("rule").isin([r.name for r in rules])).select("rule", by_rule(rules, lambda r: key_of(hits, r.threshold.by)).cast("string").alias("key"), "ts", "seq", by_rule(rules, lambda r: F.lit(r.threshold.count)).cast("int").alias("count"), by_rule(rules, lambda r: F.lit(int(r.threshold.window_s * 1e6))).cast("long").alias("window_us"))
+    name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
+    spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        for more in (own, own.limit(1).withColumns({"rule": F.lit("the end"), "ts": F.lit("2099-01-01").cast("timestamp")})):
+            more.write.mode("append").parquet(f"{folder}/in")
+            stream = spark.readStream.schema(own.schema).parquet(f"{folder}/in")
+            sinks.write_alerts(suppression.suppress_stream(stream, "threshold"), f"{folder}/out", f"{folder}/state").awaitTermination()
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+    return spark.read.parquet(f"{folder}/out").where("rule <> 'the end'").select("rule", "key", "seq", F.col("match_count").cast("int").alias("match_count"))
+
+
 # Verdicts
 
 
