@@ -3,19 +3,29 @@
 Keys are cut at quiet times first: after a gap longer than the window nothing that came before matters, nor do hits that are too few
 to fill a threshold's window with those that follow, so the parts of a busy key between such times are walked in different tasks. A part is read from sorted rows batch by batch, with no more
 than the hits of one window in memory.
+
+A part of very many hits is cut by time as well, into sorted ranges of about equal size. Only the first group of a range can go on from the range before, so what it begins with is one state
+for each range: all ranges are walked at once from every state that they might begin with, and the true one follows from range to range on the driver. Then all are walked once more.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
+from logloom.functions.checkpoints import saved
+
 SHOWN = 25
+#: How many hits one task walks of a part that is cut.
+MOST = 2_000_000
+NAMES = ("rule", "key", "part")
+EDGE = pa.schema([("pid", pa.int32()), ("rule", pa.string()), ("key", pa.string()), ("part", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("begin", pa.int64()), ("end", pa.int64())])
 
 
 def firings(t: np.ndarray, count: int, window: int) -> tuple[list[int], int]:
@@ -42,92 +52,265 @@ def emissions(t: np.ndarray, window: int, last: int | None) -> list[int]:
     return out
 
 
-def in_parts(hits: DataFrame, needed: str | None = None) -> DataFrame:
-    """hits (rule, key, ts_us, window_us, ...) with part: the first of the stretches of a window's length that are walked together.
+def _slot() -> Column:
+    return F.floor(F.col("ts_us") / F.greatest("window_us", F.lit(1))).cast("long")
+
+
+def parts_of(hits: DataFrame, most: int, needed: str | None = None) -> DataFrame:
+    """(rule, key, slot, part, n, large) of hits (rule, key, ts_us, window_us): part is the first of the stretches of a window's length (slots) that are walked together.
 
     A part begins after an empty stretch; and where hits have to be as many as the column needed says, also where two stretches that follow each other have fewer hits than it needs, as no window that
-    lies in both can then be full. So of a busy key only those times stay together at which the threshold is near to firing.
+    lies in both can then be full. So of a busy key only those times stay together at which the threshold is near to firing. A part of over most hits is large.
     """
-    slot = F.floor(F.col("ts_us") / F.greatest("window_us", F.lit(1))).cast("long")
-    hits = hits.withColumn("slot", slot)
-    used = hits.groupBy("rule", "key", "slot").agg(F.count("*").alias("n"), F.max(needed if needed else F.lit(0)).alias("needed"))
+    used = hits.groupBy("rule", "key", _slot().alias("slot")).agg(F.count("*").alias("n"), F.max(needed if needed else F.lit(0)).alias("needed"))
     order = W.partitionBy("rule", "key").orderBy("slot")
     apart = (F.col("slot") - F.lag("slot").over(order) > 1) | (F.col("n") + F.lag("n").over(order) < F.col("needed"))
     begins = used.withColumn("begin", F.when(F.coalesce(apart, F.lit(True)), F.col("slot")))
-    parts = begins.withColumn("part", F.last("begin", ignorenulls=True).over(order)).select("rule", "key", "slot", "part")
-    return hits.join(parts, ["rule", "key", "slot"]).drop("slot")
+    parts = begins.withColumn("part", F.last("begin", ignorenulls=True).over(order))
+    large = parts.groupBy("rule", "key", "part").agg(F.sum("n").alias("all")).where(F.col("all") > most).select("rule", "key", "part", F.lit(True).alias("large"))
+    return parts.join(large, ["rule", "key", "part"], "left").select("rule", "key", "slot", "part", "n", F.coalesce("large", F.lit(False)).alias("large"))
 
 
-def walk(hits: DataFrame, extra: list[str], start: Callable[[], object], step: Callable[[object, dict[str, np.ndarray]], Iterator[tuple]], made: list[tuple[str, str, pa.DataType]], needed: str | None = None) -> DataFrame:
-    """step over the sorted rows of each (rule, key, part); it may be called again with the rows that follow, and its state.
+def group_edges(batch: pa.RecordBatch) -> list[int]:
+    """Where the groups of equal rule, key and part begin in a batch, and its end."""
+    changed = np.zeros(batch.num_rows - 1, bool)
+    for c in NAMES:
+        own = batch.column(c)
+        codes = (own.dictionary_encode().indices if pa.types.is_string(own.type) else own).to_numpy(zero_copy_only=False)
+        changed |= codes[1:] != codes[:-1]
+    return [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
 
-    What it yields is the number of a row, which goes on with all its columns, and values of the columns that are made.
-    """
-    carried = [f for f in hits.schema if f.name not in [n for n, _, _ in made]]
-    columns = list(dict.fromkeys(["rule", "key", "part", "ts_us", "seq", *extra, *[f.name for f in carried]]))
-    sorted_rows = in_parts(hits, needed).select(*columns).repartition("rule", "key", "part").sortWithinPartitions("rule", "key", "part", "ts_us", "seq")
-    walked = ["ts_us", "seq", *extra]
-    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + [f"{n} {t}" for n, t, _ in made])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        now, state = None, start()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            changed = np.zeros(batch.num_rows - 1, bool)
-            for c in ("rule", "key", "part"):
-                own = batch.column(c)
-                codes = (own.dictionary_encode().indices if pa.types.is_string(own.type) else own).to_numpy(zero_copy_only=False)
-                changed |= codes[1:] != codes[:-1]
-            cuts = [0, *(np.flatnonzero(changed) + 1).tolist(), batch.num_rows]
-            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in walked}
-            rows, out = [], []
+def groups(batches: Iterable[pa.RecordBatch], columns: list[str]) -> Iterator[tuple[tuple, pa.RecordBatch, int, dict[str, np.ndarray]]]:
+    """(name, batch, first row, columns as arrays) of each piece of a group that lies in one batch of sorted rows."""
+    for batch in batches:
+        if batch.num_rows:
+            cuts = group_edges(batch)
+            values = {c: batch.column(c).to_numpy(zero_copy_only=False) for c in columns}
             for a, b in zip(cuts, cuts[1:], strict=False):
-                name = tuple(batch.column(c)[a].as_py() for c in ("rule", "key", "part"))
-                if name != now:
-                    now, state = name, start()
-                for i, *x in step(state, {c: v[a:b] for c, v in values.items()}):
-                    rows.append(a + i)
-                    out.append(x)
-            if rows:
-                kept = batch.take(pa.array(rows))
-                new = [pa.array([x[k] for x in out], t) for k, (_, _, t) in enumerate(made)]
-                yield pa.RecordBatch.from_arrays([kept.column(f.name) for f in carried] + new, names=[f.name for f in carried] + [n for n, _, _ in made])
+                yield tuple(batch.column(c)[a].as_py() for c in NAMES), batch, a, {c: v[a:b] for c, v in values.items()}
+
+
+@dataclass
+class Machine:
+    """A walk: a state's start, a step over sorted rows (it yields the number of a row that goes on, and values of the columns that are made), and what it looks at."""
+
+    start: Callable[[], object]
+    step: Callable[[object, dict[str, np.ndarray]], Iterator[tuple]]
+    extra: list[str]
+    made: list[tuple[str, str, pa.DataType]]
+
+
+def emitted(rows: DataFrame, machine: Machine, first: dict[int, object]) -> DataFrame:
+    """What the machine lets go on of sorted rows of whole partitions; first has the state with which a partition's first group begins, if not anew."""
+    carried = [f for f in rows.schema if f.name not in [n for n, _, _ in machine.made] and f.name not in ("part", "large", "slot", "pid")]
+    schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in carried] + [f"{n} {t}" for n, t, _ in machine.made])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, state = None, None
+        for name, batch, a, values in groups(batches, ["ts_us", "seq", *machine.extra]):
+            if name != now:
+                known = first.get(batch.column("pid")[0].as_py()) if first and now is None else None
+                now, state = name, machine.start() if known is None else known
+            found = list(machine.step(state, values))
+            if found:
+                kept = batch.take(pa.array([a + i for i, *_ in found]))
+                new = [pa.array([x[k + 1] for x in found], t) for k, (_, _, t) in enumerate(machine.made)]
+                yield pa.RecordBatch.from_arrays([kept.column(f.name) for f in carried] + new, names=[f.name for f in carried] + [n for n, _, _ in machine.made])
 
-    return sorted_rows.mapInArrow(run, schema)
+    return rows.mapInArrow(run, schema)
 
 
-def threshold(hits: DataFrame) -> DataFrame:
+def walk(hits: DataFrame, machine: Machine, link: Callable[[DataFrame], dict[int, object]], most: int, needed: str | None = None) -> DataFrame:
+    """The hits that the machine lets go on; link finds what the partitions of ranges begin with."""
+    parts = saved(parts_of(hits, most, needed))
+    n_large = parts.where("large").agg(F.sum("n")).first()[0]
+    placed = hits.withColumn("slot", _slot()).join(parts.drop("n"), [*NAMES[:2], "slot"])
+    order = [*NAMES, "ts_us", "seq"]
+    out = emitted(placed.where("not large").repartition(*NAMES).sortWithinPartitions(*order), machine, {})
+    if not n_large:
+        return out
+    ranges = saved(placed.where("large").repartitionByRange(-(-n_large // most), *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
+    return out.unionByName(emitted(ranges, machine, link(ranges)))
+
+
+def edges_of(ranges: DataFrame) -> list[Row]:
+    """Of each partition its first and its last group (one row, if they are one): rule, key, part, first, last, and its first and last time."""
+    schema = "pid int, rule string, key string, part long, first boolean, last boolean, begin long, end long"
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, pid, n, begin, end = None, 0, 0, 0, 0
+        row = lambda last: pa.RecordBatch.from_pylist([dict(zip(EDGE.names, (pid, *now, n == 1, last, begin, end), strict=True))], schema=EDGE)
+        for name, batch, _, values in groups(batches, ["ts_us"]):
+            pid = batch.column("pid")[0].as_py()
+            if name != now:
+                if n == 1:
+                    yield row(False)
+                now, n, begin = name, n + 1, int(values["ts_us"][0])
+            end = int(values["ts_us"][-1])
+        if now is not None:
+            yield row(True)
+
+    return sorted(ranges.mapInArrow(run, schema).collect(), key=lambda r: (r.pid, r.last))
+
+
+def continued(edges: list[Row]) -> list[tuple[Row, Row | None]]:
+    """For each partition in turn its first group, and the last group of the partition before if that is the same one."""
+    out, before = [], None
+    for r in edges:
+        if r.first:
+            out.append((r, before if before is not None and tuple(before[c] for c in NAMES) == tuple(r[c] for c in NAMES) else None))
+        if r.last:
+            before = r
+    return out
+
+
+def of_last_group(ranges: DataFrame, columns: list[str], schema: str, fields: pa.Schema, begin: Callable[[int, bool], object], feed: Callable[[object, dict[str, np.ndarray]], None], end: Callable[[object], tuple]) -> dict[int, tuple]:
+    """What end tells of the last group of each partition after feed has seen all of its rows; begin is told the partition, and whether the group is its first."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, n, pid, state = None, 0, 0, None
+        for name, batch, _, values in groups(batches, columns):
+            if name != now:
+                pid = batch.column("pid")[0].as_py()
+                now, n = name, n + 1
+                state = begin(pid, n == 1)
+            feed(state, values)
+        if now is not None:
+            yield pa.RecordBatch.from_pylist([dict(zip(fields.names, (pid, *end(state)), strict=True))], schema=fields)
+
+    return {r[0]: tuple(r[1:]) for r in ranges.mapInArrow(run, schema).collect()}
+
+
+class Hits:
+    """A threshold's state: the last hits that no firing has used, fewer than its count."""
+
+    def __init__(self, t: np.ndarray | None = None, s: np.ndarray | None = None):
+        self.t, self.s = (np.zeros(0, np.int64) if x is None else x for x in (t, s))
+
+
+def count_hits(state: Hits, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
+    count, before = int(rows["count"][0]), len(state.t)
+    t, s = np.concatenate([state.t, rows["ts_us"]]), np.concatenate([state.s, rows["seq"]])
+    places, rest = firings(t, count, int(rows["window_us"][0]))
+    for i in places:  # what was kept has not fired, so each is a new row
+        yield i - before, count, s[max(i - count + 1, i - SHOWN + 1) : i + 1].tolist()
+    rest = max(rest, len(t) - count + 1)
+    state.t, state.s = t[rest:], s[rest:]
+
+
+def link_thresholds(ranges: DataFrame) -> dict[int, Hits]:
+    """A range may begin with any number of unused hits below the count, which are then the last before it. So it is walked from each number, those that come to the same are walked
+    on as one, and what a range ends with, for each number that it begins with, is followed from range to range. The driver holds fewer hits of each range than a threshold's count.
+    """
+    edges = continued(edges_of(ranges))
+    columns = ["ts_us", "seq", "count", "window_us"]
+    pair = lambda *names: pa.schema([("pid", pa.int32()), *[(n, pa.list_(pa.int64())) for n in names]])
+
+    def keep(state: Hits, rows: dict[str, np.ndarray]) -> None:
+        most = int(rows["count"][0]) - 1
+        state.t, state.s = (np.concatenate([x, rows[c]])[-most:] if most else x for x, c in ((state.t, "ts_us"), (state.s, "seq")))
+
+    tails = of_last_group(ranges, columns, "pid int, t array<long>, s array<long>", pair("t", "s"), lambda pid, first: Hits(), keep, lambda s: (s.t.tolist(), s.s.tolist()))
+    least = {r[0]: r[1] for r in ranges.groupBy("pid").agg(F.max("count")).collect()}
+    halo: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    for r, before in edges:
+        if before is not None:
+            t, s = (np.array(x, np.int64) for x in tails[before.pid])
+            if before.first and before.pid in halo and len(t) < least[r.pid] - 1:  # a range of few hits: those before it count too
+                t, s = (np.concatenate([x, y])[-(least[r.pid] - 1) :] for x, y in zip(halo[before.pid], (t, s), strict=True))
+            halo[r.pid] = (t, s)
+
+    def begin(pid: int, first: bool) -> dict:
+        t, s = halo.get(pid, (np.zeros(0, np.int64),) * 2) if first else (np.zeros(0, np.int64),) * 2
+        return {"at": list(range(len(t) + 1)), "states": {u: Hits(t[len(t) - u :], s[len(s) - u :]) for u in range(len(t) + 1)}}
+
+    def feed(state: dict, rows: dict[str, np.ndarray]) -> None:
+        for h in state["states"].values():
+            for _ in count_hits(h, rows):
+                pass
+        state["at"] = [len(state["states"][u].t) for u in state["at"]]
+        state["states"] = {len(h.t): h for h in state["states"].values()}
+
+    ends = of_last_group(ranges, columns, "pid int, ends array<long>", pair("ends"), begin, feed, lambda s: (s["at"],))
+    number: dict[int, int] = {}
+    for r, before in edges:
+        if before is not None:
+            number[r.pid] = ends[before.pid][0][number.get(before.pid, 0) if before.first else 0]
+    return {p: Hits(*(x[len(x) - n :] for x in halo[p])) for p, n in number.items()}
+
+
+def threshold(hits: DataFrame, most: int = MOST) -> DataFrame:
     """The hits (rule, key, ts_us, seq, count, window_us, and any others) that make a threshold fire, with match_count and members.
 
-    seq breaks ties of ts_us and names the event; members are the seqs of the last 25 hits that made it fire.
+    seq breaks ties of ts_us and names the event; members are the seqs of the last 25 hits that made it fire. A part of a key that has over most hits is cut into ranges of about so many.
+    """
+    machine = Machine(Hits, count_hits, ["count", "window_us"], [("match_count", "long", pa.int64()), ("members", "array<long>", pa.list_(pa.int64()))])
+    return walk(hits, machine, link_thresholds, most, needed="count")
+
+
+@dataclass
+class Last:
+    """A throttle's state: when it last let a hit through."""
+
+    at: int | None = None
+
+
+def let_through(state: Last, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
+    for i in emissions(rows["ts_us"], int(rows["window_us"][0]), state.at):
+        state.at = int(rows["ts_us"][i])
+        yield (i,)
+
+
+def link_throttles(ranges: DataFrame) -> dict[int, Last]:
+    """The first hit that a range lets through is one of those within a window of its first. Walks never overtake each other, so if that from the first of these and that from the last of them
+    end at one time and have let through as many, all between end there too, and what the range begins with does not matter. Nor does it if the range ends before the wait is over. Else that
+    one range is walked once more, from what it begins with.
     """
+    edges = continued(edges_of(ranges))
+    columns, fields = ["ts_us", "window_us"], pa.schema([("pid", pa.int32()), ("at", pa.int64()), ("same", pa.bool_()), ("window", pa.int64())])
+    shape = "pid int, at long, same boolean, window long"
 
-    class State:
-        t, s = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    def both(state: dict, rows: dict[str, np.ndarray]) -> None:
+        t, window = rows["ts_us"], int(rows["window_us"][0])
+        if not state:
+            state |= {"early": Last(), "late": None, "lead": 0, "until": int(t[0]) + window, "within": int(t[0]), "window": window}
+        state["lead"] += sum(1 for _ in let_through(state["early"], rows))
+        cut = int(np.searchsorted(t, state["until"], "left"))
+        if cut:
+            state["within"] = int(t[cut - 1])
+        if cut < len(t):
+            if state["late"] is None:
+                state["late"], state["lead"] = Last(state["within"]), state["lead"] - 1
+            state["lead"] -= sum(1 for _ in let_through(state["late"], {**rows, "ts_us": t[cut:]}))
 
-    def step(state: State, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
-        count, before = int(rows["count"][0]), len(state.t)
-        t, s = np.concatenate([state.t, rows["ts_us"]]), np.concatenate([state.s, rows["seq"]])
-        places, rest = firings(t, count, int(rows["window_us"][0]))
-        for i in places:  # what was kept has not fired, so each is a new row
-            yield i - before, count, s[max(i - count + 1, i - SHOWN + 1) : i + 1].tolist()
-        rest = max(rest, len(t) - count + 1)
-        state.t, state.s = t[rest:], s[rest:]
+    def told(state: dict) -> tuple:
+        late, lead = (state["late"].at, state["lead"]) if state["late"] else (state["within"], state["lead"] - 1)
+        return state["early"].at, late == state["early"].at and lead == 0, state["window"]
 
-    return walk(hits, ["count", "window_us"], State, step, [("match_count", "long", pa.int64()), ("members", "array<long>", pa.list_(pa.int64()))], needed="count")
+    ends = of_last_group(ranges, columns, shape, fields, lambda pid, first: {}, both, told)
 
+    def exactly(pid: int, at: int) -> int:
+        def one(state: Last, rows: dict[str, np.ndarray]) -> None:
+            for _ in let_through(state, rows):
+                pass
 
-def throttle(hits: DataFrame) -> DataFrame:
-    """The hits (rule, key, ts_us, seq, window_us, and any others) that a throttle lets through."""
+        return of_last_group(ranges.where(F.col("pid") == pid), columns, shape, fields, lambda p, first: Last(at), one, lambda s: (s.at, None, None))[pid][0]
 
-    class State:
-        last = None
+    first: dict[int, Last] = {}
+    for r, before in edges:
+        if before is None:
+            continue
+        fresh, same, window = ends[before.pid]
+        at = first[before.pid].at if before.first and before.pid in first else None
+        if at is None or at + window <= before.begin or same and at + window <= before.end:
+            at = fresh
+        elif at + window <= before.end:
+            at = exactly(before.pid, at)
+        first[r.pid] = Last(at)
+    return first
 
-    def step(state: State, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
-        t = rows["ts_us"]
-        for i in emissions(t, int(rows["window_us"][0]), state.last):
-            state.last = int(t[i])
-            yield (i,)
 
-    return walk(hits, ["window_us"], State, step, [])
+def throttle(hits: DataFrame, most: int = MOST) -> DataFrame:
+    """The hits (rule, key, ts_us, seq, window_us, and any others) that a throttle lets through. A part of a key that has over most hits is cut into ranges of about so many."""
+    return walk(hits, Machine(Last, let_through, ["window_us"], []), link_throttles, most)

@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from logloom.operators import suppress
 
@@ -71,7 +72,30 @@ def test_sparse_times_of_a_busy_key_are_parts_of_their_own(spark):
     """Two hits in each stretch never fill a threshold of five; only the burst stays together."""
     rows = [("r", "*", 10 * i + 5 * j, 2 * i + j, 5, 10) for i in range(200) for j in range(2)] + [("r", "*", 500 + j, 1000 + j, 5, 10) for j in range(7)]
     df = spark.createDataFrame(rows, "rule string, key string, ts_us long, seq long, count int, window_us long")
-    parts = suppress.in_parts(df, "count").groupBy("part").count().collect()
-    assert len(parts) > 190 and max(p["count"] for p in parts) < 20
+    parts = suppress.parts_of(df, 100, "count").groupBy("part").agg(F.sum("n").alias("n")).collect()
+    assert len(parts) > 190 and max(p["n"] for p in parts) < 20
     own = sorted((x[2], x[3]) for x in rows)
     assert {x.seq for x in suppress.threshold(df).collect()} == {own[i][1] for i in sequential_threshold([t for t, _ in own], 5, 10)}
+
+
+@pytest.mark.parametrize(("seed", "window", "count", "most"), [(1, 40, 3, 90), (2, 400, 7, 80), (3, 5000, 2, 100), (4, 30, 1, 70), (5, 900, 40, 30)])
+def test_large_parts_are_walked_in_ranges(spark, seed, window, count, most):
+    """Keys cut into many ranges, some shorter than a threshold's count or a throttle's window, and hits at equal distances: as the sequential walk."""
+    r = random.Random(seed)
+    rows = [("r", "hot", r.randrange(2000), i, count, window) for i in range(500)] + [("r", f"k{r.randrange(3)}", r.randrange(4000), 1000 + i, count, window) for i in range(150)]
+    rows += [("r", "even", 10 * i, 2000 + i, count, window) for i in range(200)] + [("q", "hot", 7, 3000 + i, count, window) for i in range(100)]
+    df = spark.createDataFrame(rows, "rule string, key string, ts_us long, seq long, count int, window_us long").repartition(3)
+    old = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        fired = {(x.rule, x.key, x.seq): x.members for x in suppress.threshold(df, most).collect()}
+        passed = {(x.rule, x.key, x.seq) for x in suppress.throttle(df, most).collect()}
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", old)
+    want_fired, want_passed = {}, set()
+    for name in {x[:2] for x in rows}:
+        own = sorted((x[2], x[3]) for x in rows if x[:2] == name)
+        t = [x[0] for x in own]
+        want_fired |= {(*name, own[i][1]): [s for _, s in own[max(i - count + 1, i - 24) : i + 1]] for i in sequential_threshold(t, count, window)}
+        want_passed |= {(*name, own[i][1]) for i in sequential_throttle(t, window)}
+    assert fired == want_fired and passed == want_passed
