@@ -149,3 +149,12 @@ def test_what_programs_say_of_logins(spark):
     got = journal.read_events(spark.createDataFrame(lines, "value string, pos long")).orderBy("pos").collect()
     assert [(r.auth_result, r.auth_user, r.auth_method, r.remote_ip, r.remote_port) for r in got] == list(said.values())
     assert got[6].sudo_command == "/bin/sh -c a;b ; COMMAND=x" and got[6].cwd == "/srv" and got[6].tty == "pts/0"
+
+
+def test_what_user_space_says_is_read_on_request(spark):
+    line = f"""type=USER_LOGIN {HEAD}pid=7 uid=0 msg='op=login acct="ann" exe="/usr/sbin/sshd" addr=10.0.0.9 pid=8 res=failed'"""
+    df = spark.createDataFrame([(line, 0, "f")], "value string, pos long, path string")
+    plain, read = audit.records(df).first().fields, audit.records(df, inner=True).first().fields
+    assert set(plain) == {"pid", "uid", "msg"} and (read["acct"], read["res"], read["pid"], read["msg"]) == ("ann", "failed", "7", plain["msg"])
+    e = audit.read_events(df, inner=True).first()
+    assert (e.auth_user, e.auth_result, e.remote_ip, e.success) == ("ann", "failure", "10.0.0.9", False) and audit.read_events(df).first().auth_user is None
