@@ -308,16 +308,16 @@ ORDERS = feeds.FeedSpec(
     name="orders", format="json", json_fields=("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_urgent", "o_note"), field_map={"o_orderstatus": "outcome", "o_orderkey": "event_id", "o_totalprice": "request_time", "o_urgent": "is_warning", "o_note": ""},
     types={"request_time": "float", "o_urgent": "bool", "event_id": "str"}, timestamp_field="o_orderdate", static={"host": "shop", "outcome": "none"},
 )
-_ORDER_LINE = """'{"o_orderkey":' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',"o_orderstatus":"' || o_orderstatus || '"' END || ',"o_totalprice":"' || CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_urgent":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END || '","o_note":"x"}'"""
+_ORDER_LINE = """'{"o_orderkey":' || o_orderkey || CASE WHEN o_orderstatus = 'P' THEN '' ELSE ',"o_orderstatus":"' || o_orderstatus || '"' END || ',"o_totalprice":"' || CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS VARCHAR) || '","o_orderdate":"' || strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') || '","o_urgent":"' || CASE WHEN o_orderkey % 2 = 0 THEN 'Yes' ELSE 'no' END || '","o_note":"' || repeat('x', 350) || '"}'"""
 
 
-@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE o_orderstatus END AS outcome, 'shop' AS host, 'log' AS category, CAST(epoch(o_orderdate) AS DOUBLE) AS epoch, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) AS request_time, o_orderkey % 2 = 0 AS is_warning, {_ORDER_LINE} AS message, substr({_ORDER_LINE}, 1, 200) AS message_snippet FROM orders")
+@query(f"SELECT CAST(o_orderkey AS VARCHAR) AS event_id, CASE WHEN o_orderstatus = 'P' THEN 'none' ELSE o_orderstatus END AS outcome, 'shop' AS host, 'log' AS category, CAST(epoch(o_orderdate) AS DOUBLE) AS epoch, CAST(CAST(o_totalprice AS DECIMAL(15, 2)) AS DOUBLE) AS request_time, o_orderkey % 2 = 0 AS is_warning, substr({_ORDER_LINE}, 1, 400) AS message, substr({_ORDER_LINE}, 1, 200) AS message_snippet FROM orders")
 def json_feed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders as JSON lines: renamed, typed, dropped and constant fields; without a message field the line is the message."""
+    """Orders as JSON lines: renamed, typed, dropped and constant fields; without a message field the line, cut short, is the message."""
     o = adapters.table(spark, sf_dir, "orders")
     entry = F.struct(
         "o_orderkey", F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("o_orderstatus"), F.col("o_totalprice").cast("decimal(15,2)").cast("string").alias("o_totalprice"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("o_orderdate"),
-        F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("no").alias("o_urgent"), F.lit("x").alias("o_note"),
+        F.when(F.col("o_orderkey") % 2 == 0, "Yes").otherwise("no").alias("o_urgent"), F.lit("x" * 350).alias("o_note"),
     )
     lines = o.select(F.to_json(entry).alias("value"), F.col("o_orderkey").alias("pos"))
     return feeds.read_events(lines, ORDERS, now=0.0).select("event_id", "outcome", "host", "category", "epoch", "request_time", "is_warning", "message", "message_snippet")

@@ -7,7 +7,7 @@ from pyspark.sql import SparkSession
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
     session = (
-        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[4]"))
+        SparkSession.builder.master(os.environ.get("TEST_MASTER", "local[8]"))
         .config("spark.sql.shuffle.partitions", "4")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.ui.enabled", "false")
