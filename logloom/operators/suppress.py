@@ -60,15 +60,15 @@ def parts_of(hits: DataFrame, most: int, needed: str | None = None) -> DataFrame
     """(rule, key, slot, part, n, large) of hits (rule, key, ts_us, window_us): part is the first of the stretches of a window's length (slots) that are walked together.
 
     A part begins after an empty stretch; and where hits have to be as many as the column needed says, also where two stretches that follow each other have fewer hits than it needs, as no window that
-    lies in both can then be full. So of a busy key only those times stay together at which the threshold is near to firing. A part of over most hits is large.
+    lies in both can then be full. So of a busy key only those times stay together at which the threshold is near to firing. Parts with fewer hits than needed are left out. A part of over most hits is large.
     """
     used = hits.groupBy("rule", "key", _slot().alias("slot")).agg(F.count("*").alias("n"), F.max(needed if needed else F.lit(0)).alias("needed"))
     order = W.partitionBy("rule", "key").orderBy("slot")
     apart = (F.col("slot") - F.lag("slot").over(order) > 1) | (F.col("n") + F.lag("n").over(order) < F.col("needed"))
     begins = used.withColumn("begin", F.when(F.coalesce(apart, F.lit(True)), F.col("slot")))
     parts = begins.withColumn("part", F.last("begin", ignorenulls=True).over(order))
-    large = parts.groupBy("rule", "key", "part").agg(F.sum("n").alias("all")).where(F.col("all") > most).select("rule", "key", "part", F.lit(True).alias("large"))
-    return parts.join(large, ["rule", "key", "part"], "left").select("rule", "key", "slot", "part", "n", F.coalesce("large", F.lit(False)).alias("large"))
+    whole = parts.groupBy("rule", "key", "part").agg(F.sum("n").alias("all"), F.max("needed").alias("needed")).where(F.col("all") >= F.col("needed"))
+    return parts.drop("needed").join(whole.select("rule", "key", "part", (F.col("all") > most).alias("large")), ["rule", "key", "part"]).select("rule", "key", "slot", "part", "n", "large")
 
 
 def group_edges(batch: pa.RecordBatch) -> list[int]:
@@ -108,13 +108,15 @@ def emitted(rows: DataFrame, machine: Machine, first: dict[int, object]) -> Data
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, state = None, None
-        for name, batch, a, values in groups(batches, ["ts_us", "seq", *machine.extra]):
-            if name != now:
-                known = first.get(batch.column("pid")[0].as_py()) if first and now is None else None
-                now, state = name, machine.start() if known is None else known
-            found = list(machine.step(state, values))
+        for batch in batches:
+            found: list[tuple] = []
+            for name, _, a, values in groups([batch], ["ts_us", "seq", *machine.extra]):
+                if name != now:
+                    known = first.get(batch.column("pid")[0].as_py()) if first and now is None else None
+                    now, state = name, machine.start() if known is None else known
+                found += [(a + i, *x) for i, *x in machine.step(state, values)]
             if found:
-                kept = batch.take(pa.array([a + i for i, *_ in found]))
+                kept = batch.take(pa.array([x[0] for x in found]))
                 new = [pa.array([x[k + 1] for x in found], t) for k, (_, _, t) in enumerate(machine.made)]
                 yield pa.RecordBatch.from_arrays([kept.column(f.name) for f in carried] + new, names=[f.name for f in carried] + [n for n, _, _ in machine.made])
 
