@@ -23,7 +23,7 @@ from logloom.functions.checkpoints import saved
 
 SHOWN = 25
 #: How many hits one task walks of a part that is cut.
-MOST = 2_000_000
+MOST = 20_000_000
 NAMES = ("rule", "key", "part")
 EDGE = pa.schema([("pid", pa.int32()), ("rule", pa.string()), ("key", pa.string()), ("part", pa.int64()), ("first", pa.bool_()), ("last", pa.bool_()), ("begin", pa.int64()), ("end", pa.int64())])
 
