@@ -64,7 +64,7 @@ class SumOfSquares:
         If none is kept, what is left in the end is cut at powers of two, which need no padding.
         """
         out, donor = [], []
-        while self.open > keep:
+        while self.open + bool(keep and donor) > keep:  # what is left of the last donor is open too
             level = int(np.flatnonzero(self.levels)[-1])
             window, gap = self._take(level), self.capacity - level
             while gap and (donor or self.open):
