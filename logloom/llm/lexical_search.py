@@ -86,12 +86,12 @@ class Block:
 
     @classmethod
     def of(cls, ids: np.ndarray, per: np.ndarray, terms: np.ndarray, impacts: np.ndarray, n_vocabulary: int) -> Block:
-        most = np.zeros(n_vocabulary, np.int64)
+        most, some = np.zeros(n_vocabulary, np.int64), per > 0  # a document without a term of the vocabulary has no score
         np.maximum.at(most, terms, impacts)
-        return cls(ids, np.cumsum(per) - per, terms, impacts, most)
+        return cls(ids[some], (np.cumsum(per) - per)[some], terms, impacts, most)
 
     def scores(self, weight: np.ndarray) -> np.ndarray:
-        """Of each document, by a weight for each term of the vocabulary. Each document has a term."""
+        """Of each document, by a weight for each term of the vocabulary."""
         return np.add.reduceat(weight[self.terms] * self.impacts, self.first)
 
 
