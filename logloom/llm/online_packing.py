@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import zlib
+from collections import deque
 from collections.abc import Iterator
 
 import numpy as np
@@ -12,97 +13,104 @@ from pyspark.sql import DataFrame
 from logloom.llm.bpe import default_vocabulary, library_encoder
 from logloom.llm.common import Texts, first_id, over_texts, rows, whole_texts
 
-Piece = tuple[int, int, np.ndarray, int, bool]  # document, start, ids, tokens of the document, whether it was moved at the end
+Document = tuple[int, int, np.ndarray, int]  # its id, what of it has been placed, the ids that have not, and how many it has
+Placed = tuple[int, int, np.ndarray, int, int, int, bool]  # document, start, ids, tokens of the document, window, offset, whether it is of the tail
 
 
 class SumOfSquares:
     """The level array and its open windows.
 
-    levels[h] counts the open windows filled to h. A piece goes to the level where the sum of squares of all
-    counts ends least; a full window leaves the array. Over most_open windows, which are what a task holds in memory, half of them are settled.
+    levels[h] counts the open windows filled to h, and windows[h] has their numbers; a piece that is placed is done with, so nothing but this and the last documents is held. A piece goes
+    where the sum of squares of all counts ends least; a full window leaves the array. The last documents wait until the end, as many as have the ids
+    that open windows lack: then sizes are free, and each is cut to what lowers the sum most, so that all windows get full.
     """
 
-    def __init__(self, capacity: int, most_open: int = 16_384):
-        self.capacity, self.most_open = capacity, most_open
+    def __init__(self, capacity: int, first_window: int = 0):
+        self.capacity, self.next_window = capacity, first_window
         self.levels = np.zeros(capacity + 1, np.int64)
-        self.windows: list[list[list[Piece]]] = [[] for _ in range(capacity + 1)]
-        self.open = 0
-
-    def place(self, piece: Piece) -> list[list[Piece]]:
-        """Places a piece of at most the capacity; returns the windows that are now done."""
-        size, n = len(piece[2]), self.levels
-        if size == self.capacity:
-            return [[piece]]
-        top = self.capacity - size
+        self.windows: list[list[int]] = [[] for _ in range(capacity + 1)]
+        self.waiting: deque[Document] = deque()
+        self.held = self.lacking = 0  # ids that wait, and ids that open windows lack
+
+    def level_for(self, size: int, new: bool = True) -> int:
+        """The level, 0 being a new window if that is allowed, to which a piece of under the capacity goes."""
+        n, top = self.levels, self.capacity - size
         into = np.append(n[size : self.capacity], -0.5)  # a full window counts nowhere: 2 * -0.5 + 1 = 0
         change = 2 * into + 1
         change[1:] += 1 - 2 * n[1 : top + 1]
         change[1:][n[1 : top + 1] == 0] = np.inf
-        level = int(np.argmin(change))
+        return int(np.argmin(change)) if new else 1 + int(np.argmin(change[1:]))
+
+    def put(self, level: int, doc: Document, size: int) -> Placed:
+        """The first size ids of what is left of a document into a window of a level."""
+        name, start, ids, tokens = doc
         if level:
             window = self.windows[level].pop()
-            n[level] -= 1
+            self.levels[level] -= 1
         else:
-            window = []
-            self.open += 1
-        window.append(piece)
-        if level + size == self.capacity:
-            self.open -= 1
-            return [window]
-        n[level + size] += 1
-        self.windows[level + size].append(window)
-        return self.settle(self.most_open // 2) if self.open > self.most_open else []
-
-    def _take(self, level: int) -> list[Piece]:
-        self.levels[level] -= 1
-        self.open -= 1
-        return self.windows[level].pop()
-
-    def settle(self, keep: int = 0) -> list[list[Piece]]:
-        """Closes windows until keep are open: the fullest are filled up by ids of the emptiest, whose pieces are cut for it.
-
-        If none is kept, what is left in the end is cut at powers of two, which need no padding.
-        """
-        out, donor = [], []
-        while self.open + bool(keep and donor) > keep:  # what is left of the last donor is open too
-            level = int(np.flatnonzero(self.levels)[-1])
-            window, gap = self._take(level), self.capacity - level
-            while gap and (donor or self.open):
-                donor = donor or self._take(int(np.flatnonzero(self.levels)[0]))
-                doc, start, ids, tokens, _ = donor.pop()
-                window.append((doc, start, ids[:gap], tokens, True))
-                if len(ids) > gap:
-                    donor.append((doc, start + gap, ids[gap:], tokens, True))
-                gap -= min(gap, len(ids))
-            if gap:
-                donor = window
-            else:
-                out.append(window)
-        if donor and keep:
-            level = sum(len(p[2]) for p in donor)
-            self.levels[level] += 1
-            self.open += 1
-            self.windows[level].append(donor)
-            donor = []
-        left = sum(len(p[2]) for p in donor)
-        for size in [1 << b for b in range(self.capacity.bit_length(), -1, -1) if left >> b & 1]:
-            window = []
-            while size:
-                doc, start, ids, tokens, _ = donor.pop()
-                window.append((doc, start, ids[:size], tokens, True))
-                if len(ids) > size:
-                    donor.append((doc, start + size, ids[size:], tokens, True))
-                size -= min(size, len(ids))
-            out.append(window)
-        return out
+            window = self.next_window
+            self.next_window += 1
+            self.lacking += self.capacity
+        self.lacking -= size
+        if level + size < self.capacity:
+            self.levels[level + size] += 1
+            self.windows[level + size].append(window)
+        return name, start, ids[:size], tokens, window, level, False
+
+    def place(self, doc: Document) -> Iterator[Placed]:
+        """A document's full windows, each alone, and its rest by sums of squares."""
+        name, start, ids, tokens = doc
+        while len(ids):
+            size = min(len(ids), self.capacity)
+            yield self.put(0 if size == self.capacity else self.level_for(size), (name, start, ids, tokens), size)
+            start, ids = start + size, ids[size:]
+
+    def add(self, doc: Document) -> Iterator[Placed]:
+        """A document joins those that wait; those that need not wait longer are placed."""
+        self.waiting.append(doc)
+        self.held += len(doc[2])
+        while self.held - len(self.waiting[0][2]) >= self.lacking + self.capacity:
+            first = self.waiting.popleft()
+            self.held -= len(first[2])
+            yield from self.place(first)
+
+    def finish(self) -> Iterator[Placed]:
+        """Those that wait fill all windows. What is then over, less than a window, are the last ids: they are cut at powers of two, which need no padding."""
+        over, at = (self.held - self.lacking) % self.capacity, 0
+        fill = self.held - over
+        tails = [1 << k for k in reversed(range(over.bit_length())) if over >> k & 1]
+        while self.waiting:
+            name, start, ids, tokens = self.waiting.popleft()
+            while len(ids):
+                if fill:
+                    size = min(len(ids), fill)
+                    least = max(self.capacity - size, 1)
+                    levels = least + np.flatnonzero(self.levels[least:])
+                    if len(levels):  # a window that gets full takes 2 * n - 1 from the sum of squares
+                        level = int(levels[np.argmax(self.levels[levels])])
+                        size = self.capacity - level
+                    elif size >= self.capacity:
+                        level, size = 0, self.capacity
+                    else:
+                        level = self.level_for(size, new=False) if self.levels.any() else 0
+                    fill -= size
+                    yield self.put(level, (name, start, ids, tokens), size)
+                else:
+                    size = min(len(ids), tails[0] - at)
+                    yield name, start, ids[:size], tokens, self.next_window, at, True
+                    at += size
+                    if at == tails[0]:
+                        tails, at, self.next_window = tails[1:], 0, self.next_window + 1
+                start, ids = start + size, ids[size:]
+        self.held = 0
 
 
 def pack(docs: DataFrame, vocabulary: str | None = None, capacity: int = 1024, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row for each piece: (doc_id, start, length, ids, doc_tokens, sequence_id, offset, settled).
 
     A document's ids are those of its text (null: none) and then end_id. Its full windows are sequences of their own; the
-    rest is placed online by sums of squares, one level array for each task. Nothing is shuffled, and a task
-    holds only its open windows; settled marks the pieces by which it fills what is open at its end. Rows that repeat are packed each.
+    rest is placed online by sums of squares, one level array for each task. Nothing is shuffled, and a task holds the levels of its open windows and its last documents, by
+    which these get full. settled marks what is over then, under a window for each task, in sequences of a power of two. Rows that repeat are packed each.
     """
     return _packed(docs, vocabulary, capacity, end_id, id_col, text_col, False)
 
@@ -118,29 +126,17 @@ def _packed(docs: DataFrame, path: str | None, capacity: int, end_id: int, id_co
 
     def run(texts: Texts) -> Iterator[pa.RecordBatch]:
         encoder = library_encoder(path or default_vocabulary())
-        packer, next_id, found = SumOfSquares(capacity), first_id(), []
-
-        def emit(windows: list[list[Piece]]) -> None:
-            nonlocal next_id
-            for window in windows:
-                at = 0
-                for doc, start, ids, tokens, settled in window:
-                    shown = zlib.crc32(ids.astype("<u4", copy=False).tobytes()) if digest else ids.astype(np.int32)
-                    found.append((doc, start, len(ids), shown, tokens, next_id, at, settled))
-                    at += len(ids)
-                next_id += 1
+        packer = SumOfSquares(capacity, first_id())
+
+        def shown(placed: list[Placed]) -> Iterator[pa.RecordBatch]:
+            if placed:
+                made = [(doc, start, len(ids), zlib.crc32(ids.astype("<u4", copy=False).tobytes()) if digest else ids.astype(np.int32), tokens, window, at, tail) for doc, start, ids, tokens, window, at, tail in placed]
+                yield rows(schema, *zip(*made, strict=True))
 
         for doc_ids, part in texts:
-            for doc, ids in zip(doc_ids, encoder(part), strict=True):
-                ids = np.append(ids, np.uint32(end_id))
-                for start in range(0, len(ids), capacity):
-                    emit(packer.place((doc, start, ids[start : start + capacity], len(ids), False)))
-            if found:
-                yield rows(schema, *zip(*found, strict=True))
-                found = []
-        emit(packer.settle())
-        if found:
-            yield rows(schema, *zip(*found, strict=True))
+            own = [np.append(ids, np.uint32(end_id)) for ids in encoder(part)]
+            yield from shown([x for doc, ids in zip(doc_ids, own, strict=True) for x in packer.add((doc, 0, ids, len(ids)))])
+        yield from shown(list(packer.finish()))
 
     kind = "ids_crc32 long" if digest else "ids array<int>"
     return over_texts(whole_texts(docs, id_col, text_col), run, f"doc_id long, start long, length long, {kind}, doc_tokens long, sequence_id long, offset long, settled boolean")
