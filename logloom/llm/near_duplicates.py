@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
-from logloom.functions.checkpoints import saved
+from logloom.functions.checkpoints import saved, stored
 from logloom.llm.bagminhash import bags, signatures
 from logloom.llm.common import rows, text_slices, whole_runs
 from logloom.llm.components import components
@@ -109,10 +109,39 @@ def near(x: np.ndarray, y: np.ndarray, threshold: float) -> np.ndarray:
     return np.minimum(x, y) >= threshold * np.maximum(x, y)
 
 
+def upto(n: F.Column) -> F.Column:
+    return F.sequence(F.lit(0).cast("long"), n - 1)
+
+
+def dealt(n: F.Column) -> F.Column:
+    return F.pmod(F.xxhash64("node"), n)
+
+
+def tiles_with_first(members: DataFrame) -> DataFrame:
+    """Each block of a bucket (h, blocks, node, ...) with its first block: two rows for a member."""
+    own = members.withColumn("block", dealt(F.col("blocks")))
+    there = F.when(F.col("block") == 0, upto(F.col("blocks"))).otherwise(F.array("block"))
+    return own.select("h", F.lit(0).cast("long").alias("i"), F.explode(there).alias("j"), "block", "node", "total", "places")
+
+
+def tiles_of_the_rest(members: DataFrame, labels: DataFrame, tile_nodes: int) -> DataFrame:
+    """Of each bucket (h, node, ...) that labels (node, label) leave apart: the members outside the largest group, in blocks, each with all blocks of the bucket."""
+    named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    groups = named.groupBy("h", "label").agg(F.count("*").alias("n"))
+    each = groups.groupBy("h").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
+    blocks = lambda n: F.ceil(n / tile_nodes)
+    apart = named.join(each.select("h", F.col("m.label").alias("most"), blocks(F.col("n") - F.col("m.n")).alias("rest"), blocks(F.col("m.n")).alias("others")), "h")
+    is_rest = F.col("label") != F.col("most")
+    placed = apart.withColumn("block", F.when(is_rest, dealt(F.col("rest"))).otherwise(F.col("rest") + dealt(F.col("others"))))
+    placed = placed.withColumn("other", F.explode(upto(F.when(is_rest, F.col("rest") + F.col("others")).otherwise(F.col("rest")))))
+    return placed.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "total", "places")
+
+
 def candidates(nodes: DataFrame, threshold: float, bands: int, per_band: int, tile_nodes: int) -> DataFrame:
     """(a, b): links that connect any two nodes which share a band, agree in about enough places and have about as many shingles.
 
-    Members of a bucket are dealt into blocks of about tile_nodes, and each two blocks are a tile of one task.
+    Members of a bucket are dealt into blocks of about tile_nodes. All blocks are compared with the first one, and of what is
+    then apart, in all that buckets have linked, each block with all others; two blocks are a tile of one task. So the rows of tiles grow with the members of a bucket where these are alike.
     The places agree in the binomial way, so six standard deviations below the threshold lose a pair in a billion.
     """
     size = bands * per_band
@@ -126,10 +155,8 @@ def candidates(nodes: DataFrame, threshold: float, bands: int, per_band: int, ti
 
     banded = nodes.select("node", "sign").mapInArrow(spread, "node long, h long")
     buckets = banded.groupBy("h").agg(F.count("*").alias("n")).where("n > 1")
-    shared = banded.join(buckets, "h").withColumn("blocks", F.ceil(F.col("n") / tile_nodes))
-    members = shared.join(nodes.select("node", "total", F.substring("sign", 8 * bands + 1, size).alias("places")), "node").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")))
-    dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    tiles = dealt.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "total", "places")
+    shared = stored(banded.join(buckets, "h").select("node", "h", F.ceil(F.col("n") / tile_nodes).alias("blocks")), "buckets")
+    placed = nodes.select("node", "total", F.substring("sign", 8 * bands + 1, size).alias("places"))
 
     def compare(table: pa.Table, starts: np.ndarray) -> Pairs:
         i, j, block, node, total = (table.column(c).to_numpy() for c in ("i", "j", "block", "node", "total"))
@@ -151,7 +178,13 @@ def candidates(nodes: DataFrame, threshold: float, bands: int, per_band: int, ti
         a, b = (np.concatenate([np.zeros(0, np.int64), *x]) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.int64),) * 2
         return connected(np.concatenate([a, b]), np.arange(len(a)), len(a) + np.arange(len(b)))
 
-    return in_tiles(tiles, ["h", "i", "j"], compare)
+    first = in_tiles(tiles_with_first(shared.join(placed, "node")), ["h", "i", "j"], compare)
+    large = shared.where("blocks > 1")
+    if not large.take(1):
+        return first
+    labels = stored(components(first), "labels")
+    more = in_tiles(tiles_of_the_rest(large.join(placed, "node"), labels, tile_nodes), ["h", "i", "j"], compare)
+    return more.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
 
 
 def shared_values(row: np.ndarray, value: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -241,11 +274,8 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
     blocks = lambda n, shingles: F.ceil(F.greatest(F.col(n) / tile_nodes, F.col(shingles) / tile_shingles, F.lit(1.0)))
     sizes = members.groupBy("cluster").agg(F.count("*").alias("n"), F.sum("total").alias("shingles")).select("cluster", blocks("n", "shingles").alias("blocks"))
     members = saved(members.join(sizes, "cluster"))
-    upto = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
-    hashed = lambda n: F.pmod(F.xxhash64("node"), n)
-
-    dealt = members.withColumn("block", hashed(F.col("blocks"))).withColumn("j", F.explode(F.when(F.col("block") == 0, upto(F.col("blocks"))).otherwise(F.array("block"))))
-    first = dealt.join(texts, "node").select("cluster", F.lit(0).cast("long").alias("i"), "j", "block", "node", F.col("node").alias("label"), "total", "text")
+    first = members.withColumn("block", dealt(F.col("blocks"))).withColumn("j", F.explode(F.when(F.col("block") == 0, upto(F.col("blocks"))).otherwise(F.array("block"))))
+    first = first.join(texts, "node").select("cluster", F.lit(0).cast("long").alias("i"), "j", "block", "node", F.col("node").alias("label"), "total", "text")
     labels = saved(components(verified(first, threshold, words)))
 
     large = members.where("blocks > 1").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
@@ -255,7 +285,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
     apart = saved(large.drop("blocks").join(each.select("cluster", "most", blocks("n_rest", "s_rest").alias("rest"), blocks("n_most", "s_most").alias("others")), "cluster"))
     if apart.take(1):
         is_rest = F.col("label") != F.col("most")
-        placed = apart.withColumn("block", F.when(is_rest, hashed(F.col("rest"))).otherwise(F.col("rest") + hashed(F.col("others"))))
+        placed = apart.withColumn("block", F.when(is_rest, dealt(F.col("rest"))).otherwise(F.col("rest") + dealt(F.col("others"))))
         placed = placed.withColumn("other", F.explode(upto(F.when(is_rest, F.col("rest") + F.col("others")).otherwise(F.col("rest")))))
         second = placed.join(texts, "node").select("cluster", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "label", "total", "text")
         more = saved(verified(second, threshold, words))
@@ -270,13 +300,14 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **settings: object) -> DataFrame:
-    """The rows of docs, all columns as they are, without those that repeat another of their class: the row of the least id stays.
+    """The rows of docs, all columns as they are and whatever their names, without those that repeat another of their class: the row of the least id stays.
 
-    Of rows with the same id and text the one stays whose other columns, as JSON, have the least digest.
+    Of rows with the same id and text the one stays whose other columns, as JSON, have the least digest. An empty table stays empty; ids and texts that are null count as in
+    ``near_duplicate_classes``.
     """
     rid, key = keyed(docs, id_col, text_col)
-    kept = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **settings).where("keeper").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("_rid"), F.col("key").alias("_key")).distinct()
+    kept = near_duplicate_classes(docs, id_col=id_col, text_col=text_col, **settings).where("keeper").select(F.coalesce("doc_id", F.lit(NO_ID)).alias("rid"), "key").distinct()
     others = [docs[c] for c in docs.columns if c not in (id_col, text_col)]
-    marked = docs.select("*", rid.alias("_rid"), key.alias("_key"), F.md5(F.to_json(F.struct(*others)) if others else F.lit("")).alias("_other"))
-    order = W.partitionBy("_rid", "_key").orderBy("_other")
-    return marked.join(kept, ["_rid", "_key"], "left_semi").withColumn("_place", F.row_number().over(order)).where("_place = 1").select(*[F.col(f"`{c}`") for c in docs.columns])
+    marked = docs.select(rid.alias("rid"), key.alias("key"), F.md5(F.to_json(F.struct(*others)) if others else F.lit("")).alias("other"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    order = W.partitionBy("rid", "key").orderBy("other")
+    return marked.join(kept, ["rid", "key"], "left_semi").withColumn("place", F.row_number().over(order)).where("place = 1").select("row.*")
