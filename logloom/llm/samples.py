@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from logloom.functions.checkpoints import saved
+from logloom.functions.checkpoints import stored
 
 
 def sampled(df: DataFrame, key: str | list[str], n: int, most: int, seed: int) -> DataFrame:
@@ -21,14 +21,22 @@ def sampled(df: DataFrame, key: str | list[str], n: int, most: int, seed: int) -
     return df.orderBy(hashed, *keys).limit(most)
 
 
-def collected(rows: DataFrame, most_chars: int) -> pd.DataFrame:
-    """Rows (text and others) on the driver, those first that come first in the order of their hash, until their texts have so many characters; at least one.
+def collected(rows: DataFrame, most_chars: int, label: str | None = None) -> pd.DataFrame:
+    """Rows (text and others) on the driver, in the order of their hash, of at most most_chars of text in all; each label has an equal part of that.
 
-    Texts of any length are among them. The lengths are looked at first, so that no more than that is ever sent.
+    A row is taken if its text fits in what is left for its label, so a text that is too long leaves out itself only, and where none fits the shortest of the label is
+    taken. Texts may be of any length; lengths are looked at first, so that no more than that is ever sent.
     """
-    kept = saved(rows.withColumn("_place", F.xxhash64(*rows.columns)))
-    sizes = kept.select("_place", F.length("text").alias("n")).toPandas().sort_values(["_place", "n"])
-    last = sizes[sizes.n.cumsum() <= most_chars]._place.max() if len(sizes) else None
-    if last is None or last != last:
-        return kept.orderBy("_place").limit(1).toPandas().drop(columns="_place")
-    return kept.where(F.col("_place") <= int(last)).toPandas().sort_values("_place").drop(columns="_place")
+    kept = stored(rows.withColumn("_place", F.xxhash64(*rows.columns)), "sample")
+    group = F.col(label) if label else F.lit(0)
+    sizes = kept.groupBy("_place").agg(F.sum(F.length("text")).alias("n"), F.first(group).alias("group")).toPandas().sort_values("_place")
+    taken: list[int] = []
+    for _, own in sizes.groupby("group"):
+        left, here = most_chars // sizes["group"].nunique(), []
+        for place, n in zip(own["_place"].tolist(), own["n"].tolist(), strict=True):
+            if n <= left:
+                here.append(place)
+                left -= n
+        taken += here or own.nsmallest(1, "n")["_place"].tolist()
+    chosen = rows.sparkSession.createDataFrame([(p,) for p in taken], "_place long")
+    return kept.join(F.broadcast(chosen), "_place").toPandas().sort_values("_place").drop(columns="_place")

@@ -213,7 +213,7 @@ def held_out(doc_id: F.Column) -> F.Column:
 
 
 def trained(docs: DataFrame, labels: DataFrame, most_each: int = 2000, most_chars: int = 24_000_000, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """A model from at most most_each labelled texts of either label, of most_chars characters in all, none of them held out.
+    """A model from at most most_each labelled texts of either label, of most_chars characters in all, half for either, none of them held out.
 
     Rows without a label or id are not used, nor are ids whose labels contradict each other. Of several texts with one id the first in the order of code points counts.
     """
@@ -222,12 +222,12 @@ def trained(docs: DataFrame, labels: DataFrame, most_each: int = 2000, most_char
     n = {r["label"]: r["count"] for r in chosen.groupBy("label").count().collect()}
     one, zero = (sampled(chosen.where(F.col("label") == k), "doc_id", n.get(k, 0), most_each, 11 + k) for k in (1, 0))
     some = one.unionAll(zero)
-    found = collected(whole_texts(docs, id_col, text_col).join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), most_chars).sort_values("doc_id")
+    found = collected(whole_texts(docs, id_col, text_col).join(F.broadcast(some), "doc_id").groupBy("doc_id", "label").agg(F.min("text").alias("text")), most_chars, "label").sort_values("doc_id")
     return fit(found.text.tolist(), found.label.tolist(), share_of_1=n.get(1, 0) / max(sum(n.values()), 1))
 
 
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, held_out, score, predicted) of each whole text, null counting as empty; held_out is null where the id is."""
+    """(doc_id, held_out, score, predicted) of each whole text, null counting as empty; held_out is null where the id is. Equal texts have equal scores, rows that repeat are scored each, an empty table gives no rows."""
     schema = pa.schema([("doc_id", pa.int64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
     def run(texts: Texts) -> Iterator[pa.RecordBatch]:

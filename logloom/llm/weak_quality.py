@@ -224,7 +224,7 @@ def trained(docs: DataFrame, most: int = 4000, most_chars: int = 24_000_000, id_
 
 
 def score(docs: DataFrame, model: tuple[Posterior, Scorer], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(doc_id, posterior, score, predicted) of each whole text, null counting as empty: 1 is good, as the scorer finds it."""
+    """(doc_id, posterior, score, predicted) of each whole text, null counting as empty: 1 is good, as the scorer finds it. Equal texts have equal scores, rows that repeat are scored each, an empty table gives no rows."""
     posterior, scorer = model
     schema = pa.schema([("doc_id", pa.int64()), ("posterior", pa.float64()), ("score", pa.float64()), ("predicted", pa.int32())])
 
