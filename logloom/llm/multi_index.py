@@ -142,8 +142,8 @@ def _found(entries: pd.DataFrame, askers: pd.DataFrame, keep: int, visits: np.nd
     return pd.DataFrame({"asker": askers.asker.to_numpy()[k], "entry": entries.entry.to_numpy()[e], "score": score})
 
 
-def in_rare_lengths(entries: DataFrame, keep: int) -> DataFrame:
-    """(asker, entry, score) by comparing all entries (n, entry, least, v, asks) of one length n. The caller sees to it that each length has few."""
+def among_few(entries: DataFrame, keep: int) -> DataFrame:
+    """(asker, entry, score) of entries (n, entry, least, v, asks) of lengths n that have at most keep of them: all are found, so there is nothing to search."""
 
     def every(own: pd.DataFrame) -> pd.DataFrame:
         return _found(own, own[own.asks].rename(columns={"entry": "asker"})[["asker", "v"]], keep)
@@ -224,15 +224,15 @@ def in_index(entries: DataFrame, n: int, keep: int, recall: float, most_sample:
     return left.groupBy("i", "s", "q").cogroup(right.groupBy("i", "s", "q")).applyInPandas(best, FOUND)
 
 
-def nearest_neighbours(vectors: DataFrame, query: Column, nearest: int = 5, recall: float = 0.97, most_sample: int = 16_000, rows_per_cell: int = 32, most_centroids: int = 1024, n_trials: int = 150, rare: int = 1000, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+def nearest_neighbours(vectors: DataFrame, query: Column, nearest: int = 5, recall: float = 0.97, most_sample: int = 16_000, rows_per_cell: int = 32, most_centroids: int = 1024, n_trials: int = 150, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """(query_id, rank, vec_id, score): for each row where query holds, the nearest others found, by cosine in double precision.
 
     Equal scores go by the smaller id. Vectors that are null, zero or hold null or non-finite components take no part; nor do
     rows with a null id. Vectors of different lengths are no candidates for each other. An id that occurs again is a row of its own, and a row is no neighbour of its own id. An empty table gives no rows.
 
-    Equal vectors are one entry, with as many of their least ids as a result can hold, so that copies cost nothing; of one component there are two, as only signs count. Each length that
-    rare vectors have at least is indexed for itself (``in_index``), every entry of it, and an entry meets only those blocks of queries that visit its first centroid; vectors of
-    rarer lengths are compared each with each.
+    Equal vectors are one entry, with as many of their least ids as a result can hold, so that copies cost nothing; of one component there are two, as only signs count. Each length is
+    indexed for itself (``in_index``), every entry of it, and an entry meets only those blocks of queries that visit its first centroid. Only where all other entries of a length are
+    a result anyway, as it has no more than that, is none built.
     """
     keep = nearest + 1
     v = F.col(vector_col).cast("array<double>")
@@ -243,8 +243,8 @@ def nearest_neighbours(vectors: DataFrame, query: Column, nearest: int = 5, reca
     entries = least.groupBy("v").agg(F.sort_array(F.collect_list("id")).alias("ids")).join(asking, "v", "left")
     entries = saved(entries.select("v", "ids", F.coalesce("asks", F.lit(False)).alias("asks"), F.get("ids", F.lit(0)).alias("least"), F.size("v").alias("n"), F.monotonically_increasing_id().alias("entry")))
     lengths = {r["n"]: r["count"] for r in entries.groupBy("n").count().collect()}
-    common = sorted(n for n, c in lengths.items() if n > 1 and c >= rare)
-    blocks = in_rare_lengths(entries.where(~F.col("n").isin(common)), keep)
+    common = sorted(n for n, c in lengths.items() if c > keep)  # vectors of one component are two entries
+    blocks = among_few(entries.where(~F.col("n").isin(common)), keep)
     for n in common:
         blocks = blocks.unionAll(in_index(entries.where(F.col("n") == n), lengths[n], keep, recall, most_sample, rows_per_cell, most_centroids, n_trials))
     listed = blocks.join(entries.select("entry", "ids"), "entry").select("asker", "score", F.explode("ids").alias("id"))
