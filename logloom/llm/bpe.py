@@ -17,7 +17,8 @@ import numpy as np
 
 from logloom.llm.textvec import LETTER, SPACE, Batch, ragged, slices
 
-MOST_KEPT = 700_000
+#: Pieces that a worker keeps, and characters or ids of all of them.
+MOST_KEPT, MOST_KEPT_CHARS = 700_000, 32_000_000
 _QUOTE, _BLANK = ord("'"), ord(" ")
 
 
@@ -336,7 +337,7 @@ class BatchEncoder:
         start, fixed = piece_starts(batch, self.vocabulary.special, texts)
         end = np.append(start[1:], len(batch.chars))
         hashes = self.hashes(batch, start, end)
-        if self.table.count > MOST_KEPT:
+        if self.table.count > MOST_KEPT or max(self.table.used, self.table.used_chars) > MOST_KEPT_CHARS:
             self.table, self.special = PieceTable(), {}
         table, chars = self.table, batch.chars
         entry = table.find(hashes)

@@ -214,6 +214,8 @@ def parse(stream: bytes) -> Iterator[Image]:
                 raise ValueError("only 8-bit images of known size")
             for k in range(n):
                 number, sampling, q = body[6 + 3 * k : 9 + 3 * k]
+                if not (1 <= sampling >> 4 <= 4 and 1 <= sampling & 15 <= 4):
+                    raise ValueError("sampling factors are from 1 to 4")
                 numbers[number] = Component(sampling >> 4, sampling & 15, quants[q])
             image.frame = list(numbers.values())
         elif 0xC1 <= marker <= 0xCF and marker != 0xC8:
@@ -255,9 +257,13 @@ def _scan_stretches(images: list[Image]) -> tuple[np.ndarray, np.ndarray, np.nda
 
 
 def coefficients(images: list[Image]) -> list[np.ndarray]:
-    """For each image its blocks' 64 quantised coefficients, in the order of the scan, with DC prediction undone."""
+    """For each image its blocks' 64 quantised coefficients, in the order of the scan, with DC prediction undone. Raises ValueError for damaged scans, before it takes memory for more blocks than a scan can hold."""
     if not images:
         return []
+    for image in images:
+        across, down = image.grid()
+        if 2 * across * down * len(image.pattern()) > 8 * len(image.scan):  # a block has a bit for DC and one for its end at least
+            raise ValueError("a scan too short for its frame")
     data, begin, owner = _scan_stretches(images)
     data = np.append(data, np.full(16, 0xFF, np.uint8))
     windows = data.astype(np.uint64)  # the eight bytes from each on

@@ -12,7 +12,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from logloom.llm import jpeg
-from logloom.llm.common import Texts, over_texts, rows, whole_texts
+from logloom.llm.common import Texts, over_texts, row_slices, rows, whole_texts
+
+#: What reading a damaged stream may raise.
+DAMAGE = (ValueError, KeyError, IndexError, TypeError, ZeroDivisionError, jpeg.struct.error)
 
 
 def decoded(streams: list[bytes]) -> list[tuple[list[jpeg.Image], list[np.ndarray]]]:
@@ -48,23 +51,37 @@ def media_columns(media: DataFrame, id_col: str = "doc_id", media_col: str = "me
     """
     schema = pa.schema([("doc_id", pa.int64()), ("width", pa.int32()), ("height", pa.int32()), ("thumbnail", pa.binary()), ("thumbnail_hash", pa.string()), ("problem", pa.string())])
 
-    def one(stream: bytes | None) -> tuple:
+    def first_image(stream: bytes | None) -> jpeg.Image | str:
         if stream is None:
-            return None, None, None, None, "null"
+            return "null"
         try:
-            image = next(jpeg.parse(stream), None)
-            if image is None:
-                return None, None, None, None, "no image"
-            grey = jpeg.thumbnail(image, jpeg.coefficients([image])[0])
-        except (ValueError, KeyError, IndexError, jpeg.struct.error) as e:
-            return None, None, None, None, str(e)
+            return next(jpeg.parse(stream), None) or "no image"
+        except DAMAGE as e:
+            return str(e)
+
+    def shown(image: jpeg.Image, blocks: np.ndarray) -> tuple:
+        grey = jpeg.thumbnail(image, blocks)
         return image.width, image.height, grey.tobytes(), jpeg.average_hash(grey), None
 
+    def alone(image: jpeg.Image) -> tuple:
+        try:
+            return shown(image, jpeg.coefficients([image])[0])
+        except DAMAGE as e:
+            return None, None, None, None, str(e)
+
+    def each(images: list[jpeg.Image]) -> list[tuple]:
+        """Side by side; where one is damaged, one by one."""
+        try:
+            return [shown(i, b) for i, b in zip(images, jpeg.coefficients(images), strict=True)]
+        except DAMAGE:
+            return [alone(i) for i in images]
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for i in range(batch.num_rows):
-                part = batch.slice(i, 1)
-                yield rows(schema, part.column("doc_id"), *([x] for x in one(part.column("media")[0].as_py())))
+            for part in row_slices(batch, "media", 1_000_000):
+                found = [first_image(x) for x in part.column("media").to_pylist()]
+                made = iter(each([x for x in found if not isinstance(x, str)]))
+                yield rows(schema, part.column("doc_id"), *zip(*((None, None, None, None, x) if isinstance(x, str) else next(made) for x in found), strict=True))
 
     return media.select(F.col(id_col).alias("doc_id"), F.col(media_col).alias("media")).mapInArrow(run, "doc_id long, width int, height int, thumbnail binary, thumbnail_hash string, problem string")
 
