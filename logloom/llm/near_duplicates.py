@@ -124,21 +124,26 @@ def tiles_with_first(members: DataFrame) -> DataFrame:
     return own.select("h", F.lit(0).cast("long").alias("i"), F.explode(there).alias("j"), "block", "node", "total", "places")
 
 
-def tiles_of_the_rest(members: DataFrame, labels: DataFrame, tile_nodes: int) -> DataFrame:
-    """Of each bucket (h, node, ...) that labels (node, label) leave apart: the members outside the largest group, in blocks, each with all blocks of the bucket."""
+def left_apart(members: DataFrame, labels: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """members (h, node) with their labels, and (h, most, rest, others) of each bucket that labels (node, label) leave apart: its largest group, how many are in it, and how many not."""
     named = members.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     groups = named.groupBy("h", "label").agg(F.count("*").alias("n"))
     each = groups.groupBy("h").agg(F.max(F.struct("n", "label")).alias("m"), F.sum("n").alias("n")).where("n > m.n")
-    blocks = lambda n: F.ceil(n / tile_nodes)
-    apart = named.join(each.select("h", F.col("m.label").alias("most"), blocks(F.col("n") - F.col("m.n")).alias("rest"), blocks(F.col("m.n")).alias("others")), "h")
+    return named, each.select("h", F.col("m.label").alias("most"), (F.col("n") - F.col("m.n")).alias("rest"), F.col("m.n").alias("others"))
+
+
+def tiles_of_the_rest(named: DataFrame, apart: DataFrame, tile_nodes: int) -> DataFrame:
+    """Of each bucket in apart: the members outside its largest group, in blocks, each with all blocks of the bucket."""
+    blocks = lambda n: F.ceil(F.col(n) / tile_nodes)
+    own = named.join(apart.withColumns({"rest": blocks("rest"), "others": blocks("others")}), "h")
     is_rest = F.col("label") != F.col("most")
-    placed = apart.withColumn("block", F.when(is_rest, dealt(F.col("rest"))).otherwise(F.col("rest") + dealt(F.col("others"))))
+    placed = own.withColumn("block", F.when(is_rest, dealt(F.col("rest"))).otherwise(F.col("rest") + dealt(F.col("others"))))
     placed = placed.withColumn("other", F.explode(upto(F.when(is_rest, F.col("rest") + F.col("others")).otherwise(F.col("rest")))))
-    return placed.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "total", "places")
+    return placed.select("h", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node")
 
 
 def candidates(nodes: DataFrame, threshold: float, bands: int, per_band: int, tile_nodes: int) -> DataFrame:
-    """(a, b): links that connect any two nodes which share a band, agree in about enough places and have about as many shingles.
+    """(node, label) of nodes that are connected by pairs which share a band, agree in about enough places and have about as many shingles.
 
     Members of a bucket are dealt into blocks of about tile_nodes. All blocks are compared with the first one, and of what is
     then apart, in all that buckets have linked, each block with all others; two blocks are a tile of one task. So the rows of tiles grow with the members of a bucket where these are alike.
@@ -179,12 +184,16 @@ def candidates(nodes: DataFrame, threshold: float, bands: int, per_band: int, ti
         return connected(np.concatenate([a, b]), np.arange(len(a)), len(a) + np.arange(len(b)))
 
     first = in_tiles(tiles_with_first(shared.join(placed, "node")), ["h", "i", "j"], compare)
+    labels = saved(components(first))
     large = shared.where("blocks > 1")
     if not large.take(1):
-        return first
-    labels = stored(components(first), "labels")
-    more = in_tiles(tiles_of_the_rest(large.join(placed, "node"), labels, tile_nodes), ["h", "i", "j"], compare)
-    return more.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))
+        return labels
+    named, apart = left_apart(large.select("h", "node"), labels)
+    apart = saved(apart)
+    if not apart.take(1):
+        return labels
+    more = in_tiles(tiles_of_the_rest(named, apart, tile_nodes).join(placed, "node"), ["h", "i", "j"], compare)
+    return saved(components(more.unionAll(labels.select(F.col("node").alias("a"), F.col("label").alias("b")))))
 
 
 def shared_values(row: np.ndarray, value: np.ndarray, n: int, left: np.ndarray, right: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -268,7 +277,7 @@ def near_duplicate_classes(docs: DataFrame, threshold: float = 0.8, words: int =
     a common likeness. Where it has not (many texts that are alike, but not enough) every pair is compared, in tiles of bounded memory, none is left out, and a tile gives out no more links than it has members.
     """
     nodes = nodes_of(docs, words, bands, per_band, id_col, text_col)
-    clusters = saved(components(candidates(nodes, threshold, bands, per_band, tile_nodes)).withColumnRenamed("label", "cluster"))
+    clusters = candidates(nodes, threshold, bands, per_band, tile_nodes).withColumnRenamed("label", "cluster")
     texts = texts_of(clusters.select("node"), nodes, docs, id_col, text_col)
     members = clusters.join(nodes.select("node", "total"), "node")
     blocks = lambda n, shingles: F.ceil(F.greatest(F.col(n) / tile_nodes, F.col(shingles) / tile_shingles, F.lit(1.0)))
