@@ -30,11 +30,11 @@ def surely(c: Column) -> Column:
 
 
 def any_of(columns: list[Column]) -> Column:
-    return functools.reduce(operator.or_, columns, F.lit(False))
+    return functools.reduce(operator.or_, columns) if columns else F.lit(False)
 
 
 def all_of(columns: list[Column]) -> Column:
-    return functools.reduce(operator.and_, columns, F.lit(True))
+    return functools.reduce(operator.and_, columns) if columns else F.lit(True)
 
 
 class Fields:
@@ -42,6 +42,9 @@ class Fields:
 
     def __init__(self, schema: T.StructType):
         self.types = {f.name: f.dataType for f in schema}
+        self._asked: dict[int, tuple[Column, str, str]] = {}
+        # Rules by the thousand ask for few columns: each is made once.
+        self.column, self._plain, self._lower = (functools.cache(f) for f in (self.column, self._plain, self._lower))
 
     def column(self, name: str) -> tuple[Column, str]:
         """The column and its kind: bool, number, array, text or none."""
@@ -66,12 +69,21 @@ class Fields:
             return F.when(c.rlike(_NUMBER), F.trim(c).try_cast("double"))
         return F.lit(None).cast("double")
 
-    @staticmethod
-    def _text(c: Column, kind: str) -> Column:
-        return F.array_join(c, " ") if kind == "array" else c.cast("string")
+    def _plain(self, name: str) -> Column:
+        """The column as text."""
+        c, kind = self.column(name)
+        return F.array_join(c, " ") if kind == "array" else c if isinstance(self.types.get(name), T.StringType) else c.cast("string")
+
+    def _lower(self, name: str) -> Column:
+        return F.lower(self._plain(name))
 
     def equal(self, name: str, value: object) -> Column:
-        (a, ka), (b, kb) = self.column(name), self._side(value)
+        a, ka = self.column(name)
+        if ka == "text" and isinstance(value, str):
+            out = surely(a == value)
+            self._asked[id(out)] = out, name, value
+            return out
+        b, kb = self._side(value)
         if ka == "array":
             return surely(F.array_contains(a, b.cast("string")))
         if "bool" in (ka, kb):
@@ -80,6 +92,11 @@ class Fields:
             return surely(self._number(a, ka) == self._number(b, kb))
         return surely(a == b)
 
+    def text_asked(self, condition: Column) -> tuple[str, str] | None:
+        """(field, text), if that is what this condition, made here, compares."""
+        out, *asked = self._asked.get(id(condition), (None, None, None))
+        return tuple(asked) if out is condition else None
+
     def not_equal(self, name: str, value: object) -> Column:
         return self.present(name) & ~self.equal(name, value)
 
@@ -111,10 +128,9 @@ class Fields:
         return ~self.is_in(name, values)
 
     def _texts(self, name: str, needles: str | list[str], method: str, ignore_case: bool) -> Column:
-        text = self._text(*self.column(name))
-        text = F.lower(text) if ignore_case else text
+        text = self._lower(name) if ignore_case else self._plain(name)
         listed = [needles] if isinstance(needles, str) else needles
-        return any_of([surely(getattr(text, method)(n.lower() if ignore_case else n)) for n in listed])
+        return surely(any_of([getattr(text, method)(n.lower() if ignore_case else n) for n in listed]))
 
     def contains(self, name: str, needles: str | list[str], ignore_case: bool = False) -> Column:
         return self._texts(name, needles, "contains", ignore_case)
@@ -126,9 +142,9 @@ class Fields:
         return self._texts(name, needles, "endswith", ignore_case)
 
     def matches(self, name: str, patterns: str | list[str], ignore_case: bool = False) -> Column:
-        text = self._text(*self.column(name))
+        text = self._plain(name)
         listed = [patterns] if isinstance(patterns, str) else patterns
-        return any_of([surely(text.rlike(f"(?i){p}" if ignore_case else p)) for p in listed])
+        return surely(any_of([text.rlike(f"(?i){p}" if ignore_case else p) for p in listed]))
 
     def missing(self, name: str) -> Column:
         return self.column(name)[0].isNull()

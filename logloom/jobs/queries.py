@@ -103,7 +103,7 @@ def rule_matches_urgent(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FIRED + "SELECT rule, key, seq, match_count FROM fired")
 def threshold_firings(spark: SparkSession, sf_dir: str) -> DataFrame:
     hits, rules = _hits(spark, sf_dir), [r for r in active(RULES) if r.threshold]
-    own = hits.where(F.col("rule").isin([r.name for r in rules])).select("rule", by_rule(rules, lambda r: key_of(hits, r.threshold.by)).alias("key"), "ts_us", "seq", by_rule(rules, lambda r: F.lit(r.threshold.count)).alias("count"), by_rule(rules, lambda r: F.lit(int(r.threshold.window_s * 1e6))).cast("long").alias("window_us"))
+    own = hits.where(F.col("rule").isin([r.name for r in rules])).select("rule", by_rule(rules, lambda r: r.threshold.by, lambda names: key_of(hits, names)).alias("key"), "ts_us", "seq", by_rule(rules, lambda r: r.threshold.count).alias("count"), by_rule(rules, lambda r: int(r.threshold.window_s * 1e6)).cast("long").alias("window_us"))
     return suppress.threshold(own).select("rule", "key", "seq", "match_count")
 
 
@@ -347,7 +347,7 @@ def streamed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds over a stream of hits that stops and goes on from its checkpoint; a hit of a later year makes the last ones ready."""
     folder = adapters.new_folder(spark, "stream")
     hits, rules = _hits(spark, sf_dir), [r for r in active(RULES) if r.threshold]
-    own = hits.where(F.col("rule").isin([r.name for r in rules])).select("rule", by_rule(rules, lambda r: key_of(hits, r.threshold.by)).cast("string").alias("key"), "ts", "seq", by_rule(rules, lambda r: F.lit(r.threshold.count)).cast("int").alias("count"), by_rule(rules, lambda r: F.lit(int(r.threshold.window_s * 1e6))).cast("long").alias("window_us"))
+    own = hits.where(F.col("rule").isin([r.name for r in rules])).select("rule", by_rule(rules, lambda r: r.threshold.by, lambda names: key_of(hits, names)).cast("string").alias("key"), "ts", "seq", by_rule(rules, lambda r: r.threshold.count).cast("int").alias("count"), by_rule(rules, lambda r: int(r.threshold.window_s * 1e6)).cast("long").alias("window_us"))
     name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -51,10 +52,14 @@ class Rule:
     def rank(self) -> int:
         return SEVERITIES.index(self.severity)
 
+    def conditions(self, fields: Fields) -> list[Column]:
+        """What must hold, the feeds first; a rule without feeds, or with any of 'any' and '*', looks at every feed."""
+        one = [fields.equal("source", self.feeds[0])] if len(self.feeds) == 1 else [fields.is_in("source", list(self.feeds))]
+        return [*([] if not self.feeds or {"any", "*"} & set(self.feeds) else one), *self.when(fields)]
+
     def predicate(self, fields: Fields) -> Column:
-        """True where the rule holds; a rule without feeds, or with any of 'any' and '*', looks at every feed."""
-        own = [] if not self.feeds or {"any", "*"} & set(self.feeds) else [fields.is_in("source", list(self.feeds))]
-        return all_of([*own, *self.when(fields)])
+        """True where the rule holds."""
+        return all_of(self.conditions(fields))
 
 
 def active(rules: list[Rule], min_severity: str | None = None) -> list[Rule]:
@@ -65,13 +70,33 @@ def active(rules: list[Rule], min_severity: str | None = None) -> list[Rule]:
 
 def matches(events: DataFrame, rules: list[Rule], min_severity: str | None = None) -> DataFrame:
     """The columns of events and rule, a row for each rule that holds on an event. One pass, no shuffle."""
-    fields = Fields(events.schema)
-    flags = [F.when(r.predicate(fields), F.lit(r.name)) for r in active(rules, min_severity)]
-    if not flags:
+    fields, used = Fields(events.schema), active(rules, min_severity)
+    if not used:
         return events.withColumn("rule", F.lit("")).where("false")
-    arrays = [F.array(*flags[a : a + PER_ARRAY]) for a in range(0, len(flags), PER_ARRAY)]
-    hit = F.array_compact(F.concat(*arrays))
-    return events.withColumn("_hits", hit).where(F.size("_hits") > 0).withColumn("rule", F.explode("_hits")).drop("_hits")
+    return events.select("*", F.explode(hits_of(used, fields)).alias("rule"))
+
+
+def hits_of(rules: list[Rule], fields: Fields) -> Column:
+    """The names of the rules that hold on an event, in an array.
+
+    Rules are looked at behind gates: those that ask for one value of a field which many rules ask for (a feed, a category, an action) are tried only on events that have it,
+    so an event meets its own rules and those without such a condition, and not all.
+    """
+    conditions = {r.name: r.conditions(fields) for r in rules}
+    asked = {name: {x for c in own if (x := fields.text_asked(c))} for name, own in conditions.items()}
+    often = Counter(x for own in asked.values() for x in own)
+    gates: dict[tuple[str, str] | None, list[str]] = {}
+    for name, own in asked.items():
+        best = max(own, key=lambda x: (often[x], x), default=None)
+        gates.setdefault(best if best and often[best] > 1 else None, []).append(name)
+
+    def flags(names: list[str]) -> list[Column]:
+        each = [F.when(all_of(conditions[n]), F.lit(n)) for n in names]
+        return [F.array(*each[a : a + PER_ARRAY]) for a in range(0, len(each), PER_ARRAY)]
+
+    nothing = F.array().cast("array<string>")
+    arrays = [F.when(fields.equal(*gate), F.concat(*flags(own))).otherwise(nothing) for gate, own in gates.items() if gate] + flags(gates.get(None, []))
+    return F.array_compact(F.concat(*arrays))
 
 
 def with_listed(events: DataFrame, flag: str, field: str, listed: DataFrame, value: str) -> DataFrame:
@@ -98,9 +123,13 @@ def key_of(df: DataFrame, names: tuple[str, ...]) -> Column:
     return F.concat_ws("|", *[F.coalesce(F.col(n).cast("string"), F.lit("-")) if n in df.columns else F.lit("-") for n in resolved])
 
 
-def by_rule(rules: list[Rule], value: Callable[[Rule], Column]) -> Column:
-    """A column that differs by rule."""
-    out = F.lit(None)
+def by_rule(rules: list[Rule], value: Callable[[Rule], object], build: Callable[[object], Column] = F.lit) -> Column:
+    """A column that differs by rule: build of the value of each, null for other rules. As many branches as there are different values, side by side."""
+    names: dict[object, list[str]] = {}
     for r in rules:
-        out = F.when(F.col("rule") == r.name, value(r)).otherwise(out)
-    return out
+        names.setdefault(value(r), []).append(r.name)
+    out = None
+    for v, own in names.items():
+        is_own = F.col("rule").isin(own)
+        out = F.when(is_own, build(v)) if out is None else out.when(is_own, build(v))
+    return F.lit(None) if out is None else out

@@ -5,7 +5,8 @@ to fill a threshold's window with those that follow, so the parts of a busy key
 than the hits of one window in memory.
 
 A part of very many hits is cut by time as well, into sorted ranges of about equal size. Only the first group of a range can go on from the range before, so what it begins with is one state
-for each range: all ranges are walked at once from every state that they might begin with, and the true one follows from range to range on the driver. Then all are walked once more.
+for each range: all ranges are walked at once from every state that they might begin with, and the true ones follow from range to range. Then all are walked once more. The number of jobs does
+not depend on that of the ranges.
 """
 
 from __future__ import annotations
@@ -17,9 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
+from pyspark.sql.types import StringType
 from pyspark.sql.window import Window as W
 
-from logloom.functions.checkpoints import saved
+from logloom.functions.checkpoints import saved, stored
 
 SHOWN = 25
 #: How many hits one task walks of a part that is cut.
@@ -125,17 +127,35 @@ def emitted(rows: DataFrame, machine: Machine, first: dict[int, object]) -> Data
 
 def walk(hits: DataFrame, machine: Machine, link: Callable[[DataFrame], dict[int, object]], most: int, needed: str | None = None) -> DataFrame:
     """The hits that the machine lets go on; link finds what the partitions of ranges begin with."""
-    parts = saved(parts_of(hits, most, needed))
+    parts = stored(parts_of(hits, most, needed), "parts")
     n_large = parts.where("large").agg(F.sum("n")).first()[0]
     placed = hits.withColumn("slot", _slot()).join(parts.drop("n"), [*NAMES[:2], "slot"])
     order = [*NAMES, "ts_us", "seq"]
     out = emitted(placed.where("not large").repartition(*NAMES).sortWithinPartitions(*order), machine, {})
     if not n_large:
         return out
+    # Partitions are what is linked, so they are kept as they are.
     ranges = saved(placed.where("large").repartitionByRange(-(-n_large // most), *order).sortWithinPartitions(*order).withColumn("pid", F.spark_partition_id()))
     return out.unionByName(emitted(ranges, machine, link(ranges)))
 
 
+#: What a range tells: its first and last group, whether they are one, and what its last group ends with if it begins in the range; then a row for each piece of what it makes of
+#: a state that comes into its first group: of all up to this one (upto), that it ends with this one (end).
+TOLD = pa.schema([("pid", pa.int32()), ("place", pa.int64()), ("first", pa.string()), ("last", pa.string()), ("one", pa.bool_()), ("window", pa.int64()), ("upto", pa.int64()), ("end", pa.int64())])
+
+
+def told(ranges: DataFrame, columns: list[str], tell: Callable[[Iterator], Iterator[tuple]]) -> DataFrame:
+    """The rows of TOLD that tell makes of the groups of each range, in the order of ranges and places, for one task to follow."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = list(tell(groups(batches, columns)))
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), TOLD, strict=True)], schema=TOLD)
+
+    schema = "pid int, place long, first string, last string, one boolean, window long, upto long, end long"
+    return ranges.mapInArrow(run, schema).repartition(1).sortWithinPartitions("pid", "place")
+
+
 def edges_of(ranges: DataFrame) -> list[Row]:
     """Of each partition its first and its last group (one row, if they are one): rule, key, part, first, last, and its first and last time."""
     schema = "pid int, rule string, key string, part long, first boolean, last boolean, begin long, end long"
@@ -184,6 +204,11 @@ def of_last_group(ranges: DataFrame, columns: list[str], schema: str, fields: pa
     return {r[0]: tuple(r[1:]) for r in ranges.mapInArrow(run, schema).collect()}
 
 
+def seq_type(hits: DataFrame) -> tuple[str, pa.DataType]:
+    """What names events: numbers or texts."""
+    return ("string", pa.string()) if isinstance(hits.schema["seq"].dataType, StringType) else ("long", pa.int64())
+
+
 class Hits:
     """A threshold's state: the last hits that no firing has used, fewer than its count."""
 
@@ -207,24 +232,26 @@ def link_thresholds(ranges: DataFrame) -> dict[int, Hits]:
     """
     edges = continued(edges_of(ranges))
     columns = ["ts_us", "seq", "count", "window_us"]
-    pair = lambda *names: pa.schema([("pid", pa.int32()), *[(n, pa.list_(pa.int64())) for n in names]])
+    seq_name, seq_kind = seq_type(ranges)
+    pair = lambda *names: pa.schema([("pid", pa.int32()), *[(n, pa.list_(seq_kind if n == "s" else pa.int64())) for n in names]])
 
     def keep(state: Hits, rows: dict[str, np.ndarray]) -> None:
         most = int(rows["count"][0]) - 1
         state.t, state.s = (np.concatenate([x, rows[c]])[-most:] if most else x for x, c in ((state.t, "ts_us"), (state.s, "seq")))
 
-    tails = of_last_group(ranges, columns, "pid int, t array<long>, s array<long>", pair("t", "s"), lambda pid, first: Hits(), keep, lambda s: (s.t.tolist(), s.s.tolist()))
+    tails = of_last_group(ranges, columns, f"pid int, t array<long>, s array<{seq_name}>", pair("t", "s"), lambda pid, first: Hits(), keep, lambda s: (s.t.tolist(), s.s.tolist()))
     least = {r[0]: r[1] for r in ranges.groupBy("pid").agg(F.max("count")).collect()}
     halo: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+    nothing = np.zeros(0, np.int64), np.zeros(0, seq_kind.to_pandas_dtype())
     for r, before in edges:
         if before is not None:
-            t, s = (np.array(x, np.int64) for x in tails[before.pid])
+            t, s = np.array(tails[before.pid][0], np.int64), np.array(tails[before.pid][1], seq_kind.to_pandas_dtype())
             if before.first and before.pid in halo and len(t) < least[r.pid] - 1:  # a range of few hits: those before it count too
                 t, s = (np.concatenate([x, y])[-(least[r.pid] - 1) :] for x, y in zip(halo[before.pid], (t, s), strict=True))
             halo[r.pid] = (t, s)
 
     def begin(pid: int, first: bool) -> dict:
-        t, s = halo.get(pid, (np.zeros(0, np.int64),) * 2) if first else (np.zeros(0, np.int64),) * 2
+        t, s = halo.get(pid, nothing) if first else nothing
         return {"at": list(range(len(t) + 1)), "states": {u: Hits(t[len(t) - u :], s[len(s) - u :]) for u in range(len(t) + 1)}}
 
     def feed(state: dict, rows: dict[str, np.ndarray]) -> None:
@@ -247,7 +274,8 @@ def threshold(hits: DataFrame, most: int = MOST) -> DataFrame:
 
     seq breaks ties of ts_us and names the event; members are the seqs of the last 25 hits that made it fire. A part of a key that has over most hits is cut into ranges of about so many.
     """
-    machine = Machine(Hits, count_hits, ["count", "window_us"], [("match_count", "long", pa.int64()), ("members", "array<long>", pa.list_(pa.int64()))])
+    name, kind = seq_type(hits)
+    machine = Machine(Hits, count_hits, ["count", "window_us"], [("match_count", "long", pa.int64()), ("members", f"array<{name}>", pa.list_(kind))])
     return walk(hits, machine, link_thresholds, most, needed="count")
 
 
@@ -264,53 +292,88 @@ def let_through(state: Last, rows: dict[str, np.ndarray]) -> Iterator[tuple]:
         yield (i,)
 
 
-def link_throttles(ranges: DataFrame) -> dict[int, Last]:
-    """The first hit that a range lets through is one of those within a window of its first. Walks never overtake each other, so if that from the first of these and that from the last of them
-    end at one time and have let through as many, all between end there too, and what the range begins with does not matter. Nor does it if the range ends before the wait is over. Else that
-    one range is walked once more, from what it begins with.
+def landings(t: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
+    """What a throttle makes of sorted times, by the time from which on it may let through again: (upto, end), where for all such times up to one of upto, and after the one before,
+    the last hit that is let through is at end. A time after all of upto is after all hits.
+
+    The first hit that is let through is one of those within a window of the first of all. Walks from all of them jump at once, and those that meet go on as one, so no hit is looked at twice.
     """
-    edges = continued(edges_of(ranges))
-    columns, fields = ["ts_us", "window_us"], pa.schema([("pid", pa.int32()), ("at", pa.int64()), ("same", pa.bool_()), ("window", pa.int64())])
-    shape = "pid int, at long, same boolean, window long"
-
-    def both(state: dict, rows: dict[str, np.ndarray]) -> None:
-        t, window = rows["ts_us"], int(rows["window_us"][0])
-        if not state:
-            state |= {"early": Last(), "late": None, "lead": 0, "until": int(t[0]) + window, "within": int(t[0]), "window": window}
-        state["lead"] += sum(1 for _ in let_through(state["early"], rows))
-        cut = int(np.searchsorted(t, state["until"], "left"))
-        if cut:
-            state["within"] = int(t[cut - 1])
-        if cut < len(t):
-            if state["late"] is None:
-                state["late"], state["lead"] = Last(state["within"]), state["lead"] - 1
-            state["lead"] -= sum(1 for _ in let_through(state["late"], {**rows, "ts_us": t[cut:]}))
-
-    def told(state: dict) -> tuple:
-        late, lead = (state["late"].at, state["lead"]) if state["late"] else (state["within"], state["lead"] - 1)
-        return state["early"].at, late == state["early"].at and lead == 0, state["window"]
-
-    ends = of_last_group(ranges, columns, shape, fields, lambda pid, first: {}, both, told)
-
-    def exactly(pid: int, at: int) -> int:
-        def one(state: Last, rows: dict[str, np.ndarray]) -> None:
-            for _ in let_through(state, rows):
+    upto = np.unique(t[: np.searchsorted(t, t[0] + window, "left") + 1])
+    end, at, walk_of = np.zeros(len(upto), np.int64), np.searchsorted(t, upto, "left"), np.arange(len(upto))
+    walking = np.ones(len(upto), bool)
+    while walking.any():
+        if len(at) == 1:
+            end[walking] = t[at[0] + emissions(t[at[0] :], window, None)[-1]]
+            break
+        after = np.maximum(np.searchsorted(t, t[at] + window, "left"), at + 1)
+        over = after >= len(t)
+        ends = walking & over[walk_of]
+        end[ends] = t[at[walk_of[ends]]]
+        walking &= ~ends
+        new, number = np.unique(after[~over], return_inverse=True)
+        renamed = np.zeros(len(at), np.int64)
+        renamed[~over] = number
+        at, walk_of = new, renamed[walk_of]
+    last = np.append(end[1:] != end[:-1], True)
+    return upto[last], end[last]
+
+
+def tell_landings(pieces: Iterator) -> Iterator[tuple]:
+    """The rows of TOLD of one range; of its first group it holds the times, of the others a state."""
+    first, now, pid, window, times, state = None, None, 0, 0, [], Last()
+    for name, batch, _, values in pieces:
+        if first is None:
+            first, pid, window = name, batch.column("pid")[0].as_py(), int(values["window_us"][0])
+        if name != now:
+            now, state = name, Last()
+        if name == first:
+            times.append(values["ts_us"])
+        else:
+            for _ in let_through(state, values):
                 pass
+    if first is None:
+        return
+    upto, end = landings(np.concatenate(times), window)
+    text = lambda n: "\x1f".join(map(str, n))
+    yield pid, 0, text(first), text(now), first == now, window, None, int(end[0]) if first == now else state.at
+    for k, (u, e) in enumerate(zip(upto.tolist(), end.tolist(), strict=True)):
+        yield pid, k + 1, None, None, None, None, u, e
+
+
+def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(pid, at) of each range whose first group goes on from the range before, by putting together what all have told, in their order. Holds one state."""
+    group, at, wanted, mine = None, None, None, None  # the last group so far, when it last let a hit through, and the time that is looked for in the pieces of the first group of this range
+    schema = pa.schema([("pid", pa.int32()), ("at", pa.int64())])
+    for batch in batches:
+        found: list[tuple[int, int]] = []
+        place, upto, end = (batch.column(c).fill_null(0).to_numpy() for c in ("place", "upto", "end"))
+        cuts = [*np.flatnonzero(place == 0).tolist(), len(place)]
+        for a, b in zip([0, *cuts], cuts, strict=False):
+            if a == b:
+                continue
+            if place[a] == 0:
+                row = {c: batch.column(c)[a].as_py() for c in ("pid", "first", "last", "one", "window", "end")}
+                goes_on, wanted, mine = row["first"] == group and at is not None, None, row["one"]
+                if goes_on:
+                    found.append((row["pid"], at))
+                    wanted = at + row["window"]
+                if not (goes_on and mine):
+                    group, at = row["last"], row["end"]
+                a += 1
+            if wanted is not None and mine:
+                k = a + int(np.searchsorted(upto[a:b], wanted, "left"))
+                if k < b:
+                    at, wanted = int(end[k]), None
+        if found:
+            yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found, strict=True), schema, strict=True)], schema=schema)
 
-        return of_last_group(ranges.where(F.col("pid") == pid), columns, shape, fields, lambda p, first: Last(at), one, lambda s: (s.at, None, None))[pid][0]
 
-    first: dict[int, Last] = {}
-    for r, before in edges:
-        if before is None:
-            continue
-        fresh, same, window = ends[before.pid]
-        at = first[before.pid].at if before.first and before.pid in first else None
-        if at is None or at + window <= before.begin or same and at + window <= before.end:
-            at = fresh
-        elif at + window <= before.end:
-            at = exactly(before.pid, at)
-        first[r.pid] = Last(at)
-    return first
+def link_throttles(ranges: DataFrame) -> dict[int, Last]:
+    """Each range is a function from when the key last let a hit through before it to when it does so last in it, which is told in pieces: as many as there are ends that it can come to,
+    at most the hits within a window of its first. One task puts them together, reading them in order. So there is one job, however many ranges there are, and the driver gets a number for each.
+    """
+    columns = ["ts_us", "window_us"]
+    return {r["pid"]: Last(r["at"]) for r in told(ranges, columns, tell_landings).mapInArrow(follow, "pid int, at long").collect()}
 
 
 def throttle(hits: DataFrame, most: int = MOST) -> DataFrame:

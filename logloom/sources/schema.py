@@ -34,6 +34,7 @@ EVENT = T.StructType([
     *[T.StructField(n, T.BooleanType()) for n in FLAGS],
     *[T.StructField(n, T.ArrayType(T.StringType())) for n in LISTS],
     T.StructField("ts", T.TimestampType()),
+    T.StructField("seq", T.StringType()),
     T.StructField("extra", T.MapType(T.StringType(), T.StringType())),
 ])
 
@@ -103,6 +104,21 @@ def canonical(df: DataFrame) -> DataFrame:
     return df.select(*[(F.col(f.name).cast(f.dataType) if f.name in there else F.lit(None).cast(f.dataType)).alias(f.name) for f in EVENT])
 
 
+def line_key(feed: str, lines: DataFrame) -> Column:
+    """What names a line of a feed: seq where the lines have it (see ``feeds.numbered_lines``), else made of their path, if any, and pos."""
+    if "seq" in lines.columns:
+        return F.col("seq")
+    pos, path = lines.schema["pos"].dataType, F.col("path") if "path" in lines.columns else F.lit("")
+    if not isinstance(pos, T.IntegralType):
+        return F.md5(F.concat_ws("\x1f", F.lit(feed), path, F.col("pos").cast("string")))
+    return sortable_key(F.col("pos"), F.md5(F.concat(F.lit(f"{feed}\x1f"), F.coalesce(path, F.lit("")))))
+
+
+def sortable_key(number: Column, digest: Column) -> Column:
+    """128 bits in hexadecimal digits: 40 of a line's number, so that keys of a file sort as its lines, and 88 of a digest of its feed and file."""
+    return F.concat(F.lpad(F.hex(number.cast("long")), 10, "0"), F.substring(digest, 1, 22))
+
+
 def with_aliases(df: DataFrame) -> DataFrame:
     """The columns under their short forms too."""
     return df.withColumns({a: F.col(c) for a, c in ALIASES.items() if c in df.columns and a not in df.columns})

@@ -101,3 +101,54 @@ def test_large_parts_are_walked_in_ranges(spark, seed, window, count, most):
         want_fired |= {(*name, own[i][1]): [s for _, s in own[max(i - count + 1, i - 24) : i + 1]] for i in sequential_threshold(t, count, window)}
         want_passed |= {(*name, own[i][1]) for i in sequential_throttle(t, window)}
     assert fired == want_fired and passed == want_passed
+
+
+def jobs_of(spark, run):
+    name = f"jobs-{random.random()}"
+    spark.sparkContext.setJobGroup(name, name)
+    try:
+        run()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(name))
+    finally:
+        spark.sparkContext.setJobGroup("", "")
+
+
+def test_the_number_of_jobs_does_not_depend_on_the_ranges(spark):
+    """A dense key without a quiet time, whose throttle goes on from range to range: 8 and 200 ranges."""
+    rows = [("r", "hot", 10 * i + i % 3, i, 4, 1000) for i in range(2000)]
+    df = spark.createDataFrame(rows, "rule string, key string, ts_us long, seq long, count int, window_us long").repartition(3).cache()
+    old = spark.conf.get("spark.sql.adaptive.enabled")
+    spark.conf.set("spark.sql.adaptive.enabled", "false")  # it starts a job for each stage
+    try:
+        for walk in (suppress.threshold, suppress.throttle):
+            found = {}
+            used = [jobs_of(spark, lambda most=most: found.update({most: sorted(x.seq for x in walk(df, most).collect())})) for most in (250, 10)]
+            assert used[0] == used[1] < 25 and found[250] == found[10]
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", old)
+    assert found[10] == [i for i in sequential_throttle([r[2] for r in rows], 1000)]
+
+
+def test_landings_are_the_walks_from_each_time():
+    r = random.Random(9)
+    for k in range(800):
+        n, wide = r.randrange(1, 60), r.choice([20, 200, 5000])
+        t = np.array(sorted(r.randrange(wide) for _ in range(n)) if k % 4 else range(0, 7 * n, 7), np.int64)
+        window = r.randrange(1, 80)
+        upto, end = suppress.landings(t, window)
+        for x in range(int(t[0]) - 2, int(t[0]) + window + 1):  # from when on it may let through again
+            at = np.searchsorted(upto, x, "left")
+            walked = suppress.emissions(t, window, x - window)
+            assert (int(end[at]) if at < len(upto) else None) == (int(t[walked[-1]]) if walked else None)
+
+
+@pytest.mark.parametrize("most", [1000, 25])
+def test_events_named_by_texts(spark, most):
+    r = random.Random(2)
+    rows = [("r", f"k{r.randrange(2)}", r.randrange(0, 3000), i, 3, 40) for i in range(300)]
+    df = spark.createDataFrame(rows, "rule string, key string, ts_us long, seq long, count int, window_us long")
+    text = df.withColumn("seq", F.lpad(F.col("seq").cast("string"), 6, "0"))
+    for walk in (suppress.threshold, suppress.throttle):
+        a, b = walk(df, most), walk(text, most)
+        members = lambda x: [int(m) for m in x["members"]] if "members" in x else []
+        assert sorted((x.key, x.seq, members(x.asDict())) for x in a.collect()) == sorted((x.key, int(x.seq), members(x.asDict())) for x in b.collect())
