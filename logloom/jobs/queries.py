@@ -7,10 +7,11 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from logloom.functions.checkpoints import stored
 from logloom.functions.predicates import Fields, Ref
 from logloom.jobs import adapters
 from logloom.jobs.adapters import ALERTS_SQL, EVENTS_SQL, JOURNAL_SQL
-from logloom.jobs.rules import HITS_SQL, RULES, THRESHOLD_SQL, THROTTLE_SQL
+from logloom.jobs.rules import HELD_SQL, HITS_SQL, RAW_HITS_SQL, RAW_RULES, RULES, THRESHOLD_SQL, THROTTLE_SQL
 from logloom.operators import alerts as alert_ops
 from logloom.operators import enrich, reports, suppress, verdicts
 from logloom.operators.detect import Rule, active, by_rule, key_of, listed_only, matches, with_listed
@@ -292,6 +293,24 @@ def stored_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
     return known.read(spark, {"auditd": [lines], "journald": [entries], "web": []}).select("source", "host", "action", "category", "success", "cmdline", "path", "remote_ip")
 
 
+def _raw_alerts(spark: SparkSession, lines: str, entries: str) -> DataFrame:
+    """From lines of both feeds to alerts. Parsed events are written once, as parents and rules read them more than once."""
+    known = feeds.Feeds()
+    known.register("auditd", lambda s, paths: audit.read_events(feeds.numbered_lines(s, paths, "auditd")))
+    known.register("journald", lambda s, paths: journal.read_events(feeds.numbered_lines(s, paths, "journald")))
+    if unknown := known.unknown([f for r in RAW_RULES for f in r.feeds]):
+        raise ValueError(f"rules name feeds that are not there: {unknown}")
+    events = stored(known.read(spark, {"auditd": [lines], "journald": [entries]}), "events")
+    return alert_ops.build(enrich.with_parents(events), RAW_RULES)
+
+
+@query(f"WITH RECURSIVE {EVENTS_SQL}, {_AUDIT_SQL}, {RAW_HITS_SQL}, {HELD_SQL} SELECT rule, source, host, ts_us AS event_us, CAST(match_count AS BIGINT) AS match_count FROM kept")
+def raw_to_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The whole detection from text files: lines of two feeds, events, their parents, rules, thresholds, throttles and alerts. The SQL knows only the events."""
+    made = _raw_alerts(spark, *_stored_lines(spark, sf_dir))
+    return made.select(F.col("rule.name").alias("rule"), "source", "host", F.unix_micros("event_time").alias("event_us"), "match_count")
+
+
 WEB = feeds.FeedSpec(
     name="web", category="web", action="request", timestamp_field="ts", types={"http_status": "int", "bytes_sent": "int"}, message_field="http_path",
     pattern=r'^(?P<remote_ip>\S+) \S+ (?P<auth_user>\S+) \[(?P<ts>[^\]]+)\] "(?P<http_method>\S+) (?P<http_path>[^ ?]+)(?:\?(?P<http_query>\S*))? HTTP/(?P<http_version>[^"]+)" (?P<http_status>\d+) (?P<bytes_sent>\S+) "(?P<referer>[^"]*)" "(?P<user_agent>[^"]*)"', field_map={"auth_user": ""},
@@ -342,22 +361,59 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-@query(_FIRED + "SELECT rule, key, seq, match_count FROM fired")
-def streamed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Thresholds over a stream of hits that stops and goes on from its checkpoint; a hit of a later year makes the last ones ready."""
+def _in_steps(spark: SparkSession, steps: list[DataFrame], through: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """What a stream makes of rows that come in steps: it stops after each and goes on from its checkpoint. Also what it has dropped as late in each step."""
     folder = adapters.new_folder(spark, "stream")
-    hits, rules = _hits(spark, sf_dir), [r for r in active(RULES) if r.threshold]
-    own = hits.where(F.col("rule").isin([r.name for r in rules])).select("rule", by_rule(rules, lambda r: r.threshold.by, lambda names: key_of(hits, names)).cast("string").alias("key"), "ts", "seq", by_rule(rules, lambda r: r.threshold.count).cast("int").alias("count"), by_rule(rules, lambda r: int(r.threshold.window_s * 1e6)).cast("long").alias("window_us"))
     name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    late = []
     try:
-        for more in (own, own.limit(1).withColumns({"rule": F.lit("the end"), "ts": F.lit("2099-01-01").cast("timestamp")})):
+        for more in steps:
             more.write.mode("append").parquet(f"{folder}/in")
-            stream = spark.readStream.schema(own.schema).parquet(f"{folder}/in")
-            sinks.write_alerts(suppression.suppress_stream(stream, "threshold"), f"{folder}/out", f"{folder}/state").awaitTermination()
+            made = sinks.write_alerts(through(spark.readStream.schema(more.schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/state")
+            made.awaitTermination()
+            late.append(sinks.late_rows(made))
     finally:
         spark.conf.set(name, old) if old else spark.conf.unset(name)
-    return spark.read.parquet(f"{folder}/out").where("rule <> 'the end'").select("rule", "key", "seq", F.col("match_count").cast("int").alias("match_count"))
+    return spark.read.parquet(f"{folder}/out").where("rule <> 'the end'"), late
+
+
+def _the_end(rows: DataFrame) -> DataFrame:
+    """A row of a later year, which makes the last ones ready."""
+    return rows.limit(1).withColumns({"rule": F.lit("the end"), "ts": F.lit("2099-01-01").cast("timestamp")})
+
+
+def _counted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    hits, rules = _hits(spark, sf_dir), [r for r in active(RULES) if r.threshold]
+    return hits.where(F.col("rule").isin([r.name for r in rules])).select("rule", by_rule(rules, lambda r: r.threshold.by, lambda names: key_of(hits, names)).cast("string").alias("key"), "ts", "seq", by_rule(rules, lambda r: r.threshold.count).cast("int").alias("count"), by_rule(rules, lambda r: int(r.threshold.window_s * 1e6)).cast("long").alias("window_us"))
+
+
+@query(_FIRED + "SELECT rule, key, seq, match_count FROM fired")
+def streamed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds over a stream of hits that stops and goes on from its checkpoint."""
+    own = _counted_hits(spark, sf_dir)
+    found, _ = _in_steps(spark, [own, _the_end(own)], lambda stream: suppression.suppress_stream(stream, "threshold"))
+    return found.select("rule", "key", "seq", F.col("match_count").cast("int").alias("match_count"))
+
+
+@query(_KEPT + "SELECT rule, seq, CAST(match_count AS BIGINT) AS match_count FROM kept")
+def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thresholds and then throttles in one stream of the hits of all rules, with a restart in the middle of the time."""
+    hits, rules = _hits(spark, sf_dir), active(RULES)
+    own = hits.select("rule", "ts", "seq", *[c.alias(n) for n, c in alert_ops.keyed(hits, rules).items()])
+    first, last = own.agg(F.min("ts"), F.max("ts")).first()
+    half = first + (last - first) / 2
+    return _in_steps(spark, [own.where(F.col("ts") < half), own.where(F.col("ts") >= half), _the_end(own)], suppression.passing_stream)[0].select("rule", "seq", "match_count")
+
+
+@query(_HITS + ", own AS (SELECT * FROM hits WHERE rule IN ('failures of a user', 'signups together', 'burst of errors')) SELECT count(*) AS sent, count_if(ts_us <= ((SELECT max(ts_us) FROM own) // 1000 - 600000) * 1000) AS dropped FROM own WHERE seq % 7 = 0")
+def streamed_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits that are sent once more after all others: those behind the watermark are dropped, and counted."""
+    own = _counted_hits(spark, sf_dir)
+    again = own.where("seq % 7 = 0")
+    _, late = _in_steps(spark, [own, again], lambda stream: suppression.suppress_stream(stream, "threshold"))
+    dropped = late[-1].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # one number
+    return again.agg(F.count("*").alias("sent"), F.lit(dropped).alias("dropped"))
 
 
 # Verdicts

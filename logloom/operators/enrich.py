@@ -12,33 +12,28 @@ def with_parents(events: DataFrame, slot_s: int = 3600) -> DataFrame:
 
     An as-of join without a range join: programs and what asks for them in one stream in the order of time, and the last program seen. A stream is one process in one
     stretch of slot_s seconds, so a process that lives long, as the first of a host does, is many; what each stretch begins with is found on a table of the
-    last programs of stretches. Rows move once; those that ask for nothing move nowhere in particular.
+    last programs of stretches. Of programs only what is known moves, rows that ask move once, and rows that do not ask move nowhere.
     """
     for c in ("parent_exe", "parent_name"):
         if c not in events.columns:
             events = events.withColumn(c, F.lit(None).cast("string"))
-    slot = F.floor(F.unix_micros("ts") / (slot_s * 1_000_000)).cast("long")
-    known = F.struct("exe", "comm")
+    slot = F.floor(F.unix_micros("ts") / (slot_s * 1_000_000)).cast("long").alias("slot")
     starts = F.coalesce((F.col("action") == "execve") & F.col("pid").isNotNull(), F.lit(False))
     asks = F.coalesce(F.col("parent_name").isNull() & F.col("ppid").isNotNull(), F.lit(False))
+    row = F.struct(*[F.col(f"`{c}`") for c in events.columns])
+    nobody = F.lit(None).cast("struct<exe:string,comm:string>")
+    programs = events.where(starts).select("host", F.col("pid").cast("long").alias("p"), slot, "ts", "seq", F.lit(1).alias("place"), F.struct(F.col("exe").cast("string").alias("exe"), F.col("comm").cast("string").alias("comm")).alias("known"))
+    asking = events.where(asks).select("host", F.col("ppid").cast("long").alias("p"), slot, "ts", "seq", F.lit(0).alias("place"), nobody.alias("known"), row.alias("row"))
 
-    role = lambda p, is_known: F.struct(p.cast("long").alias("p"), F.lit(is_known).alias("starts"))
-    each = events.select("host", "ts", "seq", slot.alias("slot"), known.alias("known"), F.explode(F.array_compact(F.array(F.when(starts, role(F.col("pid"), True)), F.when(asks, role(F.col("ppid"), False))))).alias("r"))
-    stretches = each.groupBy("host", F.col("r.p").alias("p"), "slot").agg(F.max_by(F.when(F.col("r.starts"), F.col("known")), F.when(F.col("r.starts"), F.struct("ts", "seq"))).alias("last"))
+    stretches = programs.select("host", "p", "slot", "ts", "seq", "known").unionByName(asking.select("host", "p", "slot", "ts", "seq", "known"))
+    last = stretches.groupBy("host", "p", "slot").agg(F.max_by("known", F.when(F.col("known").isNotNull(), F.struct("ts", "seq"))).alias("last"))
     before = W.partitionBy("host", "p").orderBy("slot").rowsBetween(W.unboundedPreceding, -1)
-    begun = stretches.withColumn("known", F.last("last", ignorenulls=True).over(before)).where("known is not null")
+    begun = last.withColumn("known", F.last("last", ignorenulls=True).over(before)).where("known is not null")
+    carried = begun.select("host", "p", "slot", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast(events.schema["seq"].dataType).alias("seq"), F.lit(-1).alias("place"), "known")
 
-    row = F.struct(*[F.col(f"`{c}`") for c in events.columns])
-    nobody = F.struct(F.lit(None).cast("long").alias("p"), F.lit(False).alias("starts"))
-    roles = F.array_compact(F.array(F.when(starts, role(F.col("pid"), True)), F.when(asks, role(F.col("ppid"), False)).otherwise(nobody)))
-    lines = events.select("host", "ts", "seq", slot.alias("slot"), known.alias("known"), row.alias("row"), F.explode(roles).alias("r"))
-    empty = F.lit(None).cast(lines.schema["row"].dataType)
     # At one time a row that asks comes before a program, as that is no earlier one; what a stretch begins with comes first.
-    lines = lines.select(
-        "host", F.col("r.p").alias("p"), "slot", "ts", "seq", F.col("r.starts").cast("int").alias("place"), F.when(F.col("r.starts"), F.col("known")).alias("known"),
-        F.when(~F.col("r.starts"), F.col("row")).alias("row"), F.when(F.col("r.p").isNull(), F.xxhash64("seq")).otherwise(0).alias("salt"),
-    )
-    carried = begun.select("host", "p", "slot", F.lit(None).cast("timestamp").alias("ts"), F.lit(None).cast(lines.schema["seq"].dataType).alias("seq"), F.lit(-1).alias("place"), "known", empty.alias("row"), F.lit(0).cast("long").alias("salt"))
-    order = W.partitionBy("host", "p", "slot", "salt").orderBy(F.asc_nulls_first("ts"), "seq", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
-    found = lines.unionByName(carried).withColumn("parent", F.when(F.col("p").isNotNull(), F.last("known", ignorenulls=True).over(order))).where("row is not null").select("row.*", "parent")
-    return found.withColumns({"parent_exe": F.coalesce("parent_exe", "parent.exe"), "parent_name": F.coalesce("parent_name", "parent.comm")}).drop("parent").select(*[F.col(f"`{c}`") for c in events.columns])
+    order = W.partitionBy("host", "p", "slot").orderBy(F.asc_nulls_first("ts"), "seq", "place").rowsBetween(W.unboundedPreceding, W.currentRow)
+    lines = asking.unionByName(programs, allowMissingColumns=True).unionByName(carried, allowMissingColumns=True)
+    found = lines.withColumn("parent", F.last("known", ignorenulls=True).over(order)).where("row is not null").select("row.*", "parent")
+    found = found.withColumns({"parent_exe": F.coalesce("parent_exe", "parent.exe"), "parent_name": F.coalesce("parent_name", "parent.comm")}).drop("parent")
+    return found.select(*[F.col(f"`{c}`") for c in events.columns]).unionByName(events.where(~asks))

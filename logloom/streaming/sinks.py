@@ -32,6 +32,15 @@ def _each_batch(rows: DataFrame, make: Callable[[DataFrame], DataFrame], folder:
     return rows.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
 
 
+def late_rows(query: StreamingQuery) -> DataFrame:
+    """(batch, operator, n): how many rows each step with state has dropped in each micro-batch of a query, as they came after the watermark; a row for each that has dropped some.
+
+    Of what the query still tells of its run: the last spark.sql.streaming.numRecentProgressUpdates micro-batches.
+    """
+    told = [(p.batchId, k, o.numRowsDroppedByWatermark) for p in query.recentProgress for k, o in enumerate(p.stateOperators) if o.numRowsDroppedByWatermark]
+    return SparkSession.active().createDataFrame(sorted(set(told)), "batch long, operator int, n long")
+
+
 def write_alerts(alerts: DataFrame, folder: str, checkpoint: str, journal: Callable[[], DataFrame] | None = None, **trigger: object) -> StreamingQuery:
     """Alerts of each micro-batch in a folder of its number, so that a batch that runs again replaces what it wrote.
 

@@ -2,6 +2,9 @@
 
 Rows of a micro-batch come in any order, so each key holds back what the watermark has not passed. What is kept of a key
 is no more than the hits of one window and what waits, in lists to which a micro-batch only adds; timers of event time take from them and clear them.
+
+Thresholds and throttles stand one after the other in one query: what a threshold fires goes on with the time of the watermark that made it ready, which is late for no one, and the throttle
+orders it by its own time.
 """
 
 from __future__ import annotations
@@ -14,24 +17,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from logloom.operators.suppress import SHOWN, emissions, firings
+from logloom.operators.suppress import SHOWN, emissions, firings, seq_type
 
-OUT = "rule string, key string, ts_us long, seq long, match_count long, members array<long>"
-NOTHING = np.zeros((0, 2), np.int64)
+Times = tuple[np.ndarray, np.ndarray]
+#: By so much a second step waits for the first, whose timers are of whole milliseconds.
+LAG_MS = 10
 
 
-def threshold_step(kept: np.ndarray, rows: np.ndarray, count: int, window: int) -> tuple[np.ndarray, list]:
-    """(what is kept, firings) after sorted hits (time, seq), from what was kept before."""
-    both = np.concatenate([kept, rows])
-    places, rest = firings(both[:, 0], count, window)
-    out = [(int(both[i, 0]), int(both[i, 1]), count, both[max(i - count + 1, i - SHOWN + 1) : i + 1, 1].tolist()) for i in places]
-    return both[max(rest, len(both) - count + 1) :], out
+def threshold_step(kept: Times, rows: Times, count: int, window: int) -> tuple[Times, list]:
+    """(what is kept, firings) after sorted hits (times, seqs), from what was kept before. A firing names the row by its number."""
+    t, s = (np.concatenate([a, b]) for a, b in zip(kept, rows, strict=True))
+    places, rest = firings(t, count, window)
+    out = [(i - len(kept[0]), count, s[max(i - count + 1, i - SHOWN + 1) : i + 1].tolist()) for i in places]
+    rest = max(rest, len(t) - count + 1)
+    return (t[rest:], s[rest:]), out
 
 
-def throttle_step(kept: np.ndarray, rows: np.ndarray, count: int, window: int) -> tuple[np.ndarray, list]:
-    places = emissions(rows[:, 0], window, int(kept[0, 0]) if len(kept) else None)
-    out = [(int(rows[i, 0]), int(rows[i, 1]), 1, []) for i in places]
-    return (rows[places[-1:]] if places else kept), out
+def throttle_step(kept: Times, rows: Times, count: int, window: int) -> tuple[Times, list]:
+    places = emissions(rows[0], window, int(kept[0][0]) if len(kept[0]) else None)
+    return (tuple(x[places[-1:]] for x in rows) if places else kept), [(i, None, None) for i in places]
 
 
 STEPS = {"threshold": threshold_step, "throttle": throttle_step}
@@ -40,57 +44,105 @@ STEPS = {"threshold": threshold_step, "throttle": throttle_step}
 class Suppressor(StatefulProcessor):
     """State of a key: hits that wait for the watermark, those that may still count, and the rule's limits."""
 
-    def __init__(self, kind: str):
-        self.kind = kind
+    def __init__(self, kind: str, seq: str, lag_ms: int = 0):
+        self.kind, self.seq, self.lag_ms = kind, seq, lag_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", "t long, s long")
-        self.kept = handle.getListState("kept", "t long, s long")
+        self.waiting = handle.getListState("waiting", f"t long, s {self.seq}, n long, m array<{self.seq}>, c string")
+        self.kept = handle.getListState("kept", f"t long, s {self.seq}")
         self.limits = handle.getValueState("limits", "n int, us long")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        last = None
+        new: list[tuple] = []
         for f in rows:
             if len(f):
-                t, s = f.ts_us.to_numpy(np.int64).tolist(), f.seq.to_numpy(np.int64).tolist()
-                self.waiting.appendList(list(zip(t, s, strict=True)))
-                last = max(t + ([last] if last is not None else []))
+                members = [None if m is None else list(m) for m in f.members]
+                new += zip(f.ts_us.tolist(), f.seq.tolist(), f.match_count.tolist(), members, f.carried.tolist(), strict=True)
                 self.limits.update((int(f["count"].iloc[0]), int(f.window_us.iloc[0])))
-        if last is not None:
-            self.handle.registerTimer(max(last // 1000, timerValues.getCurrentWatermarkInMs()) + 1)
-        return iter(())
+        if not new:
+            return
+        mark = (timerValues.getCurrentWatermarkInMs() - self.lag_ms) * 1000
+        if min(x[0] for x in new) > mark:  # nothing is ready before a timer says so
+            self.waiting.appendList(new)
+            self.handle.registerTimer(max(min(x[0] for x in new) // 1000 + self.lag_ms, timerValues.getCurrentWatermarkInMs()) + 1)
+        else:
+            yield from self.move_on(key, timerValues, new)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
+        yield from self.move_on(key, timerValues, [])
+
+    def move_on(self, key: tuple, timerValues: object, new: list[tuple]) -> Iterator[pd.DataFrame]:
+        """Takes all that is ready through the machine; a timer is set for what comes next."""
         if (limits := self.limits.get()) is None:  # an earlier timer has cleared all
             return
-        mark = timerValues.getCurrentWatermarkInMs() * 1000
-        rows, kept = (np.array(sorted(map(tuple, state.get())), np.int64).reshape(-1, 2) for state in (self.waiting, self.kept))
+        now = timerValues.getCurrentWatermarkInMs()
+        mark = (now - self.lag_ms) * 1000
+        rows = sorted([*map(tuple, self.waiting.get()), *new], key=lambda x: x[:2])
+        before = list(map(tuple, self.kept.get()))
+        kept = np.array([x[0] for x in before], np.int64), self._names(x[1] for x in before)
         count, window = (int(x) for x in limits)
-        ready = rows[rows[:, 0] <= mark]
+        n_ready = int(np.searchsorted([x[0] for x in rows], mark, "right")) if rows else 0
         out: list = []
-        if len(ready):
+        if n_ready:
+            ready = np.array([x[0] for x in rows[:n_ready]], np.int64), self._names(x[1] for x in rows[:n_ready])
             kept, out = STEPS[self.kind](kept, ready, count, window)
-        if len(kept) and kept[-1, 0] + window < mark:
-            kept = NOTHING
-        for state, left in ((self.waiting, rows[len(ready) :]), (self.kept, kept)):
-            state.put([tuple(map(int, x)) for x in left]) if len(left) else state.clear()
-        if len(kept):
-            self.handle.registerTimer(int(kept[-1, 0] + window) // 1000 + 2)
-        elif len(ready) == len(rows):
+        if len(kept[0]) and kept[0][-1] + window < mark:
+            kept = kept[0][:0], kept[1][:0]
+        left = rows[n_ready:]
+        self.waiting.put(left) if left else self.waiting.clear()
+        self.kept.put(list(zip(kept[0].tolist(), kept[1].tolist(), strict=True))) if len(kept[0]) else self.kept.clear()
+        if left:
+            self.handle.registerTimer(max(left[0][0] // 1000 + self.lag_ms, now) + 1)
+        elif len(kept[0]):
+            self.handle.registerTimer(max(int(kept[0][-1] + window) // 1000 + self.lag_ms, now) + 2)
+        else:
             self.limits.clear()
         if out:
-            yield pd.DataFrame([(*key, *o) for o in out], columns=["rule", "key", "ts_us", "seq", "match_count", "members"])
+            at = pd.Timestamp(now + 1, unit="ms")  # what goes on has to be later than the watermark
+            made = [(*key, at, rows[i][0], rows[i][1], rows[i][2] if n is None else n, rows[i][3] if m is None else m, rows[i][4]) for i, n, m in out]
+            yield pd.DataFrame(made, columns=["rule", "key", "at", "ts_us", "seq", "match_count", "members", "carried"])
+
+    def _names(self, values: Iterator) -> np.ndarray:
+        return np.array(list(values), object if self.seq == "string" else np.int64)
 
     def close(self) -> None:
         pass
 
 
+def _step(hits: DataFrame, kind: str, lag_ms: int = 0) -> DataFrame:
+    """hits (rule, key, a column of event time, ts_us, seq, match_count, members, carried, count, window_us) through one machine, with the time at of the watermark that let each go."""
+    seq, _ = seq_type(hits)
+    out = f"rule string, key string, at timestamp, ts_us long, seq {seq}, match_count long, members array<{seq}>, carried string"
+    return hits.groupBy("rule", "key").transformWithStateInPandas(Suppressor(kind, seq, lag_ms), out, "Append", "EventTime", eventTimeColumnName="at")
+
+
 def suppress_stream(hits: DataFrame, kind: str, delay: str = "10 minutes") -> DataFrame:
-    """What a threshold fires, or a throttle lets through, of a stream of hits (rule, key, ts, seq, count, window_us).
+    """What a threshold fires, or a throttle lets through, of a stream of hits (rule, key, ts, seq, count, window_us): (rule, key, ts_us, seq, match_count, members).
 
-    Rows that come after the watermark, delay behind the latest time seen, are dropped. The result is that of the batch functions on all others.
+    Rows that come after the watermark, delay behind the latest time seen, are dropped (``sinks.late_rows`` tells how many). The result is that of the batch functions on all others.
     The session's state store has to be that of RocksDB.
     """
-    rows = hits.withWatermark("ts", delay).select("rule", "key", "ts", F.unix_micros("ts").alias("ts_us"), "seq", "count", "window_us")
-    return rows.groupBy("rule", "key").transformWithStateInPandas(Suppressor(kind), OUT, "Append", "EventTime")
+    seq, _ = seq_type(hits)
+    rows = hits.withWatermark("ts", delay).select("rule", "key", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.lit(1).cast("long").alias("match_count"), F.array().cast(f"array<{seq}>").alias("members"), F.lit(None).cast("string").alias("carried"), "count", "window_us")
+    return _step(rows, kind).select("rule", "key", "ts_us", "seq", "match_count", "members")
+
+
+def passing_stream(hits: DataFrame, delay: str = "10 minutes") -> DataFrame:
+    """(rule, ts_us, seq, match_count, members): the stream of hits that become alerts, as ``alerts.passing`` gives them of a table.
+
+    hits are a stream (rule, ts, seq, and the columns of ``alerts.keyed``: group, count, within_us where the rule has a threshold, dedup, wait_us where it has a throttle). A threshold comes
+    first; what it fires goes on to the throttle by the key of the hit that made it fire. Both are steps of one query with one checkpoint.
+    """
+    seq, _ = seq_type(hits)
+    own = hits.withWatermark("ts", delay).select(
+        "rule", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.lit(1).cast("long").alias("match_count"), F.array().cast(f"array<{seq}>").alias("members"),
+        F.when(F.col("wait_us").isNotNull(), F.to_json(F.struct("dedup", "wait_us"))).alias("carried"), "group", "count", "within_us",
+    )
+    shared = ["rule", "ts_us", "seq", "match_count", "members", "carried"]
+    fired = _step(own.where("count is not null").withColumnsRenamed({"group": "key", "within_us": "window_us"}), "threshold")
+    passed = own.where("count is null").select(*shared, F.col("ts").alias("at")).unionByName(fired.select(*shared, "at"))
+    throttle = F.from_json("carried", "dedup string, wait_us long")
+    waiting = passed.where("carried is not null").withColumn("t", throttle).select("rule", F.col("t.dedup").alias("key"), "at", *shared[1:], F.lit(1).alias("count"), F.col("t.wait_us").alias("window_us"))
+    out = ["rule", "ts_us", "seq", "match_count", "members"]
+    return passed.where("carried is null").select(*out).unionByName(_step(waiting, "throttle", LAG_MS).select(*out))
