@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
-import ipaddress
-
-import pandas as pd
+from pyspark.sql import Column
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 
-@F.pandas_udf(T.StringType())
-def inet6_text(hexed: pd.Series) -> pd.Series:
-    """The short form of an address of 32 hexadecimal digits. The rule for its longest run of zeros has no built-in counterpart."""
-    return hexed.map(lambda h: None if not isinstance(h, str) or len(h) != 32 else str(ipaddress.IPv6Address(int(h, 16))))
+def inet6_text(hexed: Column) -> Column:
+    """The short form of an address of 32 hexadecimal digits, null for anything else: groups without leading zeros, the first longest run of two or more zero groups as ::, and the last
+    32 bits in dotted form where only they, or they after ffff, follow zeros.
+    """
+    given = F.when(hexed.rlike("^[0-9A-Fa-f]{32}$"), F.lower(hexed))
+    groups = [F.regexp_replace(F.substring(given, 4 * i + 1, 4), "^0{1,3}", "") for i in range(8)]
+    text = F.concat(F.lit(":"), F.concat_ws(":", *groups), F.lit(":"))
+    short = F.coalesce(*[F.when(text.rlike(f"(?::0){{{n}}}:"), F.regexp_replace(text, f"^(.*?)(?::0){{{n}}}:(.*)$", "$1::$2")) for n in range(8, 1, -1)], text)
+    short = F.regexp_replace(short, "^:(?!:)|(?<!:):$", "")
+    quad = F.concat_ws(".", *[F.conv(F.substring(given, 25 + 2 * i, 2), 16, 10) for i in range(4)])
+    mapped = F.when(given.rlike("^0{20}ffff"), F.concat(F.lit("::ffff:"), quad)).when(given.rlike("^0{24}(?!0{4})"), F.concat(F.lit("::"), quad))
+    return F.when(given.isNotNull(), F.coalesce(mapped, short))

@@ -131,8 +131,9 @@ def detection_by_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_KEPT + f"SELECT 'matches' AS metric, (SELECT count(*) FROM hits) AS n UNION ALL SELECT 'alerts', (SELECT count(*) FROM kept) UNION ALL SELECT 'suppressed', (SELECT count(*) FROM hits) - (SELECT count(*) FROM kept) UNION ALL SELECT 'sev_' || {_severity_sql('rule')}, count(*) FROM kept GROUP BY 1")
 def run_counters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    events = adapters.events(spark, sf_dir)
-    return alert_ops.run_counts(matches(events, RULES), alert_ops.build(events, RULES))
+    """The counters of a run, from what it has stored: events are read and rules evaluated once."""
+    made, hits = alert_ops.build_with_hits(adapters.events(spark, sf_dir), RULES)
+    return alert_ops.run_counts(hits, made)
 
 
 _FOLD = r"""regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace({0}, '/proc/\d+/', '/proc/<pid>/', 'g'), '\b[0-9a-fA-F]{{12,}}\b', '<hex>', 'g'),
@@ -161,12 +162,12 @@ def alert_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
 _AUDIT_SENTENCE = "CASE WHEN category = 'file' THEN 'access ' || path || ' by ' || cmdline || ' (uid=' || uid || ')' WHEN category = 'network' THEN cmdline || ' -> ' || remote_ip || ':' || remote_port || ' (uid=' || uid || ')' ELSE cmdline || ' (uid=' || uid || ')' END"
 
 
-@query(_EV + f"""SELECT 'auditd' AS source, seq, {_AUDIT_SENTENCE} AS summary FROM ev WHERE source = 'auditd'
+@query(_EV + f"""SELECT 'auditd' AS source, seq, {_AUDIT_SENTENCE} AS summary FROM ev
   UNION ALL SELECT 'journald', seq, CASE seq % 3 WHEN 0 THEN 'ssh ' || CASE WHEN k % 9 < 2 THEN 'invalid_user' WHEN success THEN 'success' ELSE 'failure' END || ' for ' || chr(39) || auth_user || chr(39) || ' from ' || remote_ip
     WHEN 1 THEN 'sudo ' || auth_user || ' -> root: ' || CASE WHEN k % 9 = 2 THEN '?' ELSE '/bin/ls ' || path END ELSE 'started ' || action END FROM ev""")
 def alert_sentences(spark: SparkSession, sf_dir: str) -> DataFrame:
     """What alerts would say of all audit events, and of all events as journald entries."""
-    own = adapters.events(spark, sf_dir).where("source = 'auditd'")
+    own = adapters.events(spark, sf_dir).withColumn("source", F.lit("auditd"))
     journald = journal.read_events(adapters.journal_lines(spark, sf_dir))
     return own.select("source", "seq", alert_ops.sentence(own, F.lit("")).alias("summary")).unionAll(journald.select("source", "pos", alert_ops.sentence(journald, F.lit("")).alias("summary")))
 

@@ -4,8 +4,9 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
+from logloom.functions import checkpoints
 from logloom.operators import alerts, reports, verdicts
-from logloom.operators.detect import Rule, Threshold, listed_only, with_listed
+from logloom.operators.detect import Rule, Threshold, listed_only, matches, with_listed
 from logloom.operators.enrich import with_parents
 
 
@@ -127,3 +128,45 @@ def test_lists_that_are_tables(spark):
     assert {x.who: x.seen for x in with_listed(e, "seen", "who", listed, "name").collect()} == {"a": True, "b": False, None: False}
     assert [x.who for x in listed_only(e, "who", listed, "name").collect()] == ["a"]
     assert {x.who for x in listed_only(e, "who", listed, "name", negated=True).collect()} == {"b", None}
+
+
+def test_events_of_one_name_are_refused(spark):
+    """Two feeds that number their events alike can't be told apart; keys of lines can."""
+    rules = [Rule("r", "high", lambda f: [f.present("host")], threshold=Threshold(1, 5, ("host",)))]
+    one = spark.createDataFrame([("a", 1, "00a"), ("b", 2, "00b")], "host string, seq long, key string").withColumn("ts", F.timestamp_seconds("seq"))
+    with pytest.raises(ValueError, match="name an event"):
+        alerts.build(one.drop("key").unionAll(one.drop("key")), rules)
+    with pytest.raises(ValueError, match="name an event"):
+        alerts.build(one.drop("key").withColumn("seq", F.lit(None).cast("long")), rules)
+    named = one.withColumn("seq", F.col("key")).drop("key").unionAll(one.withColumn("seq", F.concat("key", F.lit("other"))).drop("key"))
+    made = alerts.build(named, rules).collect()
+    assert len(made) == 4 and len({r.alert_id for r in made}) == 4
+
+
+def test_many_rules_in_one_pass(spark):
+    """Rules by the hundred, most behind a gate of one category: the same hits and alerts as one by one, and columns that don't grow deep."""
+    r = random.Random(1)
+    kinds = ["file", "process", "network"]
+    rows = [(i, r.choice([*kinds, None, "other"]), r.choice(["auditd", "journald"]), f"/p/{r.randrange(40)}", r.randrange(5), f"h{r.randrange(3)}") for i in range(200)]
+    df = spark.createDataFrame(rows, "seq long, category string, source string, path string, k long, host string").withColumn("ts", F.timestamp_seconds("seq"))
+
+    def rule(i):
+        asks = [lambda f: [f.equal("category", kinds[i % 3]), f.contains("path", f"/{i % 40}")], lambda f: [f.equal("path", f"/p/{i % 40}")], lambda f: [f.equal("k", i % 5), f.not_equal("category", "file")], lambda f: [f.equal("host", f"h{i % 3}"), f.equal("category", kinds[i % 3])]][i % 4]
+        return Rule(f"r{i}", "high", asks, feeds=("auditd",) if i % 5 == 0 else (), threshold=Threshold(1 + i % 3, 5.0 * (1 + i % 7), ("host",) if i % 2 else ()) if i % 4 == 0 else None, throttle_s=float(i % 9 + 1) if i % 3 == 0 else None, dedup_by=("host",) if i % 6 else None)
+
+    rules = [rule(i) for i in range(300)]
+    holds = [
+        lambda i, c, p, k, h: c == kinds[i % 3] and f"/{i % 40}" in p, lambda i, c, p, k, h: p == f"/p/{i % 40}", lambda i, c, p, k, h: k == i % 5 and c is not None and c != "file", lambda i, c, p, k, h: h == f"h{i % 3}" and c == kinds[i % 3],
+    ]
+    want = {(f"r{i}", s) for i in range(300) for s, c, source, p, k, h in rows if holds[i % 4](i, c, p, k, h) and (i % 5 or source == "auditd")}
+    assert {(x.rule, x.seq) for x in matches(df, rules).select("rule", "seq").collect()} == want
+    made, hits = alerts.build_with_hits(df, rules)
+    assert hits.count() == len(want) and 0 < made.count() < len(want)
+
+
+def test_a_run_folder_is_emptied(spark):
+    df = spark.range(100)
+    with checkpoints.run_folder(spark) as folder:
+        kept = checkpoints.stored(df, "x")
+        assert kept.count() == 100 and kept.inputFiles()[0].removeprefix("file://").startswith(folder.removeprefix("file://"))
+    assert spark.read.schema("id long").parquet(folder).count() == 0

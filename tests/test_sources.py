@@ -1,10 +1,15 @@
 import json
+import random
+import re
+import shutil
+import socket
 import time
 
 from pyspark.sql import functions as F
 
 from logloom.functions.inet import inet6_text
 from logloom.sources import audit, feeds, journal
+from logloom.sources.schema import union_feeds
 
 HEAD = "msg=audit(1704067207.179:41): "
 
@@ -65,7 +70,48 @@ def test_addresses(spark):
     df = spark.createDataFrame([(k,) for k in cases], "h string")
     for r in df.select("h", *[c.alias(n) for n, c in audit.socket_address(F.col("h")).items()]).collect():
         assert (r.remote_ip, r.remote_port, r.addr_family, r.socket_path) == cases[r.h], r.h
-    assert spark.range(1).select(inet6_text(F.lit("0" * 31 + "1"))).first()[0] == "::1"
+    r = random.Random(3)
+    fixed = ["0" * 31 + "1", "0" * 32, "f" * 32, "fd00" + "0" * 24 + "000a", "0" * 20 + "ffff" + "0a000102", "0" * 24 + "0a000102", "0001" + "0" * 28, "2001" + "0000" + "0001" + "0000" * 3 + "0002" + "0000", "0001" + "0000" + "0002" * 6, "0000" + "0001" * 7, "00010000000000020000000000030004"]
+    given = fixed + ["".join(r.choice(["0000", "0000", "00a0", f"{r.randrange(65536):04X}"]) for _ in range(8)) for _ in range(1500)] + [None, "", "12", "g" * 32]
+    got = spark.createDataFrame([(i, h) for i, h in enumerate(given)], "i int, h string").select("i", inet6_text(F.col("h")).alias("t")).collect()
+    want = {i: socket.inet_ntop(socket.AF_INET6, bytes.fromhex(h)) if h and len(h) == 32 and "g" not in h else None for i, h in enumerate(given)}
+    assert {x.i: x.t for x in got} == want
+    assert not re.search("Python|Arrow", audit.read_events(spark.createDataFrame([("x", 0, "f")], "value string, pos long, path string"))._jdf.queryExecution().toString())
+
+
+def test_keys_of_lines_stay(spark, tmp_path):
+    """However files are split, read or copied, and in the order of their lines."""
+    for name, n in (("a/x.log", 900), ("b/x.log", 300), ("b/y z.log", 1), ("b/empty.log", 0)):
+        (tmp_path / "in" / name).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / "in" / name).write_text("".join(f"{name} line {i}\n" for i in range(n)))
+    shutil.copytree(tmp_path / "in", tmp_path / "other" / "place")
+    found = []
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for folder, size, parts in (("in", old, 0), ("in", "2k", 0), ("other/place", "700", 7), ("in", old, 3)):
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            lines = feeds.numbered_lines(spark, [f"{tmp_path}/{folder}/*/*.log"], "feed")
+            found.append({r.value: (r.seq, r.path) for r in (lines.repartition(parts) if parts else lines).collect()})
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert len(found[0]) == 1201 and all(f == found[0] for f in found)
+    for name, n in (("a/x.log", 900), ("b/x.log", 300)):
+        keys = [found[0][f"{name} line {i}"] for i in range(n)]
+        assert [k for k, _ in keys] == sorted(k for k, _ in keys) and {p for _, p in keys} == {name}
+    assert len({k for k, _ in found[0].values()}) == 1201 and all(len(k) == 32 for k, _ in found[0].values())
+    other = feeds.numbered_lines(spark, [f"{tmp_path}/in/*/*.log"], "another feed").select("seq").collect()
+    assert not {r.seq for r in other} & {k for k, _ in found[0].values()}
+    assert feeds.numbered_lines(spark, [f"{tmp_path}/in/b/x.log"], "feed").count() == 300
+
+
+def test_events_keep_the_key_of_their_first_line(spark):
+    line = lambda kind, serial: f"node=h type={kind} msg=audit(100.500:{serial}): a=1"
+    rows = [(line("SYSCALL", 1), 7, "k7"), (line("CWD", 1), 5, "k5"), (line("SYSCALL", 2), 6, "k6"), (line("EOE", 2), 1, "k1")]
+    df = spark.createDataFrame(rows, "value string, pos long, seq string").withColumn("path", F.lit("f"))
+    events = audit.read_events(df)
+    assert {r.serial: r.seq for r in events.collect()} == {"1": "k5", "2": "k6"}
+    both = union_feeds([events, journal.read_events(spark.createDataFrame([('{"MESSAGE":"x"}', 5), ('{"MESSAGE":"x"}', 6)], "value string, pos long"))])
+    assert len({r.seq for r in both.collect()}) == 4 and not both.where("seq is null").count()
 
 
 def test_journal(spark):

@@ -1,4 +1,5 @@
 import time
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
 
@@ -24,3 +25,16 @@ def test_alerts_and_verdicts_are_kept(spark, tmp_path):
     assert [(r.alert_id, r.verdict) for r in latest.collect()] == [("x", "true_positive")]
     known = verdicts.annotate(made.withColumn("signature", F.lit("s")), latest)
     assert {r.metric: r.n for r in alerts.run_counts(made, known).collect()}["known_true_positive"] == 2
+
+
+def test_several_append_at_once(spark, tmp_path):
+    """Nothing is lost, whoever else writes, and what comes later counts."""
+    folder = str(tmp_path / "journal")
+    line = lambda a, v, n: spark.createDataFrame([(f"{a}-{i}", v, n, "me", "r", "s", "2024") for i in range(5)], "alert_id string, verdict string, note string, analyst string, rule string, signature string, updated_at string")
+    with ThreadPoolExecutor(6) as pool:
+        list(pool.map(lambda k: store.append_journal(line(f"a{k}", "open", "first"), folder), range(12)))
+    assert store.load_journal(spark, folder).count() == 60
+    with ThreadPoolExecutor(3) as pool:
+        list(pool.map(lambda k: store.append_journal(line(f"a{k}", "duplicate", "second"), folder), range(3)))
+    latest = {r.alert_id: r.verdict for r in verdicts.latest(store.load_journal(spark, folder)).collect()}
+    assert len(latest) == 60 and {a for a, v in latest.items() if v == "duplicate"} == {f"a{k}-{i}" for k in range(3) for i in range(5)}

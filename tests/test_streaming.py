@@ -5,12 +5,12 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from logloom.operators import suppress
+from logloom.operators import alerts, suppress
 from logloom.operators.detect import Rule, Threshold
 from logloom.sources import audit, feeds
 from logloom.streaming.assembly import event_stream
-from logloom.streaming.sinks import detect_stream, line_stream, live_queue, write_alerts
-from logloom.streaming.suppression import suppress_stream
+from logloom.streaming.sinks import detect_stream, late_rows, line_stream, live_queue, write_alerts
+from logloom.streaming.suppression import passing_stream, suppress_stream
 
 DAY = 86_400_000_000
 
@@ -115,3 +115,34 @@ def test_rules_and_verdicts_are_read_anew(spark, tmp_path):
     alerts = stream().select(F.concat(F.lit("A"), "seq").alias("alert_id"), F.lit("r").alias("rule"), F.lit("s").alias("signature"), F.when(F.col("seq") < 2, "high").otherwise("low").alias("severity"))
     live_queue(alerts, journal, "medium", str(tmp_path / "queue"), str(tmp_path / "q")).awaitTermination()
     assert [r.alert_id for r in spark.read.parquet(str(tmp_path / "queue")).collect()] == ["A0"]
+
+
+def test_a_throttle_follows_a_threshold(spark, tmp_path):
+    """One stream with both, rows of each file in any order, and a restart: as the batch. Rows behind the watermark are dropped and counted."""
+    random = np.random.default_rng(5)
+    rules = [
+        Rule("both", "high", lambda f: [], threshold=Threshold(3, 900, ("key",)), throttle_s=4000, dedup_by=("kind",)), Rule("counted", "low", lambda f: [], threshold=Threshold(2, 300)),
+        Rule("slowed", "low", lambda f: [], throttle_s=2000, dedup_by=("key",)), Rule("plain", "low", lambda f: []), Rule("the end", "low", lambda f: [], throttle_s=1, dedup_by=("key",)),
+    ]
+    rows = [(str(random.choice(["both", "counted", "slowed", "plain"])), f"k{random.integers(2)}", f"d{random.integers(2)}", int(random.integers(0, 86_400_000_000)), i) for i in range(600)]
+    hits = lambda x: spark.createDataFrame(x, "rule string, key string, kind string, ts_us long, seq long").withColumn("ts", F.timestamp_micros("ts_us"))
+    shape = lambda df: df.select("rule", "ts", "ts_us", "seq", *[c.alias(n) for n, c in alerts.keyed(df, rules).items()])
+    want = sorted((r.rule, r.seq, r.match_count, r.members) for r in alerts.passing(shape(hits(rows)), rules).collect())
+    rows.sort(key=lambda r: r[3])
+    source, parts = str(tmp_path / "in"), [rows[a : a + 100] for a in range(0, 600, 100)]
+    stream = lambda: passing_stream(spark.readStream.schema(shape(hits(rows[:1])).drop("ts_us").schema).option("maxFilesPerTrigger", 1).parquet(source), "10 minutes")
+    late = 0
+    for step in (parts[:3], parts[3:], [[("plain", "k", "d", 5, 9000)], [("the end", "k", "d", 10**15, 10_000)]]):
+        for part in step:
+            mixed = [part[i] for i in random.permutation(len(part))]
+            shape(hits(mixed)).drop("ts_us").coalesce(1).write.mode("append").parquet(source)
+        q = write_alerts(stream(), str(tmp_path / "out"), str(tmp_path / "state"))
+        q.awaitTermination()
+        late += late_rows(q).count()
+    got = sorted((r.rule, r.seq, r.match_count, r.members) for r in spark.read.parquet(str(tmp_path / "out")).where("rule <> 'the end' and seq <> 9000").collect())
+    assert got == want and {r[0] for r in got} == {"both", "counted", "slowed", "plain"}
+    again = hits([("counted", "k0", "d0", 7, 9001)])
+    shape(again).drop("ts_us").coalesce(1).write.mode("append").parquet(source)
+    q = write_alerts(stream(), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    assert [tuple(r) for r in late_rows(q).collect()] == [(1, 1, 1)]
