@@ -140,9 +140,9 @@ def passing_stream(hits: DataFrame, delay: str = "10 minutes") -> DataFrame:
         F.when(F.col("wait_us").isNotNull(), F.to_json(F.struct("dedup", "wait_us"))).alias("carried"), "group", "count", "within_us",
     )
     shared = ["rule", "ts_us", "seq", "match_count", "members", "carried"]
-    fired = _step(own.where("count is not null").withColumnsRenamed({"group": "key", "within_us": "window_us"}), "threshold")
-    passed = own.where("count is null").select(*shared, F.col("ts").alias("at")).unionByName(fired.select(*shared, "at"))
-    throttle = F.from_json("carried", "dedup string, wait_us long")
-    waiting = passed.where("carried is not null").withColumn("t", throttle).select("rule", F.col("t.dedup").alias("key"), "at", *shared[1:], F.lit(1).alias("count"), F.col("t.wait_us").alias("window_us"))
-    out = ["rule", "ts_us", "seq", "match_count", "members"]
-    return passed.where("carried is null").select(*out).unionByName(_step(waiting, "throttle", LAG_MS).select(*out))
+    shared, out = ["rule", "ts_us", "seq", "match_count", "members", "carried"], ["rule", "ts_us", "seq", "match_count", "members"]
+    # Each hit goes through the steps of its own rule only: a step that two others read would be two steps with a state each.
+    counted = lambda condition: _step(own.where(f"count is not null and {condition}").withColumnsRenamed({"group": "key", "within_us": "window_us"}), "threshold")
+    waiting = own.where("count is null and carried is not null").select(*shared, F.col("ts").alias("at")).unionByName(counted("carried is not null").select(*shared, "at"))
+    waiting = waiting.withColumn("t", F.from_json("carried", "dedup string, wait_us long")).select("rule", F.col("t.dedup").alias("key"), "at", *shared[1:], F.lit(1).alias("count"), F.col("t.wait_us").alias("window_us"))
+    return own.where("count is null and carried is null").select(*out).unionByName(counted("carried is null").select(*out)).unionByName(_step(waiting, "throttle", LAG_MS).select(*out))
