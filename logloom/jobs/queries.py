@@ -17,7 +17,7 @@ from logloom.operators import enrich, reports, suppress, verdicts
 from logloom.operators.detect import Rule, active, by_rule, key_of, listed_only, matches, with_listed
 from logloom.sources import audit, feeds, journal, store
 from logloom.sources.schema import with_aliases
-from logloom.streaming import assembly, sinks, suppression
+from logloom.streaming import assembly, parents, sinks, suppression
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -227,10 +227,14 @@ def aliased_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(_EV + "SELECT e.seq, p.exe AS parent_exe, p.cmdline AS parent_name FROM ev e ASOF LEFT JOIN (SELECT user_id, ts, exe, cmdline FROM ev WHERE category = 'process') p ON e.user_id = p.user_id AND e.ts > p.ts WHERE e.category <> 'process'")
 def parent_processes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return enrich.with_parents(_calls(spark, sf_dir)).where("action = 'other'").select("seq", "parent_exe", "parent_name")
+
+
+def _calls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events of a user as those of a host: programs of process 1, and what they have started."""
     e = adapters.events(spark, sf_dir)
     start = F.col("category") == "process"
-    calls = e.select("seq", "ts", F.col("user_id").cast("string").alias("host"), F.when(start, 1).alias("pid"), F.when(~start, 1).alias("ppid"), "exe", F.col("cmdline").alias("comm"), F.when(start, "execve").otherwise("other").alias("action"))
-    return enrich.with_parents(calls).where("action = 'other'").select("seq", "parent_exe", "parent_name")
+    return e.select("seq", "ts", F.col("user_id").cast("string").alias("host"), F.when(start, 1).alias("pid"), F.when(~start, 1).alias("ppid"), "exe", F.col("cmdline").alias("comm"), F.when(start, "execve").otherwise("other").alias("action"))
 
 
 # Sources
@@ -407,6 +411,16 @@ def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_steps(spark, [own.where(F.col("ts") < half), own.where(F.col("ts") >= half), _the_end(own)], suppression.passing_stream)[0].select("rule", "seq", "match_count")
 
 
+@query(SQL["parent_processes"])
+def streamed_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Parents of a stream of events that stops in the middle of the time and goes on from its checkpoint."""
+    own = _calls(spark, sf_dir).withColumn("rule", F.lit(""))
+    first, last = own.agg(F.min("ts"), F.max("ts")).first()
+    half = first + (last - first) / 2
+    found, _ = _in_steps(spark, [own.where(F.col("ts") < half), own.where(F.col("ts") >= half), _the_end(own)], parents.parents_stream)
+    return found.where("action = 'other'").select("seq", "parent_exe", "parent_name")
+
+
 @query(_HITS + ", own AS (SELECT * FROM hits WHERE rule IN ('failures of a user', 'signups together', 'burst of errors')) SELECT count(*) AS sent, count_if(ts_us <= ((SELECT max(ts_us) FROM own) // 1000 - 600000) * 1000) AS dropped FROM own WHERE seq % 7 = 0")
 def streamed_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits that are sent once more after all others: those behind the watermark are dropped, and counted."""
