@@ -155,7 +155,8 @@ def license_scans(docs: DataFrame, statements: dict[str, str] | DataFrame | None
 
     first_word is where the first of the best windows has its first match. Texts without a match, empty and null ones have no rows. A statement of
     fewer than five words is found wherever its words stand in a row. The statements are STATEMENTS if none are given; the registered query adds NOTICES. A table (name, text)
-    of whole notices may be given as well; all go to every task, so more than most_statements are refused.
+    of whole notices may be given as well; all go to every task, so more than most_statements are refused. Rows that repeat are scanned each and give equal rows, a null id stays null, an empty
+    table gives no rows.
     """
     if isinstance(statements, DataFrame):
         statements = {r["name"]: r["text"] or "" for r in statements.select("name", "text").limit(most_statements + 1).collect()}

@@ -238,6 +238,6 @@ def score(docs: DataFrame, model: tuple[Posterior, Scorer], id_col: str = "doc_i
 
 
 def drop_bad(docs: DataFrame, model: tuple[Posterior, Scorer], text_col: str = "text") -> DataFrame:
-    """The rows of docs, all columns as they are, whose text the scorer takes as good."""
+    """The rows of docs, all columns as they are, whose text, null counting as empty, the scorer takes as good; of rows that repeat all stay or none."""
     _, scorer = model
     return kept_rows(docs, text_col, lambda texts: scorer.scores(texts) >= 0.5)

@@ -836,3 +836,11 @@ def test_rows_of_tiles_grow_with_the_members(spark):
         made[n] = counted[0]
         assert len(counted) == 2  # candidates and whole multisets, and no second step of either
     assert made[1200] <= 2.2 * made[600] and made[2400] <= 2.2 * made[1200], made
+
+
+def test_one_stays_whatever_columns_are_named(spark):
+    text = "one two three four five six seven eight nine ten"
+    df = spark.createDataFrame([(2, text, 1), (1, text, 2), (1, text, 3), (5, "another text", 4), (None, "a third", 5)], "doc_id long, text string, n int")
+    named = df.withColumns({c: F.col("n") for c in ("_rid", "_key", "_other", "_place", "rid", "key", "other", "place", "row", "class_id", "keeper", "stands", "least")})
+    kept = near_duplicates.keep_one(named)
+    assert kept.columns == named.columns and sorted((r.doc_id or 0, r.text, r._key == r.n == r.row) for r in kept.collect()) == [(0, "a third", True), (1, text, True), (5, "another text", True)]
