@@ -1,6 +1,9 @@
 """A training corpus from raw documents: good ones, without toxic ones and near duplicates, packed.
 
-Each stage takes what the one before has kept, from Parquet, and all but the last return the columns of documents.
+Each stage takes what the one before has kept, from Parquet, and all but the last return the columns that documents have, clashing names too.
+
+A null text counts as empty. Quality and toxicity judge a text by itself, so rows that repeat all stay or all go; of these the third stage keeps one, the row of the least id, null
+before others, and of rows with one id and text the one whose other columns have the least digest. An empty table stays empty.
 """
 
 from __future__ import annotations
