@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
+from dataclasses import replace
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,13 +13,13 @@ from logloom.functions.checkpoints import stored
 from logloom.functions.predicates import Fields, Ref
 from logloom.jobs import adapters
 from logloom.jobs.adapters import ALERTS_SQL, EVENTS_SQL, JOURNAL_SQL
-from logloom.jobs.rules import HELD_SQL, HITS_SQL, RAW_HITS_SQL, RAW_RULES, RULES, THRESHOLD_SQL, THROTTLE_SQL
+from logloom.jobs.rules import HELD_SQL, HITS_SQL, HOUR, RAW_HITS_SQL, RAW_RULES, RULES, THRESHOLD_SQL, THROTTLE_SQL
 from logloom.operators import alerts as alert_ops
 from logloom.operators import enrich, reports, suppress, verdicts
-from logloom.operators.detect import Rule, active, by_rule, key_of, listed_only, matches, with_listed
+from logloom.operators.detect import Rule, Threshold, active, by_rule, key_of, listed_only, matches, with_listed
 from logloom.sources import audit, feeds, journal, store
 from logloom.sources.schema import with_aliases
-from logloom.streaming import assembly, parents, sinks, suppression
+from logloom.streaming import assembly, parents, renewal, signatures, sinks, suppression
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -362,25 +364,53 @@ def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit lines in files, read and assembled as a stream to its end; what it wrote."""
     folder, (lines, _) = adapters.new_folder(spark, "stream"), _stored_lines(spark, sf_dir)
     found = assembly.event_stream(sinks.line_stream(spark, lines)).select("serial", "host", "action", "category", "success", "cmdline", "path", F.size("paths").alias("n_paths"), "nametype", "auth_user")
-    sinks.write_alerts(found, f"{folder}/out", f"{folder}/state").awaitTermination()
+    with _state_store(spark):
+        sinks.write_alerts(found, f"{folder}/out", f"{folder}/state").awaitTermination()
     return spark.read.parquet(f"{folder}/out").drop("batch")
 
 
-def _in_steps(spark: SparkSession, steps: list[DataFrame], through: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
-    """What a stream makes of rows that come in steps: it stops after each and goes on from its checkpoint. Also what it has dropped as late in each step."""
-    folder = adapters.new_folder(spark, "stream")
+@contextmanager
+def _state_store(spark: SparkSession) -> Iterator[None]:
+    """Streams that start inside keep their state in RocksDB, as those with lists and timers have to."""
     name, old = "spark.sql.streaming.stateStore.providerClass", spark.conf.get("spark.sql.streaming.stateStore.providerClass", None)
     spark.conf.set(name, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
-    late = []
     try:
-        for more in steps:
+        yield
+    finally:
+        spark.conf.set(name, old) if old else spark.conf.unset(name)
+
+
+def _steps(spark: SparkSession, steps: list[DataFrame], through: Callable[[DataFrame, int], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    """What a stream makes of rows that come in steps: it stops after each and goes on from its checkpoint, by the plan of the next step's number. Also what it has dropped as late in each step."""
+    folder, late = adapters.new_folder(spark, "stream"), []
+    with _state_store(spark):
+        for n, more in enumerate(steps):
             more.write.mode("append").parquet(f"{folder}/in")
-            made = sinks.write_alerts(through(spark.readStream.schema(more.schema).parquet(f"{folder}/in")), f"{folder}/out", f"{folder}/state")
+            made = sinks.write_alerts(through(spark.readStream.schema(more.schema).parquet(f"{folder}/in"), n), f"{folder}/out", f"{folder}/state")
             made.awaitTermination()
             late.append(sinks.late_rows(made))
-    finally:
-        spark.conf.set(name, old) if old else spark.conf.unset(name)
-    return spark.read.parquet(f"{folder}/out").where("rule <> 'the end'"), late
+    return spark.read.parquet(f"{folder}/out"), late
+
+
+def _in_steps(spark: SparkSession, steps: list[DataFrame], through: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, list[DataFrame]]:
+    found, late = _steps(spark, steps, lambda stream, _: through(stream))
+    return found.where("rule <> 'the end'"), late
+
+
+@query(SQL["streamed_events"])
+def streamed_quiet_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Audit lines of which half the events have no end marker, and whose records come interleaved in two steps each, with a stop between: they are out when they have been quiet."""
+    lines = adapters.audit_lines(spark, sf_dir)
+    ended = F.col("value").contains(" type=EOE ")
+    lines = stored(lines.where(~ended | (F.floor(F.col("pos") / 8) % 2 == 0)).withColumns({"later": ended | (F.col("pos") % 2 == 1), "at": F.regexp_extract("value", r"audit\((\d+)", 1).cast("long")}), "lines")
+    first, last = lines.agg(F.min("at"), F.max("at")).first()
+    half = (first + last) // 2
+    part = lambda now, later: lines.where((F.col("at") < half) == F.lit(now)).where(F.col("later") == F.lit(later)).drop("later", "at")
+    end = spark.createDataFrame([("node=end type=SYSCALL msg=audit(4070908800.000:0): syscall=1", 0, "events")], lines.drop("later", "at").schema)
+    # Lines of one half of the time wait for the rest of their events through the step between.
+    delay = f"{last - half + 1} seconds"
+    found, _ = _steps(spark, [part(True, False), part(True, True).unionByName(part(False, False)), part(False, True), end], lambda stream, _: assembly.event_stream(stream, delay=delay))
+    return found.select("serial", "host", "action", "category", "success", "cmdline", "path", F.size("paths").alias("n_paths"), "nametype", "auth_user")
 
 
 def _the_end(rows: DataFrame) -> DataFrame:
@@ -431,6 +461,47 @@ def streamed_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return again.agg(F.count("*").alias("sent"), F.lit(dropped).alias("dropped"))
 
 
+# Of the rules below, what changes in the middle of the time: one is gone, one counts otherwise, one waits longer.
+_RENEWED = [replace(r, threshold=Threshold(6, 3 * HOUR)) if r.name == "burst of errors" else replace(r, throttle_s=2 * HOUR) if r.name == "journal urgent" else r for r in RULES if r.name != "failures of a user"]
+_RENEWED_SQL = """cut AS (SELECT min(ts_us) + (max(ts_us) - min(ts_us)) // 2 AS middle FROM ev),
+hits AS (
+  SELECT CASE WHEN late AND rule IN ('burst of errors', 'journal urgent') THEN rule || '@' ELSE rule END AS rule, seq, ts_us, source, host,
+    CASE rule WHEN 'failures of a user' THEN auth_user WHEN 'signups together' THEN host WHEN 'burst of errors' THEN '*' END AS gkey, CASE rule WHEN 'failures of a user' THEN 3 WHEN 'signups together' THEN 5 WHEN 'burst of errors' THEN CASE WHEN late THEN 6 ELSE 10 END END AS cnt,
+    CASE rule WHEN 'failures of a user' THEN 86400000000 WHEN 'signups together' THEN 21600000000 WHEN 'burst of errors' THEN CASE WHEN late THEN 10800000000 ELSE 5400000000 END END AS win,
+    CASE rule WHEN 'signups together' THEN host WHEN 'purchases of a user' THEN auth_user WHEN 'journal urgent' THEN host || '|' || action END AS dkey,
+    CASE rule WHEN 'signups together' THEN 43200000000 WHEN 'purchases of a user' THEN 172800000000 WHEN 'journal urgent' THEN CASE WHEN late THEN 7200000000 ELSE 3600000000 END END AS wait
+  FROM (SELECT *, NULL AS source, ts_us >= middle AS late FROM found, cut) WHERE NOT (late AND rule = 'failures of a user'))"""
+
+
+@query(f"WITH RECURSIVE {EVENTS_SQL}, {HITS_SQL.replace('hits AS', 'found AS')}, {_RENEWED_SQL}, {HELD_SQL} SELECT rtrim(rule, '@') AS rule, seq, CAST(match_count AS BIGINT) AS match_count FROM kept")
+def streamed_renewed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A stream of events with all rules that stops in the middle of the time, and goes on from its checkpoint with other rules: those that have not changed go on with what they have counted."""
+    own = adapters.events(spark, sf_dir)
+    first, last = own.agg(F.min("ts"), F.max("ts")).first()
+    half = first + (last - first) / 2
+    end = own.limit(1).withColumns({"ts": F.lit("2099-01-01").cast("timestamp"), "seq": F.lit(-1).cast("long")})
+    found, _ = _steps(spark, [own.where(F.col("ts") < half), own.where(F.col("ts") >= half), end], lambda stream, n: renewal.rules_stream(stream, RULES if n == 0 else _RENEWED))
+    return found.where("seq >= 0").select("rule", "seq", "match_count")
+
+
+_INDEX_STEPS = """, st AS (SELECT n.n AS step, jr.* FROM jr, (VALUES (0), (1), (2)) n(n) WHERE jr.note <= 'n' || n.n),
+last AS (SELECT *, min(pos) OVER (PARTITION BY step, alert_id) AS first_pos FROM st QUALIFY row_number() OVER (PARTITION BY step, alert_id ORDER BY pos DESC) = 1)
+SELECT step, signature, verdict, alert_id FROM (SELECT * FROM last QUALIFY row_number() OVER (PARTITION BY step, signature ORDER BY updated_at DESC, first_pos DESC) = 1)""" + f" WHERE verdict IN {_CLOSED}"
+
+
+@query(_JR + _INDEX_STEPS)
+def streamed_signature_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The index of signatures after each of three appends to the journal, by a stream that reads the new lines only and goes on from its checkpoint."""
+    folder, lines, found = adapters.new_folder(spark, "index"), adapters.journal(spark, sf_dir), []
+    with _state_store(spark):
+        for step in range(3):
+            store.append_journal(lines.where(F.col("note") == f"n{step}").drop("pos"), f"{folder}/journal")
+            sinks.write_alerts(signatures.index_changes(signatures.journal_stream(spark, f"{folder}/journal")), f"{folder}/changes", f"{folder}/state").awaitTermination()
+            # Written at once: Spark takes later readings of the same folder for the same table.
+            found.append(stored(signatures.index_of(spark.read.parquet(f"{folder}/changes")).select(F.lit(step).alias("step"), "signature", "verdict", "alert_id"), "index"))
+    return found[0].unionAll(found[1]).unionAll(found[2])
+
+
 # Verdicts
 
 

@@ -5,43 +5,67 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.sources import audit
 
+#: A record that waits: what orders it, its host, type, fields as JSON, text and key.
+RECORD = "pos string, host string, type string, fields string, raw string, seq string"
 _RECORDS = "array<struct<type:string,fields:map<string,string>,raw:string>>"
 
 
+class OpenEvent(StatefulProcessor):
+    """State of an event that has no end yet: a list of records, to which a micro-batch only adds."""
+
+    def __init__(self, quiet_ms: int):
+        self.quiet_ms = quiet_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.held = handle.getListState("held", RECORD)
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
+        new = [(x.pos, x.host, x.type, x.fields, x.raw, x.seq) for x in rows]
+        if any(x[2] == "EOE" for x in new):
+            yield from self.out(key, [*self.taken(), *new])
+        elif new:
+            self.held.appendList(new)
+            self.handle.registerTimer(max(int(key[1]) * 1000 + int(key[2]) + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1))
+
+    def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
+        yield from self.out(key, self.taken())
+
+    def taken(self) -> list[tuple]:
+        """What has waited; a timer that is left finds nothing."""
+        if not self.held.exists():
+            return []
+        held = list(map(tuple, self.held.get()))
+        self.held.clear()
+        return held
+
+    def out(self, key: tuple, records: list[tuple]) -> Iterator[Row]:
+        own = sorted((x for x in records if x[2] != "EOE"), key=lambda x: x[0])
+        if own:
+            records = [{"type": kind, "fields": json.loads(fields), "raw": raw} for _, _, kind, fields, raw, _ in own]
+            host = next((x[1] for x in own if x[1] is not None), None)
+            yield Row(host=host, epoch=key[1] + key[2] / 1000, serial=key[3], records=json.dumps(records), seq=own[0][5])
+
+    def close(self) -> None:
+        pass
+
+
 def assemble_stream(lines: DataFrame, quiet_ms: int = 1000, delay: str = "5 seconds") -> DataFrame:
-    """(host, epoch, serial, records) of a stream of lines (value, pos, path), as ``audit.assemble`` gives them.
+    """(host, epoch, serial, records, seq) of a stream of lines (value, pos, path), as ``audit.assemble`` gives them.
 
     pos, a number or a text that sorts as the lines came, gives the order of an event's records, as in a batch. Time is that of the records. Records that come after their event is out, but before the watermark, make a second event.
+    The session's state store has to be that of RocksDB.
     """
     parsed = audit.records(lines).withColumn("ts", F.timestamp_millis(F.col("sec") * 1000 + F.col("msec")))
     place = F.col("pos") if dict(parsed.dtypes)["pos"] == "string" else F.lpad(F.col("pos").cast("string"), 20, "0")
-    rows = parsed.select("ts", F.coalesce("node", "path").alias("source"), F.col("node").alias("host"), "sec", "msec", "serial", place.alias("pos"), "type", F.to_json("fields").alias("fields"), "raw").withWatermark("ts", delay)
-
-    def update(name: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        held = json.loads(state.get[0]) if state.exists else []
-        for f in frames:
-            held += [[p, h, t, v, r] for p, h, t, v, r in zip(f.pos, f.host, f.type, f.fields, f.raw, strict=True)]
-        ended = any(h[2] == "EOE" for h in held)
-        if not (ended or state.hasTimedOut):
-            state.update((json.dumps(held),))
-            state.setTimeoutTimestamp(max(int(name[1]) * 1000 + int(name[2]) + quiet_ms, state.getCurrentWatermarkMs() + 1))
-            return
-        if state.exists:
-            state.remove()
-        own = sorted((h for h in held if h[2] != "EOE"), key=lambda h: h[0])
-        if own:
-            records = [{"type": t, "fields": json.loads(v), "raw": r} for _, _, t, v, r in own]
-            host = next((h[1] for h in own if h[1] is not None), None)
-            yield pd.DataFrame({"host": [host], "epoch": [int(name[1]) + int(name[2]) / 1000], "serial": [name[3]], "records": [json.dumps(records)]})
-
-    made = rows.groupBy("source", "sec", "msec", "serial").applyInPandasWithState(update, "host string, epoch double, serial string, records string", "held string", "append", GroupStateTimeout.EventTimeTimeout)
+    rows = parsed.select("ts", F.coalesce("node", "path").alias("source"), F.col("node").alias("host"), "sec", "msec", "serial", place.alias("pos"), "type", F.to_json("fields").alias("fields"), "raw", "seq").withWatermark("ts", delay)
+    made = rows.groupBy("source", "sec", "msec", "serial").transformWithState(OpenEvent(quiet_ms), "host string, epoch double, serial string, records string, seq string", "Append", "EventTime")
     return made.withColumn("records", F.from_json("records", _RECORDS))
 
 
