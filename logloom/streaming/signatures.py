@@ -16,7 +16,7 @@ RECORD = "signature string, alert_id string, updated_at string, first_pos string
 
 def journal_stream(spark: SparkSession, folder: str, per_trigger: int = 1000) -> DataFrame:
     """The lines of verdicts of a journal (see ``store.append_journal``) as they come, with pos, a text that sorts as ``store.load_journal`` orders them. An append is read whole, to number its lines."""
-    files = spark.readStream.schema("value string, append string").option("wholetext", "true").option("maxFilesPerTrigger", per_trigger).text(folder)
+    files = spark.readStream.schema("value string, append string").option("maxFilesPerTrigger", per_trigger).text(folder, wholetext=True)
     lines = files.select("append", F.col("_metadata.file_name").alias("file"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
     return read_journal(lines.where("value <> ''").select("value", F.format_string("%s %s %010d", "append", "file", "n").alias("pos")))
 

@@ -19,7 +19,7 @@ def line_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> Data
     pos is a text that sorts as the lines came: by the file's time, its path, and the number of the line. A file is read whole to count its lines, so
     files should be as small as logs are when they are rotated.
     """
-    files = spark.readStream.option("latestFirst", "false").option("maxFilesPerTrigger", per_trigger).option("wholetext", "true").text(path)
+    files = spark.readStream.option("latestFirst", "false").option("maxFilesPerTrigger", per_trigger).text(path, wholetext=True)
     time = F.unix_micros("_metadata.file_modification_time")
     lines = files.select(F.col("_metadata.file_path").alias("path"), time.alias("time"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
     return lines.where("value <> ''").select("value", "path", F.format_string("%020d %s %010d", "time", "path", "n").alias("pos"))

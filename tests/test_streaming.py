@@ -4,11 +4,14 @@ import os
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from logloom.operators import alerts, suppress
+from logloom.operators import alerts, suppress, verdicts
 from logloom.operators.detect import Rule, Threshold
-from logloom.sources import audit, feeds
+from logloom.sources import audit, feeds, store
+from logloom.streaming import signatures
 from logloom.streaming.assembly import event_stream
+from logloom.streaming.renewal import fingerprint, follow_rules
 from logloom.streaming.sinks import detect_stream, late_rows, line_stream, live_queue, write_alerts
 from logloom.streaming.suppression import passing_stream, suppress_stream
 
@@ -146,3 +149,62 @@ def test_a_throttle_follows_a_threshold(spark, tmp_path):
     q = write_alerts(stream(), str(tmp_path / "out"), str(tmp_path / "state"))
     q.awaitTermination()
     assert [r.n for r in late_rows(q).collect()] == [1]
+
+
+def test_a_fingerprint_tells_what_state_depends_on(spark):
+    schema = T.StructType.fromDDL("a string, tags array<string>")
+    names = [f"v{i}" for i in range(200)]
+    of = lambda when, **more: fingerprint(Rule(more.pop("name", "r"), more.pop("severity", "high"), when, **more), schema)
+    plain = lambda f: [f.equal("a", "x")]
+    assert of(plain) == of(lambda f: [f.equal("a", "x")], name="other", severity="low", description="d")
+    assert of(lambda f: [f.contains("tags", "x_1")]) == of(lambda f: [f.contains("tags", "x_1")]) != of(lambda f: [f.contains("tags", "x_2")])
+    assert of(lambda f: [f.is_in("a", names)]) != of(lambda f: [f.is_in("a", [*names[:-1], "w"])])
+    assert len({of(plain), of(plain, feeds=("x",)), of(plain, threshold=Threshold(2, 5)), of(plain, threshold=Threshold(2, 5, ("a",))), of(plain, throttle_s=5), of(plain, throttle_s=5, dedup_by=("a",))}) == 6
+
+
+def test_rules_with_state_are_renewed_while_a_stream_runs(spark, tmp_path):
+    """Two of three hits before the change: a rule that stays counts them, one that has changed does not; then a list without any state, and the first again."""
+    source, out = tmp_path / "in", str(tmp_path / "out")
+    source.mkdir()
+    rule = lambda name, n, **more: Rule(name, "high", lambda f: [f.present("host")], threshold=Threshold(n, 1000), **more)
+    asked = [[rule("stays", 3), rule("changes", 3), rule("goes", 3)], [rule("stays", 3, description="new text"), rule("changes", 2)], [Rule("plain", "low", lambda f: [f.present("host")])], [rule("stays", 3)]]
+    hits = [[100, 110], [120], [130], [140, 150, 160], [10**9]]
+
+    def run(n, seconds):
+        (source / f"{n}.json").write_text("\n".join(json.dumps({"host": "h", "seq": s, "s": s}) for s in seconds))
+        os.utime(source / f"{n}.json", (n + 1, n + 1))
+        stream = lambda: spark.readStream.schema("host string, seq long, s long").json(str(source)).withColumn("ts", F.timestamp_seconds("s"))
+        return follow_rules(stream, lambda: asked[min(n, 3)], out, str(tmp_path / "state"), delay="1 second")
+
+    assert [run(n, seconds) for n, seconds in enumerate(hits)] == [1] * 5
+    got = sorted((r.rule, r.seq, r.match_count) for r in spark.read.parquet(out).collect())
+    assert got == [("plain", 130, 1), ("stays", 120, 3), ("stays", 160, 3)]
+
+
+def test_a_running_stream_starts_again_when_its_rules_change(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    (source / "0.json").write_text(json.dumps({"host": "h", "seq": 1, "s": 1}))
+    stream = lambda: spark.readStream.schema("host string, seq long, s long").json(str(source)).withColumn("ts", F.timestamp_seconds("s"))
+    asked = []
+
+    def rules():
+        asked.append(1)
+        return [Rule("slow", "high", lambda f: [f.present("host")], throttle_s=60 if len(asked) < 3 else 90)]
+
+    assert follow_rules(stream, rules, str(tmp_path / "out"), str(tmp_path / "state"), every_s=1, until=lambda: len(asked) > 4, processingTime="1 second") == 2
+
+
+def test_signatures_follow_the_journal(spark, tmp_path):
+    """Random verdicts of few alerts and signatures, with ties, missing times, alerts that change their signature and reopened ones: after each append as from the whole journal."""
+    random, folder = np.random.default_rng(3), str(tmp_path / "journal")
+    pick = lambda *x: x[random.integers(len(x))]
+    for step in range(4):
+        rows = [(f"A{random.integers(12)}", pick("open", "false_positive", "true_positive", "duplicate", None), "", "", "r", pick("s0", "s1", "s2", "", None), pick(None, *(f"2024-01-0{d}" for d in range(1, 6)))) for _ in range(15)]
+        store.append_journal(spark.createDataFrame(rows, "alert_id string, verdict string, note string, analyst string, rule string, signature string, updated_at string").coalesce(1), folder)
+        q = write_alerts(signatures.index_changes(signatures.journal_stream(spark, folder)), str(tmp_path / "changes"), str(tmp_path / "state"))
+        q.awaitTermination()
+        assert q.lastProgress.numInputRows == 1  # the new file only
+        got = signatures.index_of(spark.read.parquet(str(tmp_path / "changes"))).collect()
+        want = verdicts.signature_index(verdicts.latest(store.load_journal(spark, folder))).collect()
+        assert sorted(map(tuple, got)) == sorted(map(tuple, want))
