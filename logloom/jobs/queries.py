@@ -283,10 +283,14 @@ def journal_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _stored_lines(spark: SparkSession, sf_dir: str) -> tuple[str, str]:
     """Globs of files of audit lines and of journald lines that were written to the shared folder."""
+    return _written_lines(spark, "audit", adapters.audit_lines(spark, sf_dir)), _written_lines(spark, "journal", adapters.journal_lines(spark, sf_dir))
+
+
+def _written_lines(spark: SparkSession, kind: str, lines: DataFrame) -> str:
+    """A glob of the files of lines in the shared folder."""
     folder = adapters.new_folder(spark, "lines")
-    adapters.audit_lines(spark, sf_dir).select("value").write.text(f"{folder}/audit/a")
-    adapters.journal_lines(spark, sf_dir).select("value").write.text(f"{folder}/journal/a")
-    return f"{folder}/audit/*/part-*", f"{folder}/journal/*/part-*"
+    lines.select("value").write.text(f"{folder}/{kind}/a")
+    return f"{folder}/{kind}/*/part-*"
 
 
 @query(f"WITH {EVENTS_SQL}, {_AUDIT_SQL} SELECT 'auditd' AS source, host, action, category, success, cmdline, path, remote_ip FROM ({_AUDIT_ROWS}) UNION ALL SELECT 'journald', host, action, category, success, cmdline, NULL, remote_ip FROM ({_JOURNAL_ROWS})")
@@ -362,7 +366,7 @@ def all_feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {EVENTS_SQL}, {_AUDIT_SQL} SELECT serial, host, action, category, success, cmdline, path, n_paths, nametype, auth_user FROM ({_AUDIT_ROWS})")
 def streamed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Audit lines in files, read and assembled as a stream to its end; what it wrote."""
-    folder, (lines, _) = adapters.new_folder(spark, "stream"), _stored_lines(spark, sf_dir)
+    folder, lines = adapters.new_folder(spark, "stream"), _written_lines(spark, "audit", adapters.audit_lines(spark, sf_dir))
     found = assembly.event_stream(sinks.line_stream(spark, lines)).select("serial", "host", "action", "category", "success", "cmdline", "path", F.size("paths").alias("n_paths"), "nametype", "auth_user")
     with _state_store(spark):
         sinks.write_alerts(found, f"{folder}/out", f"{folder}/state").awaitTermination()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Iterator
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
@@ -11,46 +12,73 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.sources import audit
 
-#: A record that waits: what orders it, its host, type, fields as JSON, text and key.
-RECORD = "pos string, host string, type string, fields string, raw string, seq string"
 _RECORDS = "array<struct<type:string,fields:map<string,string>,raw:string>>"
+#: A record: its event's source, time and serial, what orders it, its host, type, itself as JSON and its key.
+_COLUMNS = ("source", "sec", "msec", "serial", "pos", "host", "type", "record", "seq")
+#: Events are dealt into so many parts by a hash. Each part is a key of the state, as calls from Python to the state cost a millisecond a key; of a micro-batch, a task holds the records of one part at a time.
+PARTS = 4096
 
 
-class OpenEvent(StatefulProcessor):
-    """State of an event that has no end yet: a list of records, to which a micro-batch only adds."""
+class OpenEvents(StatefulProcessor):
+    """State of the events of a part that have no end yet: a list of JSON arrays of records, to which a micro-batch adds one unless it ends an event that waits."""
 
     def __init__(self, quiet_ms: int):
         self.quiet_ms = quiet_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.held = handle.getListState("held", RECORD)
+        self.held = handle.getListState("held", "records string")
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: object) -> Iterator[Row]:
-        new = [(x.pos, x.host, x.type, x.fields, x.raw, x.seq) for x in rows]
-        if any(x[2] == "EOE" for x in new):
-            yield from self.out(key, [*self.taken(), *new])
-        elif new:
-            self.held.appendList(new)
-            self.handle.registerTimer(max(int(key[1]) * 1000 + int(key[2]) + self.quiet_ms, timerValues.getCurrentWatermarkInMs() + 1))
+        new, ended, cut = {}, set(), None
+        for x in rows:
+            cut = cut or itemgetter(*[x.__fields__.index(c) for c in _COLUMNS])
+            record = cut(x)
+            new.setdefault(record[:4], []).append(record)
+            if record[6] == "EOE":
+                ended.add(record[:4])
+        left, had = [r for event, own in new.items() if event not in ended for r in own], False
+        if ended:
+            waited, rest = {}, []
+            for r in self.waiting():
+                rest.append(r) if r[:4] not in ended else waited.setdefault(r[:4], []).append(r)
+            had = bool(waited)
+            for event in ended:
+                yield from self.out(waited.get(event, []) + new[event])
+            if had:
+                self.keep(rest + left)
+        if left and not had:
+            self.held.appendValue((json.dumps(left),))
+        if left:
+            self.handle.registerTimer(max(min(map(self.due, left)), timerValues.getCurrentWatermarkInMs() + 1))
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[Row]:
-        yield from self.out(key, self.taken())
-
-    def taken(self) -> list[tuple]:
-        """What has waited; a timer that is left finds nothing."""
-        if not self.held.exists():
-            return []
-        held = list(map(tuple, self.held.get()))
-        self.held.clear()
-        return held
-
-    def out(self, key: tuple, records: list[tuple]) -> Iterator[Row]:
-        own = sorted((x for x in records if x[2] != "EOE"), key=lambda x: x[0])
+        """All that has been quiet for long enough; a timer is set for what comes next. One that is left finds nothing."""
+        now, ready, rest = timerValues.getCurrentWatermarkInMs(), {}, []
+        for r in self.waiting():
+            rest.append(r) if self.due(r) > now else ready.setdefault(r[:4], []).append(r)
+        if ready:
+            self.keep(rest)
+        for own in ready.values():
+            yield from self.out(own)
+        if rest:
+            self.handle.registerTimer(min(map(self.due, rest)))
+
+    def due(self, record: tuple) -> int:
+        return record[1] * 1000 + record[2] + self.quiet_ms
+
+    def waiting(self) -> Iterator[tuple]:
+        return (tuple(r) for (packed,) in self.held.get() for r in json.loads(packed))
+
+    def keep(self, records: list[tuple]) -> None:
+        self.held.put([(json.dumps(records),)]) if records else self.held.clear()
+
+    def out(self, records: list[tuple]) -> Iterator[Row]:
+        own = sorted((r for r in records if r[6] != "EOE"), key=itemgetter(4))
         if own:
-            records = [{"type": kind, "fields": json.loads(fields), "raw": raw} for _, _, kind, fields, raw, _ in own]
-            host = next((x[1] for x in own if x[1] is not None), None)
-            yield Row(host=host, epoch=key[1] + key[2] / 1000, serial=key[3], records=json.dumps(records), seq=own[0][5])
+            _, sec, msec, serial = own[0][:4]
+            host = next((r[5] for r in own if r[5] is not None), None)
+            yield Row(host=host, epoch=sec + msec / 1000, serial=serial, records=f"[{','.join(r[7] for r in own)}]", seq=own[0][8])
 
     def close(self) -> None:
         pass
@@ -64,8 +92,12 @@ def assemble_stream(lines: DataFrame, quiet_ms: int = 1000, delay: str = "5 seco
     """
     parsed = audit.records(lines).withColumn("ts", F.timestamp_millis(F.col("sec") * 1000 + F.col("msec")))
     place = F.col("pos") if dict(parsed.dtypes)["pos"] == "string" else F.lpad(F.col("pos").cast("string"), 20, "0")
-    rows = parsed.select("ts", F.coalesce("node", "path").alias("source"), F.col("node").alias("host"), "sec", "msec", "serial", place.alias("pos"), "type", F.to_json("fields").alias("fields"), "raw", "seq").withWatermark("ts", delay)
-    made = rows.groupBy("source", "sec", "msec", "serial").transformWithState(OpenEvent(quiet_ms), "host string, epoch double, serial string, records string, seq string", "Append", "EventTime")
+    source, record = F.coalesce("node", "path"), F.when(F.col("type") != "EOE", F.to_json(F.struct("type", "fields", "raw")))
+    rows = parsed.select(
+        "ts", F.pmod(F.xxhash64(source, "sec", "msec", "serial"), F.lit(PARTS)).alias("part"), source.alias("source"), "sec", "msec", "serial",
+        place.alias("pos"), F.col("node").alias("host"), "type", record.alias("record"), "seq",
+    ).withWatermark("ts", delay)
+    made = rows.groupBy("part").transformWithState(OpenEvents(quiet_ms), "host string, epoch double, serial string, records string, seq string", "Append", "EventTime")
     return made.withColumn("records", F.from_json("records", _RECORDS))
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -16,13 +18,27 @@ from logloom.operators.detect import Rule
 def line_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> DataFrame:
     """(value, path, pos) of files as they come, oldest first; where to start is the checkpoint's.
 
-    pos is a text that sorts as the lines came: by the file's time, its path, and the number of the line. A file is read whole to count its lines, so
-    files should be as small as logs are when they are rotated.
+    pos is a text that sorts as the lines came: by the file's time, its path, where its split begins, and the number of the line there. Files may be of any size: they are read in splits, line by line.
     """
-    files = spark.readStream.option("latestFirst", "false").option("maxFilesPerTrigger", per_trigger).text(path, wholetext=True)
+    files = spark.readStream.option("latestFirst", "false").option("maxFilesPerTrigger", per_trigger).text(path)
     time = F.unix_micros("_metadata.file_modification_time")
-    lines = files.select(F.col("_metadata.file_path").alias("path"), time.alias("time"), F.posexplode(F.split("value", "\r?\n")).alias("n", "value"))
-    return lines.where("value <> ''").select("value", "path", F.format_string("%020d %s %010d", "time", "path", "n").alias("pos"))
+    lines = files.select("value", F.col("_metadata.file_path").alias("path"), time.alias("time"), F.col("_metadata.file_block_start").alias("begin")).mapInArrow(_numbered, "value string, path string, time long, begin long, n long")
+    return lines.where("value <> ''").select("value", "path", F.format_string("%020d %s %020d %010d", "time", "path", "begin", "n").alias("pos"))
+
+
+def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Lines with n, the number of each in its split, which stands as one run."""
+    last, n = None, 0
+    for b in batches:
+        if not b.num_rows:
+            continue
+        at, path, begin = np.arange(b.num_rows), b.column("path").dictionary_encode().indices.to_numpy(), b.column("begin").to_numpy()
+        new = np.append(True, (path[1:] != path[:-1]) | (begin[1:] != begin[:-1]))
+        number = at - np.maximum.accumulate(np.where(new, at, 0))
+        if last == (b.column("path")[0].as_py(), begin[0]):
+            number[np.cumsum(new) == 1] += n
+        last, n = (b.column("path")[-1].as_py(), begin[-1]), number[-1] + 1
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(number, pa.int64())], names=[*b.schema.names, "n"])
 
 
 def _each_batch(rows: DataFrame, make: Callable[[DataFrame], DataFrame], folder: str, checkpoint: str, trigger: dict[str, object]) -> StreamingQuery:

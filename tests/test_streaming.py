@@ -208,3 +208,49 @@ def test_signatures_follow_the_journal(spark, tmp_path):
         got = signatures.index_of(spark.read.parquet(str(tmp_path / "changes"))).collect()
         want = verdicts.signature_index(verdicts.latest(store.load_journal(spark, folder))).collect()
         assert sorted(map(tuple, got)) == sorted(map(tuple, want))
+
+
+def test_a_stream_reads_files_line_by_line(spark, tmp_path):
+    """A file in several splits is never one row; lines keep their order, those without one in a new split too."""
+    source = tmp_path / "in"
+    source.mkdir()
+    texts = [f"line {i:04d}" + " x" * (i % 7) for i in range(3000)]
+    (source / "a.log").write_text("\n".join(texts[:1000]) + "\n\n" + "\n".join(texts[1000:]))
+    with_small_splits = {"spark.sql.files.maxPartitionBytes": "9000", "spark.sql.files.openCostInBytes": "0", "spark.sql.execution.arrow.maxRecordsPerBatch": "100"}
+    old = {k: spark.conf.get(k) for k in with_small_splits}
+    try:
+        for k, v in with_small_splits.items():
+            spark.conf.set(k, v)
+        q = write_alerts(line_stream(spark, str(source)), str(tmp_path / "out"), str(tmp_path / "state"))
+        q.awaitTermination()
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(p.numInputRows for p in q.recentProgress) == 3001
+    got = spark.read.parquet(str(tmp_path / "out")).collect()
+    assert [r.value for r in sorted(got, key=lambda r: r.pos)] == texts and len({r.pos.split()[-2] for r in got}) > 3
+
+
+def test_events_of_a_part_end_each_by_itself(spark, tmp_path, monkeypatch):
+    """Many events in two keys of the state, whose records come in three steps: ended by a marker, now or later, or quiet; each is out once and whole."""
+    monkeypatch.setattr("logloom.streaming.assembly.PARTS", 2)
+    source, random = tmp_path / "in", np.random.default_rng(4)
+    source.mkdir()
+    line = lambda n, kind, body="": f"node=h{n % 3} type={kind} msg=audit({100 + n // 10}.{n % 10}00:{n}): {body}"
+    steps = [[], [], []]
+    for n in range(60):
+        for kind, body in (("SYSCALL", "syscall=257 success=yes"), ("CWD", 'cwd="/srv"'), ("PATH", f'name="{n}" nametype=NORMAL')):
+            steps[random.integers(2)].append(line(n, kind, body))
+        if n % 3:
+            steps[1 if n % 3 == 1 else 2].append(line(n, "EOE"))
+    steps.append([line(10_000, "SYSCALL", "syscall=59")])
+    shown = ("host", "serial", "path", "success", "record_types")
+    for k, lines in enumerate(steps):
+        (source / f"{k}.log").write_text("\n".join(lines))
+        os.utime(source / f"{k}.log", (k + 1, k + 1))
+    q = write_alerts(event_stream(line_stream(spark, str(source), per_trigger=1), delay="60 seconds").select(*shown), str(tmp_path / "out"), str(tmp_path / "state"))
+    q.awaitTermination()
+    assert max(o.numRowsTotal for p in q.recentProgress for o in p.stateOperators) < 20
+    order = lambda df: sorted(map(tuple, df.select(*shown).where("serial <> '10000'").collect()))
+    got, want = order(spark.read.parquet(str(tmp_path / "out"))), order(audit.read_events(feeds.text_lines(spark, [str(source)])))
+    assert got == want and len(got) == 60
