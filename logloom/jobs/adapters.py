@@ -28,7 +28,8 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(rows: DataFrame) -> DataFrame:
     """rows dealt out to all cores where their files have fewer splits than that, as small tables of one row group do; others stay as they are."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    return rows.repartition(cores) if rows.rdd.getNumPartitions() < cores else rows
+    # By their columns: rows that are dealt out in turn are sorted first, in as few tasks as there are splits.
+    return rows.repartition(cores, *rows.columns) if rows.rdd.getNumPartitions() < cores else rows
 
 
 def new_folder(spark: SparkSession, name: str) -> str:
