@@ -15,7 +15,7 @@ from logloom.sources import audit
 _RECORDS = "array<struct<type:string,fields:map<string,string>,raw:string>>"
 #: A record: its event's source, time and serial, what orders it, its host, type, itself as JSON and its key.
 _COLUMNS = ("source", "sec", "msec", "serial", "pos", "host", "type", "record", "seq")
-#: Events are dealt into so many parts by a hash. Each part is a key of the state, as calls from Python to the state cost a millisecond a key; of a micro-batch, a task holds the records of one part at a time.
+#: Events are dealt into so many parts by a hash. Each part is a key of the state, as calls from Python to the state are dear for each key; of a micro-batch, a task holds the records of one part at a time.
 PARTS = 4096
 
 
