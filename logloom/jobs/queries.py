@@ -430,7 +430,7 @@ def _counted_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_FIRED + "SELECT rule, key, seq, match_count FROM fired")
 def streamed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds over a stream of hits that stops and goes on from its checkpoint."""
-    own = _counted_hits(spark, sf_dir)
+    own = stored(_counted_hits(spark, sf_dir), "hits")
     found, _ = _in_steps(spark, [own, _the_end(own)], lambda stream: suppression.suppress_stream(stream, "threshold"))
     return found.select("rule", "key", "seq", F.col("match_count").cast("int").alias("match_count"))
 
@@ -439,7 +439,7 @@ def streamed_thresholds(spark: SparkSession, sf_dir: str) -> DataFrame:
 def streamed_alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Thresholds and then throttles in one stream of the hits of all rules, with a restart in the middle of the time."""
     hits, rules = _hits(spark, sf_dir), active(RULES)
-    own = hits.select("rule", "ts", "seq", *[c.alias(n) for n, c in alert_ops.keyed(hits, rules).items()])
+    own = stored(hits.select("rule", "ts", "seq", *[c.alias(n) for n, c in alert_ops.keyed(hits, rules).items()]), "hits")
     first, last = own.agg(F.min("ts"), F.max("ts")).first()
     half = first + (last - first) / 2
     return _in_steps(spark, [own.where(F.col("ts") < half), own.where(F.col("ts") >= half), _the_end(own)], suppression.passing_stream)[0].select("rule", "seq", "match_count")
@@ -458,7 +458,7 @@ def streamed_parents(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(_HITS + ", own AS (SELECT * FROM hits WHERE rule IN ('failures of a user', 'signups together', 'burst of errors')) SELECT count(*) AS sent, count_if(ts_us <= ((SELECT max(ts_us) FROM own) // 1000 - 600000) * 1000) AS dropped FROM own WHERE seq % 7 = 0")
 def streamed_late_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Hits that are sent once more after all others: those behind the watermark are dropped, and counted."""
-    own = _counted_hits(spark, sf_dir)
+    own = stored(_counted_hits(spark, sf_dir), "hits")
     again = own.where("seq % 7 = 0")
     _, late = _in_steps(spark, [own, again], lambda stream: suppression.suppress_stream(stream, "threshold"))
     dropped = late[-1].agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()["n"]  # one number

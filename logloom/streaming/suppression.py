@@ -1,7 +1,7 @@
 """Thresholds and throttles on streams: the batch functions, fed in the order of event time.
 
 Rows of a micro-batch come in any order, so each key holds back what the watermark has not passed. What is kept of a key
-is no more than the hits of one window and what waits, in lists to which a micro-batch only adds; timers of event time take from them and clear them.
+is no more than the hits of one window and what waits, in lists to which a micro-batch only adds; timers of event time take from them and clear them. Keys share their state by parts (see ``parts``).
 
 Thresholds and throttles stand one after the other in one query: what a threshold fires goes on with the time of the watermark that made it ready, which is late for no one, and the throttle
 orders it by its own time.
@@ -13,11 +13,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from logloom.operators.suppress import SHOWN, emissions, firings, seq_type
+from logloom.streaming.parts import gathered, in_order, packed, part_of, unpacked
 
 Times = tuple[np.ndarray, np.ndarray]
 #: By so much a second step waits for the first, whose timers are of whole milliseconds.
@@ -42,79 +45,89 @@ STEPS = {"threshold": threshold_step, "throttle": throttle_step}
 
 
 class Suppressor(StatefulProcessor):
-    """State of a key: hits that wait for the watermark, those that may still count, and the rule's limits."""
+    """State of a part of the keys: hits that wait for the watermark, and those that may still count, with their rules' limits."""
 
-    def __init__(self, kind: str, seq: str, lag_ms: int = 0):
-        self.kind, self.seq, self.lag_ms = kind, seq, lag_ms
+    def __init__(self, kind: str, seq: pa.DataType, lag_ms: int = 0):
+        self.kind, self.lag_ms = kind, lag_ms
+        self.schema = pa.schema([("rule", pa.string()), ("key", pa.string()), ("ts_us", pa.int64()), ("seq", seq), ("carried", pa.string()), ("count", pa.int64()), ("window_us", pa.int64())])
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", f"t long, s {self.seq}, n long, m array<{self.seq}>, c string")
-        self.kept = handle.getListState("kept", f"t long, s {self.seq}")
-        self.limits = handle.getValueState("limits", "n int, us long")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.kept = handle.getValueState("kept", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new: list[tuple] = []
-        for f in rows:
-            if len(f):
-                members = [None if m is None else list(m) for m in f.members]
-                new += zip(f.ts_us.tolist(), f.seq.tolist(), f.match_count.tolist(), members, f.carried.tolist(), strict=True)
-                self.limits.update((int(f["count"].iloc[0]), int(f.window_us.iloc[0])))
-        if not new:
+        new = gathered(rows, self.schema)
+        if not new.num_rows:
             return
-        mark = (timerValues.getCurrentWatermarkInMs() - self.lag_ms) * 1000
-        if min(x[0] for x in new) > mark:  # nothing is ready before a timer says so
-            self.waiting.appendList(new)
-            self.handle.registerTimer(max(min(x[0] for x in new) // 1000 + self.lag_ms, timerValues.getCurrentWatermarkInMs()) + 1)
+        now, first = timerValues.getCurrentWatermarkInMs(), pc.min(new.column("ts_us")).as_py()
+        if first > (now - self.lag_ms) * 1000:  # nothing is ready before a timer says so
+            self.waiting.appendValue((packed(new),))
+            self.wake(first, now)
         else:
-            yield from self.move_on(key, timerValues, new)
+            yield from self.move_on(now, new)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield from self.move_on(key, timerValues, [])
+        yield from self.move_on(timerValues.getCurrentWatermarkInMs(), self.schema.empty_table())
 
-    def move_on(self, key: tuple, timerValues: object, new: list[tuple]) -> Iterator[pd.DataFrame]:
-        """Takes all that is ready through the machine; a timer is set for what comes next."""
-        if (limits := self.limits.get()) is None:  # an earlier timer has cleared all
-            return
-        now = timerValues.getCurrentWatermarkInMs()
-        mark = (now - self.lag_ms) * 1000
-        rows = sorted([*map(tuple, self.waiting.get()), *new], key=lambda x: x[:2])
-        before = list(map(tuple, self.kept.get()))
-        kept = np.array([x[0] for x in before], np.int64), self._names(x[1] for x in before)
-        count, window = (int(x) for x in limits)
-        n_ready = int(np.searchsorted([x[0] for x in rows], mark, "right")) if rows else 0
-        out: list = []
-        if n_ready:
-            ready = np.array([x[0] for x in rows[:n_ready]], np.int64), self._names(x[1] for x in rows[:n_ready])
-            kept, out = STEPS[self.kind](kept, ready, count, window)
-        if len(kept[0]) and kept[0][-1] + window < mark:
-            kept = kept[0][:0], kept[1][:0]
-        left = rows[n_ready:]
-        self.waiting.put(left) if left else self.waiting.clear()
-        self.kept.put(list(zip(kept[0].tolist(), kept[1].tolist(), strict=True))) if len(kept[0]) else self.kept.clear()
-        if left:
-            self.handle.registerTimer(max(left[0][0] // 1000 + self.lag_ms, now) + 1)
-        elif len(kept[0]):
-            self.handle.registerTimer(max(int(kept[0][-1] + window) // 1000 + self.lag_ms, now) + 2)
-        else:
-            self.limits.clear()
-        if out:
-            at = pd.Timestamp(now + 1, unit="ms")  # what goes on has to be later than the watermark
-            made = [(*key, at, rows[i][0], rows[i][1], rows[i][2] if n is None else n, rows[i][3] if m is None else m, rows[i][4]) for i, n, m in out]
-            yield pd.DataFrame(made, columns=["rule", "key", "at", "ts_us", "seq", "match_count", "members", "carried"])
+    def wake(self, us: int, now: int, more: int = 1) -> None:
+        self.handle.registerTimer(max(us // 1000 + self.lag_ms, now) + more)
 
-    def _names(self, values: Iterator) -> np.ndarray:
-        return np.array(list(values), object if self.seq == "string" else np.int64)
+    def move_on(self, now: int, new: pa.Table) -> Iterator[pd.DataFrame]:
+        """Takes all that is ready through the machines of its keys; a timer is set for what comes next."""
+        mark = (now - self.lag_ms) * 1000
+        rows = pa.concat_tables([new, *(unpacked(x) for (x,) in self.waiting.get())])
+        is_ready = pc.less_equal(rows.column("ts_us"), mark)
+        ready, left = rows.filter(is_ready), rows.filter(pc.invert(is_ready))
+        before = unpacked(held[0]) if (held := self.kept.get()) else self.schema.empty_table()
+        if ready.num_rows or new.num_rows:
+            self.waiting.put([(packed(left),)]) if left.num_rows else self.waiting.clear()
+        kept, out = self.walk(before, ready, mark)
+        if ready.num_rows or kept.num_rows < before.num_rows:
+            self.kept.update((packed(kept),)) if kept.num_rows else self.kept.clear()
+        if left.num_rows:
+            self.wake(pc.min(left.column("ts_us")).as_py(), now)
+        elif kept.num_rows:
+            self.wake(pc.max(pc.add(kept.column("ts_us"), kept.column("window_us"))).as_py(), now, 2)
+        if len(out):
+            out["at"] = pd.Timestamp(now + 1, unit="ms")  # what goes on has to be later than the watermark
+            yield out[["rule", "key", "at", "ts_us", "seq", "match_count", "members", "carried"]]
+
+    def walk(self, before: pa.Table, ready: pa.Table, mark: int) -> tuple[pa.Table, pd.DataFrame]:
+        """(what is kept of all keys, what goes on) after hits that are ready, from what was kept before. Of a key that has had none for a window nothing is kept."""
+        marked = [x.append_column("new", pa.array(np.full(x.num_rows, n, np.int8))) for n, x in enumerate((before, ready))]
+        rows, begins = in_order(pa.concat_tables(marked), ("rule", "key"), ("new", "ts_us", "seq"))
+        t, new, count, window = (rows.column(c).to_numpy() for c in ("ts_us", "new", "count", "window_us"))
+        s = rows.column("seq").to_numpy()
+        places, keep, counts, members = [], [], [], []
+        for a, b in zip(begins.tolist(), begins[1:].tolist(), strict=False):
+            n = a + int(np.searchsorted(new[a:b], 1))
+            had, last = np.arange(a, n), t[b - 1]
+            if n < b:
+                had, out = STEPS[self.kind]((t[a:n], np.arange(a, n)), (t[n:b], np.arange(n, b)), int(count[b - 1]), int(window[b - 1]))
+                had = had[1]
+                for i, c, m in out:
+                    places.append(n + i)
+                    counts.append(c)
+                    members.append(None if m is None else s[m].tolist())
+                last = t[had[-1]] if len(had) else last
+            if len(had) and last + window[b - 1] >= mark:
+                keep.append(had)
+        kept = rows.take(pa.array(np.concatenate(keep) if keep else [], pa.int64())).select(self.schema.names)
+        found = rows.take(pa.array(places, pa.int64())).select(["rule", "key", "ts_us", "seq", "carried"]).to_pandas()
+        found["match_count"], found["members"] = pd.Series(counts, dtype=object), pd.Series(members, dtype=object)
+        return kept, found
 
     def close(self) -> None:
         pass
 
 
 def _step(hits: DataFrame, kind: str, lag_ms: int = 0) -> DataFrame:
-    """hits (rule, key, a column of event time, ts_us, seq, match_count, members, carried, count, window_us) through one machine, with the time at of the watermark that let each go."""
-    seq, _ = seq_type(hits)
+    """hits (rule, key, a column of event time, ts_us, seq, carried, count, window_us) through the machines of their keys, with the time at of the watermark that let each go, and with match_count and members where it is a threshold."""
+    seq, kind_of_seq = seq_type(hits)
     out = f"rule string, key string, at timestamp, ts_us long, seq {seq}, match_count long, members array<{seq}>, carried string"
-    return hits.groupBy("rule", "key").transformWithStateInPandas(Suppressor(kind, seq, lag_ms), out, "Append", "EventTime", eventTimeColumnName="at")
+    dealt = hits.select(part_of("rule", "key"), "*")
+    return dealt.groupBy("part").transformWithStateInPandas(Suppressor(kind, kind_of_seq, lag_ms), out, "Append", "EventTime", eventTimeColumnName="at")
 
 
 def suppress_stream(hits: DataFrame, kind: str, delay: str = "10 minutes") -> DataFrame:
@@ -124,8 +137,13 @@ def suppress_stream(hits: DataFrame, kind: str, delay: str = "10 minutes") -> Da
     The session's state store has to be that of RocksDB.
     """
     seq, _ = seq_type(hits)
-    rows = hits.withWatermark("ts", delay).select("rule", "key", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.lit(1).cast("long").alias("match_count"), F.array().cast(f"array<{seq}>").alias("members"), F.lit(None).cast("string").alias("carried"), "count", "window_us")
-    return _step(rows, kind).select("rule", "key", "ts_us", "seq", "match_count", "members")
+    rows = hits.withWatermark("ts", delay).select("rule", "key", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.lit(None).cast("string").alias("carried"), "count", "window_us")
+    return _step(rows, kind).select("rule", "key", "ts_us", "seq", *_shown(seq))
+
+
+def _shown(seq: str) -> list[Column]:
+    """match_count and members, of a hit that no threshold has counted too."""
+    return [F.coalesce("match_count", F.lit(1).cast("long")).alias("match_count"), F.coalesce("members", F.array().cast(f"array<{seq}>")).alias("members")]
 
 
 def passing_stream(hits: DataFrame, delay: str = "10 minutes") -> DataFrame:
@@ -135,14 +153,14 @@ def passing_stream(hits: DataFrame, delay: str = "10 minutes") -> DataFrame:
     first; what it fires goes on to the throttle by the key of the hit that made it fire. Both are steps of one query with one checkpoint.
     """
     seq, _ = seq_type(hits)
-    own = hits.withWatermark("ts", delay).select(
-        "rule", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.lit(1).cast("long").alias("match_count"), F.array().cast(f"array<{seq}>").alias("members"),
-        F.when(F.col("wait_us").isNotNull(), F.to_json(F.struct("dedup", "wait_us"))).alias("carried"), "group", "count", "within_us",
-    )
-    shared = ["rule", "ts_us", "seq", "match_count", "members", "carried"]
-    shared, out = ["rule", "ts_us", "seq", "match_count", "members", "carried"], ["rule", "ts_us", "seq", "match_count", "members"]
+    own = hits.withWatermark("ts", delay).select("rule", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.when(F.col("wait_us").isNotNull(), F.to_json(F.struct("dedup", "wait_us"))).alias("carried"), "group", "dedup", "count", "within_us", "wait_us")
+    none = [F.lit(None).cast("long").alias("match_count"), F.lit(None).cast(f"array<{seq}>").alias("members")]
+    out = lambda df: df.select("rule", "ts_us", "seq", *_shown(seq))
     # Each hit goes through the steps of its own rule only: a step that two others read would be two steps with a state each.
-    counted = lambda condition: _step(own.where(f"count is not null and {condition}").withColumnsRenamed({"group": "key", "within_us": "window_us"}), "threshold")
-    waiting = own.where("count is null and carried is not null").select(*shared, F.col("ts").alias("at")).unionByName(counted("carried is not null").select(*shared, "at"))
-    waiting = waiting.withColumn("t", F.from_json("carried", "dedup string, wait_us long")).select("rule", F.col("t.dedup").alias("key"), "at", *shared[1:], F.lit(1).alias("count"), F.col("t.wait_us").alias("window_us"))
-    return own.where("count is null and carried is null").select(*out).unionByName(counted("carried is null").select(*out)).unionByName(_step(waiting, "throttle", LAG_MS).select(*out))
+    counted = lambda condition: _step(own.where(f"count is not null and {condition}").select("rule", F.col("group").alias("key"), "ts", "ts_us", "seq", "carried", "count", F.col("within_us").alias("window_us")), "threshold")
+    # What a threshold has found goes through the throttle as text; its key and limit are those of the hit that made it fire.
+    slowed = lambda df, key, wait, found: df.select("rule", key.alias("key"), "at", "ts_us", "seq", found.cast("string").alias("carried"), F.lit(1).alias("count"), wait.cast("long").alias("window_us"))
+    fired = counted("carried is not null").withColumn("t", F.from_json("carried", "dedup string, wait_us long"))
+    waiting = slowed(own.where("count is null and wait_us is not null").withColumn("at", F.col("ts")), F.col("dedup"), F.col("wait_us"), F.lit(None)).unionByName(slowed(fired, F.col("t.dedup"), F.col("t.wait_us"), F.to_json(F.struct("match_count", "members"))))
+    passed = _step(waiting, "throttle", LAG_MS).withColumn("t", F.from_json("carried", f"match_count long, members array<{seq}>")).withColumns({"match_count": F.col("t.match_count"), "members": F.col("t.members")})
+    return out(own.where("count is null and wait_us is null").select("*", *none)).unionByName(out(counted("carried is null"))).unionByName(out(passed))

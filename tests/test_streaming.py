@@ -254,3 +254,24 @@ def test_events_of_a_part_end_each_by_itself(spark, tmp_path, monkeypatch):
     order = lambda df: sorted(map(tuple, df.select(*shown).where("serial <> '10000'").collect()))
     got, want = order(spark.read.parquet(str(tmp_path / "out"))), order(audit.read_events(feeds.text_lines(spark, [str(source)])))
     assert got == want and len(got) == 60
+
+
+def test_keys_share_the_state_of_their_part(spark, tmp_path, monkeypatch):
+    """Many keys in two keys of the state, one of them null, with seqs that are texts: thresholds and throttles as in a batch, and nothing is kept of a key whose window has passed."""
+    monkeypatch.setattr("logloom.streaming.parts.PARTS", 2)
+    random = np.random.default_rng(6)
+    rows = sorted((int(random.integers(0, DAY)), f"s{i:04d}", None if i % 40 == 0 else f"k{i % 40}") for i in range(800))
+    shape = lambda x: spark.createDataFrame([("r", k, t, s) for t, s, k in x], "rule string, key string, ts_us long, seq string").select("rule", "key", F.timestamp_micros("ts_us").alias("ts"), "ts_us", "seq", F.lit(2).alias("count"), F.lit(DAY // 15).cast("long").alias("window_us"))
+    steps = [rows[:300], rows[300:], [(5 * DAY, "s9998", "k1")], [(9 * DAY, "s9999", "k2")]]
+    for kind, batch in (("threshold", suppress.threshold), ("throttle", suppress.throttle)):
+        known = shape([(t, s, k or "null") for t, s, k in rows])
+        want = sorted((r.key, r.ts_us, r.seq, r.match_count if kind == "threshold" else 1, r.members if kind == "threshold" else []) for r in batch(known).collect())
+        sizes = []
+        for step in steps:
+            shape(step).drop("ts_us").coalesce(1).write.mode("append").parquet(str(tmp_path / kind / "in"))
+            q = write_alerts(suppress_stream(spark.readStream.schema(shape(rows[:1]).drop("ts_us").schema).parquet(str(tmp_path / kind / "in")), kind), str(tmp_path / kind / "out"), str(tmp_path / kind / "state"))
+            q.awaitTermination()
+            sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+        got = sorted((r.key or "null", r.ts_us, r.seq, r.match_count, r.members) for r in spark.read.parquet(str(tmp_path / kind / "out")).where("seq < 's9'").collect())
+        assert got == want and {x[0] for x in got} > {"null", "k7"}
+        assert max(sizes) <= 8 and sizes[-1] <= 2
