@@ -4,60 +4,75 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-#: What waits: a time, what orders it among those of one time, 0 for a row that asks and 1 for a program, the program, and the row that asks as JSON.
-ROW = "t long, s string, place int, exe string, comm string, row string"
+from logloom.streaming.parts import gathered, in_order, packed, part_of, unpacked
 
+#: What waits: its process, a time, what orders it among those of one time, 0 for a row that asks and 1 for a program, the program, and the row that asks as JSON.
+ROW = pa.schema([("host", pa.string()), ("p", pa.int64()), ("t", pa.int64()), ("s", pa.string()), ("place", pa.int64()), ("exe", pa.string()), ("comm", pa.string()), ("row", pa.string())])
 
-class LastProgram(StatefulProcessor):
-    """State of a process: its last program, and programs and questions that wait for the watermark."""
+
+class LastPrograms(StatefulProcessor):
+    """State of a part of the processes: the last program of each, and programs and questions that wait for the watermark."""
 
     def __init__(self, forget_s: float | None):
-        self.forget_ms = None if forget_s is None else int(forget_s * 1000)
+        self.forget_us = None if forget_s is None else int(forget_s * 1_000_000)
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.waiting = handle.getListState("waiting", ROW)
-        self.program = handle.getValueState("program", "t long, exe string, comm string")
+        self.waiting = handle.getListState("waiting", "rows binary")
+        self.programs = handle.getValueState("programs", "rows binary")
 
     def handleInputRows(self, key: tuple, rows: Iterator[pd.DataFrame], timerValues: object) -> Iterator[pd.DataFrame]:
-        new = [x for f in rows for x in f[["t", "s", "place", "exe", "comm", "row"]].astype(object).where(lambda x: x.notna(), None).itertuples(index=False, name=None)]
-        now = timerValues.getCurrentWatermarkInMs()
-        if new and min(x[0] for x in new) > now * 1000:  # nothing is ready before a timer says so
-            self.waiting.appendList(new)
-            self.handle.registerTimer(max(min(x[0] for x in new) // 1000, now) + 1)
-        elif new:
-            yield from self.move_on(timerValues, new)
+        new, now = gathered(rows, ROW), timerValues.getCurrentWatermarkInMs()
+        if new.num_rows and (first := pc.min(new.column("t")).as_py()) > now * 1000:  # nothing is ready before a timer says so
+            self.waiting.appendValue((packed(new),))
+            self.handle.registerTimer(max(first // 1000, now) + 1)
+        elif new.num_rows:
+            yield from self.move_on(now, new)
 
     def handleExpiredTimer(self, key: tuple, timerValues: object, expiredTimerInfo: object) -> Iterator[pd.DataFrame]:
-        yield from self.move_on(timerValues, [])
-
-    def move_on(self, timerValues: object, new: list[tuple]) -> Iterator[pd.DataFrame]:
-        now = timerValues.getCurrentWatermarkInMs()
-        rows = sorted([*map(tuple, self.waiting.get()), *new], key=lambda x: x[:3])  # of one time and name, a question comes first
-        last, found, n = self.program.get(), [], 0
-        while n < len(rows) and rows[n][0] <= now * 1000:
-            t, _, place, exe, comm, row = rows[n]
-            if place:
-                last = (t, exe, comm)
-            else:
-                found.append((row, last[1] if last else None, last[2] if last else None))
-            n += 1
-        left = rows[n:]
-        if self.forget_ms is not None and last and not left and last[0] // 1000 + self.forget_ms < now:
-            last = None
-        self.program.update(last) if last else self.program.clear()
-        self.waiting.put(left) if left else self.waiting.clear()
-        if left:
-            self.handle.registerTimer(max(left[0][0] // 1000, now) + 1)
-        elif last and self.forget_ms is not None:
-            self.handle.registerTimer(max(last[0] // 1000 + self.forget_ms, now) + 2)
-        if found:
-            yield pd.DataFrame(found, columns=["row", "parent_exe", "parent_name"])
+        yield from self.move_on(timerValues.getCurrentWatermarkInMs(), ROW.empty_table())
+
+    def move_on(self, now: int, new: pa.Table) -> Iterator[pd.DataFrame]:
+        rows = pa.concat_tables([new, *(unpacked(x) for (x,) in self.waiting.get())])
+        is_ready = pc.less_equal(rows.column("t"), now * 1000)
+        ready, left = rows.filter(is_ready), rows.filter(pc.invert(is_ready))
+        before = unpacked(held[0]) if (held := self.programs.get()) else ROW.empty_table()
+        last, found = self.walk(before, ready, left, now)
+        if ready.num_rows or new.num_rows:
+            self.waiting.put([(packed(left),)]) if left.num_rows else self.waiting.clear()
+        if pc.any(pc.equal(ready.column("place"), 1)).as_py() or last.num_rows < before.num_rows:
+            self.programs.update((packed(last),)) if last.num_rows else self.programs.clear()
+        if left.num_rows:
+            self.handle.registerTimer(max(pc.min(left.column("t")).as_py() // 1000, now) + 1)
+        elif last.num_rows and self.forget_us is not None:
+            self.handle.registerTimer(max((pc.max(last.column("t")).as_py() + self.forget_us) // 1000, now) + 2)
+        if found.num_rows:
+            yield found.rename_columns(["row", "parent_exe", "parent_name"]).to_pandas()
+
+    def walk(self, before: pa.Table, ready: pa.Table, left: pa.Table, now: int) -> tuple[pa.Table, pa.Table]:
+        """The last program of each process, and (row, exe, comm) of the questions with the latest program before each; of one time and name, a question comes first."""
+        marked = [x.append_column("new", pa.array(np.full(x.num_rows, n, np.int8))) for n, x in enumerate((before, ready))]
+        rows, begins = in_order(pa.concat_tables(marked), ("host", "p"), ("new", "t", "s", "place"))
+        at, place = np.arange(rows.num_rows), rows.column("place").to_numpy()
+        latest = np.maximum.accumulate(np.where(place == 1, at, -1)) if len(at) else at
+        latest = np.where(latest >= np.repeat(begins[:-1], np.diff(begins)), latest, -1)
+        asks, ends = np.flatnonzero(place == 0), latest[begins[1:] - 1]
+        program = pa.array(latest[asks], pa.int64(), mask=latest[asks] < 0)
+        found = pa.table([rows.column("row").take(pa.array(asks)), rows.column("exe").take(program), rows.column("comm").take(program)], ["row", "exe", "comm"])
+        last = rows.take(pa.array(ends[ends >= 0], pa.int64())).select(ROW.names)
+        if self.forget_us is not None and last.num_rows:  # not what others still wait for
+            names = lambda x: list(zip(x.column("host").to_pylist(), x.column("p").to_pylist(), strict=True))
+            wanted = set(names(left))
+            last = last.filter(pa.array([n in wanted or (t + self.forget_us) // 1000 >= now for n, t in zip(names(last), last.column("t").to_pylist(), strict=True)]))
+        return last, found
 
     def close(self) -> None:
         pass
@@ -82,6 +97,6 @@ def parents_stream(events: DataFrame, delay: str = "10 minutes", forget_s: float
     program = F.struct(F.col("pid").cast("long").alias("p"), F.lit(1).alias("place"), F.col("exe").cast("string").alias("exe"), F.col("comm").cast("string").alias("comm"), nothing.alias("row"))
     question = F.struct(F.col("ppid").cast("long").alias("p"), F.lit(0).alias("place"), nothing.alias("exe"), nothing.alias("comm"), F.to_json(F.struct(*[F.col(f"`{c}`") for c in events.columns])).alias("row"))
     lines = events.select("host", "ts", F.unix_micros("ts").alias("t"), place.alias("s"), F.explode(F.array_compact(F.array(F.when(starts, program), F.when(asks, question)))).alias("x")).select("host", "ts", "t", "s", "x.*")
-    made = lines.groupBy("host", "p").transformWithStateInPandas(LastProgram(forget_s), "row string, parent_exe string, parent_name string", "Append", "EventTime")
+    made = lines.select(part_of("host", "p"), "*").groupBy("part").transformWithStateInPandas(LastPrograms(forget_s), "row string, parent_exe string, parent_name string", "Append", "EventTime")
     found = made.withColumn("r", F.from_json("row", events.schema)).select(*[F.coalesce(F.col(f"r.`{c}`"), F.col(c)).alias(c) if c in ("parent_exe", "parent_name") else F.col(f"r.`{c}`").alias(c) for c in events.columns])
     return found.unionByName(events.where(~asks))

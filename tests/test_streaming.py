@@ -6,11 +6,12 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from logloom.operators import alerts, suppress, verdicts
+from logloom.operators import alerts, enrich, suppress, verdicts
 from logloom.operators.detect import Rule, Threshold
 from logloom.sources import audit, feeds, store
 from logloom.streaming import signatures
 from logloom.streaming.assembly import event_stream
+from logloom.streaming.parents import parents_stream
 from logloom.streaming.renewal import fingerprint, follow_rules
 from logloom.streaming.sinks import detect_stream, late_rows, line_stream, live_queue, write_alerts
 from logloom.streaming.suppression import passing_stream, suppress_stream
@@ -275,3 +276,30 @@ def test_keys_share_the_state_of_their_part(spark, tmp_path, monkeypatch):
         got = sorted((r.key or "null", r.ts_us, r.seq, r.match_count, r.members) for r in spark.read.parquet(str(tmp_path / kind / "out")).where("seq < 's9'").collect())
         assert got == want and {x[0] for x in got} > {"null", "k7"}
         assert max(sizes) <= 8 and sizes[-1] <= 2
+
+
+@pytest.mark.parametrize("forget_s", [None, 86_400.0])
+def test_processes_share_the_state_of_their_part(spark, tmp_path, monkeypatch, forget_s):
+    """Parents of many processes on hosts of which one has no name, in two keys of the state and three steps: as in a batch; those forgotten were too old for what comes."""
+    monkeypatch.setattr("logloom.streaming.parts.PARTS", 2)
+    random = np.random.default_rng(8)
+    schema = "seq long, host string, pid long, ppid long, exe string, comm string, action string, s long"
+    rows = []
+    for i in range(600):
+        host, one, start = (None, "a", "b")[random.integers(3)], int(random.integers(20)), random.random() < 0.4
+        rows.append((i, host, one if start else None, int(random.integers(20)) if random.random() < 0.8 else None, f"/e{i}", f"c{i}" if i % 5 else None, "execve" if start else "open", int(random.integers(0, 40_000))))
+    rows.sort(key=lambda r: r[-1])
+    shape = lambda x: spark.createDataFrame(x, schema).withColumn("ts", F.timestamp_seconds("s")).drop("s")
+    sizes = []
+    for step in (rows[:250], rows[250:], [(9000, "z", 1, 1, "/e", "c", "execve", 400_000)], [(9001, "z", None, 1, "/e", "c", "open", 800_000)]):
+        shape(step).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        q = write_alerts(parents_stream(spark.readStream.schema(shape(rows[:1]).schema).parquet(str(tmp_path / "in")), forget_s=forget_s), str(tmp_path / "out"), str(tmp_path / "state"))
+        q.awaitTermination()
+        sizes.append(q.lastProgress.stateOperators[0].numRowsTotal)
+    shown = ("seq", "host", "parent_exe", "parent_name")
+    order = lambda df: sorted(map(tuple, df.where("seq < 9000").select(*shown).collect()), key=str)
+    # In a batch a host without a name has no parents: it is given one here.
+    known = shape([(a, b or "-", *c) for a, b, *c in rows])
+    want = sorted(((a, None if b == "-" else b, *c) for a, b, *c in order(enrich.with_parents(known))), key=str)
+    assert order(spark.read.parquet(str(tmp_path / "out"))) == want and any(x[1] is None and x[2] for x in want)
+    assert max(sizes) <= 8
