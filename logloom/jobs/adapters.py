@@ -26,10 +26,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def spread(rows: DataFrame) -> DataFrame:
-    """rows dealt out to all cores where their files have fewer splits than that, as small tables of one row group do; others stay as they are."""
+    """rows dealt out to all cores. Splits of a Parquet file do not tell how many tasks have rows, as one without the middle of a row group is empty; so rows of however many are dealt out, as long as they are narrow."""
     cores = rows.sparkSession.sparkContext.defaultParallelism
-    # By their columns: rows that are dealt out in turn are sorted first, in as few tasks as there are splits.
-    return rows.repartition(cores, *rows.columns) if rows.rdd.getNumPartitions() < cores else rows
+    # By their columns: rows that are dealt out in turn are sorted first, in as few tasks as there are row groups.
+    return rows.repartition(max(cores, rows.rdd.getNumPartitions()), *rows.columns)
 
 
 def new_folder(spark: SparkSession, name: str) -> str:

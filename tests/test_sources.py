@@ -8,6 +8,7 @@ import time
 from pyspark.sql import functions as F
 
 from logloom.functions.inet import inet6_text
+from logloom.jobs import adapters
 from logloom.sources import audit, feeds, journal
 from logloom.sources.schema import union_feeds
 
@@ -217,3 +218,19 @@ def test_lines_are_read_once_and_only_what_is_asked_for_moves(spark):
     events = audit.read_events(adapters.audit_lines(spark, "/root/testdata/sf0.001"))
     assert "raw, raw#" not in plan(events.select("host", "cmdline")) and "raw, raw#" in plan(events.select("raw"))
     assert "RoundRobinPartitioning" not in adapters.events(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+
+
+def test_a_row_group_of_many_splits_is_dealt_out(spark, tmp_path):
+    """Splits without the middle of a row group have no rows: their number does not tell whether all cores have work."""
+    spark.read.parquet("/root/testdata/sf0.001/events.parquet").coalesce(1).write.parquet(str(tmp_path / "events.parquet"))
+    small = {"spark.sql.files.maxPartitionBytes": "1000", "spark.sql.files.openCostInBytes": "0"}
+    old = {k: spark.conf.get(k) for k in small}
+    try:
+        for k, v in small.items():
+            spark.conf.set(k, v)
+        assert adapters.table(spark, str(tmp_path), "events").rdd.getNumPartitions() >= spark.sparkContext.defaultParallelism
+        sizes = [r["count"] for r in adapters.events(spark, str(tmp_path)).groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        for k, v in old.items():
+            spark.conf.set(k, v)
+    assert sum(sizes) == 1000 and len(sizes) >= spark.sparkContext.defaultParallelism and max(sizes) < 500
