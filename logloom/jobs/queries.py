@@ -482,7 +482,7 @@ def streamed_renewed_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A stream of events with all rules that stops in the middle of the time, and goes on from its checkpoint with other rules: those that have not changed go on with what they have counted."""
     own = adapters.events(spark, sf_dir)
     first, last = own.agg(F.min("ts"), F.max("ts")).first()
-    half = first + (last - first) / 2
+    half = first + (last - first) // 2
     end = own.limit(1).withColumns({"ts": F.lit("2099-01-01").cast("timestamp"), "seq": F.lit(-1).cast("long")})
     found, _ = _steps(spark, [own.where(F.col("ts") < half), own.where(F.col("ts") >= half), end], lambda stream, n: renewal.rules_stream(stream, RULES if n == 0 else _RENEWED))
     return found.where("seq >= 0").select("rule", "seq", "match_count")

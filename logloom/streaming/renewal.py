@@ -40,13 +40,14 @@ def rules_stream(events: DataFrame, rules: list[Rule], min_severity: str | None
 
     State is kept by the name and the fingerprint of a rule, and the steps with state are the same for every list of rules. So the stream may stop and go on from its checkpoint with other rules: one that
     has not changed goes on with what it has counted, one that has changed starts anew, and what is kept of a rule that is gone is cleared as its window passes.
-    What an old rule has counted may still fire at times before the change, as rows wait for the watermark.
+    What an old rule has counted may still fire at times before the change, as rows wait for the watermark. That is delay behind the latest of all events, also of those that no rule matches.
     """
+    events = events.withWatermark("ts", delay)
     used, marks = active(rules, min_severity), fingerprints(rules, events.schema, min_severity, default_throttle_s)
     hits = matches(events, rules, min_severity)
     name = by_rule(used, lambda r: f"{r.name}{MARK}{marks[r.name]}").cast("string")
     own = hits.select(name.alias("rule"), "ts", "seq", *[c.alias(n) for n, c in alerts.keyed(hits, used, default_throttle_s).items()])
-    return passing_stream(own, delay).withColumn("rule", F.substring_index("rule", MARK, 1))
+    return passing_stream(own, None).withColumn("rule", F.substring_index("rule", MARK, 1))
 
 
 def follow_rules(events: Callable[[], DataFrame], rules: Callable[[], list[Rule]], folder: str, checkpoint: str, every_s: float = 10.0, until: Callable[[], bool] = lambda: False, delay: str = "10 minutes", **trigger: object) -> int:

@@ -146,14 +146,15 @@ def _shown(seq: str) -> list[Column]:
     return [F.coalesce("match_count", F.lit(1).cast("long")).alias("match_count"), F.coalesce("members", F.array().cast(f"array<{seq}>")).alias("members")]
 
 
-def passing_stream(hits: DataFrame, delay: str = "10 minutes") -> DataFrame:
+def passing_stream(hits: DataFrame, delay: str | None = "10 minutes") -> DataFrame:
     """(rule, ts_us, seq, match_count, members): the stream of hits that become alerts, as ``alerts.passing`` gives them of a table.
 
     hits are a stream (rule, ts, seq, and the columns of ``alerts.keyed``: group, count, within_us where the rule has a threshold, dedup, wait_us where it has a throttle). A threshold comes
-    first; what it fires goes on to the throttle by the key of the hit that made it fire. Both are steps of one query with one checkpoint.
+    first; what it fires goes on to the throttle by the key of the hit that made it fire. Both are steps of one query with one checkpoint. Without a delay ts has its watermark already.
     """
     seq, _ = seq_type(hits)
-    own = hits.withWatermark("ts", delay).select("rule", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.when(F.col("wait_us").isNotNull(), F.to_json(F.struct("dedup", "wait_us"))).alias("carried"), "group", "dedup", "count", "within_us", "wait_us")
+    timed = hits.withWatermark("ts", delay) if delay else hits
+    own = timed.select("rule", "ts", F.unix_micros("ts").alias("ts_us"), "seq", F.when(F.col("wait_us").isNotNull(), F.to_json(F.struct("dedup", "wait_us"))).alias("carried"), "group", "dedup", "count", "within_us", "wait_us")
     none = [F.lit(None).cast("long").alias("match_count"), F.lit(None).cast(f"array<{seq}>").alias("members")]
     out = lambda df: df.select("rule", "ts_us", "seq", *_shown(seq))
     # Each hit goes through the steps of its own rule only: a step that two others read would be two steps with a state each.

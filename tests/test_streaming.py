@@ -303,3 +303,14 @@ def test_processes_share_the_state_of_their_part(spark, tmp_path, monkeypatch, f
     want = sorted(((a, None if b == "-" else b, *c) for a, b, *c in order(enrich.with_parents(known))), key=str)
     assert order(spark.read.parquet(str(tmp_path / "out"))) == want and any(x[1] is None and x[2] for x in want)
     assert max(sizes) <= 8
+
+
+def test_events_that_no_rule_matches_move_the_time_on(spark, tmp_path):
+    source = tmp_path / "in"
+    source.mkdir()
+    rules = [Rule("twice", "high", lambda f: [f.present("host")], threshold=Threshold(2, 1000)), Rule("slowed", "low", lambda f: [f.present("host")], throttle_s=60, dedup_by=("host",))]
+    for n, rows in enumerate(([("h", 100), ("h", 110)], [(None, 10**9)])):
+        (source / f"{n}.json").write_text("\n".join(json.dumps({"host": h, "seq": s, "s": s}) for h, s in rows))
+        stream = lambda: spark.readStream.schema("host string, seq long, s long").json(str(source)).withColumn("ts", F.timestamp_seconds("s"))
+        follow_rules(stream, lambda: rules, str(tmp_path / "out"), str(tmp_path / "state"))
+    assert sorted((r.rule, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("slowed", 100), ("twice", 110)]
