@@ -22,9 +22,9 @@ def part_of(*names: str) -> Column:
     return F.pmod(F.xxhash64(*names), F.lit(PARTS)).alias("part")
 
 
-def packed(rows: pa.Table) -> bytes:
+def packed(rows: pa.Table, compression: str | None = None) -> bytes:
     out = pa.BufferOutputStream()
-    with pa.ipc.new_stream(out, rows.schema) as writer:
+    with pa.ipc.new_stream(out, rows.schema, options=pa.ipc.IpcWriteOptions(compression=compression)) as writer:
         writer.write_table(rows)
     return out.getvalue().to_pybytes()
 

@@ -23,7 +23,8 @@ def line_stream(spark: SparkSession, path: str, per_trigger: int = 1000) -> Data
     files = spark.readStream.option("latestFirst", "false").option("maxFilesPerTrigger", per_trigger).text(path)
     time = F.unix_micros("_metadata.file_modification_time")
     lines = files.select("value", F.col("_metadata.file_path").alias("path"), time.alias("time"), F.col("_metadata.file_block_start").alias("begin")).mapInArrow(_numbered, "value string, path string, time long, begin long, n long")
-    return lines.where("value <> ''").select("value", "path", F.format_string("%020d %s %020d %010d", "time", "path", "begin", "n").alias("pos"))
+    digits = lambda c, n: F.lpad(F.col(c).cast("string"), n, "0")
+    return lines.where("value <> ''").select("value", "path", F.concat_ws(" ", digits("time", 20), "path", digits("begin", 20), digits("n", 10)).alias("pos"))
 
 
 def _numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

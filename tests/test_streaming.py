@@ -10,7 +10,7 @@ from logloom.operators import alerts, enrich, suppress, verdicts
 from logloom.operators.detect import Rule, Threshold
 from logloom.sources import audit, feeds, store
 from logloom.streaming import signatures
-from logloom.streaming.assembly import event_stream
+from logloom.streaming.assembly import assemble_stream, event_stream
 from logloom.streaming.parents import parents_stream
 from logloom.streaming.renewal import fingerprint, follow_rules
 from logloom.streaming.sinks import detect_stream, late_rows, line_stream, live_queue, write_alerts
@@ -314,3 +314,21 @@ def test_events_that_no_rule_matches_move_the_time_on(spark, tmp_path):
         stream = lambda: spark.readStream.schema("host string, seq long, s long").json(str(source)).withColumn("ts", F.timestamp_seconds("s"))
         follow_rules(stream, lambda: rules, str(tmp_path / "out"), str(tmp_path / "state"))
     assert sorted((r.rule, r.seq) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == [("slowed", 100), ("twice", 110)]
+
+
+def test_lines_are_read_into_fields_after_their_event_is_out(spark, tmp_path, capsys):
+    """Lines stay text in the state, whatever signs they hold; their fields are those of a batch."""
+    head = lambda kind, serial: f"node=h type={kind} msg=audit(100.500:{serial}): "
+    texts = [
+        head("SYSCALL", 1) + 'a=1 b="x \\"y\\" z" a=2 c=\'q r\' exe=2F62696E a=3', head("EXECVE", 1) + "a0=6C73 x=\x10 y=\x100 z=\x101", head("PATH", 1) + "name=first\nname=second \x10\n=odd f==g\x1dUID=\"u\"", head("EOE", 1),
+        "type=A msg=audit(100:2): b=1 type=B msg=audit(7:7): type=C", head("USER_CMD", 3) + "msg='op=x res=yes' \u00e9=\u00e8", head("EMPTY", 4), "no record", head("SYSCALL", 900).replace("100.500", "900.000"),
+    ]
+    spark.createDataFrame([(t, i, "f") for i, t in enumerate(texts)], "value string, pos long, path string").coalesce(1).write.parquet(str(tmp_path / "in"))
+    made = assemble_stream(spark.readStream.schema("value string, pos long, path string").parquet(str(tmp_path / "in")))
+    made.explain()
+    plan = capsys.readouterr().out
+    assert plan.rindex("regexp_extract_all") < plan.index("TransformWithState")
+    write_alerts(made, str(tmp_path / "out"), str(tmp_path / "state")).awaitTermination()
+    order = lambda df: sorted((r.serial, r.host, r.epoch, r.seq, [(x.type, x.fields, x.raw) for x in r.records]) for r in df.collect() if r.serial != "900")
+    got, want = order(spark.read.parquet(str(tmp_path / "out"))), order(audit.assemble(audit.records(spark.read.parquet(str(tmp_path / "in")))))
+    assert got == want and len(got) == 4
