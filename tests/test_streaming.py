@@ -2,6 +2,7 @@ import json
 import os
 
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -10,7 +11,7 @@ from logloom.operators import alerts, enrich, suppress, verdicts
 from logloom.operators.detect import Rule, Threshold
 from logloom.sources import audit, feeds, store
 from logloom.streaming import signatures
-from logloom.streaming.assembly import assemble_stream, event_stream
+from logloom.streaming.assembly import OpenEvents, assemble_stream, event_stream
 from logloom.streaming.parents import parents_stream
 from logloom.streaming.renewal import fingerprint, follow_rules
 from logloom.streaming.sinks import detect_stream, late_rows, line_stream, live_queue, write_alerts
@@ -332,3 +333,24 @@ def test_lines_are_read_into_fields_after_their_event_is_out(spark, tmp_path, ca
     order = lambda df: sorted((r.serial, r.host, r.epoch, r.seq, [(x.type, x.fields, x.raw) for x in r.records]) for r in df.collect() if r.serial != "900")
     got, want = order(spark.read.parquet(str(tmp_path / "out"))), order(audit.assemble(audit.records(spark.read.parquet(str(tmp_path / "in")))))
     assert got == want and len(got) == 4
+
+
+def test_lines_that_wait_take_less_room_than_their_text():
+    """Two steps of events without an end, as a part's state holds them; those that have been quiet are out, whole and in order, and the others stay."""
+    held, timers = [], []
+    state = type("State", (), {"get": lambda _: iter(list(held)), "appendValue": lambda _, x: held.append(x), "put": lambda _, x: held.__setitem__(slice(None), x), "clear": lambda _: held.clear()})()
+    handle = type("Handle", (), {"getListState": lambda *_: state, "registerTimer": lambda _, ms: timers.append(ms)})()
+    at = lambda ms: type("Times", (), {"getCurrentWatermarkInMs": lambda _: ms})()
+    line = lambda n, i: f"node=h type=PATH msg=audit({n}.000:{n}): item={i} name=\"/srv/{n}/{i}\" nametype=NORMAL mode=0100644 ouid=0 ogid=0"
+    step = lambda places: pd.DataFrame([(f"{n}.0:{n} h", n * 1000, f"{i:020d}", True, False, line(n, i), f"{n}-{i}") for i in places for n in range(300, 0, -1)], columns=["event", "t", "pos", "named", "ends", "line", "seq"])
+    part = OpenEvents(1000)
+    part.init(handle)
+    for places in ((2, 0), (3, 1)):
+        assert not list(part.handleInputRows((0,), iter([step(places)]), at(0)))
+    assert len(held) == 2 and sum(len(x) for (x,) in held) < sum(len(line(n, i)) for n in range(1, 301) for i in range(4)) / 2
+    assert timers == [2000, 2000]
+    (out,) = part.handleExpiredTimer((0,), at(101_000), None)
+    assert sorted(zip(out["event"], out["seq"], out["lines"], strict=True)) == sorted((f"{n}.0:{n} h", f"{n}-0", "\n".join(line(n, i) for i in range(4))) for n in range(1, 101))
+    assert len(held) == 1 and timers[-1] == 102_000
+    (out,) = part.handleExpiredTimer((0,), at(10**9), None)
+    assert len(out) == 200 and not held
